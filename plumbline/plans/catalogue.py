@@ -1,4 +1,6 @@
 """All registered queries and the SQL that states the same in DuckDB."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import layout, resolve  # noqa: F401
+from .views import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
