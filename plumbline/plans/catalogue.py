@@ -1,6 +1,6 @@
 """All registered queries and the SQL that states the same in DuckDB."""
 
-from . import layout, resolve  # noqa: F401
+from . import audit, layout, resolve  # noqa: F401
 from .views import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
