@@ -5,8 +5,9 @@
    at the positions of its own permutation, so the values of one element are correlated over the signature; that lowers
    the variance, and rank j need not be looked at once every position holds a value below j.
 2. Nodes that agree on a band of the signature are candidates. A bucket is not expanded into pairs: its members are
-   compared with a pivot. Members that end in other components than their bucket's pivot take further pivots, and what
-   is still apart after that is compared with all of its bucket, so no candidate link between components is lost.
+   compared with a pivot. Members that end in other components than their bucket's pivot take further pivots. What is
+   still apart after that meets the rest of its buckets in families, where only the differences from the family's common
+   shingles are compared (by_difference), so no candidate link between components is lost.
 3. Candidates whose sketches agree far too little are dropped; the others are confirmed on the full sets.
 4. Links are grouped by union-find within partitions and star contraction across them.
 """
@@ -110,12 +111,17 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), run, "doc_id long, n long, node long, bands array<long>, sketch binary")
 
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) for every node of wanted, made anew from the texts; shingles are sorted as unsigned numbers."""
+
     def run(text):
         sets = [shingle_set(t, size) for t in text]
-        return {"node": [node_of(s) if len(s) else None for s in sets], "shingles": [s.tobytes() for s in sets]}
+        return {"node": [node_of(s) if len(s) else None for s in sets], "shingles": [s.view(np.int64) for s in sets]}
 
-    return map_slices(docs.select("text"), run, "node long, shingles binary")
+    ids = written(nodes.join(wanted, "node").select("doc_id").distinct(), "wanted")
+    texts = join_small(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
+    sets = map_slices(texts, run, "node long, shingles array<long>").filter("node IS NOT NULL")
+    return written(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def union_find(links: DataFrame) -> DataFrame:
@@ -169,23 +175,60 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
         ok = np.flatnonzero(same >= percent / 100 - SLACK)
         return {"x": [x[i] for i in ok], "y": [y[i] for i in ok]}
 
-    def linked(x, y, a, b):
-        ok = []
-        for i in range(len(x)):
-            p, q = np.frombuffer(a[i], np.uint64), np.frombuffer(b[i], np.uint64)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * shared >= percent * (len(p) + len(q) - shared):
-                ok.append(i)
-        return {"x": [x[i] for i in ok], "y": [y[i] for i in ok]}
-
     sketch = lambda c, s: nodes.select(F.col("node").alias(c), F.col("sketch").alias(s))
     maybe = written(map_slices(pairs.join(sketch("x", "a"), "x").join(sketch("y", "b"), "y").select("x", "y", "a", "b"), near, "x long, y long", 4096), "maybe")
-    wanted = maybe.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    ids = written(nodes.join(wanted, "node").select("doc_id").distinct(), "wanted")
-    texts = join_small(docs.select("doc_id", "text"), ids, "doc_id", "left_semi")
-    sets = written(sets_of(texts, size).filter("node IS NOT NULL").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = sets_of(maybe.select(F.explode(F.array("x", "y")).alias("node")).distinct(), nodes, docs, size)
     own = lambda c, s: sets.select(F.col("node").alias(c), F.col("shingles").alias(s))
-    return map_slices(maybe.join(own("x", "a"), "x").join(own("y", "b"), "y").select("x", "y", "a", "b"), linked, "x long, y long", 64)
+    shared = F.size(F.array_intersect("a", "b"))
+    linked = maybe.join(own("x", "a"), "x").join(own("y", "b"), "y").filter((100 + percent) * shared >= percent * (F.size("a") + F.size("b")))
+    return linked.select("x", "y")
+
+
+def by_difference(rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Candidates (x, y, nx, ny) among rows (band, node, n, comp, first, main) that share a band and no component.
+
+    Nodes are dealt into families so that two nodes of a bucket share one if either is apart from the bucket's pivot. A
+    set x differs from its family's common shingles (those of more than half of its members) in a set d(x). With
+    s(x) = (100 + percent) |d(x)| - (100 - percent) |x|, sets are similar enough just when 2 (100 + percent) times the
+    size of the overlap of d(x) and d(y) is at least s(x) + s(y). So
+
+    - pairs whose s add up to at most 0 need no overlap; each of the two is also linked with the member of least s, and
+      that star stands for all of them;
+    - any other pair shares one of the rarest elements of both differences (prefix filter: all but so many elements as
+      the least possible overlap needs, less one). Differences seldom agree, even where thousands of sets are alike.
+    """
+    both = 2 * (100 + percent)
+    apart = rows.filter("comp <> main AND node <> first")
+    owner = apart.groupBy("node").agg(F.min(F.struct(F.xxhash64("first", F.lit(0)).alias("o"), "first")).alias("r"))
+    refs = apart.join(owner, "node").select("band", F.col("r.first").alias("ref")).distinct()
+    members = rows.filter("node <> first").select("band", "node", "n", "comp").join(refs, "band").select("ref", "node", "n", "comp").distinct()
+    members = written(members, "families")
+    mixed = members.groupBy("ref").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("ref", "size")
+    members = members.join(mixed, "ref")
+    own = members.join(sets_of(members.select("node").distinct(), nodes, docs, size), "node")
+    common = own.select("ref", "size", F.explode("shingles").alias("e")).groupBy("ref", "size", "e").agg(F.count(F.lit(1)).alias("c")).filter("2 * c > size")
+    common = common.groupBy("ref").agg(F.collect_list("e").alias("common"))  # at most twice the mean size of the sets
+    diff = F.concat(F.array_except("shingles", "common"), F.array_except("common", "shingles"))
+    apiece = own.join(common, "ref", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    apiece = apiece.select("ref", "node", "n", "comp", diff.alias("d"))
+    apiece = written(apiece.withColumn("s", (100 + percent) * F.size("d") - (100 - percent) * F.col("n")), "differences")
+    least = apiece.groupBy("ref").agg(F.min(F.struct("s", "node", "n", "comp")).alias("m"))
+    told = apiece.join(least, "ref").withColumn("star", F.col("s") + F.col("m.s") <= 0)
+    star = told.filter("star AND comp <> m.comp").select(F.col("node").alias("x"), F.col("m.node").alias("y"), F.col("n").alias("nx"), F.col("m.n").alias("ny"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("m.s")) / both)).cast("int")
+    each = told.select("ref", "node", "n", "comp", "s", "star", need.alias("need"), F.explode("d").alias("e"))
+    often = each.groupBy("ref", "e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    shared = each.join(often, ["ref", "e"]).groupBy("ref", "node", "n", "comp", "s", "star", "need").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("d"))
+    shared = shared.filter("size(d) >= need").withColumn("most", F.size("d"))  # other elements have no partner
+    prefix = written(shared.select("ref", "node", "n", "comp", "s", "star", "most", F.explode(F.expr("slice(d, 1, most - need + 1).e")).alias("e")), "prefixes")
+    x, y = (prefix.select("ref", "e", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "comp", "s", "star", "most"))) for k in "xy")
+    met = x.join(y, ["ref", "e"]).filter("node_x < node_y AND comp_x <> comp_y AND NOT (star_x AND star_y)")
+    met = met.filter(both * F.least("most_x", "most_y") >= F.col("s_x") + F.col("s_y"))
+    met = met.groupBy(F.col("node_x").alias("x"), F.col("node_y").alias("y")).agg(F.min("ref").alias("ref"))
+    x, y = (apiece.select("ref", F.col("node").alias(k), *(F.col(c).alias(f"{c}{k}") for c in "nsd")) for k in "xy")
+    overlap = F.size(F.array_intersect("dx", "dy"))
+    near = written(met, "met").join(x, ["ref", "x"]).join(y, ["ref", "y"]).filter(both * overlap >= F.col("sx") + F.col("sy"))
+    return star.unionByName(near.select("x", "y", "nx", "ny"))
 
 
 def link(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
@@ -207,9 +250,7 @@ def link(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
             rows = written(rows.join(buckets, "band"), "apart")
             apart = rows.filter("comp <> main")
         if turn == PIVOTS:
-            x = apart.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-            y = rows.filter("node <> first").select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), (F.col("comp") != F.col("main")).alias("also"))
-            pairs = x.join(y, "band").filter((F.col("cx") != F.col("cy")) & (~F.col("also") | (F.col("x") < F.col("y"))))
+            pairs = by_difference(rows, nodes, docs, size, percent)
         else:
             pivots = (apart if turn else rows).groupBy("band").agg(F.min(main if not turn else F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp")).alias("p"), F.count(F.lit(1)).alias("size"))
             pivots = pivots.filter("size > 1" if not turn else "size > 0").select("band", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.comp").alias("cy"))

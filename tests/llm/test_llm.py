@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -286,3 +287,33 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[4][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == seen[3]
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+def test_near_copies_apart_from_every_pivot_equal_brute_force(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):  # copies of a text that is not among them, some of them edited again
+        words = list(base) if i < 60 else rows[i - 60][1].split()
+        for at in rng.sample(range(len(words)), 9 if i < 60 else rng.randint(1, 9)):
+            words[at] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for x, y in combinations(sets, 2):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                comp[x] = comp[y] = min(comp[x], comp[y])
+    assert 10 < len(set(comp.values())) < 80
+    assert {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()} == comp
+    nodes = neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    every = nodes.select(F.lit(1).cast("long").alias("band"), "node", "n", F.col("node").alias("comp"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("main"))
+    pairs = neardup.by_difference(every, nodes, spark.createDataFrame(rows, "doc_id long, text string"), 2, 80)
+    got = [tuple(r) for r in neardup.confirmed(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), nodes, spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()]
+    id_of = {r.node: r.doc_id for r in nodes.collect()}
+    joined = {i: i for i in sets}
+    for _ in sets:
+        for x, y in got:
+            x, y = id_of[x], id_of[y]
+            joined[x] = joined[y] = min(joined[x], joined[y])
+    assert joined == comp  # without bands and pivots, too
