@@ -220,10 +220,11 @@ def by_difference(rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     often = each.groupBy("ref", "e").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     shared = each.join(often, ["ref", "e"]).groupBy("ref", "node", "n", "comp", "s", "star", "need").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("d"))
     shared = shared.filter("size(d) >= need").withColumn("most", F.size("d"))  # other elements have no partner
-    prefix = written(shared.select("ref", "node", "n", "comp", "s", "star", "most", F.explode(F.expr("slice(d, 1, most - need + 1).e")).alias("e")), "prefixes")
-    x, y = (prefix.select("ref", "e", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "comp", "s", "star", "most"))) for k in "xy")
+    prefix = written(shared.select("ref", "node", "n", "comp", "s", "star", "most", F.posexplode(F.expr("slice(d, 1, most - need + 1).e")).alias("pos", "e")), "prefixes")
+    x, y = (prefix.select("ref", "e", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "comp", "s", "star", "most", "pos"))) for k in "xy")
     met = x.join(y, ["ref", "e"]).filter("node_x < node_y AND comp_x <> comp_y AND NOT (star_x AND star_y)")
-    met = met.filter(both * F.least("most_x", "most_y") >= F.col("s_x") + F.col("s_y"))
+    rest = F.least(F.col("most_x") - F.col("pos_x"), F.col("most_y") - F.col("pos_y"))  # at the first element in common, the overlap at most
+    met = met.filter(both * rest >= F.col("s_x") + F.col("s_y"))
     met = met.groupBy(F.col("node_x").alias("x"), F.col("node_y").alias("y")).agg(F.min("ref").alias("ref"))
     x, y = (apiece.select("ref", F.col("node").alias(k), *(F.col(c).alias(f"{c}{k}") for c in "nsd")) for k in "xy")
     overlap = F.size(F.array_intersect("dx", "dy"))
