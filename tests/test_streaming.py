@@ -28,13 +28,13 @@ def test_two_batches_equal_one(spark, tmp_path):
 def test_late_rows_are_dropped_from_sessions(spark, tmp_path):
     path = str(tmp_path / "events.parquet")
     at = lambda h: DAY + dt.timedelta(hours=h)
-    batches = [[(1, at(0)), (1, at(1)), (1, at(100))], [(1, at(2)), (1, at(200))], [(1, at(300))]]
+    batches = [[(1, at(0)), (1, at(1)), (1, at(100))], [(1, at(200))], [(1, at(2)), (1, at(300))]]  # a batch is held against the watermark of the one before
     for rows in batches:
         put(spark, path, rows, "user_id long, ts timestamp")
     events = incremental.arriving(spark, path, 1)
     got = incremental.drained(incremental.sessions(events, "user_id", "ts", "6 hours", "1 day"), "late").orderBy("start").collect()
     first = got[0]
-    assert (first.start, first.end, first.n) == (at(0), at(7), 2)  # hour 2 came after the watermark had passed it
+    assert (first.start, first.end, first.n) == (at(0), at(7), 2)  # hour 2 came too late
     assert [r.n for r in got] == [2, 1, 1]
 
 
