@@ -1,10 +1,11 @@
-"""Incremental queries: the tables arrive as streams and are drained once."""
+"""Incremental queries, whose tables arrive as streams and are drained once, and the round trip of a report."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.markup import report_sink
 from ..streaming import incremental
 from .views import Views, query
 
@@ -38,3 +39,13 @@ def j4(v: Views) -> DataFrame:
     events = incremental.arriving(v.spark, f"{v.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = incremental.drained(incremental.ratio_by_window(events, "ts", "1 day", "1 day", F.col("event_type") == "purchase"), "agreement")
     return out.select(F.unix_micros("start").alias("start"), "n", "hits")
+
+
+@query("A11_report_sink", "SELECT o_orderstatus, o_orderpriority, o_orderkey, o_custkey FROM orders")
+def a11(v: Views) -> DataFrame:
+    """Every order through a report with one folder for each status and priority, read back."""
+    columns = ["o_orderstatus", "o_orderpriority", "o_orderkey", "o_custkey"]
+    orders = v.orders.select(*columns)
+    path = incremental.shared_folder(v.spark, "report")
+    report_sink(orders, path, columns[:2])
+    return v.spark.read.schema(orders.schema).json(path).select(*columns)
