@@ -132,6 +132,21 @@ def d8(v: Views) -> DataFrame:
     return audit.common_choice(v.claims(False).select(F.col("signal").alias("dev"), "pin"), v.B.filter("doc_id < 300"), ["doc_id"], "dev", "pin")
 
 
+# D6, D8 and I4 above hold only orders below 300, as their SQL does; these are the same over all orders.
+ALL_SUPPLY = ", need AS (SELECT DISTINCT doc_id, pin FROM boards), have AS (SELECT DISTINCT signal dev, pin FROM claims)"
+
+
+@query("D6_relational_division_all", ALL_SUPPLY + ", z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id) SELECT doc_id, dev FROM need JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z")
+def d6_all(v: Views) -> DataFrame:
+    return audit.covering(v.claims(False).select(F.col("signal").alias("dev"), "pin"), v.B, ["doc_id"], "dev", "pin")
+
+
+@query("D8_candidate_intersection_all", ALL_SUPPLY + """, w AS (SELECT * FROM need WHERE pin IN (SELECT pin FROM have)), z AS (SELECT doc_id, count(*) z FROM w GROUP BY doc_id), c AS (SELECT doc_id, dev FROM w JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z)
+SELECT d.doc_id, min(dev) choice, count(dev) candidates FROM (SELECT DISTINCT doc_id FROM need) d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""")
+def d8_all(v: Views) -> DataFrame:
+    return audit.common_choice(v.claims(False).select(F.col("signal").alias("dev"), "pin"), v.B, ["doc_id"], "dev", "pin")
+
+
 @query("D10_unanimity_vote", "SELECT doc_id, CASE WHEN count(DISTINCT net) = 1 THEN min(net) END vote, array_to_string(list_sort(list(DISTINCT net)), ',') cast_ FROM boards GROUP BY doc_id")
 def d10(v: Views) -> DataFrame:
     return v.B.groupBy("doc_id").agg(F.when(F.countDistinct("net") == 1, F.min("net")).alias("vote"), F.array_join(F.sort_array(F.collect_set("net")), ",").alias("cast_"))
@@ -314,6 +329,12 @@ def i4(v: Views) -> DataFrame:
     return ordered.first_by(every, ["doc_id"], [F.when(F.col("dev") % 3 == 0, 0).otherwise(1), "dev"])
 
 
+@query("I4_shared_resource_all", ALL_SUPPLY + """, z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id), c AS (SELECT doc_id, dev FROM need JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN dev % 3 = 0 THEN 0 ELSE 1 END, dev) r FROM c) SELECT doc_id, dev FROM r WHERE r = 1""")
+def i4_all(v: Views) -> DataFrame:
+    return ordered.first_by(d6_all(v), ["doc_id"], [F.when(F.col("dev") % 3 == 0, 0).otherwise(1), "dev"])
+
+
 @query("I5_first_free_option", ", t AS (SELECT DISTINCT pin, dev FROM boards WHERE qty > 40) SELECT c.pin, min(c.signal) signal FROM claims c ANTI JOIN t ON t.pin = c.pin AND t.dev = c.signal GROUP BY c.pin")
 def i5(v: Views) -> DataFrame:
     taken = v.B.filter("qty > 40").select("pin", F.col("dev").alias("signal")).distinct()
