@@ -305,6 +305,12 @@ def h5(v: Views) -> DataFrame:
     return v.lineitem.filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", F.bround("l_extendedprice", 0).alias("r"))
 
 
+@query("H5_rounding_all", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice, 0) r FROM lineitem")
+def h5_all(v: Views) -> DataFrame:
+    """Every line; the one above holds only orders below 2000, as its SQL does."""
+    return v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.bround("l_extendedprice", 0).alias("r"))
+
+
 @query("H9_id_check", ", r AS (SELECT DISTINCT upper(n_name) id FROM nation WHERE n_nationkey % 2 = 0) SELECT n_nationkey, CASE WHEN trim(n_name) = '' THEN 'empty' WHEN NOT regexp_matches(upper(trim(n_name)), '^[A-Z0-9 _]+$') THEN 'malformed' WHEN r.id IS NULL THEN 'unregistered' ELSE 'ok' END status FROM nation LEFT JOIN r ON r.id = upper(trim(n_name))")
 def h9(v: Views) -> DataFrame:
     registry = v.nation.filter("n_nationkey % 2 = 0").select(F.upper("n_name").alias("id"), F.lit(True).alias("known")).distinct()

@@ -28,3 +28,15 @@ def test_division_covers_every_order(spark, supply):
     common = {o: set.intersection(*k) if (k := [have[p] for p in ps if p in have]) else set() for o, ps in need.items()}
     got = {r.doc_id: (r.choice, r.candidates) for r in QUERIES["D8_candidate_intersection_all"](spark, SF).collect()}
     assert got == {o: (min(ss, default=None), len(ss)) for o, ss in common.items()}
+
+
+def test_rounding_holds_every_line(spark):
+    want = [(r.l_orderkey, r.l_linenumber, r.l_partkey, float(round(r.l_extendedprice))) for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()]
+    got = [(r.l_orderkey, r.l_linenumber, r.l_partkey, r.r) for r in QUERIES["H5_rounding_all"](spark, SF).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_rounding_goes_beyond_the_orders_of_its_cut(spark, tmp_path):
+    rows = [(o, 1, 1, x) for o, x in ((1999, 2.5), (2000, 3.5), (10**9, 4.4))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r.l_orderkey: r.r for r in QUERIES["H5_rounding_all"](spark, str(tmp_path)).collect()} == {1999: 2.0, 2000: 4.0, 10**9: 4.0}
