@@ -86,7 +86,7 @@ def greedy(df: DataFrame, group: Columns, order: str, item: str, options: str) -
     empty = F.array().cast("array<struct<item:bigint,taken:bigint>>")
 
     def step(acc: Column, r: Column) -> Column:
-        free = F.filter(r[options], lambda o: ~F.exists(acc, lambda t: t["taken"] == o))
+        free = F.filter(r[options], lambda o: ~F.exists(acc, lambda t: t["taken"].eqNullSafe(o)))
         return F.concat(acc, F.array(F.struct(r[item].cast("long").alias("item"), F.get(free, F.lit(0)).cast("long").alias("taken"))))
 
     return df.groupBy(*group).agg(F.aggregate(rows, empty, step).alias("_p")).select(*group, F.explode("_p").alias("_p")).select(*group, "_p.item", "_p.taken")

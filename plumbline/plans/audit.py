@@ -321,10 +321,13 @@ def h9(v: Views) -> DataFrame:
 
 @query("I2_greedy_allocation", None)
 def i2(v: Views) -> DataFrame:
-    """Lines of an order, in order, take the first of three suppliers of their part that no earlier line took."""
-    options = ordered.first_by(v.claims(False), ["pin"], ["signal"], 3).groupBy("pin").agg(F.sort_array(F.collect_list("signal")).alias("options"))
-    rows = v.B.select("doc_id", (F.col("seq") * 1000000 + F.col("pin")).alias("seq"), "pin").join(options, "pin")
-    return audit.greedy(rows, ["doc_id"], "seq", "pin", "options")
+    """Lines of an order, those with the fewest suppliers of their part first, take the first supplier that no earlier line took.
+
+    All suppliers of the part are options; a line of which all are taken, or whose part has none, takes null.
+    """
+    options = v.claims(False).groupBy("pin").agg(F.sort_array(F.collect_list("signal")).alias("options"))
+    rows = v.B.select("doc_id", "seq", "pin", "dev").join(options, "pin", "left").withColumn("options", F.coalesce("options", F.array().cast("array<long>")))
+    return audit.greedy(rows.withColumn("seq", F.struct(F.size("options"), "seq", "pin", "dev")), ["doc_id"], "seq", "pin", "options")
 
 
 @query("I4_shared_resource", SUPPLY + """, z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id), c AS (SELECT doc_id, dev FROM need JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z),

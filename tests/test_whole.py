@@ -40,3 +40,36 @@ def test_rounding_goes_beyond_the_orders_of_its_cut(spark, tmp_path):
     rows = [(o, 1, 1, x) for o, x in ((1999, 2.5), (2000, 3.5), (10**9, 4.4))]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert {r.l_orderkey: r.r for r in QUERIES["H5_rounding_all"](spark, str(tmp_path)).collect()} == {1999: 2.0, 2000: 4.0, 10**9: 4.0}
+
+
+def greedy(lines):
+    """(order, part, supplier taken) of (order, line number, part, supplier, date) rows."""
+    have: dict = {}
+    for _, _, p, s, d in lines:
+        have.setdefault(p, set())
+        if d < "1998-06-01":
+            have[p].add(s)
+    taken: dict = {}
+    out = []
+    for o, _, p, _, _ in sorted(lines, key=lambda r: (r[0], len(have[r[2]]), r[1], r[2], r[3])):
+        pick = min(have[p] - taken.setdefault(o, set()), default=None)
+        taken[o].add(pick)
+        out.append((o, p, pick))
+    return sorted(out, key=repr)
+
+
+def allocated(spark, sf):
+    return sorted(map(tuple, QUERIES["I2_greedy_allocation"](spark, sf).select("doc_id", "item", "taken").collect()), key=repr)
+
+
+def test_allocation_equals_a_fold_over_all_suppliers(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "string(date(l_shipdate)) d").collect()
+    assert allocated(spark, SF) == greedy(list(map(tuple, rows)))
+    # part 7 has four suppliers, wanted by four lines of order 1; parts beyond a million; part 9 has no supplier
+    wide = [(1, i, 7, s, "1998-01-01") for i, s in enumerate((1, 2, 3, 4), 1)]
+    wide += [(2, 1, 5_000_000, 8, "1998-01-01"), (2, 2, 3, 8, "1998-01-01"), (3, 1, 5_000_000, 9, "1998-01-01"), (4, 1, 9, 1, "1999-01-01"), (3, 2, 3, 6, "1999-01-01")]
+    frame = spark.createDataFrame(wide, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, d string")
+    frame.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(d AS timestamp_ntz) l_shipdate", "'A' l_returnflag", "'F' l_linestatus", "1D l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = allocated(spark, str(tmp_path))
+    assert got == greedy(wide)
+    assert [t for o, _, t in got if o == 1] == [1, 2, 3, 4] and (3, 3, 8) in got and (3, 5_000_000, 9) in got and (4, 9, None) in got
