@@ -10,7 +10,7 @@ import re
 from functools import lru_cache
 
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_hash, map_slices
@@ -31,16 +31,22 @@ def plain(text: str) -> str:
 def fit(train: DataFrame) -> dict[str, bytes]:
     """A dictionary for each of the most frequent languages of train (lang, text), from a bounded sample of its rows.
 
-    The bounds are LANGUAGES, TEXTS, LONGEST and BYTES. Rows without a language or a text don't count.
+    The bounds are LANGUAGES, TEXTS, LONGEST and BYTES. Rows without a language or a text don't count. Copies of a text
+    count once. A language takes its texts of at most LONGEST characters, and pieces of that length of longer ones
+    where those are fewer than TEXTS.
     """
-    rows = train.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").filter(F.length("text") <= LONGEST)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    rates = counts.select("lang", F.least(F.lit(1.0), F.lit(1.0 * TEXTS) / F.col("n")).alias("rate"))
-    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    sample = rows.join(F.broadcast(rates), "lang").filter(order < F.col("rate") * (1 << 30)).select("lang", order.alias("o"), "text")
+    order = F.pmod("h", F.lit(1 << 30)).alias("o")
+    rows = train.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    last = F.least(F.lit(TEXTS), F.ceil(F.length("text") / LONGEST)).cast("int") - 1
+    pieces = rows.join(F.broadcast(common), "lang").select("lang", "h", (last > 0).alias("long"), F.explode(F.sequence(F.lit(0), last)).alias("k")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "k", order, "h"))  # each task keeps TEXTS of a language at most
+    chosen = pieces.withColumn("r", rank).filter(F.col("r") <= TEXTS).groupBy("lang", "h").agg(F.collect_list("k").alias("ks"))
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "ks", "text").distinct().select("lang", order, F.explode("ks").alias("k"), "text")
+    sample = texts.select("lang", "o", "k", F.expr(f"substring(text, k * {LONGEST} + 1, {LONGEST})"))
     by_lang: dict[str, list[str]] = {}
-    for r in sorted(map(tuple, sample.distinct().collect())):  # about LANGUAGES * TEXTS rows of at most LONGEST characters
-        by_lang.setdefault(r[0], []).append(r[2])
+    for r in sorted(map(tuple, sample.collect())):  # LANGUAGES * TEXTS rows of at most LONGEST characters
+        by_lang.setdefault(r[0], []).append(r[3])
     return {lang: plain("\n".join(texts)).encode()[-BYTES:] for lang, texts in by_lang.items()}
 
 
