@@ -50,8 +50,9 @@ def wildcard(left: DataFrame, right: DataFrame, a: str, b: str, block: int, any_
 
 def longest_prefix(tokens: DataFrame, names: DataFrame, token: str, name: str, least: int) -> DataFrame:
     """Each token with the longest of the names that it begins with, of at least `least` characters."""
-    ends = F.sequence(F.lit(least), F.length(token))
-    pieces = tokens.filter(F.length(token) >= least).withColumn(name, F.explode(F.transform(ends, lambda n: F.substr(F.col(token), F.lit(1), n))))
+    lengths = names.filter(F.length(name) >= least).agg(F.collect_set(F.length(name)).alias("_ends"))  # only prefixes as long as some name can hit
+    ends = F.filter("_ends", lambda n: n <= F.length(token))
+    pieces = tokens.filter(F.length(token) >= least).join(F.broadcast(lengths)).withColumn(name, F.explode(F.transform(ends, lambda n: F.substr(F.col(token), F.lit(1), n)))).drop("_ends")
     hits = pieces.join(names.select(name).distinct(), name)
     return hits.groupBy(*tokens.columns).agg(F.max_by(name, F.length(name)).alias(name))
 

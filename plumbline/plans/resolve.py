@@ -119,6 +119,16 @@ def c14(v: Views) -> DataFrame:
     return resolve.longest_prefix(words, names, "token", "name", 4)
 
 
+@query("C14_longest_prefix_all", r""", n AS (SELECT DISTINCT lower(token) name FROM toks WHERE regexp_full_match(token, '\p{L}{4,}')),
+t AS (SELECT DISTINCT regexp_replace(lower(token), '[^\p{L}\p{N}]', '', 'g') token FROM toks), s AS (SELECT token, unnest(range(4, length(token) + 1)) k FROM t WHERE length(token) >= 4)
+SELECT token, arg_max(name, length(name)) name FROM s JOIN n ON name = substr(token, 1, k) GROUP BY token""")
+def c14_all(v: Views) -> DataFrame:
+    """Every token, without case and punctuation, and names of any length; the one above holds short ones, as its SQL does."""
+    words = v.T.select(F.regexp_replace(F.lower("token"), r"[^\p{L}\p{N}]", "").alias("token")).distinct()
+    names = v.T.filter(F.col("token").rlike(r"^\p{L}{4,}$")).select(F.lower("token").alias("name")).distinct()
+    return resolve.longest_prefix(words, names, "token", "name", 4)
+
+
 @query("C15_hamming_one", """, a AS (SELECT DISTINCT p_brand a FROM part), b AS (SELECT DISTINCT p_brand b FROM part) SELECT a, b FROM a JOIN b ON length(a) = length(b) WHERE hamming(a, b) = 1""")
 def c15(v: Views) -> DataFrame:
     brand = v.part.select(F.col("p_brand").alias("a")).distinct()

@@ -73,3 +73,11 @@ def test_allocation_equals_a_fold_over_all_suppliers(spark, tmp_path):
     got = allocated(spark, str(tmp_path))
     assert got == greedy(wide)
     assert [t for o, _, t in got if o == 1] == [1, 2, 3, 4] and (3, 3, 8) in got and (3, 5_000_000, 9) in got and (4, 9, None) in got
+
+
+def test_longest_prefix_has_no_upper_bounds(spark, tmp_path):
+    text = "microcontroller micro (Microcontrollers7), internationalisation42 internationalisation straße-1 straße abc 12345 " + "q" * 5000 + "1"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.token: r.name for r in QUERIES["C14_longest_prefix_all"](spark, str(tmp_path)).collect()}
+    own = {w: w for w in ("microcontroller", "micro", "internationalisation", "straße")}
+    assert got == own | {"microcontrollers7": "microcontroller", "internationalisation42": "internationalisation", "straße1": "straße"}
