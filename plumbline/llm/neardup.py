@@ -259,7 +259,7 @@ def link(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFram
             pairs = members.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")).join(pivots, "band").filter("cx <> cy")
         pairs = written(pairs.filter(close).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
         if not pairs.limit(1).count():
-            break
+            continue
         links.append(written(confirmed(pairs, nodes, docs, size, percent), "confirmed"))
         every = reduce(DataFrame.unionByName, links)
         if every.limit(1).count():
