@@ -23,7 +23,7 @@ from .common import map_slices
 
 SHORT = 48
 #: Pieces up to this length are remembered, at most CACHED of them in a worker.
-CHUNK, CACHED = 40, 400_000
+CHUNK, CACHED = 40, 100_000
 NONE = np.int32(2**31 - 1)
 #: White space of the pre-tokenizers (Unicode's White_Space).
 WS = "\t-\r \x85\xa0  -     　"
@@ -157,7 +157,7 @@ class Bpe:
 
     def ready(self, text: str) -> list[str]:
         """The pieces of a text; special tokens that it spells out are pieces of their own."""
-        parts = self.split.split(text) if self.split and "<|" in text else [text]
+        parts = self.split.split(text) if self.split else [text]
         out: list[str] = []
         for s in parts:
             if s in self.special:

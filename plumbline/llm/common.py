@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: ASCII white space; a word is a maximal run of anything else.
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of a slice that a Python task holds as objects at once.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in order, in slices of at most `rows` rows and about `most` bytes (a longer row is a slice of its own)."""
+    at = 0
+    while at < batch.num_rows:
+        own = batch.slice(at, rows)
+        while own.num_rows > 1 and own.nbytes > most:
+            own = own.slice(0, own.num_rows // 2)
+        yield own
+        at += own.num_rows
+
+
 def map_slices(
     df: DataFrame, fn: Callable[..., dict], schema: str, rows: int = 256, once: Callable[[], object] | None = None
 ) -> DataFrame:
@@ -55,8 +68,8 @@ def map_slices(
         arrow = to_arrow_schema(out)
         state = (once(),) if once else ()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                got = fn(*state, *(c.to_pylist() for c in batch.slice(at, rows).columns))
+            for own in slices(batch, rows):
+                got = fn(*state, *(c.to_pylist() for c in own.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -68,10 +81,8 @@ def keep_rows(df: DataFrame, column: str, keep: Callable[[list], list], rows: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            mask: list = []
-            for k in range(0, batch.num_rows, rows):
-                mask += keep(batch.column(at).slice(k, rows).to_pylist())
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            for own in slices(batch, rows):
+                yield own.filter(pa.array(keep(own.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -82,11 +93,9 @@ def replace_text(df: DataFrame, column: str, fn: Callable[[list], list], rows: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            new: list = []
-            for k in range(0, batch.num_rows, rows):
-                new += fn(batch.column(at).slice(k, rows).to_pylist())
-            columns = [pa.array(new, c.type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for own in slices(batch, rows):
+                columns = [pa.array(fn(c.to_pylist()), c.type) if i == at else c for i, c in enumerate(own.columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=own.schema)
 
     return df.mapInArrow(run, df.schema)
 
@@ -103,6 +112,7 @@ def about(df: DataFrame, most: int, *columns: str) -> DataFrame:
         return df
     return df.filter(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int(most / n * (1 << 30)))
 
+
 #: Rows of a narrow table (a few numbers each) up to which a join may broadcast it.
 BROADCAST_ROWS = 500_000
 

@@ -27,9 +27,8 @@ from .common import join_small, map_slices, written
 M, BANDS, ROWS = 256, 40, 5
 #: Positions of 256 that agree by chance at similarity 0.8 in more than 205 +- 6: below 0.8 - SLACK no pair is close.
 SLACK = 0.16
-PIVOTS, REMEMBERED = 2, 400_000
+PIVOTS, REMEMBERED = 2, 100_000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-words_seen: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,22 +38,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    new = set(words).difference(words_seen)
+def word_hashes(words: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words; `seen` is a task's memory of about REMEMBERED of them."""
+    new = set(words).difference(seen)
     if new:
-        if len(words_seen) + len(new) > REMEMBERED:
-            words_seen.clear()
+        if len(seen) + len(new) > REMEMBERED:
+            seen.clear()
             new = set(words)
-        words_seen.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in new)
-    return np.fromiter(map(words_seen.__getitem__, words), np.uint64, len(words))
+        seen.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in new)
+    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: str | None, size: int, seen: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles of `size` words; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h, k = word_hashes(words), min(size, len(words))
+    h, k = word_hashes(words, seen), min(size, len(words))
     out = mix(h[: len(h) - k + 1] + np.uint64(k))
     for j in range(1, k):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
@@ -94,8 +94,8 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    def run(doc_id, text):
-        sets = [shingle_set(t, size) for t in text]
+    def run(seen, doc_id, text):
+        sets = [shingle_set(t, size, seen) for t in text]
         full = [i for i, s in enumerate(sets) if len(s)]
         sig = super_minhash([sets[i] for i in full]) if full else np.empty((0, M), np.uint64)
         bands, sketch = bands_of(sig), mix(sig).astype(np.uint8)
@@ -108,19 +108,19 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             "sketch": [sketch[place[i]].tobytes() if i in place else None for i in range(len(sets))],
         }
 
-    return map_slices(docs.select("doc_id", "text"), run, "doc_id long, n long, node long, bands array<long>, sketch binary")
+    return map_slices(docs.select("doc_id", "text"), run, "doc_id long, n long, node long, bands array<long>, sketch binary", once=dict)
 
 
 def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, shingles) for every node of wanted, made anew from the texts; shingles are sorted as unsigned numbers."""
 
-    def run(text):
-        sets = [shingle_set(t, size) for t in text]
+    def run(seen, text):
+        sets = [shingle_set(t, size, seen) for t in text]
         return {"node": [node_of(s) if len(s) else None for s in sets], "shingles": [s.view(np.int64) for s in sets]}
 
     ids = written(nodes.join(wanted, "node").select("doc_id").distinct(), "wanted")
     texts = join_small(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
-    sets = map_slices(texts, run, "node long, shingles array<long>").filter("node IS NOT NULL")
+    sets = map_slices(texts, run, "node long, shingles array<long>", once=dict).filter("node IS NOT NULL")
     return written(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
