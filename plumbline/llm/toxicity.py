@@ -23,10 +23,9 @@ from .common import about, id_hash, keep_rows, map_slices
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-#: Bounds of the fit: labelled rows in the sample, and entries of the lexicon.
-SAMPLE, LEXICON = 20_000, 50_000
+#: Bound of the fit: labelled rows in the sample.
+SAMPLE = 20_000
 PRIOR, LEAST_Z, LEAST_COUNT = 1000.0, 3.0, 3
-LONGEST_WORD = 40
 
 
 @dataclass(frozen=True)
@@ -49,8 +48,7 @@ class Model:
 def features(words: list[str]) -> Counter:
     out: Counter = Counter()
     for w, n in Counter(words).items():
-        if len(w) <= LONGEST_WORD:
-            out[w] += n
+        out[w] += n
         for k in PREFIXES:
             if len(w) >= k:
                 out[f"^{w[:k]}"] += n
@@ -60,24 +58,29 @@ def features(words: list[str]) -> Counter:
 def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score), given the words that score above zero by position.
 
-    Every other word scores `other`, below zero. Linear but for the search back among open segments.
+    Every other word scores `other`, below zero. The scan is linear: an open segment knows the nearest earlier one that
+    begins lower, so no segment is passed over twice; where none begins lower, all earlier ones are final.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before it, sum at its end
+    final: list[tuple] = []
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before it, sum at its end, nearest lower one
     total, at = 0.0, 0
     for i, s in hits:
         left = total + other * (i - at)
         total, at = left + s, i + 1
-        first = i
+        first, j = i, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= total:
                 break
-            first, left = found[j][0], found[j][2]
+            first, _, left, _, lower = found[j]
             del found[j:]
-        found.append((first, i, left, total))
-    return [(a, b, right - left) for a, b, left, right in found]
+            j = lower
+        if j < 0:
+            final += found
+            found.clear()
+        found.append((first, i, left, total, j))
+    return [(a, b, right - left) for a, b, left, right, _ in final + found]
 
 
 def evidence(hits: list[tuple[int, float]], n: int, other: float, lam: float, k: float) -> tuple[float, list]:
@@ -115,7 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most about `sample` labelled rows of labels (doc_id, toxic) with their texts in docs.
 
     A doc_id with several labels counts as toxic if any of them is 1; null labels and null texts don't count. Without
-    both classes the model scores every text the same, below one half.
+    both classes the model scores every text the same, below one half. Words of any length are features; those that
+    toxic texts of the sample hold LEAST_COUNT times or more, and more than half as often as clean ones do, are told to
+    the driver, so their number is bounded by the sample's, and every one of them that passes LEAST_Z is in the lexicon.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = about(known, sample, "doc_id")  # so few rows that they can be broadcast
@@ -135,9 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     cell = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("toxic") == y), F.col("n")).otherwise(0))
     table = counts.groupBy("feature").agg(*(cell(h, y).alias(f"n{int(h)}{int(y)}") for h in (False, True) for y in (False, True)))
     toxic = F.col("n01") + F.col("n11")
-    # the share of toxic uses orders the features; what is cut beyond LEXICON is the rarest
     rows = table.filter((F.col("feature") == "") | (toxic >= LEAST_COUNT) & (2 * toxic > F.col("n00") + F.col("n10")))
-    rows = rows.orderBy(F.col("feature") != "", (toxic / (toxic + F.col("n00") + F.col("n10") + 5)).desc(), toxic.desc(), "feature").limit(LEXICON + 1).collect()
+    rows = rows.orderBy("feature").collect()
     names = [r.feature for r in rows if r.feature]
     n = {c: np.array([r[c] for r in rows if r.feature], float) for c in ("n00", "n01", "n10", "n11")}
     total = next(({c: float(r[c]) for c in n} for r in rows if not r.feature), dict.fromkeys(n, 0.0))
@@ -211,7 +215,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, in all their columns, that are not predicted toxic."""
+    """The rows of docs, in all their columns, that are not predicted toxic.
+
+    Null and empty texts have the score of no evidence and stay if that is below one half; repeated rows share their
+    fate; an empty table gives an empty one. Long texts are scored whole.
+    """
     heads = model.heads()
     return keep_rows(docs, "text", lambda texts: [assess(t, model, heads)[0] < 0.5 for t in texts])
 
