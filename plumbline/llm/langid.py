@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import id_hash, map_slices
 
-#: Bounds of the fitting sample: languages, texts for each, characters of a text in it, bytes of a dictionary.
-LANGUAGES, TEXTS, LONGEST, BYTES = 200, 120, 4000, 160_000
+#: Bounds of the fitting sample: pieces of texts for each language, characters of a piece, bytes of a dictionary, and of
+#: all of them. However many languages there are, each has a dictionary: beyond TOTAL / BYTES of them, smaller ones.
+TEXTS, LONGEST, BYTES, TOTAL = 120, 4000, 160_000, 64 << 20
 LEVEL, CHUNK, MARGIN = 6, 4096, 0.02
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -29,25 +29,28 @@ def plain(text: str) -> str:
 
 
 def fit(train: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each of the most frequent languages of train (lang, text), from a bounded sample of its rows.
+    """A dictionary for every language of train (lang, text), from a bounded sample of its rows.
 
-    The bounds are LANGUAGES, TEXTS, LONGEST and BYTES. Rows without a language or a text don't count. Copies of a text
+    The bounds are TEXTS, LONGEST, BYTES and TOTAL. Rows without a language or a text don't count. Copies of a text
     count once. A language takes its texts of at most LONGEST characters, and pieces of that length of longer ones
     where those are fewer than TEXTS.
     """
     order = F.pmod("h", F.lit(1 << 30)).alias("o")
     rows = train.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
-    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    last = F.least(F.lit(TEXTS), F.ceil(F.length("text") / LONGEST)).cast("int") - 1
-    pieces = rows.join(F.broadcast(common), "lang").select("lang", "h", (last > 0).alias("long"), F.explode(F.sequence(F.lit(0), last)).alias("k")).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "k", order, "h"))  # each task keeps TEXTS of a language at most
-    chosen = pieces.withColumn("r", rank).filter(F.col("r") <= TEXTS).groupBy("lang", "h").agg(F.collect_list("k").alias("ks"))
+    languages = rows.agg(F.approx_count_distinct("lang", 0.02)).first()[0]
+    size = max(1, min(BYTES, TOTAL // max(1, languages)))
+    longest = min(LONGEST, size)
+    most = max(1, min(TEXTS, size * TEXTS // BYTES))
+    last = F.least(F.lit(most), F.ceil(F.length("text") / longest)).cast("int") - 1
+    pieces = rows.select("lang", "h", (last > 0).alias("long"), F.explode(F.sequence(F.lit(0), last)).alias("k")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "k", order, "h"))  # each task keeps `most` of a language at most
+    chosen = pieces.withColumn("r", rank).filter(F.col("r") <= most).groupBy("lang", "h").agg(F.collect_list("k").alias("ks"))
     texts = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "ks", "text").distinct().select("lang", order, F.explode("ks").alias("k"), "text")
-    sample = texts.select("lang", "o", "k", F.expr(f"substring(text, k * {LONGEST} + 1, {LONGEST})"))
+    sample = texts.select("lang", "o", "k", F.expr(f"substring(text, k * {longest} + 1, {longest})"))
     by_lang: dict[str, list[str]] = {}
-    for r in sorted(map(tuple, sample.collect())):  # LANGUAGES * TEXTS rows of at most LONGEST characters
+    for r in sorted(map(tuple, sample.collect())):  # `most` rows a language of at most LONGEST characters
         by_lang.setdefault(r[0], []).append(r[3])
-    return {lang: plain("\n".join(texts)).encode()[-BYTES:] for lang, texts in by_lang.items()}
+    return {lang: plain("\n".join(texts)).encode()[-size:] for lang, texts in by_lang.items()}
 
 
 @lru_cache(2)
@@ -62,7 +65,7 @@ def compressors(model: tuple[tuple[str, bytes], ...], level: int) -> list[zstand
 
 def classify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[str, float, bool]:
     """Language, score (the margin to the runner-up, 0 to 1) and whether the margin is too narrow."""
-    if not model or not text or not LETTER.search(text):
+    if not model or not text or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, True
     raw = plain(text).encode()
     chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
