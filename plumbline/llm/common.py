@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 SPACE = r"\x20\x09-\x0D"
 #: Bytes of a slice that a Python task holds as objects at once.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to a Python task.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that Spark passes to Python tasks in bytes, unless the session sets a bound; results stay the same."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def slices(batch: pa.RecordBatch, rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in order, in slices of at most `rows` rows and about `most` bytes (a longer row is a slice of its own)."""
     at = 0
@@ -72,6 +81,7 @@ def map_slices(
                 got = fn(*state, *(c.to_pylist() for c in own.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -84,6 +94,7 @@ def keep_rows(df: DataFrame, column: str, keep: Callable[[list], list], rows: in
             for own in slices(batch, rows):
                 yield own.filter(pa.array(keep(own.column(at).to_pylist()), pa.bool_()))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 
@@ -97,6 +108,7 @@ def replace_text(df: DataFrame, column: str, fn: Callable[[list], list], rows: i
                 columns = [pa.array(fn(c.to_pylist()), c.type) if i == at else c for i, c in enumerate(own.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=own.schema)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 

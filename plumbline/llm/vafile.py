@@ -1,13 +1,15 @@
-"""Exact top-k search by inner product with vector approximations.
+"""Exact top-k search by inner product with a vector-approximation file.
 
-Every vector is quantised to integers, and those to cells of equal width. A scan over the cells bounds each score from
-above and below; exact vectors are then read in the order of their upper bounds until the k-th best exact score is
-certain. Equal vectors of a block are looked at once, with their smallest ids. Queries come in groups of bounded size,
-each broadcast and matched against all candidates, block by block.
+The file is a table of blocks. A block holds some thousands of distinct vectors: their smallest ids, one byte for each
+component (the cell it lies in, of equal width over all components) and, in a column of its own, the exact integers.
+Queries come in groups of bounded size, each told to all tasks. A task scans the cells of its blocks for bounds of every
+score, and reads exact vectors in the order of their upper bounds until no other can change the k best; what a task has
+found tightens the bound in its next blocks. Every task reports k candidates a query at most.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -15,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, K, CELLS = 256, 5, 64
-#: Queries in a group (collected and broadcast), queries scored at once, candidates in a block.
-GROUP, AT_ONCE, BLOCK = 16_384, 256, 8192
+from .common import shared_dir, small_batches, written
+
+SCALE, K, CELLS = 256, 5, 256
+#: Queries in a group (told to the driver and all tasks), queries bounded at once, vectors in a block, exact reads at once.
+GROUP, AT_ONCE, BLOCK, READ = 16_384, 256, 4096, 16
 EXACT = 2.0**53
+BLOCKS = "dim int, ids binary, copies binary, cells binary, vectors binary"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and the scaled integers (as double) of the vectors without null or non-finite components."""
+    """vec_id and the scaled components (as double) of the vectors without null or non-finite components."""
     v = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
     v = v.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -30,7 +35,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(~bad & (F.size("e") > 0)).select("vec_id", F.transform("e", lambda x: x * SCALE).alias("e"))
 
 
-def block(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+def by_dimension(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, integers) of a batch, one pair for each number of dimensions."""
     ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
     sizes = np.diff(lists.offsets.to_numpy())
@@ -39,6 +44,37 @@ def block(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(ids[own], flat[starts[own][:, None] + np.arange(d)]) for d in np.unique(sizes).tolist() for own in [np.flatnonzero(sizes == d)]]
 
 
+def distinct(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of x, the k + 1 smallest distinct ids of each (one may be the query's own), and their numbers."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    keys = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel()
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    copies: list[list[int]] = [[] for _ in first]
+    for i, g in zip(ids.tolist(), inverse.tolist(), strict=True):
+        if len(copies[g]) <= k and (not copies[g] or copies[g][-1] != i):
+            copies[g].append(i)
+    return x[first], np.array([i for c in copies for i in c], np.int64), np.array([len(c) for c in copies], np.int64)
+
+
+def blocks_of(vectors: DataFrame, low: float, width: float, k: int) -> DataFrame:
+    """The vector-approximation file of usable vectors (BLOCKS)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                rows = []
+                for ids, x in by_dimension(batch.slice(at, BLOCK)):
+                    x, own, copies = distinct(ids, x, k)
+                    cells = np.clip(np.floor((x - low) / width), 0, CELLS - 1).astype(np.uint8)
+                    rows.append((x.shape[1], own.tobytes(), copies.tobytes(), cells.tobytes(), x.tobytes()))
+                if rows:
+                    types = (pa.int32(), *[pa.binary()] * 4)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["dim", "ids", "copies", "cells", "vectors"])
+
+    return written(vectors.mapInArrow(run, BLOCKS), "blocks")
+
+
 def exact(vectors: np.ndarray, query: np.ndarray) -> list[int]:
     """Inner products as Python integers."""
     most = float(np.abs(vectors).max(initial=0.0)) * float(np.abs(query).max(initial=0.0)) * len(query)
@@ -52,23 +88,21 @@ def merge(best: list[tuple[int, int]], new: list[tuple[int, int]], k: int) -> li
     return sorted(set(best + new))[:k]
 
 
-def scan(ids: np.ndarray, x: np.ndarray, queries: dict, low: float, width: float, k: int) -> None:
-    """Improve queries["best"] (lists of (-score, id)) by the candidates x of the same dimension."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    keys = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel()
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    copies: list[list[int]] = [[] for _ in first]
-    for i, g in zip(ids.tolist(), inverse.tolist(), strict=True):
-        if len(copies[g]) <= k and (not copies[g] or copies[g][-1] != i):  # k and the query's own
-            copies[g].append(i)
-    x = x[first]
-    cells = np.floor((x - low) / width)  # the approximation
-    middle = low + (cells + 0.5) * width
+def search_block(cells: np.ndarray, vectors: np.ndarray, ids: list[list[int]], queries: dict, low: float, width: float, k: int) -> int:
+    """Improve queries["best"] (lists of (-score, id)) by a block; returns how many exact vectors it read.
+
+    A component in cell c lies in [low + c * width, low + (c + 1) * width), so a score lies within half a width times
+    the query's absolute sum of the score of the cells' middles. The slack takes the rounding of single precision, too.
+    """
+    kind = np.float32 if float(np.abs(queries["vectors"]).max(initial=0.0)) < 1e30 else np.float64
+    middle = (cells.astype(kind) + kind(0.5)).T  # in units of cells
+    read = 0
     for at in range(0, len(queries["ids"]), AT_ONCE):
         q = queries["vectors"][at : at + AT_ONCE]
-        near = q @ middle.T
-        slack = np.abs(q).sum(1) * (width / 2) * (1 + 1e-9) + np.abs(near).max(initial=0.0) * 1e-9
+        with np.errstate(all="ignore"):  # what overflows bounds nothing, and all of it is read
+            near = (q.astype(kind) @ middle).astype(np.float64) * width + q.sum(1)[:, None] * low
+            total = np.abs(q).sum(1)
+            slack = total * (width / 2) + total * (CELLS * width + abs(low)) * (cells.shape[1] + 4) * 2.0**-23 + 1e-6
         take = min(k + 1, near.shape[1])
         kth = np.partition(near, near.shape[1] - take, axis=1)[:, near.shape[1] - take]
         for r in range(len(q)):
@@ -77,16 +111,19 @@ def scan(ids: np.ndarray, x: np.ndarray, queries: dict, low: float, width: float
             floor = kth[r] - slack[r] if take == k + 1 else -np.inf
             if len(best) == k:
                 floor = max(floor, float(-best[-1][0]) * (1 - 1e-12) - 1)
-            upper = near[r] + slack[r]
-            todo = np.flatnonzero(upper >= floor)
-            todo = todo[np.argsort(-upper[todo], kind="stable")]
-            for i in range(0, len(todo), 32):
-                if len(best) == k and upper[todo[i]] < -best[-1][0] - 1:
+            todo = np.flatnonzero(near[r] + slack[r] >= floor) if np.isfinite(floor) and np.isfinite(near[r]).all() else np.arange(near.shape[1])
+            if not len(todo):
+                continue
+            todo = todo[np.argsort(-near[r, todo], kind="stable")]
+            for i in range(0, len(todo), READ):
+                if len(best) == k and near[r, todo[i]] + slack[r] < -best[-1][0] - 1:  # never where it is no number
                     break
-                some = todo[i : i + 32]
-                new = [(-s, v) for s, g in zip(exact(x[some], q[r]), some.tolist(), strict=True) for v in copies[g] if v != own]
+                some = todo[i : i + READ]
+                read += len(some)
+                new = [(-s, v) for s, g in zip(exact(vectors[some], q[r]), some.tolist(), strict=True) for v in ids[g] if v != own]
                 best = merge(best, new, k)
             queries["best"][at + r] = best
+    return read
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -95,47 +132,68 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Scores are inner products of floor(256 * x); ties go to the smaller vec_id; a query's own vec_id is no candidate.
     Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without a vec_id or
     candidates of another dimension. Rows that repeat a vec_id count once (the best of them as a candidate, the least
-    vector as a query). Scores beyond 64 bits saturate. Empty tables give no rows.
+    vector as a query). Scores beyond 64 bits saturate. Empty tables give no rows; other columns are ignored.
     """
     spark, all_rows = vectors.sparkSession, usable(vectors)
-    asked = usable(queries).groupBy("vec_id").agg(F.min("e").alias("e"))
+    small_batches(spark)
     span = all_rows.select(F.min(F.array_min("e")).alias("low"), F.max(F.array_max("e")).alias("high")).first()
+    asked = usable(queries).groupBy("vec_id").agg(F.min("e").alias("e"))
     groups = -(-asked.count() // GROUP)
-    schema = "query_id long, vec_id long, score long"
     if not groups or span.low is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     low = float(np.floor(span.low))
     width = max(1.0, float(np.ceil((np.floor(span.high) - low + 1) / CELLS)))
-    parts = []
-    for g in range(groups):
-        mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).toArrow()  # about GROUP rows
-        sent = spark.sparkContext.broadcast([b for batch in mine.to_batches() for b in block(batch)])
-
-        def run(batches, sent=sent):
-            by_dim: dict[int, dict] = {}
-            for ids, v in sent.value:
-                d = by_dim.setdefault(v.shape[1], {"ids": [], "vectors": []})
-                d["ids"].append(ids)
-                d["vectors"].append(v)
-            for d in by_dim.values():
-                d["ids"], d["vectors"] = np.concatenate(d["ids"]), np.concatenate(d["vectors"])
-                d["best"] = [[] for _ in d["ids"]]
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    for ids, x in block(batch.slice(at, BLOCK)):
-                        if x.shape[1] in by_dim:
-                            scan(ids, x, by_dim[x.shape[1]], low, width, k)
-            rows = [(int(q), v, max(-(2**63), min(2**63 - 1, -s))) for d in by_dim.values() for q, best in zip(d["ids"], d["best"], strict=True) for s, v in best]
-            for at in range(0, len(rows), 65_536):
-                cols = list(zip(*rows[at : at + 65_536], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-        parts.append((all_rows if groups == 1 else all_rows.coalesce(64)).mapInArrow(run, schema))
-    found = reduce(DataFrame.union, parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    blocks = blocks_of(all_rows, low, width, k)
+    stored = shared_dir(spark, f"queries-{uuid.uuid4().hex}")
+    asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).write.partitionBy("part").parquet(stored)
+    parts = [best_of(blocks, spark.read.parquet(f"{stored}/part={g}"), low, width, k, groups > 1) for g in sorted(present(spark, stored))]
+    found = reduce(DataFrame.unionByName, parts)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def present(spark, stored: str) -> set[int]:
+    """The numbers of the groups that hold a query."""
+    return {r.part for r in spark.read.parquet(stored).select("part").distinct().collect()}
+
+
+def best_of(blocks: DataFrame, asked: DataFrame, low: float, width: float, k: int, store: bool) -> DataFrame:
+    """query_id, vec_id and score of the candidates that tasks over blocks find for one group of queries."""
+    spark = blocks.sparkSession
+    sent = spark.sparkContext.broadcast([b for batch in asked.select("vec_id", "e").toArrow().to_batches() for b in by_dimension(batch)])  # about GROUP rows
+
+    def run(batches):
+        by_dim: dict[int, dict] = {}
+        for ids, v in sent.value:
+            d = by_dim.setdefault(v.shape[1], {"ids": [], "vectors": []})
+            d["ids"].append(ids)
+            d["vectors"].append(v)
+        for d in by_dim.values():
+            d["ids"], d["vectors"] = np.concatenate(d["ids"]), np.concatenate(d["vectors"])
+            d["best"] = [[] for _ in d["ids"]]
+        for batch in batches:
+            for dim, ids, copies, cells, exacts in zip(*(c for c in batch.columns), strict=True):
+                d = dim.as_py()
+                if d in by_dim:
+                    flat, at = np.frombuffer(ids.as_py(), np.int64).tolist(), 0
+                    own = []
+                    for n in np.frombuffer(copies.as_py(), np.int64).tolist():
+                        own.append(flat[at : at + n])
+                        at += n
+                    search_block(np.frombuffer(cells.as_py(), np.uint8).reshape(-1, d), np.frombuffer(exacts.as_py()).reshape(-1, d), own, by_dim[d], low, width, k)
+        rows = [(int(q), v, max(-(2**63), min(2**63 - 1, -s))) for d in by_dim.values() for q, best in zip(d["ids"], d["best"], strict=True) for s, v in best]
+        for at in range(0, len(rows), 65_536):
+            cols = list(zip(*rows[at : at + 65_536], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+    found = blocks.mapInArrow(run, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    if not store:
+        return found
+    found = written(found, "found")  # with several groups, one at a time is held in memory
+    sent.destroy()
+    return found
+
+
 ORACLE_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
