@@ -1,8 +1,8 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation rates the labelers.
 
 Candidates are the base spans, which the contract's patterns define and which always stay, and looser ones that those
-patterns miss: numbers in other groupings, obfuscated addresses, keyed secrets, street-like number runs. Each labeler (a
-regular expression, a gazetteer of cue words, the context of the span) votes yes, no or abstains. Spark counts how often
+patterns miss: numbers in other groupings, obfuscated addresses, secrets. Each labeler (the shape of the expression, the
+rules of its kind, gazetteers of words near it, the word just before it, its edges, its variety) votes yes, no or abstains. Spark counts how often
 each pattern of votes occurs with each set of features; that table is small, so the driver runs expectation-maximisation
 on it, which estimates every labeler's reliability without labels, and fits a logistic span classifier on the result.
 """
@@ -28,20 +28,31 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "id", "secret")
 ANY = re.compile(r"[@0-9]")
-#: Looser candidates by kind.
-LOOSE = {
-    "email": re.compile(r"(?i)(?<![\w.])[a-z0-9][a-z0-9._-]{0,63} ?(?:\(at\)|\[at\]) ?[a-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[a-z0-9-]{1,63}){1,4}"),
-    "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"),
-    "id": re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    "secret": re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_.-]{8,})"),
+#: Looser candidates: kind and pattern; the last group, where there is one, is the span. Lengths are bounds of the formats
+#: (a host label has 63 characters, an address at most five labels here), not cuts of the text.
+LOOSE = [
+    ("email", re.compile(r"(?i)(?<![\w.])[a-z0-9][a-z0-9._-]{0,63} ?(?:\(at\)|\[at\]) ?[a-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[a-z0-9-]{1,63}){1,4}")),
+    ("phone", re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")),
+    ("phone", re.compile(r"(?<![\w+.-])[0-9]{10}(?![\w.-])")),
+    ("id", re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("secret", re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_.-]{8,})")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{15,}(?![A-Za-z0-9])")),
+]
+LOOSE_CUE = re.compile(r"(?i:\(at\)|\[at\]|passw|pwd|token|secret|key)|[0-9]{3}[-. )]|[0-9]{10}|[A-Z][A-Z0-9]{15}")
+#: Gazetteers: words beside a span that speak for each kind, words that speak for other numbers, beginnings of access keys.
+CUES = {
+    "email": frozenset("mail email e-mail write contact address".split()),
+    "ip": frozenset("ip host address server login".split()),
+    "card": frozenset("card visa mastercard account pay paid".split()),
+    "phone": frozenset("call phone tel telephone mobile fax contact ring".split()),
+    "id": frozenset("ssn social security id insurance".split()),
+    "secret": frozenset("password passwd pwd login token secret key user access".split()),
 }
-LOOSE_CUE = re.compile(r"(?i)\(at\)|\[at\]|passw|pwd|token|secret|key|[0-9]{3}[-. )]")
-#: Gazetteer: words beside a span that speak for personal data, and those that speak for other numbers.
-CUES = frozenset("call phone tel mobile fax contact mail email e-mail write address card visa mastercard account ssn social ip host login user password token secret key".split())
-OTHERS = frozenset("order invoice version page chapter isbn figure table no nr serial item part total".split())
+OTHERS = frozenset("order invoice version page chapter isbn figure table no nr serial item part total ticket build".split())
+KEY_PREFIXES = ("AKIA", "ASIA")
 WORD = re.compile(r"[A-Za-z-]+")
-NEAR = 48
-VOTES = ("shape", "check", "gazetteer", "context", "variety")
+NEAR, BESIDE = 48, 16
+VOTES = ("shape", "check", "gazetteer", "context", "edges", "variety")
 
 
 def digits(text: str) -> str:
@@ -91,7 +102,7 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     if not LOOSE_CUE.search(text):
         return []
     out, taken = [], sorted((a, b) for _, a, b in base)
-    for kind, pattern in LOOSE.items():
+    for kind, pattern in LOOSE:
         for m in pattern.finditer(text):
             a, b = m.span(m.lastindex or 0)
             if not any(x < b and a < y for x, y in taken):
@@ -100,31 +111,48 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     return out
 
 
+def plausible(kind: str, span: str, number: str) -> int:
+    """Whether the characters obey the rules of their kind: 1 yes, -1 no, 0 where there is no rule."""
+    if kind == "card":
+        ok = luhn(number)
+    elif kind == "phone":  # a national number has an area and an exchange that begin with 2 to 9
+        ok = 9 <= len(number) <= 15 if span[0] == "+" else number[0] > "1" and number[3] > "1"
+    elif kind == "id":
+        ok = number[:3] not in ("000", "666") and number[0] != "9" and number[3:5] != "00" and number[5:] != "0000"
+    elif kind == "secret":
+        ok = bool(number) and len(set(span)) >= 6 and not span.isdigit()
+    elif kind == "ip":  # four single digits are rather a version
+        ok = len(number) > 4
+    else:
+        return 0
+    return 1 if ok else -1
+
+
 def votes(text: str, kind: str, a: int, b: int, base: bool) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Votes of the labelers (1 yes, -1 no, 0 abstain) on a span, and its features for the classifier."""
     span, before, after = text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR]
-    number, words = digits(span), {w.lower() for w in WORD.findall(before + " " + after)}
-    if kind == "card":
-        check = 1 if luhn(number) else -1
-    elif kind in ("phone", "id"):
-        check = 1 if 9 <= len(number) <= 15 else -1
-    elif kind == "secret":
-        check = 1 if number and len(set(span)) >= 6 and not span.isalpha() else -1
+    check = plausible(kind, span, digits(span))
+    left = [w.lower() for w in WORD.findall(before)]
+    near = {*left, *(w.lower() for w in WORD.findall(after))}
+    cue, other = bool(near & CUES[kind]), bool(near & OTHERS)
+    last = next((w.lower() for w in reversed(WORD.findall(before[-BESIDE:]))), "")
+    context = 1 if last in CUES[kind] else -1 if last in OTHERS else 0
+    bare = span.isdigit()
+    if base or kind in ("email", "id") or span.startswith(KEY_PREFIXES):
+        shape = 1
     else:
-        check = 0
-    cue, other = bool(words & CUES), bool(words & OTHERS)
-    open_end = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-    shape = 1 if base else (1 if open_end and kind in ("secret", "id", "email") else 0)
-    variety = 1 if len(set(span)) >= 5 else -1
-    vote = (shape, check, 1 if cue else -1 if other else 0, 1 if open_end else -1, variety)
-    feature = (KINDS.index(kind), int(base), min(len(span) // 8, 4), int(cue), int(other), int(open_end), min(len(set(span)) // 3, 4))
+        shape = -1 if bare else int(kind == "secret" and context == 1)
+    edges = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
+    variety = len(set(span))
+    vote = (shape, check, int(cue) - int(other), context, 1 if edges else -1, 1 if variety >= 5 else -1)
+    feature = (KINDS.index(kind), int(base), min(len(span) // 8, 4), int(cue), int(other), int(edges), min(variety // 3, 4), check, context, shape)
     return vote, feature
 
 
 def design(features: np.ndarray) -> np.ndarray:
     """One column for each kind, then the other features scaled to about one."""
     kinds = np.eye(len(KINDS))[features[:, 0]]
-    return np.hstack([kinds, features[:, 1:] / np.array([1, 4, 1, 1, 1, 4])])
+    return np.hstack([kinds, features[:, 1:] / np.array([1, 4, 1, 1, 1, 4, 1, 1, 1])])
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -157,8 +185,8 @@ def train(docs: DataFrame) -> np.ndarray:
         return {"vote": [k[0] for k in keys], "feature": [k[1] for k in keys], "n": [c[k] for k in keys]}
 
     counts = map_slices(docs.select("text"), count, "vote array<int>, feature array<int>, n long", 1024)
-    rows = counts.groupBy("vote", "feature").agg(F.sum("n").alias("n")).orderBy("vote", "feature").collect()  # at most 3^5 votes by a few thousand features
-    width = len(KINDS) + 7
+    rows = counts.groupBy("vote", "feature").agg(F.sum("n").alias("n")).orderBy("vote", "feature").collect()  # bounded by the votes and features there are
+    width = len(KINDS) + 10
     if not rows:
         return np.zeros(width)
     pattern, feature, n = np.array([r.vote for r in rows]), np.array([r.feature for r in rows]), np.array([r.n for r in rows], float)
@@ -192,7 +220,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def detect(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """Counts and spans of every row of docs, in code points of its whole text.
 
-    A null or empty text has none. n_email to n_phone count base spans. Repeated rows and null doc_ids are rows of their
+    A null or empty text has none. n_email to n_phone count base spans, n_spans all of them. Repeated rows and null doc_ids are rows of their
     own; other columns are ignored; an empty table gives no rows.
     """
 
@@ -204,9 +232,10 @@ def detect(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             **{f"n_{k}": [c[k] for c in kinds] for k in BASE_KINDS},
             "base_sha256": [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got],
             "spans": [joined(every) for _, every in got],
+            "n_spans": [len(every) for _, every in got],
         }
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return map_slices(docs.select("doc_id", "text"), run, schema)
 
 
@@ -224,5 +253,9 @@ def mask(text: str | None, weights: np.ndarray) -> str | None:
 
 
 def masked(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs, in all its columns, with personal data in text masked."""
-    return replace_text(docs, "text", lambda texts: [mask(t, weights) for t in texts])
+    """docs, in all its columns, with personal data in text masked; n_chars, where docs have it, is of the masked text.
+
+    A null or empty text stays as it is; rows and their number stay; an empty table gives an empty one.
+    """
+    out = replace_text(docs, "text", lambda texts: [mask(t, weights) for t in texts])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
