@@ -7,7 +7,8 @@
 2. Nodes that agree on a band of the signature are candidates. A bucket is not expanded into pairs: its members are
    compared with a pivot. Members that end in other components than their bucket's pivot take further pivots. What is
    still apart after that meets the rest of its buckets in families, where only the differences from the family's common
-   shingles are compared (by_difference), so no candidate link between components is lost.
+   shingles are compared (by_difference), so no candidate link between components is lost. Buckets of one node, which
+   are nearly all of them, go before anything else is dealt by band.
 3. Candidates whose sketches agree far too little are dropped; the others are confirmed on the full sets.
 4. Links are grouped by union-find within partitions and star contraction across them.
 """
@@ -15,7 +16,7 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import join_small, map_slices, written
 
-M, BANDS, ROWS = 256, 40, 5
-#: Positions of 256 that agree by chance at similarity 0.8 in more than 205 +- 6: below 0.8 - SLACK no pair is close.
-SLACK = 0.16
-PIVOTS, REMEMBERED = 2, 100_000
+#: Values of a signature, and the probability that a pair at the threshold may miss every band.
+M, MISS = 256, 1.3e-7
+#: Standard deviations of the share of agreeing positions below which no pair at the threshold falls (about 1e-10).
+SIGMAS = 6.4
+#: Pivots of a bucket, words that a task remembers, links that union-find holds at once.
+PIVOTS, REMEMBERED, HELD = 2, 100_000, 1_000_000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -85,20 +88,36 @@ def super_minhash(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
-def bands_of(sig: np.ndarray) -> np.ndarray:
-    own = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), own.shape[:2])
-    for r in range(ROWS):
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and values in a band: the longest bands of which a pair at the threshold misses all with MISS at most."""
+    for rows in range(12, 0, -1):
+        miss = 1 - (percent / 100) ** rows
+        bands = 1 if not miss else math.ceil(math.log(MISS) / math.log(miss))
+        if bands * rows <= M:
+            return bands, rows
+    raise ValueError(f"no bands of {M} values find pairs at {percent} percent")
+
+
+def slack(percent: int) -> float:
+    """How far below the threshold the share of agreeing positions may fall."""
+    return SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / M)
+
+
+def bands_of(sig: np.ndarray, percent: int) -> np.ndarray:
+    bands, rows = layout(percent)
+    own = sig[:, : bands * rows].reshape(len(sig), bands, rows)
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), own.shape[:2])
+    for r in range(rows):
         out = mix(out + own[:, :, r]) * np.uint64(0xD1342543DE82EF95)
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     def run(seen, doc_id, text):
         sets = [shingle_set(t, size, seen) for t in text]
         full = [i for i, s in enumerate(sets) if len(s)]
         sig = super_minhash([sets[i] for i in full]) if full else np.empty((0, M), np.uint64)
-        bands, sketch = bands_of(sig), mix(sig).astype(np.uint8)
+        bands, sketch = bands_of(sig, percent), mix(sig).astype(np.uint8)
         place = dict(zip(full, range(len(full)), strict=True))
         return {
             "doc_id": doc_id,
@@ -135,15 +154,21 @@ def union_find(links: DataFrame) -> DataFrame:
                 parent[x] = x = parent[p]
             return x
 
+        def stars():
+            rows = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            for at in range(0, len(rows), 65_536):
+                v, u = zip(*rows[at : at + 65_536], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], names=["v", "u"])
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        rows = [(x, r) for x in list(parent) if (r := root(x)) != x]
-        for at in range(0, len(rows), 65_536):
-            v, u = zip(*rows[at : at + 65_536], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], names=["v", "u"])
+            if len(parent) > HELD:  # what is linked across such slices meets again in the contraction
+                yield from stars()
+                parent.clear()
+        yield from stars()
 
     return links.mapInArrow(run, "v long, u long")
 
@@ -172,7 +197,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
 
     def near(x, y, a, b):
         same = (np.frombuffer(b"".join(a), np.uint8) == np.frombuffer(b"".join(b), np.uint8)).reshape(-1, M).mean(1)
-        ok = np.flatnonzero(same >= percent / 100 - SLACK)
+        ok = np.flatnonzero(same >= percent / 100 - slack(percent))
         return {"x": [x[i] for i in ok], "y": [y[i] for i in ok]}
 
     sketch = lambda c, s: nodes.select(F.col("node").alias(c), F.col("sketch").alias(s))
@@ -232,38 +257,55 @@ def by_difference(rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     return star.unionByName(near.select("x", "y", "nx", "ny"))
 
 
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """band, node and n of all buckets that hold two nodes or more."""
+    rows = nodes.select(F.explode("bands").alias("band"), "node", "n")
+    several = written(nodes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band"), "several")
+    return written(join_small(rows, several, "band", "left_semi"), "buckets")
+
+
+def pivots_of(rows: DataFrame, order: int) -> DataFrame:
+    """A node of each bucket, chosen by a hash: band, y, ny, cy."""
+    p = F.min(F.struct(F.xxhash64("node", F.lit(order)).alias("o"), "node", "n", "comp"))
+    return rows.groupBy("band").agg(p.alias("p")).select("band", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.comp").alias("cy"))
+
+
 def link(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(node, comp) of all nodes with a link; None where nothing is linked."""
+    """(node, comp) of all nodes with a link; None where nothing is linked.
+
+    The first turn holds every bucket against its first pivot; each later one takes what is still apart from it.
+    """
     close = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    links: list[DataFrame] = []
-    labels = None
+    buckets = shared_bands(nodes)
+    labels = firsts = None
     for turn in range(PIVOTS + 1):
-        own = nodes.select("node", "n", "bands")
         if labels is None:
-            own = own.withColumn("comp", F.col("node"))
+            rows = buckets.withColumn("comp", F.col("node"))
         else:
-            own = own.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rows = own.select(F.explode("bands").alias("band"), "node", "n", "comp")
-        main = F.struct(F.xxhash64("node", F.lit(0)).alias("o"), "node", "n", "comp")
-        if turn:  # buckets that still hold several components; what is apart from the first pivot's
-            buckets = rows.groupBy("band").agg(F.min(main).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
-            buckets = buckets.filter("lo <> hi AND size > 2").select("band", F.col("p.node").alias("first"), F.col("p.comp").alias("main"))
-            rows = written(rows.join(buckets, "band"), "apart")
-            apart = rows.filter("comp <> main")
+            rows = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if firsts is None:
+            firsts = written(pivots_of(rows, 0), "pivots")
+            pivots = firsts
+        else:  # buckets that still hold several components; what is apart from the first pivot's
+            rows = written(rows, "labelled")
+            mixed = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi AND size > 2").select("band")
+            owner = firsts.select("band", F.col("y").alias("node")).join(mixed, "band").join(rows.select("band", "node", "comp"), ["band", "node"])
+            owner = written(owner.select("band", F.col("node").alias("first"), F.col("comp").alias("main")), "mixed")
+            rows = written(join_small(rows, owner, "band", "inner"), "apart")
+            pivots = written(pivots_of(rows.filter("comp <> main"), turn), "pivots")
         if turn == PIVOTS:
             pairs = by_difference(rows, nodes, docs, size, percent)
         else:
-            pivots = (apart if turn else rows).groupBy("band").agg(F.min(main if not turn else F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp")).alias("p"), F.count(F.lit(1)).alias("size"))
-            pivots = pivots.filter("size > 1" if not turn else "size > 0").select("band", F.col("p.node").alias("y"), F.col("p.n").alias("ny"), F.col("p.comp").alias("cy"))
             members = rows.filter("node <> first") if turn else rows  # the first pivot has met all of its bucket
-            pairs = members.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")).join(pivots, "band").filter("cx <> cy")
+            members = members.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+            pairs = join_small(members, pivots, "band", "inner").filter("cx <> cy")
         pairs = written(pairs.filter(close).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
         if not pairs.limit(1).count():
             continue
-        links.append(written(confirmed(pairs, nodes, docs, size, percent), "confirmed"))
-        every = reduce(DataFrame.unionByName, links)
-        if every.limit(1).count():
-            labels = written(components(every), "labels")
+        new = written(confirmed(pairs, nodes, docs, size, percent), "confirmed")
+        if new.limit(1).count():
+            known = new if labels is None else new.unionByName(labels.filter("node <> comp").select(F.col("node").alias("x"), F.col("comp").alias("y")))
+            labels = written(components(known), "labels")
     return labels
 
 
@@ -276,9 +318,11 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     that repeat a doc_id get equal results for equal texts. Rows without a doc_id are their own component (null) and
     kept. Sets count as equal if their 64-bit hashes are. Other columns are ignored; an empty table gives no rows.
 
-    A pair at exactly the threshold misses every band with a probability of about (1 - 0.8^5)^40, 1.3e-7.
+    A pair at exactly the threshold misses every band with a probability of at most MISS, and the sketch filter with one
+    of about 1e-10. At 80 percent a signature has 40 bands of 5 values; below about 25 percent no bands reach that (an
+    error).
     """
-    features = written(signatures(docs, size), "signatures")
+    features = written(signatures(docs, size, percent), "signatures")
     named = features.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = written(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     labels = link(nodes, docs, size, percent)
@@ -287,7 +331,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         joined = written(least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
         roots = joined.groupBy("comp").agg(F.min("doc_id").alias("component"))
         least = joined.join(roots, "comp").select("node", F.col("component").alias("doc_id"))
-    out = features.select("doc_id", "n", "node").join(least.withColumnRenamed("doc_id", "component"), "node", "left")
+    own = features.select("doc_id", "n", "node")
+    out = own.filter("node IS NOT NULL").join(least.withColumnRenamed("doc_id", "component"), "node", "left")
+    out = out.unionByName(own.filter("node IS NULL").withColumn("component", F.lit(None).cast("long")))  # no key to meet in
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -296,10 +342,17 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, in all their columns, without those that another document of their group stands for.
 
-    A doc_id goes if none of its rows is kept.
+    A doc_id goes if none of its rows is kept. Of rows with equal doc_id and text one stays. Null and empty texts, and
+    rows without a doc_id, stay; texts are compared whole; an empty table gives an empty one.
     """
-    gone = groups(docs, size, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
-    return join_small(docs, written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    each = groups(docs, size, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    known = written(each.filter("NOT kept OR n > 1"), "known")
+    gone, twice = known.filter("NOT kept").select("doc_id"), known.filter("kept").select("doc_id")
+    out = join_small(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    if not twice.limit(1).count():
+        return out
+    again = join_small(out, twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return join_small(out, twice, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
