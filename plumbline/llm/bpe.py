@@ -209,7 +209,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: n_tokens, sha256 of the ids (little-endian unsigned 32-bit) and of the decoded text."""
+    """Per document: n_tokens, sha256 of the ids (little-endian unsigned 32-bit) and of the decoded text.
+
+    A null or empty text has no tokens and decodes to an empty one. Special tokens that a text spells out become their
+    ids. Texts are encoded whole; rows are kept one for one, repeated or null doc_ids included; other columns are ignored.
+    """
 
     def run(doc_id, text):
         bpe = load(path)

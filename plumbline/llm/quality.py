@@ -104,5 +104,9 @@ def rate(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, in all their columns, that the rules keep."""
+    """The rows of docs, in all their columns, that the rules keep.
+
+    Null and empty texts, and those of fewer than MIN_WORDS words, go; repeated rows share their fate; long texts are
+    measured whole; an empty table gives an empty one.
+    """
     return keep_rows(docs, "text", lambda texts: [measure(t)[6] for t in texts])
