@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality rules, toxicity, near duplicates, personal data, packing."""
+"""A corpus pipeline: quality rules, toxicity, near duplicates, personal data, packing.
+
+Every stage takes whole texts and any further columns. Rows that repeat are rows of their own until near duplicates, where
+one of each stays. Null and empty texts go with the quality rules; a stage that meets them all the same (called by itself)
+keeps them as texts without words. An empty table passes every stage as an empty one. Null doc_ids stay.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +15,34 @@ from plumbline.llm.common import table, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: 50 words or more, little repetition, few symbols; null and empty texts go."""
     return quality.accepted(docs)
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic, by a model of the labels outside the held-out rows."""
+    """Documents that are not predicted toxic, by a model of the labels outside the held-out rows.
+
+    Without labels of both classes nothing is toxic. Null and empty texts have no evidence and stay.
+    """
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
     return toxicity.accepted(docs, toxicity.fit(docs, labels))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (shingles of five words, similarity 0.8)."""
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8), that of the least doc_id.
+
+    Texts without words are like no other and stay; of rows with equal doc_id and text one stays.
+    """
     return neardup.deduplicated(docs, size=5, percent=80)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
+    """Documents with personal data masked, and n_chars of the masked text; every row stays."""
     return pii.masked(docs, pii.train(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of at most 4096 tokens."""
+    """The place of every piece of every document in sequences of at most 4096 tokens; an empty text is its end token."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
