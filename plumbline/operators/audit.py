@@ -52,6 +52,17 @@ def digest(df: DataFrame, group: Columns, parts: Sequence[Column], to: str = "di
     return df.groupBy(*group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias(to))
 
 
+def split_digest(df: DataFrame, group: Columns, parts: Sequence[Column], buckets: int, to: str = "digest") -> DataFrame:
+    """sha256 of a group's rows that no task has to hold together: of the digests of its buckets, in order.
+
+    Rows are dealt by a hash of their text, so equal multisets of rows have equal digests.
+    """
+    line = F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))
+    rows = df.select(*group, line.alias("_l")).withColumn("_k", F.pmod(F.xxhash64("_l"), F.lit(buckets)))
+    each = digest(rows, [*group, "_k"], [F.col("_l")], "_d")
+    return digest(each, group, [F.col("_k"), F.col("_d")], to)
+
+
 def covering(have: DataFrame, need: DataFrame, group: Columns, owner: str, item: str) -> DataFrame:
     """Relational division: the owners that have every item that a group needs."""
     wanted = need.select(*group, item).distinct()
@@ -60,6 +71,45 @@ def covering(have: DataFrame, need: DataFrame, group: Columns, owner: str, item:
     return hits.join(size, list(group)).filter("_hit = _size").select(*group, owner)
 
 
+def covering_roles(have: DataFrame, need: DataFrame, group: Columns, owner: str, item: str, role: str, label: str) -> DataFrame:
+    """The owners at which every item that a group needs takes a role of its own.
+
+    An item that has one role at an owner takes it whatever its label says; of several it takes the one of its label.
+    """
+    cap = have.select(owner, item, role).distinct()
+    sole = cap.groupBy(owner, item).agg(F.count(F.lit(1)).alias("_n"), F.min(role).alias("_sole"))
+    rows = need.select(*group, item, label).join(sole, item)
+    told = cap.select(owner, item, F.col(role).alias(label), F.lit(True).alias("_has"))
+    rows = rows.join(told, [owner, item, label], "left")
+    taken = F.when(F.col("_n") == 1, F.col("_sole")).when(F.col("_has"), F.col(label))
+    size = need.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    roles = rows.groupBy(*group, owner).agg(F.countDistinct(taken).alias("_roles"))
+    return roles.join(size, list(group)).filter("_roles = _size").select(*group, owner)
+
+
+def waived(found: DataFrame, waivers: DataFrame, key: Columns, source: str, scope: str) -> DataFrame:
+    """found with state: waived where a waiver of its key has a scope that begins its source, else open."""
+    hit = found.join(waivers.select(*key, scope).distinct(), list(key)).filter(F.col(source).startswith(F.col(scope)))
+    hit = hit.select(*key, source).distinct().withColumn("_w", F.lit(True))
+    return found.join(hit, [*key, source], "left").withColumn("state", F.when(F.col("_w"), "waived").otherwise("open")).drop("_w")
+
+
+def stale(waivers: DataFrame, found: DataFrame, key: Columns, scope: str, source: str) -> DataFrame:
+    """Waivers for which nothing of their key is found in a source that contains their scope."""
+    used = waivers.join(found.select(*key, source).distinct(), list(key)).filter(F.col(source).contains(F.col(scope)))
+    return waivers.join(used.select(*key, scope).distinct(), [*key, scope], "left_anti")
+
+
+def refreshed(old: DataFrame, new: DataFrame, key: Columns) -> DataFrame:
+    """New rows replace old ones of their key, other old ones stay; `moved` names the fields that differ."""
+    fields = [c for c in old.columns if c not in key]
+    fresh = new.select(*key, *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_new"))
+    out = old.join(fresh, list(key), "full")
+    known = F.coalesce("_new", F.lit(False))
+    moved = F.array_compact(F.array(*(F.when(known & ~F.col(c).eqNullSafe(F.col(f"_{c}")), c) for c in fields)))
+    return out.select(*key, *(F.when(known, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fields), F.array_join(moved, ",").alias("moved"))
+
+
 def common_choice(have: DataFrame, need: DataFrame, group: Columns, owner: str, item: str) -> DataFrame:
     """For each group the least owner common to its items; items that nobody has don't count; null if none is common."""
     wanted = need.select(*group, item).distinct().join(have.select(item).distinct(), item, "left_semi")
@@ -77,19 +127,18 @@ def against_limit(counts: DataFrame, limit: Column) -> DataFrame:
     return counts.withColumn("state", F.when(limit.isNull(), None).when(F.col("n") > limit, "over").when(F.col("n") == limit, "full").otherwise("open"))
 
 
-def greedy(df: DataFrame, group: Columns, order: str, item: str, options: str) -> DataFrame:
-    """In order, each item of a group takes its first option that is still free; null where none is.
-
-    A fold over the group's sorted items; options is an array column. Groups are small (pins of a part, lines of an order).
-    """
-    rows = F.sort_array(F.collect_list(F.struct(order, item, options)))
-    empty = F.array().cast("array<struct<item:bigint,taken:bigint>>")
+def lacking(columns: Sequence[str], df: DataFrame) -> Column:
+    """The names of the required columns that a row lacks (null, or empty text), joined."""
+    empty = lambda c: F.col(c).isNull() | (F.trim(c) == "") if dict(df.dtypes)[c] == "string" else F.col(c).isNull()
+    return F.array_join(F.array_compact(F.array(*(F.when(empty(c), c) for c in columns))), ",")
 
-    def step(acc: Column, r: Column) -> Column:
-        free = F.filter(r[options], lambda o: ~F.exists(acc, lambda t: t["taken"].eqNullSafe(o)))
-        return F.concat(acc, F.array(F.struct(r[item].cast("long").alias("item"), F.get(free, F.lit(0)).cast("long").alias("taken"))))
 
-    return df.groupBy(*group).agg(F.aggregate(rows, empty, step).alias("_p")).select(*group, F.explode("_p").alias("_p")).select(*group, "_p.item", "_p.taken")
+def required(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """df, if every row has the required columns; a ValueError that names the first rows without them otherwise."""
+    bad = df.withColumn("_missing", lacking(columns, df)).filter("_missing <> ''").select(key, "_missing").orderBy(key).limit(5).collect()
+    if bad:
+        raise ValueError("required fields are missing: " + "; ".join(f"{r[0]}: {r[1]}" for r in bad))
+    return df
 
 
 def missing_members(df: DataFrame, group: Columns, member: str, required: Sequence[str]) -> DataFrame:

@@ -68,3 +68,16 @@ def overlap_share(a: str, b: str) -> Column:
     """Overlap of two spans along y as a share of the shorter."""
     shared = F.least(F.col(f"{a}y1"), F.col(f"{b}y1")) - F.greatest(F.col(f"{a}y0"), F.col(f"{b}y0"))
     return F.greatest(F.lit(0.0), shared) / F.least(F.col(f"{a}y1") - F.col(f"{a}y0"), F.col(f"{b}y1") - F.col(f"{b}y0"))
+
+
+def in_spans(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str) -> DataFrame:
+    """Points with the anchor (span_<at>) of the half-open span (lo, hi) that holds them; spans of a group don't overlap.
+
+    Points and spans are sorted together, and each point looks at the last span that began: no range join, whatever the
+    widths.
+    """
+    a = spans.select(*on, F.col("lo").alias("_x"), F.lit(0).alias("_k"), F.struct(F.col(at).alias("a"), "hi").alias("_s"))
+    b = points.select(*on, F.col(at).alias("_x"), F.lit(1).alias("_k"), F.struct(*points.columns).alias("_p"))
+    w = Window.partitionBy(*on).orderBy("_x", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w))
+    return both.filter((F.col("_k") == 1) & (F.col("_x") < F.col("_s.hi"))).select("_p.*", F.col("_s.a").alias(f"span_{at}"))

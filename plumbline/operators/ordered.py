@@ -89,11 +89,15 @@ def runner_up(df: DataFrame, group: Columns, distance: str, tie: str, ratio: flo
     return out.withColumn("decided", F.col("second").isNull() | (F.col("second") >= ratio * F.col(distance)))
 
 
-def midpoint_spans(df: DataFrame, group: Columns, at: str, half: float) -> DataFrame:
-    """Half-open spans that meet midway between neighbouring anchors; the outer ends lie `half` away."""
+def midpoint_spans(df: DataFrame, group: Columns, at: str, single: float) -> DataFrame:
+    """Half-open spans that meet midway between neighbouring anchors; the outer ends lie half the median distance away, and
+    half of `single` around an anchor that is alone."""
     w = within(group, [at])
     a = F.col(at)
-    return df.withColumn("lo", F.coalesce((F.lag(at).over(w) + a) / 2, a - half)).withColumn("hi", F.coalesce((F.lead(at).over(w) + a) / 2, a + half))
+    gaps = df.withColumn("_g", a - F.lag(at).over(w)).groupBy(*group).agg(F.median("_g").alias("_p"))
+    half = F.coalesce("_p", F.lit(single)) / 2
+    out = df.join(gaps, list(group))
+    return out.withColumn("lo", F.coalesce((F.lag(at).over(w) + a) / 2, a - half)).withColumn("hi", F.coalesce((F.lead(at).over(w) + a) / 2, a + half)).drop("_p")
 
 
 def hole_slots(df: DataFrame, group: Columns, at: str, pitch: float) -> DataFrame:
@@ -104,11 +108,35 @@ def hole_slots(df: DataFrame, group: Columns, at: str, pitch: float) -> DataFram
     return d.select(*group, F.explode(F.transform(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: F.col(at) + i * pitch)).alias("slot"))
 
 
-def run_to_break(df: DataFrame, group: Columns, order: Columns, gap: str, most: float) -> DataFrame:
-    """The leading rows of each group before the first gap above most."""
-    w = within(group, order).rowsBetween(Window.unboundedPreceding, 0)
-    broken = F.max((F.coalesce(F.col(gap), F.lit(0.0)) > most).cast("int")).over(w)
-    return df.withColumn("_b", broken).filter("_b = 0").drop("_b")
+def run_to_break(df: DataFrame, group: Columns, order: Columns, at: str, best: Column, most: float) -> DataFrame:
+    """The rows of each group that a walk outward from its best row, both ways, reaches before a step above most.
+
+    best holds for one row of a group; a group without one keeps nothing.
+    """
+    w = within(group, order)
+    step = F.coalesce((F.col(at) - F.lag(at).over(w) > most).cast("int"), F.lit(0))
+    run = df.withColumn("_b", best).withColumn("_s", step).withColumn("_run", F.sum("_s").over(w))
+    own = F.max(F.when(F.col("_b"), F.col("_run"))).over(Window.partitionBy(*group))
+    return run.withColumn("_own", own).filter("_run = _own").drop("_b", "_s", "_run", "_own")
+
+
+def thinned(df: DataFrame, group: Columns, at: str, least: float) -> DataFrame:
+    """Positions at least `least` from the one kept before them (what is dropped anchors nothing).
+
+    A gap of `least` or more parts what can influence each other, so the fold runs within such clusters of distinct
+    positions; it keeps the last kept position and a mark for each row.
+    """
+    each = df.select(*group, F.col(at).cast("double").alias(at)).filter(F.col(at).isNotNull()).distinct()
+    w = within(group, [at])
+    parted = each.withColumn("_new", F.coalesce((F.col(at) - F.lag(at).over(w) >= least).cast("int"), F.lit(1))).withColumn("_c", F.sum("_new").over(w))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        keep = acc["last"].isNull() | (x - acc["last"] >= least)
+        return F.struct(F.when(keep, x).otherwise(acc["last"]).alias("last"), F.when(keep, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
+
+    kept = F.aggregate(F.sort_array(F.collect_list(at)), start, step)["kept"]
+    return parted.groupBy(*group, "_c").agg(kept.alias("_k")).select(*group, F.explode("_k").alias(at))
 
 
 def thinned(df: DataFrame, group: Columns, at: str, least: float) -> DataFrame:
@@ -129,9 +157,53 @@ def numbered(df: DataFrame, group: Columns, order: Columns, eligible: Column, ce
     return d.withColumn(to, F.when(ok, F.col("_n")).otherwise(-1)).withColumn("reason", reason).drop("_e", "_n")
 
 
-def stitched(df: DataFrame, group: Columns, order: str, token: str, stop: Column) -> DataFrame:
-    """Join consecutive tokens up to and including the next one at which stop holds."""
-    w = within(group, [order])
-    chain = F.coalesce(F.sum(stop.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    items = F.sort_array(F.collect_list(F.struct(order, token)))
-    return df.withColumn("chain", chain).groupBy(*group, "chain").agg(F.array_join(F.transform(items, lambda s: s[token]), "").alias("joined"), F.count(F.lit(1)).alias("pieces"))
+def stitched(df: DataFrame, group: Columns, at: str, end: str, tie: str, token: str, reach: float, stop: Column) -> DataFrame:
+    """Join tokens of a line to their right neighbour while it begins within reach, up to and including one at which stop holds.
+
+    Each chain has its tokens joined, the number of pieces, and the box from the first piece's begin to the last one's end.
+    """
+    w = within(group, [at, tie])
+    broken = (F.col(at) - F.lag(end).over(w) > reach) | F.lag("_stop").over(w)
+    chained = df.withColumn("_stop", stop).withColumn("_new", F.coalesce(broken.cast("int"), F.lit(0))).withColumn("chain", F.sum("_new").over(w))
+    items = F.sort_array(F.collect_list(F.struct(at, tie, token)))
+    return chained.groupBy(*group, "chain").agg(F.array_join(F.transform(items, lambda s: s[token]), "").alias("joined"), F.count(F.lit(1)).alias("pieces"), F.min(at).alias("x0"), F.max(end).alias("x1"))
+
+
+def adopted(edge: DataFrame, spare: DataFrame, group: Columns, at: str, across: str, key: str, least: float, width: float, share: float) -> DataFrame:
+    """Rows of spare that fill the holes of an edge: group, slot, key.
+
+    The pitch of an edge of three rows or more is its least distance above `least`; a distance of n pitches between
+    neighbours has n - 1 slots. A slot takes the nearest spare row (then the least key) within share of a pitch that lies
+    no more than width off the edge's median; a spare row goes to its first slot. Slots of a pitch lie further apart than
+    twice that share, so no spare row is wanted by two of them.
+    """
+    own = within(group, [at, key])
+    gaps = edge.withColumn("_n", F.lead(at).over(own) - F.col(at))
+    shape = gaps.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"), F.min(F.when(F.col("_n") > least, F.col("_n"))).alias("_p"), F.median(across).alias("_a")).filter("_rows >= 3 AND _p IS NOT NULL")
+    holes = gaps.join(shape, list(group)).withColumn("_k", F.bround(F.col("_n") / F.col("_p"), 0).cast("int")).filter("_k > 1")
+    slots = holes.select(*group, "_p", "_a", F.explode(F.transform(F.sequence(F.lit(1), F.col("_k") - 1), lambda i: F.col(at) + i * F.col("_p"))).alias("slot"))
+    # both sides in buckets of the group's own pitch
+    wanted = slots.withColumn("_b", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("slot") / F.col("_p")) + i)))
+    offered = spare.select(*group, key, F.col(at).alias("_at"), F.col(across).alias("_off")).join(shape.select(*group, F.col("_p").alias("_q")), list(group)).withColumn("_b", F.floor(F.col("_at") / F.col("_q"))).drop("_q")
+    d = F.abs(F.col("_at") - F.col("slot"))
+    near = wanted.join(offered, [*group, "_b"]).filter((d <= F.col("_p") * share) & (F.abs(F.col("_off") - F.col("_a")) <= width)).withColumn("_d", d)
+    best = first_by(near, [*group, "slot"], ["_d", key])
+    return first_by(best, [*group, key], ["slot"]).select(*group, "slot", key)
+
+
+def peeled(df: DataFrame, group: Columns, at: str, tie: str, tolerances: Sequence[float], least: int) -> DataFrame:
+    """Rows of the largest gap cluster of each group, taken away round by round, with their round from 1.
+
+    There is a round for each tolerance; a cluster of fewer than `least` rows is not taken. The lowest wins on ties. All
+    groups take their round at once.
+    """
+    rest, taken = df, None
+    for k, tolerance in enumerate(tolerances, 1):
+        own = gap_clusters(rest, group, at, tie, tolerance, "_c")
+        sizes = own.groupBy(*group, "_c").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo")).filter(F.col("_n") >= least)
+        best = first_by(sizes, group, [F.desc("_n"), "_lo"]).select(*group, "_c", F.lit(True).alias("_best"))
+        marked = own.join(best, [*group, "_c"], "left")
+        hit = marked.filter("_best").drop("_c", "_best").withColumn("round", F.lit(k))
+        taken = hit if taken is None else taken.unionByName(hit)
+        rest = marked.filter("_best IS NULL").drop("_c", "_best")
+    return taken

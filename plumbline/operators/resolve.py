@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def first_match(value: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -21,6 +25,51 @@ def first_group(value: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(value, pattern, group), F.lit(""))
 
 
+def groups_of(pattern: str) -> int:
+    """The number of capture groups of a pattern."""
+    return re.compile(pattern).groups
+
+
+def validated(rules: Sequence[tuple[str, str]]) -> Sequence[tuple[str, str]]:
+    """The rules, if every one is a pattern that compiles and a role, and no pattern stands twice; a ValueError otherwise."""
+    for pattern, role in rules:
+        if not role:
+            raise ValueError(f"the rule {pattern} has no role")
+        try:
+            groups_of(pattern)
+        except re.error as e:
+            raise ValueError(f"the rule {pattern} is no pattern: {e}") from e
+    if len({p for p, _ in rules}) < len(rules):
+        raise ValueError("a pattern stands twice; its second rule can't match")
+    return rules
+
+
+def classified(value: Column, rules: Sequence[tuple[str, str]], aliases: dict[str, str] | None = None) -> Column:
+    """role, idx and sub by the first rule that matches: of its groups, idx is the first of digits and sub the first other
+    one, folded by aliases. Null fields where nothing matches or a group is empty."""
+    none = F.struct(*(F.lit(None).cast("string").alias(c) for c in ("role", "idx", "sub")))
+    out = None
+    for pattern, role in validated(rules):
+        groups = [F.regexp_extract(value, pattern, i + 1) for i in range(groups_of(pattern))]
+        first = lambda shape, groups=groups: F.coalesce(*(F.when(g.rlike(shape), g) for g in groups), F.lit(None).cast("string"))
+        sub = first("[^0-9]")
+        for a, to in (aliases or {}).items():
+            sub = F.when(first("[^0-9]") == a, F.lit(to)).otherwise(sub)
+        row = F.struct(F.lit(role).alias("role"), first("^[0-9]+$").alias("idx"), sub.alias("sub"))
+        out = F.when(value.rlike(pattern), row) if out is None else out.when(value.rlike(pattern), row)
+    return none if out is None else out.otherwise(none)
+
+
+def family_folded(value: Column, families: Sequence[tuple[str, str]]) -> Column:
+    """The first family whose name begins value before a separator is replaced; others stay as they are."""
+    out = None
+    for name, to in families:
+        hit = value.rlike(f"^{name}(?=[_-])")
+        new = F.regexp_replace(value, f"^{name}(?=[_-])", to)
+        out = F.when(hit, new) if out is None else out.when(hit, new)
+    return value if out is None else out.otherwise(value)
+
+
 def normalised(value: Column, folds: Sequence[tuple[str, str]]) -> Column:
     """Upper case, trimmed, with replacements in order."""
     out = F.upper(F.trim(value))
@@ -40,12 +89,19 @@ def hamming_one(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     return masked(left, a).join(masked(right, b), "_k").filter(F.col(a) != F.col(b)).select(a, b).distinct()
 
 
-def wildcard(left: DataFrame, right: DataFrame, a: str, b: str, block: int, any_char: str = "x") -> DataFrame:
-    """Pairs of codes of equal length whose characters agree where neither has the wildcard; the first `block` must be equal."""
-    one = left.withColumn("_k", F.substring(a, 1, block)).withColumn("_n", F.length(a))
-    two = right.withColumn("_k", F.substring(b, 1, block)).withColumn("_n", F.length(b))
-    agree = F.forall(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y) | (x == any_char) | (y == any_char)), lambda ok: ok)
-    return one.join(two, ["_k", "_n"]).filter(agree).drop("_k", "_n")
+def wildcard(left: DataFrame, right: DataFrame, a: str, b: str, any_char: str = "x") -> DataFrame:
+    """Pairs of distinct codes of equal length whose characters agree wherever neither has the wildcard.
+
+    Codes are told apart by their masks (length and places of wildcards), of which there are few. For every two masks of
+    a length the codes meet by equi-join on the characters that both fix.
+    """
+    mask = lambda c: F.concat_ws(",", F.length(c).cast("string"), F.array_join(F.filter(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.when(F.substr(F.col(c), i, F.lit(1)) == any_char, i)), lambda i: i.isNotNull()).cast("array<string>"), ","))
+    one, two = (df.filter(F.length(c) > 0).select(c).distinct().withColumn("_m", mask(c)).withColumn("_n", F.length(c)) for df, c in ((left, a), (right, b)))
+    masks = lambda df, name: df.select("_n", F.col("_m").alias(name)).distinct()
+    key = lambda c, other: F.array_join(F.zip_with(F.split(c, ""), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array_contains(F.slice(F.split(other, ","), 2, 1 << 20), i.cast("string"))), lambda x, w: F.when(w | (x == any_char), F.lit("\u0000")).otherwise(x)), "")
+    one = one.join(masks(two, "_o"), "_n").select(a, F.col("_m").alias("_ma"), F.col("_o").alias("_mb"), key(a, "_o").alias("_k"))
+    two = two.join(masks(one.select(F.col("_ma").alias("_m"), F.length(a).alias("_n")), "_o"), "_n").select(b, F.col("_o").alias("_ma"), F.col("_m").alias("_mb"), key(b, "_o").alias("_k"))
+    return one.join(two, ["_ma", "_mb", "_k"]).select(a, b)
 
 
 def longest_prefix(tokens: DataFrame, names: DataFrame, token: str, name: str, least: int) -> DataFrame:
@@ -57,32 +113,107 @@ def longest_prefix(tokens: DataFrame, names: DataFrame, token: str, name: str, l
     return hits.groupBy(*tokens.columns).agg(F.max_by(name, F.length(name)).alias(name))
 
 
-def folded(names: DataFrame, block: str, name: str) -> DataFrame:
-    """Each name with its host: the longest other name of its block that contains it and is itself in no other; null if none."""
-    a = names.select(block, name).distinct()
-    b = a.select(block, F.col(name).alias("_host"))
-    inside = a.join(b, block).filter((F.length("_host") > F.length(name)) & F.col("_host").contains(F.col(name)))
-    top = inside.join(inside.select(block, F.col(name).alias("_host")).distinct(), [block, "_host"], "left_anti")
-    best = top.withColumn("_r", F.row_number().over(Window.partitionBy(block, name).orderBy(F.desc(F.length("_host")), "_host"))).filter("_r = 1")
-    return a.join(best.select(block, name, F.col("_host").alias("host")), [block, name], "left")
+def host_pieces(names: DataFrame, block: str, name: str, more: Sequence[Column] = ()) -> DataFrame:
+    """Every piece of every name (block, name, *more) as long as a shorter name of the block: block, _host, name, *more.
+
+    Containment becomes an equi-join of names with these pieces.
+    """
+    lengths = names.groupBy(block).agg(F.collect_set(F.length(name)).alias("_ls"))  # as many as names have lengths
+    sizes = F.filter("_ls", lambda n: (n > 0) & (n < F.length("_host")))
+    pieces = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("_host") - n + 1), lambda i: F.substr(F.col("_host"), i, n))))
+    hosts = names.select(block, F.col(name).alias("_host"), *more).join(lengths, block)
+    return hosts.withColumn(name, F.explode(F.array_distinct(pieces))).drop("_ls")
+
+
+def merged_into_hosts(names: DataFrame, block: str, name: str, mark: str, number: str, confidence: str) -> DataFrame:
+    """names (block, name, mark, number, confidence), folded into hosts: a longer name of the block that contains theirs, with an
+    equal mark unless they have none, itself in no other; the longest, then the first. Numbers add up, confidence is the
+    highest."""
+    pieces = host_pieces(names.select(block, name, mark).distinct(), block, name, [F.col(mark).alias("_mark")])
+    a = names.select(block, name, mark)
+    inside = a.join(pieces, [block, name]).filter(F.col(mark).isNull() | (F.col(mark) == F.col("_mark")))
+    own = inside.select(block, F.col(name).alias("_in"), F.col(mark).alias("_in_mark")).distinct()
+    top = inside.join(own, (inside[block] == own[block]) & (inside["_host"] == own["_in"]) & inside["_mark"].eqNullSafe(own["_in_mark"]), "left_anti")
+    order = Window.partitionBy(block, name, mark).orderBy(F.desc(F.length("_host")), "_host", F.asc_nulls_first("_mark"))
+    best = top.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(F.col(block).alias("_b"), F.col(name).alias("_n"), F.col(mark).alias("_m"), "_host", "_mark")
+    out = names.join(best, (names[block] == best["_b"]) & (names[name] == best["_n"]) & names[mark].eqNullSafe(best["_m"]), "left")
+    to = F.when(F.col("_host").isNull(), F.col(mark)).otherwise(F.col("_mark"))
+    return out.groupBy(block, F.coalesce("_host", name).alias(name), to.alias(mark)).agg(F.sum(number).alias(number), F.max(confidence).alias(confidence))
+
+
+def laddered(codes: DataFrame, names: DataFrame, code: str, name: str, family: int, any_char: str) -> DataFrame:
+    """code, target and rung for each code that a name answers: the name itself (1); for a code without the wildcard behind
+    its `family` characters, the only name of its family (2); for one with it, the only name of its family that fits (3)."""
+    fam = lambda c: F.substring(c, 1, family)
+    exact = codes.join(names, codes[code] == names[name]).select(code, F.col(name).alias("target"), F.lit(1).alias("rung"))
+    loose = F.expr(f"substr({code}, {family + 1})").contains(any_char)
+    rest = codes.join(exact, code, "left_anti")
+    only = names.groupBy(fam(name).alias("_f")).agg(F.min(name).alias("target"), F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    sibling = rest.filter(~loose).withColumn("_f", fam(code)).join(only, "_f").select(code, "target", F.lit(2).alias("rung"))
+    # a letter that stands for itself in a name must not pass as a wildcard
+    shield = lambda c: F.translate(F.col(c), any_char, "\u0001")
+    whole = names.select(name, shield(name).alias("_s"))
+    marked = rest.filter(loose).select(code, F.concat(F.translate(fam(code), any_char, "\u0001"), F.expr(f"substr({code}, {family + 1})")).alias("_c"))
+    fits = wildcard(marked.select("_c"), whole.select("_s"), "_c", "_s", any_char).join(marked, "_c").join(whole, "_s").select(code, name)
+    third = fits.groupBy(code).agg(F.min(name).alias("target"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(code, "target", F.lit(3).alias("rung"))
+    return exact.unionByName(sibling).unionByName(third)
+
+
+def sharing_letters(left: DataFrame, right: DataFrame, a: str, b: str, least: float, mean: bool) -> DataFrame:
+    """Pairs of distinct names that may reach a similarity of `least`; none that reaches it is missing.
+
+    Similarity is 1 - edits / the longer length (mean false), or twice the matched letters / the sum of lengths (mean
+    true). Either way the names share so many letters, as bags, that both have one of them among their rarest ones but as
+    many as may be missing (prefix filter), and their lengths lie in a band. Letters are ranked by how many names hold
+    them.
+    """
+    two = right.select(F.col(b)).filter(F.length(b) > 0).distinct()
+    one = left.select(F.col(a)).filter(F.length(a) > 0).distinct()
+    shrink = least / (2 - least) if mean else least  # the shorter name's least share of the longer
+
+    def letters(df: DataFrame, c: str) -> DataFrame:
+        chars = F.filter(F.split(c, ""), lambda x: x != "")
+        numbered = F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+        return df.withColumn("_l", F.explode(numbered))
+
+    l1, l2 = letters(one, a), letters(two, b)
+    often = l1.select("_l").unionByName(l2.select("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("_f"))
+
+    def prefix(df: DataFrame, c: str) -> DataFrame:
+        n = F.length(c)
+        need = F.ceil(least * n * ((1 + shrink) / 2 if mean else 1.0) - 1e-9)
+        rows = df.join(often, "_l").groupBy(c).agg(F.sort_array(F.collect_list(F.struct("_f", "_l"))).alias("_s"))
+        return rows.select(c, F.explode(F.slice("_s", F.lit(1), F.greatest(n - need + 1, F.lit(1)).cast("int"))["_l"]).alias("_l"))
+
+    band = F.least(F.length(a), F.length(b)) >= F.ceil(shrink * F.greatest(F.length(a), F.length(b)) - 1e-9)
+    return prefix(l1, a).join(prefix(l2, b), "_l").filter(band).select(a, b).distinct()
 
 
 def close_names(left: DataFrame, right: DataFrame, a: str, b: str, least: float, n: int) -> DataFrame:
-    """The n names most similar by edit distance for each left name, among those that share a piece of three characters."""
-
-    def pieces(df: DataFrame, c: str) -> DataFrame:
-        at = F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1)))
-        return df.select(c).distinct().withColumn("_k", F.explode(F.array_distinct(F.transform(at, lambda i: F.substr(F.col(c), i, F.lit(3))))))
-
-    pairs = pieces(left, a).join(pieces(right, b), "_k").select(a, b).distinct()
+    """The n names most similar by edit distance for each left name, of all those with a ratio of at least `least`."""
+    pairs = sharing_letters(left, right, a, b, least, mean=False)
     ratio = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
     w = Window.partitionBy(a).orderBy(F.desc("ratio"), b)
     return pairs.withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+@F.pandas_udf(DoubleType())
+def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the letters in matching blocks / the sum of lengths (longest block first, then on either side of it)."""
+    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def alike(left: DataFrame, right: DataFrame, a: str, b: str, least: float, n: int) -> DataFrame:
+    """The n names of highest gestalt ratio for each left name, of all those with at least `least`."""
+    pairs = sharing_letters(left, right, a, b, least, mean=True).withColumn("ratio", F.round(gestalt(a, b), 6)).filter(F.col("ratio") >= least)
+    w = Window.partitionBy(a).orderBy(F.desc("ratio"), b)
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
 def ohms(value: Column) -> Column:
-    """Engineering values such as 4K7, 13.7K or 100R as a number; null where it is none."""
-    shape = r"^([0-9]+)(?:\.([0-9]+))?([RKM])([0-9]*)$"
+    """Engineering values such as 4K7, 13.7K, 10k, 100R, 100 ohm or 100k\u03a9 as a number; null where it is none."""
+    shape = r"(?i)^([0-9]+)(?:\.([0-9]+))?\s*([RKM]?)([0-9]*)\s*(?:OHMS?|\u03a9|\u2126)?$"
     whole, dot, unit, rest = (F.regexp_extract(value, shape, i) for i in (1, 2, 3, 4))
     number = F.concat(whole, F.lit("."), F.when(dot != "", dot).when(rest != "", rest).otherwise("0")).try_cast("double")
-    return F.when(value.rlike(shape), number * F.when(unit == "K", 1e3).when(unit == "M", 1e6).otherwise(1.0))
+    marked = (unit != "") | F.lower(value).rlike("ohms?$|[\u03c9\u2126]$")
+    return F.when(value.rlike(shape) & marked, number * F.when(F.upper(unit) == "K", 1e3).when(F.upper(unit) == "M", 1e6).otherwise(1.0))

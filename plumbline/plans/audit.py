@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, ordered
-from .views import Views, query
+from .views import CUT, Views, query
 
 KEY = ["pin", "signal"]
 TWO_WAY = """, f AS (SELECT coalesce(c.pin, t.pin) pin, coalesce(c.signal, t.signal) signal, CASE WHEN t.pin IS NULL THEN 'not in truth' WHEN c.pin IS NULL THEN 'missing' WHEN c.af = t.af THEN 'exact' ELSE 'wrong value' END kind
@@ -43,13 +43,19 @@ def c2(v: Views) -> DataFrame:
     return rows.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C22_waivers_both_ways", """, w AS (SELECT DISTINCT l_partkey pin, l_suppkey signal FROM lineitem WHERE l_orderkey % 5 = 0), x AS (SELECT c.pin, c.signal FROM claims c ANTI JOIN truth t ON t.pin = c.pin AND t.signal = c.signal)
-SELECT 'open' state, count(*) n FROM (SELECT x.* FROM x ANTI JOIN w ON w.pin = x.pin AND w.signal = x.signal) UNION ALL SELECT 'stale', count(*) FROM (SELECT w.* FROM w ANTI JOIN x ON w.pin = x.pin AND w.signal = x.signal)""")
+@query("C22_waivers_both_ways", """, x AS (SELECT c.pin, c.signal, p_name source FROM claims c JOIN part ON p_partkey = c.pin ANTI JOIN truth t ON t.pin = c.pin AND t.signal = c.signal),
+w AS (SELECT DISTINCT l_partkey pin, l_suppkey signal, CASE WHEN l_suppkey % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END scope FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 5 = 0)
+SELECT 'open' state, count(*) n FROM x WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.pin = x.pin AND w.signal = x.signal AND starts_with(x.source, w.scope)) UNION ALL SELECT 'waived', count(*) FROM x WHERE EXISTS (SELECT 1 FROM w WHERE w.pin = x.pin AND w.signal = x.signal AND starts_with(x.source, w.scope))
+UNION ALL SELECT 'stale', count(*) FROM w WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.pin = w.pin AND x.signal = w.signal AND contains(x.source, w.scope))""")
 def c22(v: Views) -> DataFrame:
-    found = v.claims(False).join(v.claims(True), KEY, "left_anti").select(*KEY)
-    waivers = v.lineitem.filter("l_orderkey % 5 = 0").select(F.col("l_partkey").alias("pin"), F.col("l_suppkey").alias("signal")).distinct()
-    count = lambda df, s: df.agg(F.lit(s).alias("state"), F.count(F.lit(1)).alias("n"))
-    return count(found.join(waivers, KEY, "left_anti"), "open").unionByName(count(waivers.join(found, KEY, "left_anti"), "stale"))
+    """Findings that no waiver of their source's beginning covers, those that one does, and waivers in whose source nothing is found."""
+    source = v.part.select(F.col("p_partkey").alias("pin"), F.col("p_name").alias("source"))
+    found = v.claims(False).join(v.claims(True), KEY, "left_anti").select(*KEY).join(source, "pin")
+    scope = F.split_part("source", F.lit(" "), F.when(F.col("signal") % 2 == 0, 1).otherwise(2))
+    waivers = v.lineitem.filter("l_orderkey % 5 = 0").select(F.col("l_partkey").alias("pin"), F.col("l_suppkey").alias("signal")).distinct().join(source, "pin").select(*KEY, scope.alias("scope"))
+    state = audit.waived(found, waivers, KEY, "source", "scope").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    stale = audit.stale(waivers, found, KEY, "scope", "source").agg(F.lit("stale").alias("state"), F.count(F.lit(1)).alias("n"))
+    return state.unionByName(stale)
 
 
 @query("C23_echo_split", "SELECT doc_id, net, seq, EXISTS (SELECT 1 FROM boards o WHERE o.doc_id = b.doc_id AND o.net = b.net AND o.qty <= 25) echo FROM boards b WHERE qty > 25")
@@ -58,10 +64,16 @@ def c23(v: Views) -> DataFrame:
     return v.B.filter("qty > 25").join(linked, ["doc_id", "net"], "left").select("doc_id", "net", "seq", F.col("_l").isNotNull().alias("echo"))
 
 
-@query("C24_override_merge", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'Z' ELSE o_orderstatus END o_orderstatus, o_orderkey % 10 = 0 replaced FROM orders")
+@query("C24_override_merge", """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 AND o_orderstatus <> 'P' THEN 'Z' ELSE o_orderstatus END o_orderstatus, CASE WHEN o_orderkey % 10 <> 0 THEN 'kept' WHEN o_orderstatus = 'P' THEN 'refused' ELSE 'replaced' END state
+FROM orders WHERE o_orderkey % 25 <> 1""")
 def c24(v: Views) -> DataFrame:
+    """The operator's values replace the orders' own unless the order can't take them; the drop list removes keys."""
     patch = v.orders.filter("o_orderkey % 10 = 0").select("o_orderkey", F.lit("Z").alias("o_orderstatus"))
-    return audit.override(v.orders, patch, ["o_orderkey"], "o_orderstatus")
+    able = v.orders.filter("o_orderstatus <> 'P'").select("o_orderkey")
+    merged = audit.override(v.orders, patch.join(able, "o_orderkey", "left_semi"), ["o_orderkey"], "o_orderstatus")
+    asked = patch.select("o_orderkey", F.lit(True).alias("asked"))
+    out = merged.join(asked, "o_orderkey", "left").join(v.orders.filter("o_orderkey % 25 = 1").select("o_orderkey"), "o_orderkey", "left_anti")
+    return out.select("o_orderkey", "o_orderstatus", F.when(F.col("replaced"), "replaced").when(F.col("asked"), "refused").otherwise("kept").alias("state"))
 
 
 @query("C21_completeness", "SELECT c_custkey, p FROM customer, (SELECT DISTINCT o_orderpriority p FROM orders) ANTI JOIN orders ON o_custkey = c_custkey AND o_orderpriority = p")
@@ -94,11 +106,15 @@ def c33(v: Views) -> DataFrame:
     return ordered.first_by(rows, ["n_regionkey"], [rank, "s_suppkey"]).select("n_regionkey", "s_suppkey")
 
 
-@query("C34_cascade_withholding", "SELECT doc_id, seq, pin, dev FROM boards WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') OR doc_id IN (SELECT doc_id FROM boards GROUP BY doc_id HAVING count(*) < 2)")
+@query("C34_cascade_withholding", """, p AS (SELECT doc_id, count(*) n, count(*) FILTER (net = 'NO') defs FROM boards GROUP BY doc_id) SELECT b.doc_id, seq, pin, dev, CASE WHEN o_orderstatus = 'P' THEN 'its order is refused' WHEN n < 2 THEN 'no second device' ELSE 'its net is not defined' END reason
+FROM boards b JOIN p ON p.doc_id = b.doc_id LEFT JOIN orders ON o_orderkey = b.doc_id WHERE o_orderstatus = 'P' OR n < 2 OR net = 'AF' AND defs = 0""")
 def c34(v: Views) -> DataFrame:
-    refused = v.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("doc_id"))
-    small = v.B.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n < 2").select("doc_id")
-    return v.B.join(refused.unionByName(small).distinct(), "doc_id", "left_semi").select("doc_id", "seq", "pin", "dev")
+    """Lines withheld with their parent, and the first reason: the order is refused, it has no second line, or nothing in it defines the net."""
+    refused = v.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("doc_id"), F.lit(True).alias("refused"))
+    size = v.B.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("net") == "NO", 1)).alias("defs"))
+    rows = v.B.join(size, "doc_id").join(refused, "doc_id", "left")
+    reason = F.when(F.col("refused"), "its order is refused").when(F.col("n") < 2, "no second device").when(F.expr("net = 'AF' AND defs = 0"), "its net is not defined")
+    return rows.select("doc_id", "seq", "pin", "dev", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 @query("C35_ordinal_lookup", ", r AS (SELECT pin, signal, row_number() OVER (PARTITION BY pin ORDER BY signal) k FROM claims) SELECT p.p_partkey, CAST(p.p_size % 5 + 1 AS INTEGER) k, r.signal FROM part p LEFT JOIN r ON r.pin = p.p_partkey AND r.k = p.p_size % 5 + 1")
@@ -107,9 +123,16 @@ def c35(v: Views) -> DataFrame:
     return v.part.select("p_partkey", (F.col("p_size") % 5 + 1).cast("int").alias("k")).join(listed, ["p_partkey", "k"], "left")
 
 
-@query("C32_anchor_by_absence", "SELECT DISTINCT pin FROM truth WHERE pin NOT IN (SELECT pin FROM claims)")
+@query("C32_anchor_by_absence", """, l AS (SELECT doc_id, seq, pin, dev FROM boards WHERE seq = 1), k AS (SELECT DISTINCT pin, signal FROM claims WHERE af < 4), e AS (SELECT DISTINCT doc_id FROM boards WHERE qty = 50)
+SELECT doc_id, pin, dev FROM l ANTI JOIN k ON k.pin = l.pin AND k.signal = l.dev WHERE doc_id NOT IN (SELECT doc_id FROM e)""")
 def c32(v: Views) -> DataFrame:
-    return v.claims(True).select("pin").distinct().join(v.claims(False).select("pin").distinct(), "pin", "left_anti")
+    """First lines of an order whose supplier no capability row names for the part, unless the order has an explicit line (quantity 50)."""
+    capable = v.claims(False).filter("af < 4").select("pin", F.col("signal").alias("dev"))
+    explicit = v.B.filter("qty = 50").select("doc_id").distinct()
+    return v.B.filter("seq = 1").select("doc_id", "pin", "dev").join(capable, ["pin", "dev"], "left_anti").join(explicit, "doc_id", "left_anti").select("doc_id", "pin", "dev")
+
+
+ALL_SUPPLY = ", need AS (SELECT DISTINCT doc_id, pin FROM boards), have AS (SELECT DISTINCT signal dev, pin FROM claims)"
 
 
 @query("D5_agreement_ratio", "SELECT doc_id, round(CASE WHEN count(*) FILTER (qty > 10) > 0 THEN count(*) FILTER (qty > 25)::DOUBLE / count(*) FILTER (qty > 10) ELSE 0 END, 6) agreement FROM boards GROUP BY doc_id")
@@ -118,22 +141,29 @@ def d5(v: Views) -> DataFrame:
     return v.B.groupBy("doc_id").agg(F.round(audit.ratio(count(F.col("qty") > 25), count(F.col("qty") > 10)), 6).alias("agreement"))
 
 
-SUPPLY = ", need AS (SELECT DISTINCT doc_id, pin FROM boards WHERE doc_id < 300), have AS (SELECT DISTINCT signal dev, pin FROM claims)"
+ROLES = ", cap AS (SELECT DISTINCT l_partkey pin, l_suppkey dev, l_returnflag || l_linestatus role FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01'), need AS (SELECT doc_id, pin, min(net) label FROM boards GROUP BY doc_id, pin)"
 
 
-@query("D6_relational_division", SUPPLY + ", z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id) SELECT doc_id, dev FROM need JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z")
+@query("D6_relational_division", ROLES + """, z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id), k AS (SELECT pin, dev, count(*) n, min(role) sole FROM cap GROUP BY pin, dev), r AS (SELECT need.doc_id, k.dev, need.pin, CASE WHEN k.n = 1 THEN sole WHEN EXISTS (SELECT 1 FROM cap WHERE cap.pin = need.pin AND cap.dev = k.dev AND cap.role = label) THEN label END role FROM need JOIN k ON k.pin = need.pin)
+SELECT r.doc_id, dev FROM r JOIN z ON z.doc_id = r.doc_id GROUP BY r.doc_id, dev, z HAVING count(DISTINCT role) = z""")
 def d6(v: Views) -> DataFrame:
-    return audit.covering(v.claims(False).select(F.col("signal").alias("dev"), "pin"), v.B.filter("doc_id < 300"), ["doc_id"], "dev", "pin")
+    """Suppliers at which every part of an order takes a role of its own: the only one that the part has there, else that of its line."""
+    cap = v.lineitem.filter(F.col("l_shipdate") < CUT).select(F.col("l_partkey").alias("pin"), F.col("l_suppkey").alias("dev"), F.concat("l_returnflag", "l_linestatus").alias("role"))
+    need = v.B.groupBy("doc_id", "pin").agg(F.min("net").alias("label"))
+    return audit.covering_roles(cap, need, ["doc_id"], "dev", "pin", "role", "label")
 
 
-@query("D8_candidate_intersection", SUPPLY + """, w AS (SELECT * FROM need WHERE pin IN (SELECT pin FROM have)), z AS (SELECT doc_id, count(*) z FROM w GROUP BY doc_id), c AS (SELECT doc_id, dev FROM w JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z)
-SELECT d.doc_id, min(dev) choice, count(dev) candidates FROM (SELECT DISTINCT doc_id FROM need) d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id""")
+@query("D8_candidate_intersection", """, need AS (SELECT doc_id, pin, min(dev) told FROM boards GROUP BY doc_id, pin), have AS (SELECT DISTINCT signal dev, pin FROM claims WHERE af < 3), w AS (SELECT * FROM need WHERE pin IN (SELECT pin FROM have)), z AS (SELECT doc_id, count(*) z FROM w GROUP BY doc_id), c AS (SELECT doc_id, dev FROM w JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z),
+b AS (SELECT doc_id, min(dev) choice, count(*) candidates FROM c GROUP BY doc_id), t AS (SELECT doc_id, min(told) told, count(*) members FROM need GROUP BY doc_id)
+SELECT t.doc_id, choice, coalesce(candidates, 0) candidates, members - coalesce(z, 0) left_out, CASE WHEN z IS NULL THEN 'nobody has any' WHEN choice IS NULL THEN 'nothing in common' WHEN choice <> told THEN 'another is told' END note FROM t LEFT JOIN b ON b.doc_id = t.doc_id LEFT JOIN z ON z.doc_id = t.doc_id""")
 def d8(v: Views) -> DataFrame:
-    return audit.common_choice(v.claims(False).select(F.col("signal").alias("dev"), "pin"), v.B.filter("doc_id < 300"), ["doc_id"], "dev", "pin")
-
-
-# D6, D8 and I4 above hold only orders below 300, as their SQL does; these are the same over all orders.
-ALL_SUPPLY = ", need AS (SELECT DISTINCT doc_id, pin FROM boards), have AS (SELECT DISTINCT signal dev, pin FROM claims)"
+    """The least supplier that all parts of an order have in common; parts that nobody has are left out and counted; what differs from the one told is noted."""
+    need = v.B.groupBy("doc_id", "pin").agg(F.min("dev").alias("told"))
+    have = v.claims(False).filter("af < 3").select(F.col("signal").alias("dev"), "pin")
+    chosen = audit.common_choice(have, need, ["doc_id"], "dev", "pin")
+    known = need.join(have.select("pin").distinct().withColumn("has", F.lit(1)), "pin", "left").groupBy("doc_id").agg(F.min("told").alias("told"), F.count(F.lit(1)).alias("members"), F.count("has").alias("z"))
+    note = F.when(F.col("z") == 0, "nobody has any").when(F.col("choice").isNull(), "nothing in common").when(F.col("choice") != F.col("told"), "another is told")
+    return known.join(chosen, "doc_id").select("doc_id", "choice", "candidates", (F.col("members") - F.col("z")).alias("left_out"), note.alias("note"))
 
 
 @query("D6_relational_division_all", ALL_SUPPLY + ", z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id) SELECT doc_id, dev FROM need JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z")
@@ -206,10 +236,11 @@ def d22(v: Views) -> DataFrame:
     return g.groupBy("nets").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("D24_absent_unit_rollup", "SELECT signal, count(*) n FROM claims WHERE signal NOT IN (SELECT signal FROM truth WHERE af > 6) GROUP BY signal")
+@query("D24_absent_unit_rollup", "SELECT pin, count(*) n FROM claims WHERE pin NOT IN (SELECT pin FROM truth WHERE af > 2 AND signal % 5 = 0) AND pin NOT IN (SELECT pin + 1 FROM truth WHERE af > 2 AND signal % 5 = 0) GROUP BY pin")
 def d24(v: Views) -> DataFrame:
-    there = v.claims(True).filter("af > 6").select("signal").distinct()
-    return v.claims(False).join(there, "signal", "left_anti").groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
+    """Claims of a part that the truth has in neither spelling (its own number or the one before), as one row with their number."""
+    there = v.claims(True).filter("af > 2 AND signal % 5 = 0").select(F.explode(F.array("pin", F.col("pin") + 1)).alias("pin")).distinct()
+    return v.claims(False).join(there, "pin", "left_anti").groupBy("pin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("D25_group_digest", "SELECT doc_id, sha256(string_agg(k, chr(10) ORDER BY k)) digest FROM (SELECT doc_id, seq || '|' || pin || '|' || dev || '|' || net k FROM boards) GROUP BY doc_id")
@@ -217,10 +248,22 @@ def d25(v: Views) -> DataFrame:
     return audit.digest(v.B, ["doc_id"], [F.col("seq"), F.col("pin"), F.col("dev"), F.col("net")])
 
 
-@query("D26_metric_row", "SELECT doc_id, count(*) lines, count(DISTINCT pin) pins, count(DISTINCT dev) devs, count(*) - count(DISTINCT pin) repeats, round(sum(qty), 2) qty, min(seq) first_seq, max(seq) last_seq FROM boards GROUP BY doc_id")
+@query("D26_metric_row", """, m AS (SELECT doc_id, count(*) lines, count(DISTINCT pin) pins, count(DISTINCT dev) devs, count(DISTINCT net) nets, count(*) - count(DISTINCT pin) repeats, round(sum(qty), 2) qty, min(qty) least_qty, max(qty) most_qty, min(seq) first_seq, max(seq) last_seq, count(*) FILTER (qty > 10) checked, count(*) FILTER (qty > 25) agreeing, count(*) FILTER (net = 'NO') defines, sha256(string_agg(pin || '|' || dev, chr(10) ORDER BY pin || '|' || dev)) digest FROM boards GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) clashes FROM (SELECT doc_id, dev FROM boards WHERE net <> 'NO' GROUP BY doc_id, dev HAVING count(DISTINCT net) > 1) GROUP BY doc_id), u AS (SELECT b.doc_id, count(*) unknown FROM boards b ANTI JOIN claims c ON c.pin = b.pin AND c.signal = b.dev GROUP BY b.doc_id)
+SELECT m.*, coalesce(clashes, 0) clashes, coalesce(unknown, 0) unknown, o_orderstatus target, o_totalprice price FROM m LEFT JOIN c ON c.doc_id = m.doc_id LEFT JOIN u ON u.doc_id = m.doc_id LEFT JOIN orders ON o_orderkey = m.doc_id""")
 def d26(v: Views) -> DataFrame:
-    n, pins = F.count(F.lit(1)), F.countDistinct("pin")
-    return v.B.groupBy("doc_id").agg(n.alias("lines"), pins.alias("pins"), F.countDistinct("dev").alias("devs"), (n - pins).alias("repeats"), F.round(F.sum("qty"), 2).alias("qty"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    """Nineteen fields of every order: what it holds, what of it is checked, clashes or is unknown, and a digest of its lines."""
+    n, pins, when = F.count(F.lit(1)), F.countDistinct("pin"), lambda c: F.count(F.when(F.expr(c), 1))
+    line = F.concat_ws("|", "pin", "dev")
+    own = v.B.groupBy("doc_id").agg(
+        n.alias("lines"), pins.alias("pins"), F.countDistinct("dev").alias("devs"), F.countDistinct("net").alias("nets"), (n - pins).alias("repeats"), F.round(F.sum("qty"), 2).alias("qty"),
+        F.min("qty").alias("least_qty"), F.max("qty").alias("most_qty"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), when("qty > 10").alias("checked"), when("qty > 25").alias("agreeing"), when("net = 'NO'").alias("defines"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"),
+    )
+    clashes = d18(v).groupBy("doc_id").agg(F.count(F.lit(1)).alias("clashes"))
+    unknown = v.B.join(v.claims(False).select("pin", F.col("signal").alias("dev")), ["pin", "dev"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("unknown"))
+    orders = v.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("target"), F.col("o_totalprice").alias("price"))
+    return own.join(clashes, "doc_id", "left").join(unknown, "doc_id", "left").join(orders, "doc_id", "left").fillna(0, ["clashes", "unknown"])
 
 
 HALVES = ", o AS (SELECT l_partkey p, count(*) v FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01' GROUP BY 1), n AS (SELECT l_partkey p, count(*) v FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' GROUP BY 1)"
@@ -250,10 +293,18 @@ def f3(v: Views) -> DataFrame:
     return s.filter("chk >= 2 AND sat < chk - chk div 5")
 
 
-@query("F7_two_column_ownership", ", s AS (SELECT doc_id, count(*) FILTER (net = 'NO') l, count(*) FILTER (net <> 'NO') r FROM boards GROUP BY doc_id) SELECT doc_id, CASE WHEN l = r OR r > l THEN 'right' ELSE 'left' END owner FROM s")
+@query("F7_two_column_ownership", """, s AS (SELECT doc_id, list(DISTINCT pin) FILTER (net = 'NO') l, list(DISTINCT pin) FILTER (net = 'RF') r, list(DISTINCT pin) FILTER (net = 'AF') h FROM boards GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(l, []) l, coalesce(r, []) r, coalesce(h, []) h FROM s), o AS (SELECT *, list_intersect(l, r) joint FROM t),
+k AS (SELECT doc_id, h, CASE WHEN len(l) = len(r) AND len(joint) = len(l) THEN l WHEN len(l) > len(r) THEN l ELSE list_filter(l, lambda x: NOT list_contains(joint, x)) END lk, CASE WHEN len(l) = len(r) AND len(joint) = len(l) THEN [] WHEN len(l) > len(r) THEN list_filter(r, lambda x: NOT list_contains(joint, x)) ELSE r END rk FROM o)
+SELECT doc_id, CASE WHEN len(h) > len(lk) + len(rk) THEN 'horizontal' ELSE 'vertical' END shape, len(lk) left_pins, len(rk) right_pins, len(h) horizontal_pins FROM k""")
 def f7(v: Views) -> DataFrame:
-    s = v.B.groupBy("doc_id").agg(F.count(F.when(F.col("net") == "NO", 1)).alias("l"), F.count(F.when(F.col("net") != "NO", 1)).alias("r"))
-    return s.select("doc_id", F.when(F.col("r") >= F.col("l"), "right").otherwise("left").alias("owner"))
+    """Which of two overlapping columns of an order keeps what both hold: of equal ones the left stays, else the larger keeps it (the right on a tie); a horizontal group wins if it is larger than both together."""
+    of = lambda net: F.collect_set(F.when(F.col("net") == net, F.col("pin")))
+    s = v.B.groupBy("doc_id").agg(of("NO").alias("l"), of("RF").alias("r"), of("AF").alias("h")).withColumn("both", F.array_intersect("l", "r"))
+    same, left = (F.size("l") == F.size("r")) & (F.size("both") == F.size("l")), F.size("l") > F.size("r")
+    s = s.withColumn("lk", F.when(same | left, F.col("l")).otherwise(F.array_except("l", "both"))).withColumn("rk", F.when(same, F.slice("r", 1, 0)).when(left, F.array_except("r", "both")).otherwise(F.col("r")))
+    size = lambda c: F.size(c).cast("long")
+    return s.select("doc_id", F.when(F.size("h") > F.size("lk") + F.size("rk"), "horizontal").otherwise("vertical").alias("shape"), size("lk").alias("left_pins"), size("rk").alias("right_pins"), size("h").alias("horizontal_pins"))
 
 
 @query("G1_conservation", "SELECT doc_id, net, CAST(sum(k) AS BIGINT) surplus FROM (SELECT doc_id, net, 1 k FROM boards UNION ALL SELECT doc_id, net, -1 FROM boards WHERE qty > 3) GROUP BY ALL HAVING sum(k) <> 0")
@@ -266,10 +317,10 @@ def g2(v: Views) -> DataFrame:
     return audit.difference(*halves(v), ["p"], "v")
 
 
-@query("G3_table_drift", """, a AS (SELECT p_brand, count(*) n, sha256(string_agg(p_partkey || '', chr(10) ORDER BY p_partkey || '')) d FROM part GROUP BY 1), b AS (SELECT p_brand, count(*) n, sha256(string_agg(p_partkey || '', chr(10) ORDER BY p_partkey || '')) d FROM part WHERE p_size <> 7 GROUP BY 1)
+@query("G3_table_drift", """, a AS (SELECT p_brand, count(*) n, list_sort(list(p_partkey)) d FROM part GROUP BY 1), b AS (SELECT p_brand, count(*) n, list_sort(list(p_partkey)) d FROM part WHERE p_size <> 7 GROUP BY 1)
 SELECT a.p_brand, a.n old_n, b.n new_n FROM a LEFT JOIN b ON a.p_brand = b.p_brand WHERE a.d IS DISTINCT FROM b.d""")
 def g3(v: Views) -> DataFrame:
-    side = lambda df: audit.digest(df, ["p_brand"], [F.col("p_partkey")], "d").join(df.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")), "p_brand")
+    side = lambda df: audit.split_digest(df, ["p_brand"], [F.col("p_partkey")], 64, "d").join(df.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")), "p_brand")
     old, new = side(v.part), side(v.part.filter("p_size <> 7"))
     both = old.select("p_brand", F.col("n").alias("old_n"), F.col("d").alias("od")).join(new.select("p_brand", F.col("n").alias("new_n"), F.col("d").alias("nd")), "p_brand", "left")
     return both.filter(~F.col("od").eqNullSafe(F.col("nd"))).select("p_brand", "old_n", "new_n")
@@ -294,15 +345,19 @@ def g8(v: Views) -> DataFrame:
     return ordered.first_by(rows, KEY, ["doc_id", "seq"]).select("pin", "signal", "seq")
 
 
-@query("G9_golden_refresh", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1 ELSE p_size END p_size FROM part")
+@query("G9_golden_refresh", """, n AS (SELECT p_partkey, p_size + 1 p_size, CASE WHEN p_partkey % 4 = 0 THEN upper(p_type) || '*' ELSE p_type END p_type FROM part WHERE p_partkey % 2 = 0)
+SELECT p.p_partkey, coalesce(n.p_size, p.p_size) p_size, coalesce(n.p_type, p.p_type) p_type, array_to_string(list_filter([CASE WHEN n.p_size <> p.p_size THEN 'p_size' END, CASE WHEN n.p_type <> p.p_type THEN 'p_type' END], lambda x: x IS NOT NULL), ',') moved FROM part p LEFT JOIN n ON n.p_partkey = p.p_partkey""")
 def g9(v: Views) -> DataFrame:
-    old = v.part.select("p_partkey", "p_size")
-    return audit.upserted(old, old.filter("p_partkey % 2 = 0").withColumn("p_size", F.col("p_size") + 1), ["p_partkey"])
+    """Recomputed rows replace recorded ones, the others stay, and every field that moved is named."""
+    old = v.part.select("p_partkey", "p_size", "p_type")
+    new = old.filter("p_partkey % 2 = 0").select("p_partkey", (F.col("p_size") + 1).alias("p_size"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.upper("p_type"), F.lit("*"))).otherwise(F.col("p_type")).alias("p_type"))
+    return audit.refreshed(old, new, ["p_partkey"])
 
 
-@query("H5_rounding", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice, 0) r FROM lineitem WHERE l_orderkey < 2000")
+@query("H5_rounding", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice, 0) r, round_even(l_quantity / 8, 1) one FROM lineitem")
 def h5(v: Views) -> DataFrame:
-    return v.lineitem.filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", F.bround("l_extendedprice", 0).alias("r"))
+    """Half to even, of every line: prices to whole numbers, eighths of quantities (exact in binary) to one place."""
+    return v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.bround("l_extendedprice", 0).alias("r"), F.bround(F.col("l_quantity") / 8, 1).alias("one"))
 
 
 @query("H5_rounding_all", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice, 0) r FROM lineitem")
@@ -311,31 +366,29 @@ def h5_all(v: Views) -> DataFrame:
     return v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.bround("l_extendedprice", 0).alias("r"))
 
 
-@query("H9_id_check", ", r AS (SELECT DISTINCT upper(n_name) id FROM nation WHERE n_nationkey % 2 = 0) SELECT n_nationkey, CASE WHEN trim(n_name) = '' THEN 'empty' WHEN NOT regexp_matches(upper(trim(n_name)), '^[A-Z0-9 _]+$') THEN 'malformed' WHEN r.id IS NULL THEN 'unregistered' ELSE 'ok' END status FROM nation LEFT JOIN r ON r.id = upper(trim(n_name))")
+@query("H9_id_check", ", r AS (SELECT DISTINCT upper(c_name) id FROM customer WHERE c_custkey % 2 = 0), x AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '  ' WHEN c_custkey % 13 = 0 THEN c_name || '!' ELSE ' ' || lower(c_name) END raw FROM customer) SELECT c_custkey, CASE WHEN trim(raw) = '' THEN 'empty' WHEN NOT regexp_matches(upper(trim(raw)), '^[A-Z0-9 _#]+$') THEN 'malformed' WHEN r.id IS NULL THEN 'unregistered' ELSE 'ok' END status FROM x LEFT JOIN r ON r.id = upper(trim(raw))")
 def h9(v: Views) -> DataFrame:
-    registry = v.nation.filter("n_nationkey % 2 = 0").select(F.upper("n_name").alias("id"), F.lit(True).alias("known")).distinct()
-    raw = F.upper(F.trim("n_name"))
-    status = F.when(raw == "", "empty").when(~raw.rlike("^[A-Z0-9 _]+$"), "malformed").when(F.col("known").isNull(), "unregistered").otherwise("ok")
-    return v.nation.withColumn("id", raw).join(registry, "id", "left").select("n_nationkey", status.alias("status"))
-
-
-@query("I2_greedy_allocation", None)
-def i2(v: Views) -> DataFrame:
-    """Lines of an order, those with the fewest suppliers of their part first, take the first supplier that no earlier line took.
-
-    All suppliers of the part are options; a line of which all are taken, or whose part has none, takes null.
-    """
-    options = v.claims(False).groupBy("pin").agg(F.sort_array(F.collect_list("signal")).alias("options"))
-    rows = v.B.select("doc_id", "seq", "pin", "dev").join(options, "pin", "left").withColumn("options", F.coalesce("options", F.array().cast("array<long>")))
-    return audit.greedy(rows.withColumn("seq", F.struct(F.size("options"), "seq", "pin", "dev")), ["doc_id"], "seq", "pin", "options")
-
-
-@query("I4_shared_resource", SUPPLY + """, z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id), c AS (SELECT doc_id, dev FROM need JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN dev % 3 = 0 THEN 0 ELSE 1 END, dev) r FROM c) SELECT doc_id, dev FROM r WHERE r = 1""")
+    registry = v.customer.filter("c_custkey % 2 = 0").select(F.upper("c_name").alias("id"), F.lit(True).alias("known")).distinct()
+    key = F.col("c_custkey")
+    given = F.when(key % 11 == 0, "  ").when(key % 13 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.concat(F.lit(" "), F.lower("c_name")))
+    raw = F.upper(F.trim(given))
+    status = F.when(F.col("id") == "", "empty").when(~F.col("id").rlike("^[A-Z0-9 _#]+$"), "malformed").when(F.col("known").isNull(), "unregistered").otherwise("ok")
+    return v.customer.select("c_custkey", raw.alias("id")).join(registry, "id", "left").select("c_custkey", status.alias("status"))
+
+
+@query("I4_shared_resource", ALL_SUPPLY + """, z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id), c AS (SELECT doc_id, dev FROM need JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN dev % 3 = 0 THEN 0 ELSE 1 END, dev) r FROM c), hint AS (SELECT doc_id, pin, min(dev) hint FROM boards WHERE qty = 50 GROUP BY doc_id, pin),
+o AS (SELECT pin, signal, row_number() OVER (PARTITION BY pin ORDER BY af >= 4, CASE WHEN signal % 3 = 0 THEN 0 ELSE 1 END, af, signal) k FROM claims)
+SELECT n.doc_id, n.pin, coalesce(hint, r.dev, o.signal) pick, CASE WHEN hint IS NOT NULL THEN 'hint' WHEN r.dev IS NOT NULL THEN 'shared' WHEN o.signal IS NOT NULL THEN 'own' END kind FROM need n LEFT JOIN r ON r.doc_id = n.doc_id AND r.r = 1 LEFT JOIN hint ON hint.doc_id = n.doc_id AND hint.pin = n.pin LEFT JOIN o ON o.pin = n.pin AND o.k = 1""")
 def i4(v: Views) -> DataFrame:
-    """One device that serves every line, of the preferred family first."""
-    every = audit.covering(v.claims(False).select(F.col("signal").alias("dev"), "pin"), v.B.filter("doc_id < 300"), ["doc_id"], "dev", "pin")
-    return ordered.first_by(every, ["doc_id"], [F.when(F.col("dev") % 3 == 0, 0).otherwise(1), "dev"])
+    """A supplier for each part of an order: the hint of a line (quantity 50), else one that serves every part, of the preferred family first, else the part's own best, complementary ones (from the fourth line on) last."""
+    preferred = lambda c: F.when(F.col(c) % 3 == 0, 0).otherwise(1)
+    shared = ordered.first_by(d6_all(v), ["doc_id"], [preferred("dev"), "dev"])
+    hints = v.B.filter("qty = 50").groupBy("doc_id", "pin").agg(F.min("dev").alias("hint"))
+    own = ordered.first_by(v.claims(False), ["pin"], [F.col("af") >= 4, preferred("signal"), "af", "signal"]).select("pin", "signal")
+    rows = v.B.select("doc_id", "pin").distinct().join(shared, "doc_id", "left").join(hints, ["doc_id", "pin"], "left").join(own, "pin", "left")
+    kind = F.when(F.col("hint").isNotNull(), "hint").when(F.col("dev").isNotNull(), "shared").when(F.col("signal").isNotNull(), "own")
+    return rows.select("doc_id", "pin", F.coalesce("hint", "dev", "signal").alias("pick"), kind.alias("kind"))
 
 
 @query("I4_shared_resource_all", ALL_SUPPLY + """, z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id), c AS (SELECT doc_id, dev FROM need JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z),
@@ -344,20 +397,16 @@ def i4_all(v: Views) -> DataFrame:
     return ordered.first_by(d6_all(v), ["doc_id"], [F.when(F.col("dev") % 3 == 0, 0).otherwise(1), "dev"])
 
 
-@query("I5_first_free_option", ", t AS (SELECT DISTINCT pin, dev FROM boards WHERE qty > 40) SELECT c.pin, min(c.signal) signal FROM claims c ANTI JOIN t ON t.pin = c.pin AND t.dev = c.signal GROUP BY c.pin")
+@query("I5_first_free_option", """, t AS (SELECT DISTINCT pin, dev FROM boards WHERE qty > 25), k AS (SELECT DISTINCT pin FROM claims), f AS (SELECT c.pin, arg_min(c.af, c.signal * 100 + c.af) af, min(c.signal) signal FROM claims c ANTI JOIN t ON t.pin = c.pin AND t.dev = c.signal WHERE c.af < 4 GROUP BY c.pin),
+p AS (SELECT pin, max(af) pooled FROM claims GROUP BY pin), m AS (SELECT pin, min(signal) lo FROM claims GROUP BY pin)
+SELECT k.pin, coalesce(f.signal, m.lo) signal, CASE WHEN f.signal IS NOT NULL THEN f.af ELSE 0 END opt, pooled + 1 pooled_opt, f.signal IS NULL warning FROM k LEFT JOIN f ON f.pin = k.pin JOIN p ON p.pin = k.pin JOIN m ON m.pin = k.pin""")
 def i5(v: Views) -> DataFrame:
-    taken = v.B.filter("qty > 40").select("pin", F.col("dev").alias("signal")).distinct()
-    return v.claims(False).join(taken, KEY, "left_anti").groupBy("pin").agg(F.min("signal").alias("signal"))
-
-
-@query("I11_repick_or_withhold", """, d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dev ORDER BY seq, pin) r FROM boards), a AS (SELECT pin, min(signal) alt FROM claims GROUP BY pin)
-SELECT d.doc_id, d.seq, d.pin, CASE WHEN a.alt IS NOT NULL AND a.alt <> d.dev THEN a.alt END dev, CASE WHEN a.alt IS NOT NULL AND a.alt <> d.dev THEN 'moved' ELSE 'withheld' END state FROM d LEFT JOIN a ON a.pin = d.pin WHERE r > 1""")
-def i11(v: Views) -> DataFrame:
-    """Rows whose device is taken by an earlier row of their board: moved to another device of the pin, or withheld."""
-    late = ordered.ranked(v.B, ["doc_id", "dev"], ["seq", "pin"]).filter("rank > 1")
-    other = v.claims(False).groupBy("pin").agg(F.min("signal").alias("alt"))
-    moved = F.coalesce(F.col("alt") != F.col("dev"), F.lit(False))
-    return late.join(other, "pin", "left").select("doc_id", "seq", "pin", F.when(moved, F.col("alt")).alias("dev"), F.when(moved, "moved").otherwise("withheld").alias("state"))
+    """The least supplier of a part with an option (below the ceiling of 4) that no line has taken; else the least one, option 0 and a warning. Where options come from one pool, the number continues behind all taken ones."""
+    taken = v.B.filter("qty > 25").select("pin", F.col("dev").alias("signal")).distinct()
+    every = v.claims(False)
+    free = every.filter("af < 4").join(taken, KEY, "left_anti").groupBy("pin").agg(F.min(F.struct("signal", "af")).alias("f"))
+    own = every.groupBy("pin").agg(F.min("signal").alias("lo"), (F.max("af") + 1).alias("pooled_opt"))
+    return own.join(free, "pin", "left").select("pin", F.coalesce("f.signal", "lo").alias("signal"), F.coalesce("f.af", F.lit(0)).alias("opt"), "pooled_opt", F.col("f").isNull().alias("warning"))
 
 
 @query("L1_unaccounted", "SELECT b.doc_id, b.net FROM (SELECT DISTINCT doc_id, net FROM boards) b WHERE NOT EXISTS (SELECT 1 FROM boards o WHERE o.doc_id = b.doc_id AND o.net = b.net AND o.qty > 10)")
@@ -366,9 +415,11 @@ def l1(v: Views) -> DataFrame:
     return v.B.select("doc_id", "net").distinct().join(said, ["doc_id", "net"], "left_anti")
 
 
-@query("L2_dangling", "SELECT doc_id, seq, pin FROM boards WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 1000)")
+@query("L2_dangling", "SELECT b.doc_id, b.seq, b.pin FROM boards b ANTI JOIN claims c ON c.pin = b.pin AND c.signal = b.dev AND c.af < 7 WHERE b.net <> 'NO'")
 def l2(v: Views) -> DataFrame:
-    return v.B.join(v.orders.filter("o_totalprice > 1000").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "seq", "pin")
+    """Lines that name a part and supplier which nothing emits."""
+    emitted = v.claims(False).filter("af < 7").select("pin", F.col("signal").alias("dev"))
+    return v.B.filter("net <> 'NO'").join(emitted, ["pin", "dev"], "left_anti").select("doc_id", "seq", "pin")
 
 
 @query("L3_value_shape", "SELECT p_partkey, p_brand FROM part WHERE NOT regexp_full_match(p_brand, 'Brand#[1-3][0-9]')")
@@ -376,20 +427,31 @@ def l3(v: Views) -> DataFrame:
     return v.part.filter(~F.col("p_brand").rlike("^(?:Brand#[1-3][0-9])$")).select("p_partkey", "p_brand")
 
 
-@query("L8_consistent_assignment", "SELECT doc_id, dev, count(DISTINCT net) shapes FROM boards GROUP BY doc_id, dev HAVING count(DISTINCT net) > 1")
+@query("L8_consistent_assignment", """, g AS (SELECT doc_id, dev, net, list_sort(list(DISTINCT pin)) pins FROM boards GROUP BY doc_id, dev, net), s AS (SELECT doc_id, dev, count(DISTINCT pins) shapes FROM g GROUP BY doc_id, dev HAVING count(DISTINCT pins) > 1), a AS (SELECT b.doc_id, b.dev, count(*) foreign_pins FROM boards b ANTI JOIN claims c ON c.pin = b.pin AND c.signal = b.dev GROUP BY b.doc_id, b.dev)
+SELECT coalesce(s.doc_id, a.doc_id) doc_id, coalesce(s.dev, a.dev) dev, coalesce(shapes, 1) shapes, coalesce(foreign_pins, 0) foreign_pins FROM s FULL JOIN a ON a.doc_id = s.doc_id AND a.dev = s.dev""")
 def l8(v: Views) -> DataFrame:
-    return v.B.groupBy("doc_id", "dev").agg(F.countDistinct("net").alias("shapes")).filter("shapes > 1")
+    """Devices of an order whose owners (nets) don't share the same parts, or that hold parts which aren't theirs."""
+    owners = v.B.groupBy("doc_id", "dev", "net").agg(F.sort_array(F.collect_set("pin")).alias("pins"))
+    shapes = owners.groupBy("doc_id", "dev").agg(F.countDistinct("pins").alias("shapes")).filter("shapes > 1")
+    foreign = v.B.join(v.claims(False).select("pin", F.col("signal").alias("dev")), ["pin", "dev"], "left_anti").groupBy("doc_id", "dev").agg(F.count(F.lit(1)).alias("foreign_pins"))
+    return shapes.join(foreign, ["doc_id", "dev"], "full").select("doc_id", "dev", F.coalesce("shapes", F.lit(1)).alias("shapes"), F.coalesce("foreign_pins", F.lit(0)).alias("foreign_pins"))
 
 
-@query("L10_violations", "SELECT doc_id, 'collision' \"check\", pin || '' detail FROM boards GROUP BY doc_id, pin HAVING count(*) > 1 UNION ALL SELECT doc_id, 'clash', dev || '' FROM boards WHERE net <> 'NO' GROUP BY doc_id, dev HAVING count(DISTINCT net) > 1")
+@query("L10_violations", """SELECT doc_id, 'collision' "check", pin || '' detail FROM boards GROUP BY doc_id, pin HAVING count(*) > 1 UNION ALL SELECT doc_id, 'clash', dev || '' FROM boards WHERE net <> 'NO' GROUP BY doc_id, dev HAVING count(DISTINCT net) > 1
+UNION ALL SELECT doc_id, 'conservation', net FROM (SELECT doc_id, net, sum(CASE WHEN qty > 3 THEN 0 ELSE 1 END) s FROM boards GROUP BY doc_id, net) WHERE s <> 0
+UNION ALL SELECT o_orderkey, 'backing', o_orderstatus FROM orders o WHERE o_orderstatus = 'F' AND NOT (EXISTS (SELECT 1 FROM boards b WHERE b.doc_id = o_orderkey AND net IN ('AF', 'RF')) AND EXISTS (SELECT 1 FROM boards b WHERE b.doc_id = o_orderkey AND net IN ('NO', 'NF')))
+UNION ALL SELECT doc_id, 'incomplete', array_to_string(list_sort(list_filter(['AF', 'NO', 'RF'], lambda x: NOT list_contains(o, x))), ',') FROM (SELECT doc_id, list(DISTINCT net) o FROM boards WHERE net IN ('AF', 'NO', 'RF') GROUP BY doc_id) WHERE len(o) < 3""")
 def l10(v: Views) -> DataFrame:
-    row = lambda df, name, c: df.select("doc_id", F.lit(name).alias("check"), F.col(c).cast("string").alias("detail"))
-    return row(d17(v), "collision", "pin").unionByName(row(d18(v), "clash", "dev"))
+    """All violations of five checks as (doc_id, check, detail)."""
+    row = lambda df, name, c, d="doc_id": df.select(F.col(d).alias("doc_id"), F.lit(name).alias("check"), F.col(c).cast("string").alias("detail"))
+    out = row(d17(v), "collision", "pin").unionByName(row(d18(v), "clash", "dev")).unionByName(row(g1(v), "conservation", "net"))
+    return out.unionByName(row(c28(v), "backing", "o_orderstatus", "o_orderkey")).unionByName(row(d19(v), "incomplete", "lacks"))
 
 
-@query("L14_leak_check", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)password=')")
+@query("L14_leak_check", "SELECT doc_id, regexp_extract(text, '[a-z0-9.]+@[a-z0-9]+[.][a-z.]+') leaked FROM documents WHERE regexp_matches(text, '[a-z0-9.]+@[a-z0-9]+[.][a-z.]+')")
 def l14(v: Views) -> DataFrame:
-    return v.documents.filter(F.col("text").rlike("(?i)password=")).select("doc_id")
+    """Documents that hold an address, with the first one."""
+    return v.documents.filter(F.col("text").rlike("[a-z0-9.]+@[a-z0-9]+[.][a-z.]+")).select("doc_id", F.regexp_extract("text", "[a-z0-9.]+@[a-z0-9]+[.][a-z.]+", 0).alias("leaked"))
 
 
 @query("M1_ordered_document", "SELECT doc_id, string_agg('#define ' || net || '_' || pin || ' ' || dev, chr(10) ORDER BY seq, pin, dev) body FROM boards GROUP BY doc_id")
@@ -399,9 +461,12 @@ def m1(v: Views) -> DataFrame:
     return v.B.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("body"))
 
 
-@query("M2_markdown_report", r"SELECT n_regionkey, '| nation | key |' || chr(10) || string_agg('| ' || replace(n_name, '|', '\|') || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_name, n_nationkey) body FROM nation GROUP BY n_regionkey")
+@query("M2_markdown_report", r"SELECT o_orderkey, '| part | key |' || chr(10) || string_agg('| ' || replace(p_name || '|' || p_size, '|', '\|') || ' | ' || p_partkey || ' |', chr(10) ORDER BY p_partkey, l_linenumber, l_suppkey) body FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey")
 def m2(v: Views) -> DataFrame:
-    line = F.concat(F.lit("| "), F.replace("n_name", F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |"))
-    rows = F.sort_array(F.collect_list(F.struct("n_name", "n_nationkey", line.alias("line"))))
-    return v.nation.groupBy("n_regionkey").agg(F.concat(F.lit("| nation | key |\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("body"))
-
+    """A table of the lines of each order, with escaped cells."""
+    cell = F.replace(F.concat("p_name", F.lit("|"), F.col("p_size").cast("string")), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), cell, F.lit(" | "), F.col("p_partkey").cast("string"), F.lit(" |"))
+    parts = v.part.select(F.col("p_partkey").alias("l_partkey"), "p_partkey", "p_name", "p_size")
+    lines = v.orders.select("o_orderkey").join(v.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linenumber", "l_suppkey"), "o_orderkey").join(parts, "l_partkey")
+    rows = F.sort_array(F.collect_list(F.struct("p_partkey", "l_linenumber", "l_suppkey", line.alias("line"))))
+    return lines.groupBy("o_orderkey").agg(F.concat(F.lit("| part | key |\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("body"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ordered
+from ..operators import ordered, resolve
 from .views import Views, query
 
 
@@ -68,10 +68,16 @@ def l12(v: Views) -> DataFrame:
     return rows.filter("check <> 'duplicate name' OR n > 1")
 
 
-@query("L13_vocabulary_gates", """SELECT token, count(*) n FROM toks WHERE regexp_matches(token, '^[a-z]+(er|en)$') AND NOT regexp_full_match(token, '[a-z]{5,12}') GROUP BY token""")
+@query("L13_vocabulary_gates", """, t AS (SELECT event_type || json_extract_string(props, '$.k') t FROM events UNION ALL SELECT event_type FROM events), g AS (SELECT t, regexp_matches(t, '^(click|view|purchase)[0-9]*$') named, regexp_matches(t, '^(?:click|view)([0-9]+)$|^(?:purchase)([0-9]*)$') asks, regexp_matches(t, '^[a-z]{4,}') known FROM t)
+SELECT t, count(*) n, CASE WHEN NOT known THEN 'unknown' ELSE 'asks for nothing' END problem FROM g WHERE named AND NOT (known AND asks) GROUP BY t, known""")
 def l13(v: Views) -> DataFrame:
-    """Tokens that one gate classifies and the other refuses."""
-    return v.T.filter(F.col("token").rlike("^[a-z]+(er|en)$") & ~F.col("token").rlike("^[a-z]{5,12}$")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    """Spellings that the classifier names but the vocabulary gate refuses or the requirement rules don't see."""
+    spelt = v.events.select(F.explode(F.array(F.concat("event_type", F.get_json_object("props", "$.k")), "event_type")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    t = F.col("t")
+    named = resolve.classified(t, [("^(click|view|purchase)[0-9]*$", "event")])["role"].isNotNull()
+    asks = resolve.classified(t, [("^(?:click|view)([0-9]+)$", "look"), ("^(?:purchase)([0-9]*)$", "buy")])["role"].isNotNull()
+    known = t.rlike("^[a-z]{4,}")
+    return spelt.filter(named & ~(known & asks)).select("t", "n", F.when(~known, "unknown").otherwise("asks for nothing").alias("problem"))
 
 
 @query("L15_named_without_function", ", h AS (SELECT DISTINCT b.doc_id, b.net FROM boards b JOIN truth t ON t.pin = b.pin AND t.signal = b.dev) SELECT DISTINCT b.doc_id, b.net FROM boards b ANTI JOIN h ON h.doc_id = b.doc_id AND h.net = b.net")

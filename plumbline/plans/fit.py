@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import near, ordered
-from .layout import CLUSTERS, SWEEP, sides
+from .layout import SWEEP, aligned, sides
 from .views import Views, query
 
 KEY = ["pin", "signal"]
@@ -53,14 +53,10 @@ def e3(v: Views) -> DataFrame:
     return ordered.runner_up(pairs, ["a"], "distance", "b", 3.0).select("a", "b", "decided")
 
 
-@query("D4_alignment_score", SWEEP + "SELECT doc_id, CAST(o AS INTEGER) o, pairs, CAST(sat AS BIGINT) sat, CAST(pairs - sat AS BIGINT) unsat FROM s")
+@query("D4_alignment_score", SWEEP + "SELECT doc_id, axis, CAST(o AS INTEGER) o, pairs, chk, sat, chk - sat unsat, reserved FROM s")
 def d4(v: Views) -> DataFrame:
-    """How many clicks each of 13 shifts of two hours brings close to a view, and how many it does not."""
-    pairs = near.band_join(*sides(v, "click", "view"), ["doc_id"], "h", "bh", 18.0)
-    shifted = pairs.withColumn("o", F.explode(F.sequence(F.lit(-6), F.lit(6)))).withColumn("d", F.abs(F.col("h") + F.col("o") * 2 - F.col("bh")))
-    best = shifted.filter("d <= 6").groupBy("doc_id", "o", "a").agg(F.min("d").alias("d"))
-    score = best.groupBy("doc_id", "o").agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("d") <= 1).cast("long")).alias("sat"))
-    return score.withColumn("unsat", F.col("pairs") - F.col("sat"))
+    """Pairs, claims, claims that agree or don't, and reserved rows, for every shift."""
+    return aligned(v).withColumn("unsat", F.col("chk") - F.col("sat"))
 
 
 FITS = """, p AS (SELECT a.doc_id, b.text hyp, a.word_id a, min(abs(a.h - b.h)) d FROM pts a JOIN pts b ON a.doc_id = b.doc_id AND a.text = 'click' AND b.text <> 'click' AND abs(a.h - b.h) <= 12 GROUP BY ALL),
@@ -89,11 +85,13 @@ def i8(v: Views) -> DataFrame:
     return rows.select("doc_id", F.when(F.expr("s1 > s0 OR (s1 = s0 AND s1 - n1 > s0 - n0)"), "purchase").otherwise("view").alias("reading"))
 
 
-@query("F6_iterated_peel", CLUSTERS + ', r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, low) r FROM s) SELECT doc_id, CAST(r AS INTEGER) "round", "cluster", n FROM r WHERE r <= 3')
+@query("F6_iterated_peel", ", r0 AS (SELECT doc_id, word_id, h, y, 0 taken FROM pts)" + "".join(f""", g{k} AS (SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY doc_id ORDER BY h, word_id) > {24 + 12 * k} THEN 1 ELSE 0 END n FROM r{k} WHERE taken = 0), c{k} AS (SELECT doc_id, word_id, sum(n) OVER (PARTITION BY doc_id ORDER BY h, word_id) c FROM g{k}),
+s{k} AS (SELECT c.doc_id, c.c, count(*) n, min(h) lo FROM c{k} c JOIN r{k} r ON r.word_id = c.word_id GROUP BY c.doc_id, c.c HAVING count(*) >= 3), b{k} AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lo) q FROM s{k}),
+r{k + 1} AS (SELECT r.doc_id, r.word_id, r.h, r.y, CASE WHEN b.c IS NOT NULL THEN {k + 1} ELSE taken END taken FROM r{k} r LEFT JOIN c{k} c ON c.word_id = r.word_id LEFT JOIN b{k} b ON b.doc_id = c.doc_id AND b.c = c.c AND q = 1)""" for k in range(3)) + 'SELECT doc_id, taken "round", count(*) n, round(min(h), 4) low FROM r3 WHERE taken > 0 GROUP BY doc_id, taken')
 def f6(v: Views) -> DataFrame:
-    """Take the largest cluster away, three times over: what is left never merges, so the rounds are ranks of one pass."""
-    sizes = ordered.cluster_sizes(v.P, ["doc_id"], "x", "word_id", 21600.0)
-    return ordered.ranked(sizes, ["doc_id"], [F.desc("n"), "low"], "round").filter("round <= 3").select("doc_id", "round", "cluster", "n")
+    """Take away the largest cluster of a user's events (three or more), three times; the tolerance grows by 12 hours each
+    time, so what is left may merge across what was taken."""
+    return ordered.peeled(v.P, ["doc_id"], "h", "word_id", [24.0, 36.0, 48.0], 3).groupBy("doc_id", "round").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("h"), 4).alias("low"))
 
 
 @query("D20_straddling_pair", """, p AS (SELECT s.word_id node, floor(e.y / 25) leg, e.h - s.h dx FROM pts s JOIN pts e ON s.doc_id = e.doc_id AND s.text = 'signup' AND e.text <> 'signup' AND abs(s.h - e.h) <= 24),
@@ -109,11 +107,21 @@ def d20(v: Views) -> DataFrame:
     return one.select("node", "leg", F.round(-F.col("lo") / (F.col("hi") - F.col("lo")), 6).alias("ratio"))
 
 
-@query("D7_role_resolution", """SELECT dev, pin, CASE WHEN count(DISTINCT net) = 1 THEN min(net) ELSE struct_extract(min({'d': doc_id, 's': seq, 'n': net}), 'n') END role, count(DISTINCT net) > 1 conflict FROM boards GROUP BY dev, pin""")
+@query("D7_role_resolution", """, cap AS (SELECT DISTINCT pin, dev, net FROM boards WHERE qty <= 40), k AS (SELECT pin, dev, count(*) n, min(net) sole FROM cap GROUP BY pin, dev), l AS (SELECT DISTINCT doc_id, dev, pin, net label FROM boards),
+r AS (SELECT l.*, CASE WHEN k.n = 1 THEN sole WHEN c.pin IS NOT NULL THEN label END role, k.n = 1 AND sole <> label mislabelled FROM l LEFT JOIN k ON k.pin = l.pin AND k.dev = l.dev LEFT JOIN cap c ON c.pin = l.pin AND c.dev = l.dev AND c.net = l.label),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, dev, role ORDER BY label, pin) r, min(pin) OVER (PARTITION BY doc_id, dev, role) lo, max(pin) OVER (PARTITION BY doc_id, dev, role) hi FROM r)
+SELECT doc_id, dev, pin, label, role, CASE WHEN role IS NULL THEN 'no role' WHEN r > 1 AND lo <> hi THEN 'claimed twice' WHEN mislabelled THEN 'mislabelled' END note FROM o""")
 def d7(v: Views) -> DataFrame:
-    """The only role of a part at a supplier, or the first one in order where several are stated."""
-    rows = v.B.groupBy("dev", "pin").agg(F.countDistinct("net").alias("n"), F.min(F.struct("doc_id", "seq", "net")).alias("m"))
-    return rows.select("dev", "pin", F.col("m.net").alias("role"), (F.col("n") > 1).alias("conflict"))
+    """The role of a part at a supplier within an order: the capability's only one whatever the line says, else the line's own if the capability has it."""
+    cap = v.B.filter("qty <= 40").select("pin", "dev", "net").distinct()
+    only = cap.groupBy("pin", "dev").agg(F.count(F.lit(1)).alias("n"), F.min("net").alias("only"))
+    lines = v.B.select("doc_id", "dev", "pin", F.col("net").alias("label")).distinct()
+    rows = lines.join(only, ["pin", "dev"], "left").join(cap.select("pin", "dev", F.col("net").alias("label"), F.lit(True).alias("has")), ["pin", "dev", "label"], "left")
+    rows = rows.withColumn("role", F.when(F.col("n") == 1, F.col("only")).when(F.col("has"), F.col("label")))
+    same = Window.partitionBy("doc_id", "dev", "role")
+    rows = rows.withColumn("r", F.row_number().over(same.orderBy("label", "pin"))).withColumn("lo", F.min("pin").over(same)).withColumn("hi", F.max("pin").over(same))
+    note = F.when(F.col("role").isNull(), "no role").when(F.expr("r > 1 AND lo <> hi"), "claimed twice").when((F.col("n") == 1) & (F.col("only") != F.col("label")), "mislabelled")
+    return rows.select("doc_id", "dev", "pin", "label", "role", note.alias("note"))
 
 
 @query("I4_shared_plan", """, b AS (SELECT DISTINCT doc_id, pin FROM boards), m AS (SELECT doc_id, count(*) want FROM b GROUP BY 1), c AS (SELECT b.doc_id, signal, count(*) have FROM b JOIN claims ON claims.pin = b.pin GROUP BY ALL),
@@ -161,3 +169,60 @@ def c30(v: Views) -> DataFrame:
     said = v.claims(True).withColumn("restates", F.lit(True))
     rows = v.claims(False).join(said, [*KEY, "af"], "left").withColumn("restates", F.coalesce("restates", F.lit(False)))
     return ordered.ranked(rows, ["pin"], ["restates", "signal"]).select(*KEY, "restates", "rank")
+
+
+@query("C31_corroborated_adoption", """, v AS (SELECT * FROM pts WHERE text <> 'click'), k AS (SELECT DISTINCT c.doc_id, c.word_id, floor(c.y) nm FROM pts c JOIN v ON v.doc_id = c.doc_id AND c.text = 'click' AND v.text = 'view' AND abs(c.h - v.h) <= 12),
+c AS (SELECT p.* FROM pts p WHERE text = 'click' AND floor(y) % 3 <> 0 AND word_id NOT IN (SELECT word_id FROM k)), n AS (SELECT c.doc_id, c.word_id, c.h, c.y, v.word_id row_id, v.h rh, v.y ry, row_number() OVER (PARTITION BY c.word_id ORDER BY abs(c.y - v.y), v.word_id) r FROM c JOIN v ON v.doc_id = c.doc_id AND abs(c.y - v.y) <= 12),
+m AS (SELECT doc_id, max(h) zone FROM pts WHERE text = 'view' GROUP BY doc_id), a AS (SELECT n.* FROM n JOIN m ON m.doc_id = n.doc_id WHERE r = 1 AND abs(zone - h) <= 192 AND floor(y) % 2 = floor(ry) % 2
+AND NOT EXISTS (SELECT 1 FROM k JOIN pts x ON x.word_id = k.word_id WHERE k.doc_id = n.doc_id AND (k.nm = floor(n.y) OR abs(x.y - n.ry) <= 2))),
+o AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY h, word_id) a, row_number() OVER (PARTITION BY doc_id, floor(y) ORDER BY h, word_id) b FROM a) SELECT doc_id, word_id, row_id FROM o WHERE a = 1 AND b = 1""")
+def c31(v: Views) -> DataFrame:
+    """Clicks beyond the views' zone, adopted where the row they land on vouches for them.
+
+    A click is in the zone if a view lies within 12 hours. One outside claims something unless its whole value is a
+    multiple of 3. It is adopted if its nearest other event by value is within 12 (its row), it lies no more than 192
+    hours from the user's last view, the row agrees (values alike in parity), no click of the zone has its name (whole
+    value) or stands on its row (within 2), and no earlier adopted click has its row or name.
+    """
+    name = F.floor("y")
+    clicks, others = v.P.filter("text = 'click'").select("doc_id", "word_id", "h", "y"), v.P.filter("text <> 'click'")
+    views = others.filter("text = 'view'").select("doc_id", F.col("h").alias("vh"))
+    inside = near.band_join(clicks, views, ["doc_id"], "h", "vh", 12.0).select("doc_id", "word_id", "y").distinct()
+    outside = clicks.join(inside.select("word_id"), "word_id", "left_anti").filter(name % 3 != 0)
+    rows = others.select("doc_id", F.col("word_id").alias("row_id"), F.col("y").alias("ry"))
+    landed = near.nearest_within(outside, rows, ["doc_id"], "y", "ry", 12.0, ["word_id"], ["row_id"])
+    zone = views.groupBy("doc_id").agg(F.max("vh").alias("zone"))
+    fits = landed.join(zone, "doc_id").filter((F.abs(F.col("zone") - F.col("h")) <= 192) & (name % 2 == F.floor("ry") % 2)).withColumn("name", name)
+    fits = fits.join(inside.select("doc_id", name.alias("name")).distinct(), ["doc_id", "name"], "left_anti")
+    held = near.band_join(fits.select("doc_id", "word_id", "ry"), inside.select("doc_id", F.col("y").alias("ky")), ["doc_id"], "ry", "ky", 2.0).select("word_id").distinct()
+    free = fits.join(held, "word_id", "left_anti")
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "word_id"))
+    return free.withColumn("a", first("row_id")).withColumn("b", first("doc_id", "name")).filter("a = 1 AND b = 1").select("doc_id", "word_id", "row_id")
+
+
+@query("I10_label_columns", """, w AS (SELECT doc_id, word_id, text, h, unnest([{'anchor': 0, 'p': y}, {'anchor': 1, 'p': y + length(text)}]) a FROM pts WHERE text <> 'signup'), v AS (SELECT doc_id, word_id, h, a.anchor anchor, a.p p, text IN ('click', 'purchase') hit FROM w),
+g AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id, anchor ORDER BY p, word_id) > 1 THEN 1 ELSE 0 END n FROM v), k AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, anchor ORDER BY p, word_id) c FROM g),
+c AS (SELECT doc_id, anchor, c, count(*) FILTER (hit) hits, max(h) edge FROM k GROUP BY ALL HAVING count(*) >= 3), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, edge DESC, anchor, c) r FROM c), b AS (SELECT doc_id, edge best FROM r WHERE r = 1 AND hits > 0),
+e AS (SELECT DISTINCT r.doc_id, edge, best FROM r JOIN b ON b.doc_id = r.doc_id WHERE hits > 0 AND edge <= best), s AS (SELECT *, CASE WHEN lag(edge) OVER (PARTITION BY doc_id ORDER BY edge DESC) - edge > 72 THEN 1 ELSE 0 END n FROM e),
+z AS (SELECT doc_id, min(edge) zone FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY edge DESC) q FROM s) WHERE q = 0 GROUP BY doc_id)
+SELECT DISTINCT k.doc_id, k.word_id FROM k JOIN z ON z.doc_id = k.doc_id LEFT JOIN r ON r.doc_id = k.doc_id AND r.anchor = k.anchor AND r.c = k.c
+WHERE r.r = 1 OR (k.hit AND r.hits > 0 AND r.edge >= zone) OR (k.hit AND k.h > zone)""")
+def i10(v: Views) -> DataFrame:
+    """The words of a user's label columns.
+
+    Columns are gap clusters (tolerance 1) of three words or more along either edge of the words. The best has the most
+    words of the vocabulary (clicks and purchases), then the latest edge; without a vocabulary word there is none. The
+    zone runs outward from its edge over columns with vocabulary words to the first step above 72 hours. The best column
+    counts whole, other columns inside the zone with their vocabulary words, and so do lone vocabulary words inside it.
+    """
+    edges = F.explode(F.array(F.struct(F.lit(0).alias("anchor"), F.col("y").alias("p")), F.struct(F.lit(1).alias("anchor"), (F.col("y") + F.length("text")).alias("p"))))
+    words = v.P.filter("text <> 'signup'").select("doc_id", "word_id", "h", F.col("text").isin("click", "purchase").alias("hit"), edges.alias("a")).select("doc_id", "word_id", "h", "hit", "a.*")
+    grouped = ordered.gap_clusters(words, ["doc_id", "anchor"], "p", "word_id", 1.0, "c")
+    columns = grouped.groupBy("doc_id", "anchor", "c").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.max("h").alias("edge")).filter("n >= 3 AND hits > 0")
+    ranked = ordered.ranked(columns, ["doc_id"], [F.desc("hits"), F.desc("edge"), "anchor", "c"])
+    best = ranked.filter("rank = 1").select("doc_id", F.col("edge").alias("best"))
+    inner = ranked.select("doc_id", "edge").distinct().join(best, "doc_id").filter("edge <= best").withColumn("out", -F.col("edge"))
+    zone = ordered.run_to_break(inner, ["doc_id"], ["out"], "out", F.col("edge") == F.col("best"), 72.0).groupBy("doc_id").agg(F.min("edge").alias("zone"))
+    rows = grouped.join(zone, "doc_id").join(ranked.select("doc_id", "anchor", "c", "edge", "rank"), ["doc_id", "anchor", "c"], "left")
+    kept = F.coalesce(F.col("rank") == 1, F.lit(False)) | F.col("hit") & (F.coalesce(F.col("edge") >= F.col("zone"), F.lit(False)) | (F.col("h") > F.col("zone")))
+    return rows.filter(kept).select("doc_id", "word_id").distinct()

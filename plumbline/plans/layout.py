@@ -37,8 +37,8 @@ def d3(v: Views) -> DataFrame:
     return ordered.least_spacing(v.P, ["doc_id"], "h", 0.5, 20.0, 3.66)
 
 
-@query("E5_carry_forward", """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) asked
-FROM conversations QUALIFY role = 'assistant'""".replace("QUALIFY role = 'assistant'", "").replace("SELECT conv_id", ", z AS (SELECT role, conv_id", 1) + ") SELECT conv_id, turn, asked FROM z WHERE role = 'assistant'")
+@query("E5_carry_forward", """, z AS (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) asked FROM conversations)
+SELECT conv_id, turn, asked FROM z WHERE role = 'assistant'""")
 def e5(v: Views) -> DataFrame:
     out = ordered.carried(v.conversations, ["conv_id"], ["turn"], F.col("role") == "user", F.col("text"), "asked")
     return out.filter("role = 'assistant'").select("conv_id", "turn", "asked")
@@ -70,8 +70,12 @@ def e4(v: Views) -> DataFrame:
     return ordered.ranked(v.claims(False), ["pin"], ["af", "signal"], "occurrence").select("pin", "signal", F.col("occurrence").cast("long").alias("occurrence"))
 
 
-@query("E6_midpoint_spans", """, a AS (SELECT DISTINCT doc_id, h FROM pts WHERE text = 'signup')
-SELECT doc_id, round(h, 4) h, round(coalesce((lag(h) OVER w + h) / 2, h - 60), 4) lo, round(coalesce((lead(h) OVER w + h) / 2, h + 60), 4) hi FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY h)""")
+SPANS = """, a AS (SELECT DISTINCT doc_id, h FROM pts WHERE text = 'signup'), m AS (SELECT doc_id, median(g) p FROM (SELECT doc_id, h - lag(h) OVER (PARTITION BY doc_id ORDER BY h) g FROM a) GROUP BY doc_id),
+sp AS (SELECT a.doc_id, a.h, coalesce((lag(a.h) OVER w + a.h) / 2, a.h - coalesce(p, 60) / 2) lo, coalesce((lead(a.h) OVER w + a.h) / 2, a.h + coalesce(p, 60) / 2) hi FROM a JOIN m ON m.doc_id = a.doc_id WINDOW w AS (PARTITION BY a.doc_id ORDER BY a.h))
+"""
+
+
+@query("E6_midpoint_spans", SPANS + "SELECT doc_id, round(h, 4) h, round(lo, 4) lo, round(hi, 4) hi FROM sp")
 def e6(v: Views) -> DataFrame:
     anchors = v.P.filter("text = 'signup'").select("doc_id", "h").distinct()
     return ordered.midpoint_spans(anchors, ["doc_id"], "h", 60.0).select("doc_id", *(F.round(c, 4).alias(c) for c in ("h", "lo", "hi")))
@@ -84,18 +88,21 @@ def e7(v: Views) -> DataFrame:
     return ordered.hole_slots(days, ["doc_id"], "d", 1.0)
 
 
-@query("E9_run_to_break", """, g AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id ORDER BY x, word_id) g FROM pts),
-b AS (SELECT *, max(CASE WHEN coalesce(g, 0) > 172800 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x, word_id ROWS UNBOUNDED PRECEDING) b FROM g) SELECT doc_id, word_id FROM b WHERE b = 0""")
+@query("E9_run_to_break", """, g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id ORDER BY x, word_id) > 172800 THEN 1 ELSE 0 END s, row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, word_id) best FROM pts),
+b AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY x, word_id) run FROM g), o AS (SELECT doc_id, run FROM b WHERE best = 1) SELECT b.doc_id, word_id FROM b JOIN o ON o.doc_id = b.doc_id AND o.run = b.run""")
 def e9(v: Views) -> DataFrame:
-    gaps = ordered.consecutive_gap(v.P, ["doc_id"], "x", "word_id")
-    return ordered.run_to_break(gaps, ["doc_id"], ["x", "word_id"], "gap", 172800.0).select("doc_id", "word_id")
+    """Events that a walk from a user's largest one reaches, either way, before a pause of two days."""
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("y"), "word_id")) == 1
+    return ordered.run_to_break(v.P, ["doc_id"], ["x", "word_id"], "x", best, 172800.0).select("doc_id", "word_id")
 
 
 @query("E12_first_definition", """, r AS (SELECT doc_id, sha256(text) digest, row_number() OVER (PARTITION BY text ORDER BY doc_id) r FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, digest, r > 1 duplicate FROM r""")
 def e12(v: Views) -> DataFrame:
+    """The least document of each text defines it; others are duplicates. Digests are counted before anything is joined."""
     docs = v.documents.filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return ordered.ranked(docs, ["digest"], ["doc_id"]).select("doc_id", "digest", (F.col("rank") > 1).alias("duplicate"))
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return docs.join(first, "digest").select("doc_id", "digest", (F.col("doc_id") > F.col("first")).alias("duplicate"))
 
 
 @query("E11_rival_resolution", """, r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) r,
@@ -108,11 +115,17 @@ def e11(v: Views) -> DataFrame:
 
 @query("F1_strongest_candidate", """, s AS (SELECT doc_id, count(*) n, count(DISTINCT pin) pins FROM boards GROUP BY doc_id),
 r AS (SELECT o_custkey, o_orderkey, pins, n, row_number() OVER (PARTITION BY o_custkey ORDER BY pins DESC, n DESC, o_orderkey) r FROM orders JOIN s ON doc_id = o_orderkey)
-SELECT o_custkey, o_orderkey, pins, n FROM r WHERE r = 1""")
+SELECT o_custkey, min(o_orderkey) FILTER (r = 1) o_orderkey, min(pins) FILTER (r = 1) pins, min(n) FILTER (r = 1) n, count(*) - 1 rivals, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (r BETWEEN 2 AND 6), '') pages FROM r GROUP BY o_custkey""")
 def f1(v: Views) -> DataFrame:
+    """The strongest order of a customer, how many rivals it has, and the strongest five of them."""
     size = v.B.groupBy(F.col("doc_id").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pin").alias("pins"))
     rows = v.orders.select("o_custkey", "o_orderkey").join(size, "o_orderkey")
-    return ordered.first_by(rows, ["o_custkey"], [F.desc("pins"), F.desc("n"), "o_orderkey"]).select("o_custkey", "o_orderkey", "pins", "n")
+    top = ordered.first_by(rows, ["o_custkey"], [F.desc("pins"), F.desc("n"), "o_orderkey"], 6)
+    best = F.struct((-F.col("pins")).alias("a"), (-F.col("n")).alias("b"), "o_orderkey", "pins", "n")
+    strongest = top.groupBy("o_custkey").agg(F.min(best).alias("s"), F.sort_array(F.collect_list("o_orderkey")).alias("listed"))
+    total = rows.groupBy("o_custkey").agg((F.count(F.lit(1)) - 1).alias("rivals"))
+    pages = F.array_join(F.array_except("listed", F.array("s.o_orderkey")).cast("array<string>"), ",")
+    return strongest.join(total, "o_custkey").select("o_custkey", "s.o_orderkey", "s.pins", "s.n", "rivals", pages.alias("pages"))
 
 
 @query("F4_top_and_rest", "SELECT doc_id, seq, pin, rank, rank <= 4 listed FROM (SELECT doc_id, seq, pin, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY qty DESC, seq, pin, dev) AS INTEGER) rank FROM boards)")
@@ -127,18 +140,20 @@ def i3(v: Views) -> DataFrame:
     return out.select("doc_id", "seq", "pin", F.col("number").cast("int").alias("number"), "reason")
 
 
-@query("I9_near_duplicate_collapse", """, RECURSIVE_ AS (SELECT 1)
-SELECT doc_id, h FROM (SELECT doc_id, unnest(list_reduce(list_prepend([]::DOUBLE[], list_transform(list_sort(list(h)), lambda v: [v])),
- lambda acc, v: CASE WHEN len(acc) = 0 OR v[1] - acc[len(acc)] >= 48 THEN list_concat(acc, v) ELSE acc END)) h FROM pts GROUP BY doc_id)""".replace(", RECURSIVE_ AS (SELECT 1)\n", ""))
+@query("I9_near_duplicate_collapse", """SELECT doc_id, h FROM (SELECT doc_id, unnest(list_reduce(list_prepend(CAST([] AS DOUBLE[]), list_transform(list_sort(list(h)), lambda v: [v])),
+ lambda acc, v: CASE WHEN len(acc) = 0 OR v[1] - acc[len(acc)] >= 48 THEN list_concat(acc, v) ELSE acc END)) h FROM pts GROUP BY doc_id)""")
 def i9(v: Views) -> DataFrame:
     return ordered.thinned(v.P, ["doc_id"], "h", 48.0)
 
 
-@query("C7_token_stitching", """, m AS (SELECT doc_id, pos, token, CASE WHEN regexp_matches(token, '[.,]$') THEN 1 ELSE 0 END stop FROM toks),
-c AS (SELECT *, coalesce(sum(stop) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) c FROM m)
-SELECT doc_id, CAST(c AS BIGINT) chain, string_agg(token, '' ORDER BY pos) joined, count(*) pieces FROM c GROUP BY doc_id, c""")
+@query("C7_token_stitching", """, l AS (SELECT doc_id, CAST(floor(y / 25) AS BIGINT) line, word_id, h, h + 2 e, text FROM pts), g AS (SELECT *, CASE WHEN h - lag(e) OVER w > 24 OR lag(text) OVER w = 'purchase' THEN 1 ELSE 0 END n FROM l WINDOW w AS (PARTITION BY doc_id, line ORDER BY h, word_id)),
+c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id, line ORDER BY h, word_id) AS BIGINT) chain FROM g)
+SELECT doc_id, line, chain, string_agg(text, '' ORDER BY h, word_id) joined, count(*) pieces, round(min(h), 4) x0, round(max(e), 4) x1 FROM c GROUP BY doc_id, line, chain""")
 def c7(v: Views) -> DataFrame:
-    return ordered.stitched(v.T, ["doc_id"], "pos", "token", F.col("token").rlike("[.,]$"))
+    """Events of a line of values, joined while the next one begins within a day, up to a purchase; with the box that they fill."""
+    words = v.P.select("doc_id", F.floor(F.col("y") / 25).alias("line"), "word_id", "h", (F.col("h") + 2).alias("e"), "text")
+    out = ordered.stitched(words, ["doc_id", "line"], "h", "e", "word_id", "text", 24.0, F.col("text") == "purchase")
+    return out.select("doc_id", "line", "chain", "joined", "pieces", F.round("x0", 4).alias("x0"), F.round("x1", 4).alias("x1"))
 
 
 PAIRS = "SELECT a.doc_id, a.word_id a, a.h, b.word_id b, b.h bh FROM pts a JOIN pts b ON a.doc_id = b.doc_id AND a.text = 'click' AND b.text = 'view'"
@@ -155,10 +170,13 @@ def c3(v: Views) -> DataFrame:
     return near.nearest_within(a, b, ["doc_id"], "h", "bh", 24.0, ["a"], ["b"]).select("doc_id", "a", "b", F.round("distance", 4).alias("distance"))
 
 
-@query("C6_right_neighbour", f", p AS ({PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY bh - h, b) r FROM p WHERE bh - h BETWEEN 0 AND 12) SELECT doc_id, a, b, round(bh - h, 4) distance FROM r WHERE r = 1")
+@query("C6_right_neighbour", f", p AS ({PAIRS} AND abs(a.y - b.y) <= 15), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY bh - h, b) r FROM p WHERE bh - h BETWEEN -0.5 AND 24) SELECT doc_id, a, b, round(bh - h, 4) distance FROM r WHERE r = 1")
 def c6(v: Views) -> DataFrame:
-    pairs = near.band_join(*sides(v, "click", "view"), ["doc_id"], "h", "bh", 12.0).filter("bh >= h")
-    return near.nearest(pairs, ["a"], F.col("bh") - F.col("h"), ["b"]).select("doc_id", "a", "b", F.round("distance", 4).alias("distance"))
+    """The next view to the right of a click on the same line (values no further apart than 15)."""
+    a, b = sides(v, "click", "view")
+    line = near.band_join(a, b, ["doc_id"], "y", "by", 15.0)
+    gap = F.col("bh") - F.col("h")
+    return near.nearest(line.filter(gap.between(-0.5, 24.0)), ["a"], gap, ["b"]).select("doc_id", "a", "b", F.round("distance", 4).alias("distance"))
 
 
 @query("C8_radius_join", "SELECT a.doc_id, a.word_id a, b.word_id b, round(sqrt((a.h - b.h) * (a.h - b.h) + (a.y - b.y) * (a.y - b.y)), 4) distance FROM pts a JOIN pts b ON a.doc_id = b.doc_id AND a.text = 'click' AND b.text = 'view' WHERE sqrt((a.h - b.h) * (a.h - b.h) + (a.y - b.y) * (a.y - b.y)) <= 20")
@@ -172,16 +190,18 @@ def c5(v: Views) -> DataFrame:
     return near.in_box(v.P, v.R, ["doc_id"], "h", "y", 24.0).filter("word_id <> box_id").select("doc_id", "word_id", "box_id")
 
 
-@query("C4_owner_assignment", """, p AS (SELECT pts.doc_id, word_id, box_id, CASE WHEN h < x0 THEN 'L' ELSE 'R' END side, CASE WHEN h < x0 THEN x0 - h ELSE h - x1 END d
-FROM pts JOIN boxes ON pts.doc_id = boxes.doc_id WHERE y BETWEEN y0 AND y1 AND ((h < x0 AND x0 - h <= 24) OR (h > x1 AND h - x1 <= 24))),
-r AS (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY d, box_id, side) r FROM p) SELECT doc_id, word_id, box_id, side FROM r WHERE r = 1""")
+@query("C4_owner_assignment", """, p AS (SELECT pts.doc_id, word_id, box_id, unnest([CASE WHEN y BETWEEN y0 AND y1 AND h < x0 AND x0 - h <= 24 THEN {'o': 0, 'side': 'L', 'd': x0 - h} END, CASE WHEN y BETWEEN y0 AND y1 AND h > x1 AND h - x1 <= 24 THEN {'o': 1, 'side': 'R', 'd': h - x1} END,
+CASE WHEN h BETWEEN x0 AND x1 AND y < y0 AND y0 - y <= 24 THEN {'o': 2, 'side': 'T', 'd': y0 - y} END, CASE WHEN h BETWEEN x0 AND x1 AND y > y1 AND y - y1 <= 24 THEN {'o': 3, 'side': 'B', 'd': y - y1} END]) s FROM pts JOIN boxes ON pts.doc_id = boxes.doc_id),
+r AS (SELECT doc_id, word_id, box_id, s.side side, row_number() OVER (PARTITION BY word_id ORDER BY s.d, box_id, s.o) r FROM p WHERE s IS NOT NULL) SELECT doc_id, word_id, box_id, side FROM r WHERE r = 1""")
 def c4(v: Views) -> DataFrame:
-    """The box whose edge is nearest, for points level with it and in the gutter beside it."""
-    wide = v.R.withColumns({"gx0": F.col("x0"), "gx1": F.col("x1"), "x0": F.col("x0") - 24, "x1": F.col("x1") + 24})
-    left = F.col("h") < F.col("gx0")
-    p = near.in_box(v.P, wide, ["doc_id"], "h", "y", 72.0).filter(left | (F.col("h") > F.col("gx1")))
-    p = p.withColumn("side", F.when(left, "L").otherwise("R")).filter(F.when(left, F.col("gx0") - F.col("h")).otherwise(F.col("h") - F.col("gx1")) <= 24)
-    return near.nearest(p, ["word_id"], F.when(left, F.col("gx0") - F.col("h")).otherwise(F.col("h") - F.col("gx1")), ["box_id", "side"]).select("doc_id", "word_id", "box_id", "side")
+    """The box whose edge is nearest of all whose gutter holds a point: to the left, right, above or below."""
+    h, y, x0, x1, y0, y1 = map(F.col, ("h", "y", "gx0", "gx1", "gy0", "gy1"))
+    wide = v.R.select("doc_id", "box_id", *(F.col(c).alias(f"g{c}") for c in ("x0", "x1", "y0", "y1")), (F.col("x0") - 24).alias("x0"), (F.col("x1") + 24).alias("x1"), (F.col("y0") - 24).alias("y0"), (F.col("y1") + 24).alias("y1"))
+    level, within = y.between(y0, y1), h.between(x0, x1)
+    gutters = [(level, x0 - h, "L"), (level, h - x1, "R"), (within, y0 - y, "T"), (within, y - y1, "B")]
+    found = F.array_compact(F.array(*(F.when(c & (d > 0) & (d <= 24), F.struct(d.alias("d"), F.lit(k).alias("o"), F.lit(s).alias("side"))) for k, (c, d, s) in enumerate(gutters))))
+    p = near.in_box(v.P, wide, ["doc_id"], "h", "y", 72.0).select("doc_id", "word_id", "box_id", F.explode(found).alias("g"))
+    return near.nearest(p, ["word_id"], F.col("g.d"), ["box_id", F.col("g.o")]).select("doc_id", "word_id", "box_id", "g.side")
 
 
 BOXES = """, p AS (SELECT a.doc_id, a.box_id a, b.box_id b, a.y0 ay0, a.y1 ay1, b.y0 by0, b.y1 by1, sqrt(pow(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + pow(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2)) gap
@@ -244,16 +264,56 @@ def d11(v: Views) -> DataFrame:
     return ordered.first_by(bands, ["doc_id"], [F.desc("n"), "band"])
 
 
-SWEEP = """, o AS (SELECT unnest(range(-6, 7)) o), a AS (SELECT doc_id, word_id a, h FROM pts WHERE text = 'click'), b AS (SELECT doc_id, h bh FROM pts WHERE text = 'view'),
-p AS (SELECT a.doc_id, o, a, min(abs(h + o * 2 - bh)) d FROM a JOIN b ON a.doc_id = b.doc_id AND abs(h - bh) <= 18 CROSS JOIN o WHERE abs(h + o * 2 - bh) <= 6 GROUP BY ALL),
-s AS (SELECT doc_id, o, count(*) pairs, sum(CASE WHEN d <= 1 THEN 1 ELSE 0 END) sat FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sat DESC, pairs DESC, abs(o), o) r FROM s) """
+SWEEP = """, o AS (SELECT unnest(range(-18, 19)) o), ax AS (SELECT doc_id, 'h' axis, word_id, text, h p, y q FROM pts UNION ALL SELECT doc_id, 'y', word_id, text, y, h FROM pts), a AS (SELECT * FROM ax WHERE text = 'click'), b AS (SELECT * FROM ax WHERE text = 'view'),
+c AS (SELECT a.doc_id, a.axis, o, a.word_id a, b.word_id b, a.q, b.q bq, abs(a.p + o - b.p) d FROM a JOIN b ON a.doc_id = b.doc_id AND a.axis = b.axis AND abs(a.p - b.p) <= 24 CROSS JOIN o WHERE abs(a.p + o - b.p) <= 6),
+n AS (SELECT *, row_number() OVER (PARTITION BY axis, o, a ORDER BY d, b) r FROM c),
+s AS (SELECT doc_id, axis, o, count(*) pairs, count(*) FILTER (a % 3 <> 0) chk, count(*) FILTER (a % 3 <> 0 AND abs(q - bq) <= 30) sat, count(*) FILTER (b % 5 = 0) reserved FROM n WHERE r = 1 GROUP BY doc_id, axis, o),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, axis ORDER BY sat DESC, chk - sat, reserved, pairs DESC, abs(o), o) r FROM s) """
+
+
+def aligned(v: Views) -> DataFrame:
+    """For each user, axis (time, value) and shift of the clicks by -18 to 18 twelfths of a pitch of 12: how many clicks have a
+    view within half a pitch, how many of them claim something (their id is no multiple of 3) and how many of those agree
+    with it (the other coordinate lies near), and how many land on a reserved view (every fifth)."""
+    axes = F.explode(F.array(F.struct(F.lit("h").alias("axis"), F.col("h").alias("p"), F.col("y").alias("q")), F.struct(F.lit("y").alias("axis"), F.col("y").alias("p"), F.col("h").alias("q"))))
+    points = v.P.select("doc_id", "word_id", "text", axes.alias("c")).select("doc_id", "word_id", "text", "c.*")
+    a = points.filter("text = 'click'").select("doc_id", "axis", F.col("word_id").alias("a"), "p", "q")
+    b = points.filter("text = 'view'").select("doc_id", "axis", F.col("word_id").alias("b"), F.col("p").alias("bp"), F.col("q").alias("bq"))
+    pairs = near.band_join(a, b, ["doc_id", "axis"], "p", "bp", 24.0)
+    # only the shifts that bring a pair together are made
+    o = F.sequence(F.greatest(F.lit(-18), F.ceil(F.col("bp") - F.col("p") - 6).cast("int") - 1), F.least(F.lit(18), F.floor(F.col("bp") - F.col("p") + 6).cast("int") + 1))
+    shifted = pairs.withColumn("o", F.explode(F.filter(o, lambda x: x.between(-18, 18)))).withColumn("d", F.abs(F.col("p") + F.col("o") - F.col("bp"))).filter("d <= 6")
+    best = shifted.groupBy("doc_id", "axis", "o", "a").agg(F.min(F.struct("d", "b", "q", "bq")).alias("m"))
+    claims = F.col("a") % 3 != 0
+    agree = F.abs(F.col("m.q") - F.col("m.bq")) <= 30
+    count = lambda c: F.count(F.when(c, 1))
+    return best.groupBy("doc_id", "axis", "o").agg(F.count(F.lit(1)).alias("pairs"), count(claims).alias("chk"), count(claims & agree).alias("sat"), count(F.col("m.b") % 5 == 0).alias("reserved"))
+
+
+@query("F2_alignment_sweep", SWEEP + "SELECT doc_id, axis, CAST(o AS INTEGER) o, pairs, chk, sat, reserved FROM r WHERE r = 1")
+def f2(v: Views) -> DataFrame:
+    """The best shift on each axis: most agreeing claims, fewest that disagree, fewest on reserved rows, most pairs, then the smallest."""
+    order = [F.desc("sat"), F.col("chk") - F.col("sat"), "reserved", F.desc("pairs"), F.abs("o"), "o"]
+    return ordered.first_by(aligned(v), ["doc_id", "axis"], order)
 
 
-@query("F2_alignment_sweep", SWEEP + "SELECT doc_id, CAST(o AS INTEGER) o, pairs, CAST(sat AS BIGINT) sat FROM r WHERE r = 1")
-def f2(v: Views) -> DataFrame:
-    """The shift of clicks that brings most of them close to a view, of 13 shifts of two hours."""
-    pairs = near.band_join(*sides(v, "click", "view"), ["doc_id"], "h", "bh", 18.0)
-    shifted = pairs.withColumn("o", F.explode(F.sequence(F.lit(-6), F.lit(6)))).withColumn("d", F.abs(F.col("h") + F.col("o") * 2 - F.col("bh")))
-    best = shifted.filter("d <= 6").groupBy("doc_id", "o", "a").agg(F.min("d").alias("d"))
-    score = best.groupBy("doc_id", "o").agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("d") <= 1).cast("long")).alias("sat"))
-    return ordered.first_by(score, ["doc_id"], [F.desc("sat"), F.desc("pairs"), F.abs("o"), "o"])
+@query("C20_grid_cells", SPANS + """, n AS (SELECT c.doc_id, c.word_id, c.h, v.word_id row_id, row_number() OVER (PARTITION BY c.word_id ORDER BY abs(c.y - v.y), v.word_id) r FROM pts c JOIN pts v ON v.doc_id = c.doc_id AND v.text = 'view' AND c.text = 'click' AND abs(c.y - v.y) <= 6)
+SELECT n.doc_id, n.word_id, n.row_id, round(sp.h, 4) col FROM n JOIN sp ON sp.doc_id = n.doc_id AND sp.lo <= n.h AND n.h < sp.hi WHERE r = 1""")
+def c20(v: Views) -> DataFrame:
+    """Clicks in a grid: the row of the nearest view by value, the column of the signup whose span holds their time."""
+    rows = v.P.filter("text = 'view'").select("doc_id", F.col("word_id").alias("row_id"), F.col("y").alias("by"))
+    words = near.nearest_within(v.P.filter("text = 'click'").select("doc_id", "word_id", "h", "y"), rows, ["doc_id"], "y", "by", 6.0, ["word_id"], ["row_id"])
+    anchors = v.P.filter("text = 'signup'").select("doc_id", "h").distinct()
+    return near.in_spans(words, ordered.midpoint_spans(anchors, ["doc_id"], "h", 60.0), ["doc_id"], "h").select("doc_id", "word_id", "row_id", F.round("span_h", 4).alias("col"))
+
+
+@query("E8_hole_adoption", """, e AS (SELECT DISTINCT doc_id, word_id, h, y FROM pts WHERE text = 'view'), g AS (SELECT *, lead(h) OVER (PARTITION BY doc_id ORDER BY h, word_id) - h n FROM e), s AS (SELECT doc_id, min(n) FILTER (n > 20) p, median(y) a FROM g GROUP BY doc_id HAVING count(*) >= 3),
+k AS (SELECT g.doc_id, g.h, p, a, CAST(round_even(n / p, 0) AS INTEGER) k FROM g JOIN s ON s.doc_id = g.doc_id WHERE p IS NOT NULL), t AS (SELECT doc_id, p, a, h + unnest(range(1, k)) * p slot FROM k WHERE k > 1),
+c AS (SELECT t.doc_id, slot, o.word_id, row_number() OVER (PARTITION BY t.doc_id, slot ORDER BY abs(o.h - slot), o.word_id) r FROM t JOIN pts o ON o.doc_id = t.doc_id AND o.text = 'click' WHERE abs(o.h - slot) <= p / 3 AND abs(o.y - a) <= 40),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, word_id ORDER BY slot) q FROM c WHERE r = 1) SELECT doc_id, round(slot, 4) slot, word_id FROM d WHERE q = 1""")
+def e8(v: Views) -> DataFrame:
+    """Clicks that stand where the rhythm of a user's views has a hole."""
+    edge = v.P.filter("text = 'view'").select("doc_id", "word_id", "h", "y")
+    spare = v.P.filter("text = 'click'").select("doc_id", "word_id", "h", "y")
+    out = ordered.adopted(edge, spare, ["doc_id"], "h", "y", "word_id", 20.0, 40.0, 1 / 3)
+    return out.select("doc_id", F.round("slot", 4).alias("slot"), "word_id")

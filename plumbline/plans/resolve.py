@@ -2,57 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import resolve
+from ..operators import audit, resolve
 from .views import Views, query
 
-RULES = [("^[0-9]+$", "number"), ("[0-9]", "mixed"), ("(?i)^(the|and|of)$", "function"), ("[.,]$", "end"), ("^[A-Z]", "capital")]
-CASE = "CASE WHEN regexp_matches(token, '^[0-9]+$') THEN 'number' WHEN regexp_matches(token, '[0-9]') THEN 'mixed' WHEN regexp_matches(token, '(?i)^(the|and|of)$') THEN 'function' WHEN regexp_matches(token, '[.,]$') THEN 'end' WHEN regexp_matches(token, '^[A-Z]') THEN 'capital' END"
 
+# Rules are data: a pattern with up to two groups, and the role it gives. The first that matches wins; of its groups the
+# first of digits is the index, the first other one the sub-role, folded by ALIASES.
+RULES = [("^([A-Z][a-z]*)-?([0-9]+)$", "named"), ("^([0-9]+)$", "number"), ("^(un|re)([0-9]*)[a-z]+$", "prefixed"), ("^([a-z]+)(?:tion|ment)$", "noun"), ("^(THE|The|the|and|of)$", "function"), ("^([A-Z])[a-z]+$", "capital")]
+ALIASES = {"un": "not", "re": "again", "The": "the", "THE": "the"}
 
-@query("B1_ordered_rules", f"SELECT {CASE} role, count(*) n FROM toks GROUP BY ALL")
+
+def rules_sql(token: str) -> str:
+    """The same rules as SQL: role, idx and sub."""
+
+    def first(p: str, wanted: str) -> str:
+        each = [f"regexp_extract({token}, '{p}', {i + 1})" for i in range(resolve.groups_of(p))]
+        return "CASE " + " ".join(f"WHEN regexp_full_match({x}, '{wanted}') THEN {x}" for x in each) + " END"
+
+    pick = lambda f: "CASE " + " ".join(f"WHEN regexp_matches({token}, '{p}') THEN {f(p, r)}" for p, r in RULES) + " END"
+    sub = pick(lambda p, r: first(p, ".*[^0-9].*"))
+    alias = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in ALIASES.items())
+    return f"{pick(lambda p, r: chr(39) + r + chr(39))} role, {pick(lambda p, r: first(p, '[0-9]+'))} idx, CASE {sub} {alias} ELSE {sub} END sub"
+
+
+@query("B1_ordered_rules", f", t AS (SELECT regexp_replace(token, '[.,]+$', '') t, count(*) n FROM toks GROUP BY 1), c AS (SELECT {rules_sql('t')}, n FROM t) SELECT role, idx, sub, CAST(sum(n) AS BIGINT) n FROM c GROUP BY role, idx, sub")
 def b1(v: Views) -> DataFrame:
-    return v.T.groupBy(resolve.first_match(F.col("token"), RULES).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    """Tokens without closing punctuation, classified to role, index and sub-role; each distinct token once."""
+    t = v.T.groupBy(F.regexp_replace("token", "[.,]+$", "").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    return t.select(resolve.classified(F.col("t"), RULES, ALIASES).alias("c"), "n").groupBy("c.role", "c.idx", "c.sub").agg(F.sum("n").alias("n"))
 
 
-@query("B2_normalised_names", r"SELECT p_partkey, regexp_replace(regexp_replace(upper(trim(p_name)), '#', ' ', 'g'), '\s+', '_', 'g') name FROM part")
+@query("B2_normalised_names", r"""SELECT p_partkey, CASE WHEN u LIKE 'SMALL\_%' ESCAPE '\' THEN 'S' || substr(u, 6) WHEN u LIKE 'OLD\_%' ESCAPE '\' THEN 'O' || substr(u, 4) ELSE u END name FROM (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(upper(trim(p_name)), 'IIC', 'I2C', 'g'), '_PIN$', ''), '[ .]+', '_', 'g') u FROM part)""")
 def b2(v: Views) -> DataFrame:
-    return v.part.select("p_partkey", resolve.normalised(F.col("p_name"), [("#", " "), (r"[ \t\n\f\r]+", "_")]).alias("name"))
+    """Upper case, spellings, suffix and separators in order; then the first family whose name stands before a separator is folded."""
+    text = resolve.normalised(F.col("p_name"), [("IIC", "I2C"), ("_PIN$", ""), ("[ .]+", "_")])
+    return v.part.select("p_partkey", resolve.family_folded(text, [("SMALL", "S"), ("OLD", "O")]).alias("name"))
 
 
-@query("B3_requirement_extraction", "SELECT event_id, nullif(regexp_extract(props, '\"k\": ?\"?([0-9]+)', 1), '') idx FROM events")
+@query("B3_requirement_extraction", """, e AS (SELECT event_id, event_type || json_extract_string(props, '$.k') t FROM events) SELECT event_id, CASE WHEN regexp_matches(t, '^(?:click|view)([0-9]+)$') THEN 'look' WHEN regexp_matches(t, '^(?:purchase)([0-9]*)$') THEN 'buy' END kind,
+CASE WHEN regexp_matches(t, '^(?:click|view)([0-9]+)$') THEN regexp_extract(t, '^(?:click|view)([0-9]+)$', 1) WHEN regexp_matches(t, '^(?:purchase)([0-9]*)$') THEN nullif(regexp_extract(t, '^(?:purchase)([0-9]*)$', 1), '') END idx FROM e""")
 def b3(v: Views) -> DataFrame:
-    return v.events.select("event_id", resolve.first_group(F.col("props"), '"k": ?"?([0-9]+)').alias("idx"))
+    """Kind and index that the name of an event asks for; null where it constrains nothing."""
+    name = F.concat("event_type", F.get_json_object("props", "$.k"))
+    rule = resolve.classified(name, [("^(?:click|view)([0-9]+)$", "look"), ("^(?:purchase)([0-9]*)$", "buy")])
+    return v.events.select("event_id", rule.alias("c")).select("event_id", F.col("c.role").alias("kind"), "c.idx")
 
 
 @query("B4_vocabulary_gate", "SELECT doc_id, count(*) n FROM toks WHERE regexp_matches(token, '^[A-Za-z]{3,}$') AND NOT regexp_matches(token, '(?i)^(the|and|with)$') GROUP BY doc_id")
 def b4(v: Views) -> DataFrame:
-    t = F.col("token")
-    return v.T.filter(t.rlike("^[A-Za-z]{3,}$") & ~t.rlike("(?i)^(the|and|with)$")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    ok = lambda t: t.rlike("^[A-Za-z]{3,}$") & ~t.rlike("(?i)^(the|and|with)$")
+    return v.documents.select("doc_id", F.size(F.filter(v.tokens, ok)).cast("long").alias("n")).filter("n > 0")
 
 
-@query("B5_token_tagging", "SELECT CASE WHEN regexp_matches(token, '^[0-9]') THEN 'pin' WHEN contains(token, '@') THEN 'supply' WHEN regexp_matches(token, '^[a-z]+$') THEN 'function' END tag, count(*) n, count(DISTINCT token) kinds FROM toks GROUP BY ALL")
+@query("B5_token_tagging", """, p AS (SELECT token, CASE WHEN regexp_matches(token, '^[0-9]') THEN 'pin' WHEN contains(token, '@') THEN 'supply' WHEN regexp_matches(token, '^[a-z]+(-[a-z]*)*$') THEN 'function' END tag, len(list_filter(regexp_split_to_array(token, '[-/]'), lambda x: x <> '')) k FROM toks)
+SELECT tag, count(*) n, count(DISTINCT token) kinds, CAST(sum(k) AS BIGINT) pieces FROM p GROUP BY tag""")
 def b5(v: Views) -> DataFrame:
-    tag = resolve.first_match(F.col("token"), [("^[0-9]", "pin"), ("@", "supply"), ("^[a-z]+$", "function")])
-    return v.T.groupBy(tag.alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("token").alias("kinds"))
+    """Pin first, else supply, else function; the pieces of a joined token, without empty ones."""
+    t = v.T.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    tag = resolve.first_match(F.col("token"), [("^[0-9]", "pin"), ("@", "supply"), ("^[a-z]+(-[a-z]*)*$", "function")])
+    pieces = F.size(F.filter(F.split("token", "[-/]"), lambda x: x != ""))
+    return t.select(tag.alias("tag"), "n", (pieces * F.col("n")).alias("k")).groupBy("tag").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("pieces"))
 
 
 @query("B6_echo_filter", "SELECT doc_id, pos, token FROM toks t WHERE regexp_matches(token, '^(re|un)..') AND NOT EXISTS (SELECT 1 FROM toks o WHERE o.doc_id = t.doc_id AND o.token = substr(t.token, 3))")
 def b6(v: Views) -> DataFrame:
-    """Prefixed tokens whose remainder is no token of their document."""
-    t = v.T.filter(F.col("token").rlike("^(re|un)..")).withColumn("_rest", F.expr("substr(token, 3)"))
-    names = v.T.select("doc_id", F.col("token").alias("_rest")).distinct()
-    return t.join(names, ["doc_id", "_rest"], "left_anti").select("doc_id", "pos", "token")
+    """Prefixed tokens whose remainder is no token of their document; all within the row."""
+    # only what some prefixed token leaves needs to be looked for
+    found = F.filter(F.transform("a", lambda t, i: F.struct(i.alias("pos"), t.alias("token"))), lambda s: s["token"].rlike("^(re|un).."))
+    rest = F.transform("found", lambda s: F.substr(s["token"], F.lit(3)))
+    rows = v.documents.select("doc_id", v.all_tokens.alias("a")).select("doc_id", "a", found.alias("found")).filter(F.size("found") > 0)
+    rows = rows.select("doc_id", "found", F.array_intersect("a", rest).alias("echo"))
+    return rows.select("doc_id", F.explode(F.filter("found", lambda s: ~F.array_contains("echo", F.substr(s["token"], F.lit(3))))).alias("s")).select("doc_id", "s.pos", "s.token")
 
 
 @query("B9_document_triage", """, c AS (SELECT d.doc_id, count(token) n, count(CASE WHEN length(token) >= 6 THEN 1 END) long, count(CASE WHEN regexp_matches(token, '^[A-Z]') THEN 1 END) caps FROM documents d LEFT JOIN toks USING (doc_id) GROUP BY d.doc_id)
 SELECT doc_id, CASE WHEN n < 25 THEN 'no text' WHEN long < 5 THEN 'unmapped' WHEN caps < 8 THEN 'no names' ELSE 'unaligned' END class FROM c""")
 def b9(v: Views) -> DataFrame:
-    hit = lambda c: F.count(F.when(c, 1))
-    counts = v.documents.select("doc_id").join(v.T, "doc_id", "left").groupBy("doc_id").agg(F.count("token").alias("n"), hit(F.length("token") >= 6).alias("long"), hit(F.col("token").rlike("^[A-Z]")).alias("caps"))
-    return counts.select("doc_id", F.expr("CASE WHEN n < 25 THEN 'no text' WHEN long < 5 THEN 'unmapped' WHEN caps < 8 THEN 'no names' ELSE 'unaligned' END").alias("class"))
+    count = lambda c: F.size(F.filter("t", c))
+    rows = v.documents.select("doc_id", F.coalesce(v.tokens, F.array().cast("array<string>")).alias("t"))
+    rows = rows.select("doc_id", F.size("t").alias("n"), count(lambda t: F.length(t) >= 6).alias("long"), count(lambda t: t.rlike("^[A-Z]")).alias("caps"))
+    return rows.select("doc_id", F.expr("CASE WHEN n < 25 THEN 'no text' WHEN long < 5 THEN 'unmapped' WHEN caps < 8 THEN 'no names' ELSE 'unaligned' END").alias("class"))
 
 
 @query("B10_message_groups", "SELECT CASE WHEN contains(event_type, 'sign') THEN 'account' WHEN contains(event_type, 'view') OR contains(event_type, 'click') THEN 'browse' ELSE 'other' END grp, count(*) n FROM events GROUP BY ALL")
@@ -91,32 +123,43 @@ def b15(v: Views) -> DataFrame:
     return v.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority").join(size, "o_orderkey", "left").select("o_orderkey", gate.alias("gate"))
 
 
-@query("B16_decision_ladder", "SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'X' WHEN o_orderstatus <> 'P' THEN o_orderstatus END value, CASE WHEN o_orderkey % 97 = 0 THEN 'given' WHEN o_orderstatus <> 'P' THEN 'read' ELSE 'not told' END reason FROM orders")
+@query("B16_decision_ladder", """, d AS (SELECT doc_id, min(dev) device FROM boards GROUP BY doc_id) SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '5%' THEN NULL WHEN o_orderkey % 97 = 0 THEN 'X' WHEN o_orderstatus <> 'P' THEN o_orderstatus END value,
+CASE WHEN o_orderpriority LIKE '5%' THEN 'inert' WHEN o_orderkey % 97 = 0 THEN 'given' WHEN o_orderstatus <> 'P' THEN 'read' ELSE 'not told' END reason, device FROM orders LEFT JOIN d ON doc_id = o_orderkey""")
 def b16(v: Views) -> DataFrame:
-    """The operator's value first, else the one read, else null with its reason."""
+    """Nothing for exempt families; else the operator's value, else the one read, else null with its reason; and the first device within reach."""
     given = v.orders.filter("o_orderkey % 97 = 0").select("o_orderkey", F.lit("X").alias("given"))
-    read = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
-    out = v.orders.join(given, "o_orderkey", "left")
-    reason = F.when(F.col("given").isNotNull(), "given").when(read.isNotNull(), "read").otherwise("not told")
-    return out.select("o_orderkey", F.coalesce("given", read).alias("value"), reason.alias("reason"))
-
-
-@query("C13_containment_merge", """, a AS (SELECT DISTINCT p_brand, p_name FROM (SELECT p_brand, split_part(p_name, ' ', 1) p_name FROM part UNION ALL SELECT p_brand, p_name FROM part)),
-i AS (SELECT a.p_brand, a.p_name, b.p_name host FROM a JOIN a b ON a.p_brand = b.p_brand AND length(b.p_name) > length(a.p_name) AND contains(b.p_name, a.p_name)),
-t AS (SELECT i.* FROM i WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.p_brand = i.p_brand AND j.p_name = i.host)), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY length(host) DESC, host) r FROM t)
-SELECT a.p_brand, a.p_name, r.host FROM a LEFT JOIN r ON r.p_brand = a.p_brand AND r.p_name = a.p_name AND r = 1""")
+    device = v.B.groupBy(F.col("doc_id").alias("o_orderkey")).agg(F.min("dev").alias("device"))
+    read, exempt = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")), F.col("o_orderpriority").startswith("5")
+    out = v.orders.join(given, "o_orderkey", "left").join(device, "o_orderkey", "left")
+    reason = F.when(exempt, "inert").when(F.col("given").isNotNull(), "given").when(read.isNotNull(), "read").otherwise("not told")
+    return out.select("o_orderkey", F.when(~exempt, F.coalesce("given", read)).alias("value"), reason.alias("reason"), "device")
+
+
+@query("C13_containment_merge", """, u AS (SELECT p_brand, split_part(p_name, ' ', 1) p_name, p_size FROM part UNION ALL SELECT p_brand, p_name, p_size FROM part), a AS (SELECT p_brand, p_name, nullif(p_size % 3, 0) mark, count(*) n, max(p_size) conf FROM u GROUP BY ALL),
+i AS (SELECT a.p_brand, a.p_name, a.mark, b.p_name host, b.mark host_mark FROM a JOIN a b ON a.p_brand = b.p_brand AND length(b.p_name) > length(a.p_name) AND contains(b.p_name, a.p_name) AND (a.mark IS NULL OR a.mark = b.mark)),
+t AS (SELECT i.* FROM i WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.p_brand = i.p_brand AND j.p_name = i.host AND j.mark IS NOT DISTINCT FROM i.host_mark)), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name, mark ORDER BY length(host) DESC, host, host_mark NULLS FIRST) r FROM t),
+m AS (SELECT a.p_brand, coalesce(r.host, a.p_name) p_name, CASE WHEN r.host IS NULL THEN a.mark ELSE r.host_mark END mark, a.n, a.conf FROM a LEFT JOIN r ON r.p_brand = a.p_brand AND r.p_name = a.p_name AND r.mark IS NOT DISTINCT FROM a.mark AND r = 1)
+SELECT p_brand, p_name, CAST(mark AS INTEGER) mark, CAST(sum(n) AS BIGINT) n, max(conf) confidence FROM m GROUP BY p_brand, p_name, mark""")
 def c13(v: Views) -> DataFrame:
-    short = v.part.select("p_brand", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("p_name"))
-    return resolve.folded(short.unionByName(v.part.select("p_brand", "p_name")), "p_brand", "p_name")
+    """Names folded into the longest longer name of their brand that contains them, unless their marks differ; numbers add up, the best confidence stays."""
+    short = v.part.select("p_brand", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("p_name"), "p_size")
+    every = short.unionByName(v.part.select("p_brand", "p_name", "p_size")).withColumn("mark", F.nullif(F.col("p_size") % 3, F.lit(0)))
+    names = every.groupBy("p_brand", "p_name", "mark").agg(F.count(F.lit(1)).alias("n"), F.max("p_size").alias("confidence"))
+    return resolve.merged_into_hosts(names, "p_brand", "p_name", "mark", "n", "confidence")
 
 
-@query("C14_longest_prefix", """, n AS (SELECT DISTINCT lower(token) name FROM toks WHERE length(token) BETWEEN 4 AND 6 AND regexp_matches(token, '^[A-Za-z]+$')),
-t AS (SELECT DISTINCT lower(token) token FROM toks WHERE length(token) BETWEEN 4 AND 12 AND regexp_matches(token, '^[A-Za-z]+$')), s AS (SELECT token, unnest(range(4, length(token) + 1)) k FROM t)
-SELECT token, arg_max(name, length(name)) name FROM s JOIN n ON name = substr(token, 1, k) GROUP BY token""")
+@query("C14_longest_prefix", r""", d AS (SELECT DISTINCT lower(token) driver FROM toks WHERE doc_id % 10 = 0 AND regexp_full_match(token, '[A-Za-z]{4,}')), al AS (SELECT substr(driver, 1, 5) a, min(driver) driver FROM d WHERE length(driver) >= 8 GROUP BY 1),
+k AS (SELECT driver k, driver, 1 prio FROM d UNION ALL SELECT a, driver, 0 FROM al), t AS (SELECT DISTINCT regexp_replace(lower(token), '[^\p{L}\p{N}]', '', 'g') token FROM toks), s AS (SELECT token, unnest(range(4, length(token) + 1)) n FROM t WHERE length(token) >= 4),
+h AS (SELECT s.token, k.driver, row_number() OVER (PARTITION BY s.token ORDER BY s.n DESC, prio, k.driver) r FROM s JOIN k ON k.k = substr(s.token, 1, s.n)), f AS (SELECT token, driver, row_number() OVER (PARTITION BY driver ORDER BY token) r FROM h WHERE r = 1) SELECT token, driver FROM f WHERE r = 1""")
 def c14(v: Views) -> DataFrame:
-    words = v.T.filter(F.col("token").rlike("^[A-Za-z]{4,12}$")).select(F.lower("token").alias("token")).distinct()
-    names = v.T.filter(F.col("token").rlike("^[A-Za-z]{4,6}$")).select(F.lower("token").alias("name")).distinct()
-    return resolve.longest_prefix(words, names, "token", "name", 4)
+    """The driver of each token's longest leading part, aliases before names; of the tokens that hit a driver the first one."""
+    words = v.T.select(F.regexp_replace(F.lower("token"), r"[^\p{L}\p{N}]", "").alias("token")).distinct()
+    drivers = v.T.filter((F.col("doc_id") % 10 == 0) & F.col("token").rlike("^[A-Za-z]{4,}$")).select(F.lower("token").alias("driver")).distinct()
+    aliases = drivers.filter(F.length("driver") >= 8).groupBy(F.substring("driver", 1, 5).alias("name")).agg(F.min("driver").alias("driver")).withColumn("prio", F.lit(0))
+    names = drivers.select(F.col("driver").alias("name"), "driver", F.lit(1).alias("prio")).unionByName(aliases)
+    found = resolve.longest_prefix(words, names, "token", "name", 4)
+    best = found.join(names, "name").groupBy("token").agg(F.min(F.struct("prio", "driver")).alias("b")).select("token", "b.driver")
+    return best.groupBy("driver").agg(F.min("token").alias("token"))
 
 
 @query("C14_longest_prefix_all", r""", n AS (SELECT DISTINCT lower(token) name FROM toks WHERE regexp_full_match(token, '\p{L}{4,}')),
@@ -135,21 +178,28 @@ def c15(v: Views) -> DataFrame:
     return resolve.hamming_one(brand, brand.withColumnRenamed("a", "b"), "a", "b")
 
 
-@query("C16_wildcard_codes", """, a AS (SELECT DISTINCT c_name code FROM customer), p AS (SELECT DISTINCT regexp_replace(c_name, '.$', 'x') pattern FROM customer WHERE c_custkey % 7 = 0)
-SELECT code, pattern FROM a JOIN p ON length(code) = length(pattern) AND substr(code, 1, length(code) - 1) = substr(pattern, 1, length(pattern) - 1)""")
+@query("C16_wildcard_codes", """, a AS (SELECT DISTINCT CASE WHEN c_custkey % 13 = 0 THEN substr(c_name, 1, 16) || 'x' || substr(c_name, 18) ELSE c_name END code FROM customer),
+p AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN regexp_replace(c_name, '.$', 'x') ELSE 'xu' || substr(c_name, 3, 14) || 'xx' END pattern FROM customer WHERE c_custkey % 7 = 0)
+SELECT code, pattern FROM a JOIN p ON length(code) = length(pattern) AND len(list_filter(range(1, length(code) + 1), lambda i: code[i] <> pattern[i] AND code[i] <> 'x' AND pattern[i] <> 'x')) = 0""")
 def c16(v: Views) -> DataFrame:
-    codes = v.customer.select(F.col("c_name").alias("code")).distinct()
-    patterns = v.customer.filter("c_custkey % 7 = 0").select(F.regexp_replace("c_name", ".$", "x").alias("pattern")).distinct()
-    return resolve.wildcard(codes, patterns, "code", "pattern", 16)
+    """Codes and patterns with wildcards at either's end, middle or beginning."""
+    n, key = F.col("c_name"), F.col("c_custkey")
+    codes = v.customer.select(F.when(key % 13 == 0, F.concat(F.substring(n, 1, 16), F.lit("x"), F.expr("substr(c_name, 18)"))).otherwise(n).alias("code"))
+    patterns = v.customer.filter("c_custkey % 7 = 0").select(F.when(key % 2 == 0, F.regexp_replace(n, ".$", "x")).otherwise(F.concat(F.lit("xu"), F.substring(n, 3, 14), F.lit("xx"))).alias("pattern"))
+    return resolve.wildcard(codes, patterns, "code", "pattern")
+
 
+def misspelt(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Names with a letter changed, and the names."""
+    names = v.customer.select(F.col("c_mktsegment").alias("name")).unionByName(v.part.select(F.col("p_name").alias("name"))).distinct()
+    return names.select(F.regexp_replace("name", "^([^aeI]*)[aeI]", "$1y").alias("wrong")).distinct(), names
 
-@query("C18_close_names", """, a AS (SELECT DISTINCT c_mktsegment wrong FROM customer), m AS (SELECT regexp_replace(wrong, 'I', 'Y') wrong FROM a), b AS (SELECT DISTINCT c_mktsegment name FROM customer),
-g AS (SELECT wrong, name, round(1 - levenshtein(wrong, name) / greatest(length(wrong), length(name)), 6) ratio FROM m, b WHERE EXISTS (SELECT 1 FROM range(1, length(wrong) - 1) t(i) WHERE contains(name, substr(wrong, i, 3)))),
+
+@query("C18_close_names", """, a AS (SELECT DISTINCT c_mktsegment name FROM customer UNION SELECT DISTINCT p_name FROM part), m AS (SELECT DISTINCT regexp_replace(name, '[aeI]', 'y') wrong FROM a),
+g AS (SELECT wrong, name, round(1 - levenshtein(wrong, name) / greatest(length(wrong), length(name)), 6) ratio FROM m, a),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY wrong ORDER BY ratio DESC, name) AS INTEGER) rank FROM g WHERE ratio >= 0.5) SELECT wrong, name, ratio, rank FROM r WHERE rank <= 3""")
 def c18(v: Views) -> DataFrame:
-    names = v.customer.select(F.col("c_mktsegment").alias("name")).distinct()
-    wrong = names.select(F.regexp_replace("name", "^([^I]*)I", "$1Y").alias("wrong")).distinct()
-    return resolve.close_names(wrong, names, "wrong", "name", 0.5, 3)
+    return resolve.close_names(*misspelt(v), "wrong", "name", 0.5, 3)
 
 
 @query("C12_nearest_left", r"SELECT doc_id, line_no, list_extract(regexp_extract_all(string_split(line, ' and ')[1], '\b[A-Z][a-z]+'), -1) designator FROM lns WHERE contains(line, ' and ') AND regexp_matches(string_split(line, ' and ')[1], '\b[A-Z][a-z]+')")
@@ -160,10 +210,11 @@ def c12(v: Views) -> DataFrame:
     return out.filter("designator IS NOT NULL")
 
 
-@query("H1_engineering_values", """, q AS (SELECT DISTINCT CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) q FROM lineitem), u AS (SELECT q || s t, CASE s WHEN 'R' THEN q::DOUBLE WHEN 'K7' THEN (q || '.7')::DOUBLE * 1000 WHEN 'M' THEN q::DOUBLE * 1000000 END ohms FROM q, (VALUES ('R'), ('K7'), ('M'), ('Z')) s(s)) SELECT t, round(ohms, 3) ohms FROM u""")
+@query("H1_engineering_values", """, q AS (SELECT DISTINCT CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) q FROM lineitem), u AS (SELECT q || s t, CASE s WHEN 'R' THEN q::DOUBLE WHEN 'K7' THEN (q || '.7')::DOUBLE * 1000 WHEN 'M' THEN q::DOUBLE * 1000000 WHEN 'k' THEN q::DOUBLE * 1000 WHEN '.5kΩ' THEN (q || '.5')::DOUBLE * 1000 WHEN ' ohm' THEN q::DOUBLE END ohms
+FROM q, (VALUES ('R'), ('K7'), ('M'), ('Z'), ('k'), ('.5kΩ'), (' ohm'), ('')) s(s)) SELECT t, round(ohms, 3) ohms FROM u""")
 def h1(v: Views) -> DataFrame:
     q = v.lineitem.select(F.col("l_quantity").cast("int").cast("string").alias("q")).distinct()
-    t = q.select(F.explode(F.array(*(F.concat("q", F.lit(s)) for s in ("R", "K7", "M", "Z")))).alias("t"))
+    t = q.select(F.explode(F.array(*(F.concat("q", F.lit(s)) for s in ("R", "K7", "M", "Z", "k", ".5kΩ", " ohm", "")))).alias("t"))
     return t.select("t", F.round(resolve.ohms(F.col("t")), 3).alias("ohms"))
 
 
@@ -200,9 +251,9 @@ def h10(v: Views) -> DataFrame:
 
 @query("G4_union_of_readings", "SELECT doc_id, count(*) n FROM (SELECT doc_id, lower(token) t FROM toks UNION SELECT doc_id, regexp_replace(lower(token), '[.,]$', '') FROM toks UNION SELECT doc_id, upper(token) FROM toks) WHERE regexp_matches(t, '^[a-z]+$') GROUP BY doc_id")
 def g4(v: Views) -> DataFrame:
-    read = [F.lower("token"), F.regexp_replace(F.lower("token"), "[.,]$", ""), F.upper("token")]
-    out = v.T.select("doc_id", F.explode(F.array(*read)).alias("t")).filter(F.col("t").rlike("^[a-z]+$")).distinct()
-    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """How many distinct names a document has in any reading of its tokens: as they are, without closing punctuation, in capitals."""
+    read = F.flatten(F.transform(v.tokens, lambda t: F.array(F.lower(t), F.regexp_replace(F.lower(t), "[.,]$", ""), F.upper(t))))
+    return v.documents.select("doc_id", F.size(F.array_distinct(F.filter(read, lambda t: t.rlike("^[a-z]+$")))).cast("long").alias("n")).filter("n > 0")
 
 
 @query("D28_vocabulary_census", r"SELECT regexp_replace(token, '[0-9]', 'n', 'g') shape, count(DISTINCT doc_id) docs, count(*) n FROM toks WHERE regexp_matches(token, '[0-9]') GROUP BY ALL")
@@ -238,11 +289,21 @@ def a6(v: Views) -> DataFrame:
     return v.L.withColumn("t", n).filter("t IS NOT NULL").groupBy("doc_id").agg(F.min_by("t", "line_no").alias("value"))
 
 
-@query("A7_catalogue_harvest", ", m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+ment[a-z]*')) w FROM documents) SELECT w, min(doc_id) first_doc, count(*) n FROM m WHERE length(w) >= 6 AND w NOT IN ('ment', 'mentment') GROUP BY w")
+@query("A7_catalogue_harvest", """, m AS (SELECT doc_id, 1 k, 'state' category, unnest(regexp_extract_all(text, '[a-z]+ment[a-z]*')) w FROM documents UNION ALL SELECT doc_id, 2, 'action', unnest(regexp_extract_all(text, '[a-z]+tion[a-z]*')) FROM documents UNION ALL SELECT doc_id, 3, 'any', unnest(regexp_extract_all(text, '[a-z]+ing')) FROM documents),
+g AS (SELECT w, k, category, min(doc_id) first_doc, count(*) n FROM m WHERE length(w) >= 6 AND w NOT IN ('mentment', 'tiontion') GROUP BY w, k, category), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY k) r FROM g) SELECT category, w, first_doc, n FROM r WHERE r = 1""")
 def a7(v: Views) -> DataFrame:
-    words = v.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+ment[a-z]*"), F.lit(0))).alias("w"))
-    stop = v.spark.createDataFrame([("ment",), ("mentment",)], "w string")
-    return words.filter(F.length("w") >= 6).join(F.broadcast(stop), "w", "left_anti").groupBy("w").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    """Words by an ordered list of patterns, without rejected and short ones; the first pattern that finds a word gives its category."""
+    patterns = [("[a-z]+ment[a-z]*", "state"), ("[a-z]+tion[a-z]*", "action"), ("[a-z]+ing", "any")]
+
+    def hits(k: int) -> Column:
+        pattern, category = patterns[k]
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k"), F.lit(category).alias("category")))
+
+    found = F.flatten(F.array(*map(hits, range(len(patterns)))))
+    words = v.documents.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*").filter(F.length("w") >= 6)
+    stop = v.spark.createDataFrame([("mentment",), ("tiontion",)], "w string")
+    each = words.join(F.broadcast(stop), "w", "left_anti").groupBy("w", "k", "category").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    return each.groupBy("w").agg(F.min(F.struct("k", "category", "first_doc", "n")).alias("b")).select("b.category", "w", "b.first_doc", "b.n")
 
 
 @query("A8_read_back", """, m AS (SELECT page_id, regexp_extract_all(html, '([a-z]+)="[^"]*"', 0) m FROM pages), x AS (SELECT page_id, unnest(m) m, unnest(range(len(m))) pos FROM m)
@@ -253,11 +314,49 @@ def a8(v: Views) -> DataFrame:
     return m.groupBy("page_id", F.regexp_extract("m", "^[a-z]+", 0).alias("name")).agg(F.max_by(F.regexp_extract("m", '"([^"]*)"', 1), "pos").alias("value"))
 
 
-@query("A9_hash_inventory", "SELECT sha256(text) digest, min(doc_id) first_doc, count(*) copies FROM documents WHERE text IS NOT NULL GROUP BY text")
+@query("A9_hash_inventory", "SELECT sha256(text) digest, min(doc_id) first_doc, count(*) copies FROM documents WHERE text IS NOT NULL AND strlen(text) <= 4000 AND text IN (SELECT text FROM documents WHERE doc_id % 5 = 0) GROUP BY text")
 def a9(v: Views) -> DataFrame:
-    return v.documents.filter("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
+    """First document and number of copies of every registered digest, of texts up to 4000 bytes (the size cap of the inventory)."""
+    docs = v.documents.filter((F.octet_length("text") <= 4000)).select("doc_id", F.sha2("text", 256).alias("digest"))
+    registered = docs.filter("doc_id % 5 = 0").select("digest").distinct()
+    return docs.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")).join(registered, "digest", "left_semi")
 
 
-@query("A10_required_fields", "SELECT d.doc_id, quality IS NULL quarantined FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query("A10_required_fields", "SELECT d.doc_id, array_to_string(list_filter([CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END, CASE WHEN coalesce(trim(lang), '') = '' THEN 'lang' END], lambda x: x IS NOT NULL), ',') missing FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def a10(v: Views) -> DataFrame:
-    return v.documents.select("doc_id").join(v.labels, "doc_id", "left").select("doc_id", F.col("quality").isNull().alias("quarantined"))
+    """What required fields each document lacks; `audit.required` fails the load where any does."""
+    rows = v.documents.select("doc_id", "lang").join(v.labels, "doc_id", "left")
+    return rows.select("doc_id", audit.lacking(["quality", "toxic", "lang"], rows).alias("missing"))
+
+
+@query("C17_target_ladder", """, nm AS (SELECT DISTINCT substr(token, 1, 5) name FROM toks WHERE doc_id % 97 = 0 AND regexp_matches(token, '^[A-Z][a-z]{4}')), n4 AS (SELECT DISTINCT token name FROM toks WHERE doc_id % 97 = 0 AND regexp_full_match(token, '[a-z]{4}')),
+c AS (SELECT doc_id, pos, substr(token, 1, 5) code FROM toks WHERE regexp_matches(token, '^[A-Z][a-z]{4}')), k AS (SELECT DISTINCT code FROM c),
+e AS (SELECT code, code target, 1 rung FROM k WHERE code IN (SELECT name FROM nm)),
+w AS (SELECT code, min(name) target, 3 rung FROM k JOIN nm ON substr(name, 1, 2) = substr(code, 1, 2) AND regexp_full_match(name, replace(code, 'x', '.')) WHERE contains(substr(code, 3), 'x') GROUP BY code HAVING count(*) = 1),
+s AS (SELECT code, min(name) target, 2 rung FROM k JOIN nm ON substr(name, 1, 2) = substr(code, 1, 2) WHERE NOT contains(substr(code, 3), 'x') GROUP BY code HAVING count(*) = 1),
+r AS (SELECT code, target, rung, row_number() OVER (PARTITION BY code ORDER BY rung) r FROM (SELECT * FROM e UNION ALL SELECT * FROM w UNION ALL SELECT * FROM s)),
+d AS (SELECT c.doc_id, arg_min(target, pos) target, arg_min(rung, pos) rung FROM c JOIN r ON r.code = c.code AND r = 1 GROUP BY c.doc_id),
+f AS (SELECT doc_id, arg_min(substr(token, 1, 3) || substr(token, 5, 1), pos) target, 4 rung FROM toks WHERE regexp_full_match(token, '[a-z]{5}') AND substr(token, 1, 3) || substr(token, 5, 1) IN (SELECT name FROM n4) AND doc_id NOT IN (SELECT doc_id FROM d) GROUP BY doc_id)
+SELECT * FROM d UNION ALL SELECT * FROM f""")
+def c17(v: Views) -> DataFrame:
+    """The name that a document's first resolvable code stands for: the exact one (1), the only one of its family (2), the only one that its x fits (3); else a name by line and last letter (4)."""
+    codes = v.T.filter(F.col("token").rlike("^[A-Z][a-z]{4}")).select("doc_id", "pos", F.substring("token", 1, 5).alias("code"))
+    names = codes.filter("doc_id % 97 = 0").select(F.col("code").alias("name")).distinct()
+    targets = resolve.laddered(codes.select("code").distinct(), names, "code", "name", 2, "x")
+    first = codes.join(targets, "code").groupBy("doc_id").agg(F.min(F.struct("pos", "target", "rung")).alias("b")).select("doc_id", "b.target", "b.rung")
+    short = v.T.filter((F.col("doc_id") % 97 == 0) & F.col("token").rlike("^[a-z]{4}$")).select(F.col("token").alias("target")).distinct()
+    last = v.T.filter(F.col("token").rlike("^[a-z]{5}$")).select("doc_id", "pos", F.concat(F.substring("token", 1, 3), F.substring("token", 5, 1)).alias("target")).join(short, "target")
+    last = last.join(first, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by("target", "pos").alias("target")).withColumn("rung", F.lit(4))
+    return first.unionByName(last)
+
+
+@query("K1_gestalt_ratio", None)
+def k1(v: Views) -> DataFrame:
+    return resolve.alike(*misspelt(v), "wrong", "name", 0.6, 3)
+
+
+@query("H8_date_stamps", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') stamp, strftime(o_orderdate, '%Y-%m-%d') < '1998-06-01' old FROM orders")
+def h8(v: Views) -> DataFrame:
+    """Year-month-day stamps, compared as text; there is no date arithmetic."""
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return v.orders.select("o_orderkey", stamp.alias("stamp"), (stamp < "1998-06-01").alias("old"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CUT = "1998-06-01"
@@ -36,6 +36,16 @@ class Views:
     def T(self) -> DataFrame:  # noqa: N802
         return self.documents.select("doc_id", F.posexplode(F.split("text", r"[ \t\n\f\r]+")).alias("pos", "token")).filter("token <> ''")
 
+    @property
+    def all_tokens(self) -> Column:
+        """A document's tokens as an array, empty ones at its ends included, so that places count as in T."""
+        return F.split("text", r"[ \t\n\f\r]+")
+
+    @property
+    def tokens(self) -> Column:
+        """The tokens of T within the row, for what needs no shuffle."""
+        return F.filter(self.all_tokens, lambda t: t != "")
+
     @cached_property
     def L(self) -> DataFrame:  # noqa: N802
         return self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -57,7 +67,7 @@ class Views:
         return self.P.filter("text = 'signup'").select("doc_id", F.col("word_id").alias("box_id"), (h - 12).alias("x0"), (h + 12).alias("x1"), (y - 20).alias("y0"), (y + 20).alias("y1"))
 
 
-VIEWS_SQL = r"""WITH pts AS (SELECT user_id doc_id, event_id word_id, event_type text, epoch_us(ts) / 1000000.0::DOUBLE x, epoch_us(ts) / 1000000.0::DOUBLE / 3600 h, value y FROM events),
+VIEWS_SQL = r"""WITH RECURSIVE pts AS (SELECT user_id doc_id, event_id word_id, event_type text, epoch_us(ts) / 1000000.0::DOUBLE x, epoch_us(ts) / 1000000.0::DOUBLE / 3600 h, value y FROM events),
 toks AS (SELECT * FROM (SELECT doc_id, CAST(unnest(range(len(a))) AS INTEGER) pos, unnest(a) token FROM (SELECT doc_id, regexp_split_to_array(text, '[ \t\n\f\r]+') a FROM documents)) WHERE token <> ''),
 lns AS (SELECT doc_id, CAST(unnest(range(len(a))) AS INTEGER) line_no, unnest(a) line FROM (SELECT doc_id, string_split(text, chr(10)) a FROM documents)),
 CLAIMS AS (SELECT l_partkey pin, l_suppkey signal, min(l_linenumber) af FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01' GROUP BY ALL),

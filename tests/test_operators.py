@@ -1,11 +1,14 @@
 """Operators on small tables with known answers."""
 
+import difflib
+import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit, near, ordered, resolve
+from plumbline.operators import assign, audit, near, ordered, resolve
 from plumbline.sources import markup
 
 
@@ -46,8 +49,8 @@ def test_hamming_and_rules(spark):
 
 
 def test_values(spark):
-    df = spark.createDataFrame([("4K7",), ("13.7K",), ("100R",), ("x",)], "v string")
-    assert [r.o for r in df.select(resolve.ohms(F.col("v")).alias("o")).collect()] == [4700.0, 13700.0, 100.0, None]
+    df = spark.createDataFrame([("4K7",), ("13.7K",), ("100R",), ("x",), ("10k",), ("100kΩ",), ("22 ohm",), ("22",)], "v string")
+    assert [r.o for r in df.select(resolve.ohms(F.col("v")).alias("o")).collect()] == [4700.0, 13700.0, 100.0, None, 10000.0, 100000.0, 22.0, None]
 
 
 def test_audit_is_three_valued(spark):
@@ -59,8 +62,135 @@ def test_audit_is_three_valued(spark):
 
 
 def test_greedy_takes_the_first_free_option(spark):
-    df = spark.createDataFrame([(1, 1, 10, [5, 6]), (1, 2, 11, [5, 6]), (1, 3, 12, [5])], "g int, o int, item long, options array<long>")
-    assert {r.item: r.taken for r in audit.greedy(df, ["g"], "o", "item", "options").collect()} == {10: 5, 11: 6, 12: None}
+    df = spark.createDataFrame([(1, 1, 10, [5, 6], [9]), (1, 2, 11, [5, 6], [9]), (1, 3, 12, [5, 9], [9]), (1, 4, 13, [], [9])], "g int, o int, item long, options array<long>, gone array<long>")
+    got = {r.item: (r.free, r.pick, r.owners) for r in assign.greedy(df, ["g"], F.col("o"), "item", "options", "gone").collect()}
+    assert got == {10: (True, 5, []), 11: (True, 6, []), 12: (False, 5, [10]), 13: (False, None, [])}
+
+
+def brute_assignment(options):
+    return next((list(p) for p in itertools.product(*options) if len(set(p)) == len(p)), None)
+
+
+def test_the_first_assignment_without_conflict():
+    assert assign.first_assignment([[1], [1, 3]]) == [1, 3]  # the one that has a single option is served first
+    assert assign.first_assignment([[1], [1]]) is None and assign.first_assignment([[], [1]]) is None and assign.first_assignment([]) == []
+    rng = random.Random(1)
+    for _ in range(300):
+        options = [sorted(rng.sample(range(6), rng.randint(0, 4))) for _ in range(rng.randint(1, 5))]
+        assert assign.first_assignment(options) == brute_assignment(options)
+
+
+def test_conflict_free_on_known_instances(spark):
+    # contention: one group only fits 1, the other 1 or 3; shared: one group; impossible: both need 2
+    rows = [("contention", "a", [1]), ("contention", "b", [1, 3]), ("shared", "a", [2, 4]), ("impossible", "a", [2]), ("impossible", "b", [2]), ("none", "a", [])]
+    rng = random.Random(2)
+    wide = {f"w{i}": {g: sorted(rng.sample(range(20), rng.randint(1, 9))) for g in "abcd"} for i in range(40)}
+    rows += [(d, g, o) for d, own in wide.items() for g, o in own.items()]
+    got = assign.conflict_free(spark.createDataFrame(rows, "d string, g string, o array<long>"), "d", "g", "o").collect()
+    by = {(r.d, r.g): (r.pick, r.solved) for r in got}
+    assert by["contention", "a"] == (1, True) and by["contention", "b"] == (3, True) and by["shared", "a"] == (2, True)
+    assert by["impossible", "a"] == by["impossible", "b"] == (2, False) and by["none", "a"] == (None, False)
+    for d, own in wide.items():
+        order = sorted(own, key=lambda g: (len(own[g]), g))
+        want = brute_assignment([own[g] for g in order])
+        assert [by[d, g][0] for g in order] == (want or [own[g][0] for g in order])
+
+
+def test_clash_repair_moves_one_row_a_round_and_never_the_protected(spark):
+    rows = spark.createDataFrame([(1, 1, 7, "T1", "motor"), (1, 2, 8, "T1", "led"), (1, 3, 9, "T2", "led"), (2, 1, 7, "T1", "motor"), (2, 2, 9, "T1", "camera")], "d int, i int, pin int, unit string, kind string")
+    options = spark.createDataFrame([(7, 1, "T3"), (8, 1, "T1"), (8, 2, "T2"), (8, 3, "T4"), (9, 1, "T1")], "pin int, place int, option string")
+    got = {(r.d, r.i): r.now for r in assign.repaired(rows, options, "d", "i", "pin", "unit", "kind", "motor", 5).collect()}
+    assert got == {(1, 1): "T1", (1, 2): "T2", (1, 3): "T2", (2, 1): "T1", (2, 2): "T1"}  # the camera has nowhere to go
+
+
+def test_wildcards_anywhere_lose_no_pair(spark):
+    rng = random.Random(3)
+    code = lambda: "".join(rng.choice("ab12x") for _ in range(rng.randint(1, 5)))
+    a, b = {code() for _ in range(120)}, {code() for _ in range(120)}
+    got = resolve.wildcard(spark.createDataFrame([(x,) for x in a], "a string"), spark.createDataFrame([(x,) for x in b], "b string"), "a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted((x, y) for x in a for y in b if len(x) == len(y) and all(p == q or "x" in (p, q) for p, q in zip(x, y, strict=True)))
+    one = resolve.wildcard(spark.createDataFrame([("STMx2F4051",)], "a string"), spark.createDataFrame([("STM32F4051",)], "b string"), "a", "b")
+    assert one.count() == 1
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similar_names_lose_no_pair(spark):
+    rng = random.Random(4)
+    names = {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(60)} | {"abcdef", "abxdey"}
+    a, b = (spark.createDataFrame([(x,) for x in names], f"{c} string") for c in "ab")
+    close = lambda df: {(r.a, r.b) for r in df.collect()}
+    want = {(x, y) for x in names for y in names if 1 - edits(x, y) / max(len(x), len(y)) >= 0.5}
+    assert close(resolve.close_names(a, b, "a", "b", 0.5, 10**6)) == want and ("abxdey", "abcdef") in want
+    alike = {(x, y) for x in names for y in names if difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.6}
+    assert close(resolve.alike(a, b, "a", "b", 0.6, 10**6)) == alike
+
+
+def test_a_ladder_takes_the_first_rung(spark):
+    codes = spark.createDataFrame([(c,) for c in ("F405", "F7x2", "F411", "G473", "F7x9", "H743")], "code string")
+    names = spark.createDataFrame([(n,) for n in ("F405", "F722", "F745", "F765", "G474")], "name string")
+    got = {r.code: (r.target, r.rung) for r in resolve.laddered(codes, names, "code", "name", 2, "x").collect()}
+    assert got == {"F405": ("F405", 1), "F411": ("F405", 2), "F7x2": ("F722", 3), "G473": ("G474", 2)}  # F7x9 fits none, H743 has no family
+
+
+def test_rules_are_validated(spark):
+    for bad in ([("(", "a")], [("a", "")], [("a", "x"), ("a", "y")]):
+        with pytest.raises(ValueError):
+            resolve.classified(F.lit("a"), bad)
+    df = spark.createDataFrame([("SPI1",), ("MISO2_A",), ("?",)], "v string")
+    rule = resolve.classified(F.col("v"), [("^SPI([0-9]+)$", "bus"), ("^MISO([0-9]*)_?([A-Z]*)$", "data")], {"A": "first"})
+    assert [tuple(r.c) for r in df.select(rule.alias("c")).collect()] == [("bus", "1", None), ("data", "2", "first"), (None, None, None)]
+
+
+def test_required_fields_fail_the_load(spark):
+    df = spark.createDataFrame([(1, "a", 2), (2, " ", 3), (3, None, None)], "k int, s string, n int")
+    with pytest.raises(ValueError, match="2: s; 3: s,n"):
+        audit.required(df, "k", ["s", "n"])
+    assert audit.required(df.filter("k = 1"), "k", ["s", "n"]).count() == 1
+
+
+def test_split_digests_tell_multisets_apart(spark):
+    rows = [("a", i) for i in range(100)] + [("b", i) for i in reversed(range(100))] + [("c", i) for i in range(99)] + [("c", 98)]
+    got = {r.g: r.digest for r in audit.split_digest(spark.createDataFrame(rows, "g string, v int"), ["g"], [F.col("v")], 8).collect()}
+    assert got["a"] == got["b"] != got["c"]
+
+
+def test_a_walk_stops_at_the_first_break_on_either_side(spark):
+    df = spark.createDataFrame([(1, x) for x in (0.0, 50.0, 56.0, 60.0, 66.0, 80.0)], "g int, x double")
+    assert sorted(r.x for r in ordered.run_to_break(df, ["g"], ["x"], "x", F.col("x") == 60.0, 6.0).collect()) == [50.0, 56.0, 60.0, 66.0]
+
+
+def test_thinning_equals_a_fold(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.uniform(0, 60)) for g in range(4) for _ in range(80)]
+    want = set()
+    for g in range(4):
+        last = None
+        for x in sorted({x for h, x in rows if h == g}):
+            if last is None or x - last >= 1.5:
+                want.add((g, x))
+                last = x
+    assert {tuple(r) for r in ordered.thinned(spark.createDataFrame(rows, "g int, x double"), ["g"], "x", 1.5).collect()} == want
+
+
+def test_holes_take_the_nearest_spare_once(spark):
+    edge = spark.createDataFrame([(1, i, x, 5.0) for i, x in enumerate((0.0, 4.0, 8.0, 16.0))], "g int, id int, x double, y double")
+    spare = spark.createDataFrame([(1, 10, 11.5, 5.2), (1, 11, 12.2, 5.1), (1, 12, 12.0, 9.0), (1, 13, 2.0, 5.0)], "g int, id int, x double, y double")
+    assert [tuple(r) for r in ordered.adopted(edge, spare, ["g"], "x", "y", "id", 0.5, 1.0, 1 / 3).collect()] == [(1, 12.0, 11)]
+
+
+def test_parts_merge_by_rank(spark):
+    rows = [("s", 1, [1, 2, 3], 4.0, 0.0), ("s", 2, [4, 5], 4.1, 1.0), ("s", 3, [1, 9], 4.0, 1.0), ("s", 4, [6, 7], 9.0, 1.0), ("s", 5, [8], 4.0, 50.0)]
+    df = spark.createDataFrame(rows, "d string, k int, items array<int>, pitch double, at double")
+    got = {r.k: r.accepted for r in assign.merged(df, "d", [F.desc(F.size("items")), F.col("k")], "k", "items", "pitch", "at", 6, 0.1, 3, 3, 2.0).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False}
 
 
 def test_markup_and_report_round_trip(spark, tmp_path):

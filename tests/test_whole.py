@@ -25,6 +25,7 @@ def test_division_covers_every_order(spark, supply):
     assert {(r.doc_id, r.dev) for r in QUERIES["D6_relational_division_all"](spark, SF).collect()} == {(o, s) for o, ss in every.items() for s in ss}
     best = {o: min(ss, key=lambda s: (s % 3 != 0, s)) for o, ss in every.items() if ss}
     assert {r.doc_id: r.dev for r in QUERIES["I4_shared_resource_all"](spark, SF).collect()} == best and max(best) >= 300
+    assert {(r.doc_id, r.pick) for r in QUERIES["I4_shared_resource"](spark, SF).filter("kind = 'shared'").collect()} <= set(best.items())
     common = {o: set.intersection(*k) if (k := [have[p] for p in ps if p in have]) else set() for o, ps in need.items()}
     got = {r.doc_id: (r.choice, r.candidates) for r in QUERIES["D8_candidate_intersection_all"](spark, SF).collect()}
     assert got == {o: (min(ss, default=None), len(ss)) for o, ss in common.items()}
@@ -43,7 +44,7 @@ def test_rounding_goes_beyond_the_orders_of_its_cut(spark, tmp_path):
 
 
 def greedy(lines):
-    """(order, part, supplier taken) of (order, line number, part, supplier, date) rows."""
+    """(order, part, supplier taken, whether all were gone) of (order, line number, part, supplier, date) rows."""
     have: dict = {}
     for _, _, p, s, d in lines:
         have.setdefault(p, set())
@@ -54,12 +55,12 @@ def greedy(lines):
     for o, _, p, _, _ in sorted(lines, key=lambda r: (r[0], len(have[r[2]]), r[1], r[2], r[3])):
         pick = min(have[p] - taken.setdefault(o, set()), default=None)
         taken[o].add(pick)
-        out.append((o, p, pick))
+        out.append((o, p, min(have[p], default=None) if pick is None else pick, pick is None))
     return sorted(out, key=repr)
 
 
 def allocated(spark, sf):
-    return sorted(map(tuple, QUERIES["I2_greedy_allocation"](spark, sf).select("doc_id", "item", "taken").collect()), key=repr)
+    return sorted(map(tuple, QUERIES["I2_greedy_allocation"](spark, sf).selectExpr("doc_id", "pin", "taken", "problem IS NOT NULL").collect()), key=repr)
 
 
 def test_allocation_equals_a_fold_over_all_suppliers(spark, tmp_path):
@@ -72,7 +73,7 @@ def test_allocation_equals_a_fold_over_all_suppliers(spark, tmp_path):
     frame.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(d AS timestamp_ntz) l_shipdate", "'A' l_returnflag", "'F' l_linestatus", "1D l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = allocated(spark, str(tmp_path))
     assert got == greedy(wide)
-    assert [t for o, _, t in got if o == 1] == [1, 2, 3, 4] and (3, 3, 8) in got and (3, 5_000_000, 9) in got and (4, 9, None) in got
+    assert [t for o, _, t, _ in got if o == 1] == [1, 2, 3, 4] and (3, 3, 8, False) in got and (3, 5_000_000, 9, False) in got and (4, 9, None, True) in got
 
 
 def test_longest_prefix_has_no_upper_bounds(spark, tmp_path):
