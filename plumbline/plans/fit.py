@@ -94,17 +94,23 @@ def f6(v: Views) -> DataFrame:
     return ordered.peeled(v.P, ["doc_id"], "h", "word_id", [24.0, 36.0, 48.0], 3).groupBy("doc_id", "round").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("h"), 4).alias("low"))
 
 
-@query("D20_straddling_pair", """, p AS (SELECT s.word_id node, floor(e.y / 25) leg, e.h - s.h dx FROM pts s JOIN pts e ON s.doc_id = e.doc_id AND s.text = 'signup' AND e.text <> 'signup' AND abs(s.h - e.h) <= 24),
-g AS (SELECT node, leg, min(dx) lo, max(dx) hi FROM p GROUP BY ALL HAVING count(*) = 2 AND min(dx) < 0 AND max(dx) > 0)
-SELECT node, CAST(min(leg) AS BIGINT) leg, round(-min(lo) / (max(hi) - min(lo)), 6) ratio FROM g GROUP BY node HAVING count(*) = 1""")
+@query("D20_straddling_pair", """, i AS (SELECT c.doc_id, c.word_id, c.h, c.y, p.y val, row_number() OVER (PARTITION BY c.word_id ORDER BY abs(c.h - p.h) + abs(c.y - p.y), p.word_id) r FROM pts c JOIN pts p ON p.doc_id = c.doc_id AND c.text = 'click' AND p.text = 'purchase' AND abs(c.h - p.h) + abs(c.y - p.y) <= 60),
+p AS (SELECT s.word_id node, CAST(round_even(i.y / 25, 0) AS BIGINT) leg, i.h - s.h dx, i.val FROM pts s JOIN i ON s.doc_id = i.doc_id AND s.text = 'signup' AND abs(s.h - i.h) <= 72 WHERE i.r = 1),
+g AS (SELECT node, leg, min(dx) lo, max(dx) hi, arg_min(val, dx) lo_val, arg_max(val, dx) hi_val FROM p GROUP BY ALL HAVING count(*) = 2 AND min(dx) < 0 AND max(dx) > 0)
+SELECT node, min(leg) leg, round(-min(lo) / (max(hi) - min(lo)), 6) ratio, min(lo_val) <= min(hi_val) upright FROM g GROUP BY node HAVING count(*) = 1""")
 def d20(v: Views) -> DataFrame:
-    """Signups with exactly one band of values in which exactly two events stand, one on either side; how they divide."""
+    """Signups that divide a leg: exactly one leg of items with exactly two, one on either side; the ratio, and whether the
+    values rise. An item is a click with its nearest purchase (Manhattan distance)."""
+    clicks = v.P.filter("text = 'click'").select("doc_id", "word_id", "h", "y")
+    values = v.P.filter("text = 'purchase'").select("doc_id", F.col("word_id").alias("value_id"), F.col("h").alias("ph"), F.col("y").alias("val"))
+    apart = F.abs(F.col("h") - F.col("ph")) + F.abs(F.col("y") - F.col("val"))
+    dealt = near.nearest(near.band_join(clicks, values, ["doc_id"], "h", "ph", 60.0).filter(apart <= 60), ["word_id"], apart, ["value_id"])
+    items = dealt.select("doc_id", F.bround(F.col("y") / 25, 0).cast("long").alias("leg"), F.col("h").alias("bh"), "val")
     nodes = v.P.filter("text = 'signup'").select("doc_id", F.col("word_id").alias("node"), "h")
-    items = v.P.filter("text <> 'signup'").select("doc_id", F.floor(F.col("y") / 25).alias("leg"), F.col("h").alias("bh"))
     dx = F.col("bh") - F.col("h")
-    legs = near.band_join(nodes, items, ["doc_id"], "h", "bh", 24.0).groupBy("node", "leg").agg(F.count(F.lit(1)).alias("n"), F.min(dx).alias("lo"), F.max(dx).alias("hi")).filter("n = 2 AND lo < 0 AND hi > 0")
-    one = legs.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("leg").alias("leg"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("n = 1")
-    return one.select("node", "leg", F.round(-F.col("lo") / (F.col("hi") - F.col("lo")), 6).alias("ratio"))
+    legs = near.band_join(nodes, items, ["doc_id"], "h", "bh", 72.0).groupBy("node", "leg").agg(F.count(F.lit(1)).alias("n"), F.min(dx).alias("lo"), F.max(dx).alias("hi"), F.min_by("val", dx).alias("lo_val"), F.max_by("val", dx).alias("hi_val")).filter("n = 2 AND lo < 0 AND hi > 0")
+    one = legs.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("leg").alias("leg"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.min("lo_val") <= F.min("hi_val")).alias("upright")).filter("n = 1")
+    return one.select("node", "leg", F.round(-F.col("lo") / (F.col("hi") - F.col("lo")), 6).alias("ratio"), "upright")
 
 
 @query("D7_role_resolution", """, cap AS (SELECT DISTINCT pin, dev, net FROM boards WHERE qty <= 40), k AS (SELECT pin, dev, count(*) n, min(net) sole FROM cap GROUP BY pin, dev), l AS (SELECT DISTINCT doc_id, dev, pin, net label FROM boards),

@@ -29,6 +29,10 @@ def whole_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"), F.decode("content", "utf-8").alias("text"))
 
 
-def report_sink(df: DataFrame, path: str, by: Sequence[str], kind: str = "json") -> None:
-    """Write df as one folder for each value of `by`."""
-    df.write.mode("overwrite").partitionBy(*by).format(kind).save(path)
+def report_sink(df: DataFrame, path: str, by: Sequence[str], kind: str = "json", order: Sequence[str] = (), stamped: bool = False) -> None:
+    """Write df as one folder for each value of `by`, every file in the order of `by` and `order`.
+
+    stamped adds the day of writing (year-month-day) as a column; digests are taken before the sink, so it is in none.
+    """
+    out = df.withColumn("stamp", F.date_format(F.current_date(), "yyyy-MM-dd")) if stamped else df
+    out.sortWithinPartitions(*by, *order).write.mode("overwrite").partitionBy(*by).format(kind).save(path)

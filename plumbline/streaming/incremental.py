@@ -56,8 +56,12 @@ def sessions(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataF
 
 
 def first_seen(events: DataFrame, keys: list[str], at: str, horizon: str) -> DataFrame:
-    """The keys of a stream, each once within the horizon."""
-    return events.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys).select(*keys)
+    """The keys of a stream, each once in every horizon (windows of that width); start is the window's.
+
+    State of a window goes once the watermark, a horizon behind the latest row, has passed it.
+    """
+    w = F.window(at, horizon).alias("w")
+    return events.withWatermark(at, horizon).select(*keys, w).dropDuplicates([*keys, "w"]).select(*keys, F.col("w.start").alias("start"))
 
 
 def ratio_by_window(events: DataFrame, at: str, width: str, late: str, hit: Column) -> DataFrame:
@@ -75,7 +79,8 @@ def each_text_once(documents: DataFrame) -> DataFrame:
 def keep_new(batch: DataFrame, folder: str) -> None:
     """Write the digests of a batch that no earlier batch has, each with its least doc_id.
 
-    A batch that is run again replaces its own folder.
+    A batch that is run again replaces its own folder. Digests are never forgotten: what earlier batches hold is read by
+    that one column, and only its match with the batch is shuffled.
     """
     spark, mine = batch.sparkSession, int(folder.rpartition("=")[2])
     new = batch.groupBy("digest").agg(F.min_by("words", "doc_id").alias("words"), F.min("doc_id").alias("doc_id")).select("doc_id", "digest", "words")

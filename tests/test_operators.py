@@ -2,8 +2,10 @@
 
 import difflib
 import itertools
+import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,4 +201,7 @@ def test_markup_and_report_round_trip(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("pos").collect()] == [(1, 0, "x?a&b", "T"), (1, 1, "y", "U")]
     markup.report_sink(got, str(tmp_path / "out"), ["id"])
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+    markup.report_sink(got.coalesce(1), str(tmp_path / "sorted"), ["id"], order=["text"], stamped=True)
+    lines = [json.loads(x) for f in sorted((tmp_path / "sorted").rglob("part-*")) for x in f.read_text().splitlines()]
+    assert [x["text"] for x in lines] == ["T", "U"] and all(re.fullmatch(r"\d{4}-\d\d-\d\d", x["stamp"]) for x in lines)
     assert markup.whole_files(spark, str(tmp_path / "out"), "*.json").count() >= 1

@@ -44,7 +44,15 @@ def test_first_seen_forgets_nothing_within_the_horizon(spark, tmp_path):
         put(spark, path, [(1, "a", DAY + dt.timedelta(hours=k)), (2, "b", DAY)], "user_id long, kind string, ts timestamp")
     events = incremental.arriving(spark, path, 1)
     got = incremental.drained(incremental.first_seen(events, ["user_id", "kind"], "ts", "30 days"), "seen")
-    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "b")]
+    assert sorted((r.user_id, r.kind) for r in got.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_first_seen_again_in_the_next_horizon(spark, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    for days in (0, 1, 8, 9):
+        put(spark, path, [(1, "a", DAY + dt.timedelta(days=days))], "user_id long, kind string, ts timestamp")
+    got = incremental.drained(incremental.first_seen(incremental.arriving(spark, path, 1), ["user_id", "kind"], "ts", "7 days"), "again")
+    assert 2 <= got.count() == got.distinct().count() <= 3
 
 
 def test_ratio_by_window_counts_closed_windows(spark, tmp_path):
