@@ -229,16 +229,17 @@ def by_difference(rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     members = rows.filter("node <> first").select("band", "node", "n", "comp").join(refs, "band").select("ref", "node", "n", "comp").distinct()
     members = written(members, "families")
     mixed = members.groupBy("ref").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("ref", "size")
-    members = members.join(mixed, "ref")
+    members = written(join_small(members, written(mixed, "mixed"), "ref", "inner"), "members")
     own = members.join(sets_of(members.select("node").distinct(), nodes, docs, size), "node")
     common = own.select("ref", "size", F.explode("shingles").alias("e")).groupBy("ref", "size", "e").agg(F.count(F.lit(1)).alias("c")).filter("2 * c > size")
-    common = common.groupBy("ref").agg(F.collect_list("e").alias("common"))  # at most twice the mean size of the sets
+    # at most twice the mean size of the sets; stored, so that the join below has plain sides and Spark can split a large family
+    common = written(common.groupBy("ref").agg(F.collect_list("e").alias("common")), "common")
     diff = F.concat(F.array_except("shingles", "common"), F.array_except("common", "shingles"))
     apiece = own.join(common, "ref", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     apiece = apiece.select("ref", "node", "n", "comp", diff.alias("d"))
     apiece = written(apiece.withColumn("s", (100 + percent) * F.size("d") - (100 - percent) * F.col("n")), "differences")
-    least = apiece.groupBy("ref").agg(F.min(F.struct("s", "node", "n", "comp")).alias("m"))
-    told = apiece.join(least, "ref").withColumn("star", F.col("s") + F.col("m.s") <= 0)
+    least = written(apiece.groupBy("ref").agg(F.min(F.struct("s", "node", "n", "comp")).alias("m")), "least")
+    told = join_small(apiece, least, "ref", "inner").withColumn("star", F.col("s") + F.col("m.s") <= 0)
     star = told.filter("star AND comp <> m.comp").select(F.col("node").alias("x"), F.col("m.node").alias("y"), F.col("n").alias("nx"), F.col("m.n").alias("ny"))
     need = F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("m.s")) / both)).cast("int")
     each = told.select("ref", "node", "n", "comp", "s", "star", need.alias("need"), F.explode("d").alias("e"))
