@@ -95,13 +95,22 @@ def wildcard(left: DataFrame, right: DataFrame, a: str, b: str, any_char: str =
     Codes are told apart by their masks (length and places of wildcards), of which there are few. For every two masks of
     a length the codes meet by equi-join on the characters that both fix.
     """
-    mask = lambda c: F.concat_ws(",", F.length(c).cast("string"), F.array_join(F.filter(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.when(F.substr(F.col(c), i, F.lit(1)) == any_char, i)), lambda i: i.isNotNull()).cast("array<string>"), ","))
-    one, two = (df.filter(F.length(c) > 0).select(c).distinct().withColumn("_m", mask(c)).withColumn("_n", F.length(c)) for df, c in ((left, a), (right, b)))
-    masks = lambda df, name: df.select("_n", F.col("_m").alias(name)).distinct()
-    key = lambda c, other: F.array_join(F.zip_with(F.split(c, ""), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array_contains(F.slice(F.split(other, ","), 2, 1 << 20), i.cast("string"))), lambda x, w: F.when(w | (x == any_char), F.lit("\u0000")).otherwise(x)), "")
-    one = one.join(masks(two, "_o"), "_n").select(a, F.col("_m").alias("_ma"), F.col("_o").alias("_mb"), key(a, "_o").alias("_k"))
-    two = two.join(masks(one.select(F.col("_ma").alias("_m"), F.length(a).alias("_n")), "_o"), "_n").select(b, F.col("_o").alias("_ma"), F.col("_m").alias("_mb"), key(b, "_o").alias("_k"))
-    return one.join(two, ["_ma", "_mb", "_k"]).select(a, b)
+
+    def masked(df: DataFrame, c: str) -> DataFrame:
+        chars = F.split(c, "")
+        mask = F.filter(F.transform(chars, lambda x, i: F.when(x == any_char, i)), lambda i: i.isNotNull())
+        return df.filter(F.length(c) > 0).select(c).distinct().withColumn("_mask", mask).withColumn("_n", F.length(c))
+
+    def fixed(c: str) -> Column:
+        both = F.transform(F.split(c, ""), lambda x, i: F.when((x == any_char) | F.array_contains("_other", i), F.lit("\u0000")).otherwise(x))
+        return F.array_join(both, "")
+
+    def keyed(own: DataFrame, rest: DataFrame, c: str, mine: str, theirs: str) -> DataFrame:
+        others = rest.select("_n", F.col("_mask").alias("_other")).distinct()
+        return own.join(others, "_n").select(c, F.col("_mask").alias(mine), F.col("_other").alias(theirs), fixed(c).alias("_k"))
+
+    one, two = masked(left, a), masked(right, b)
+    return keyed(one, two, a, "_ma", "_mb").join(keyed(two, one, b, "_mb", "_ma"), ["_ma", "_mb", "_k"]).select(a, b)
 
 
 def longest_prefix(tokens: DataFrame, names: DataFrame, token: str, name: str, least: int) -> DataFrame:
