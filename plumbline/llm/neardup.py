@@ -330,8 +330,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     least = nodes.select("node", "doc_id")
     if labels is not None:
         joined = written(least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
-        roots = joined.groupBy("comp").agg(F.min("doc_id").alias("component"))
-        least = joined.join(roots, "comp").select("node", F.col("component").alias("doc_id"))
+        roots = written(joined.groupBy("comp").agg(F.min("doc_id").alias("component")), "roots")
+        least = join_small(joined, roots, "comp", "inner").select("node", F.col("component").alias("doc_id"))
     own = features.select("doc_id", "n", "node")
     out = own.filter("node IS NOT NULL").join(least.withColumnRenamed("doc_id", "component"), "node", "left")
     out = out.unionByName(own.filter("node IS NULL").withColumn("component", F.lit(None).cast("long")))  # no key to meet in
