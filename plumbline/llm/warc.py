@@ -26,6 +26,7 @@ SKIPPABLE, FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES, DICTIONARY, SAMPLES, SAMPLE_BYTES, LEVEL = 32 << 20, 16 << 10, 128, 1 << 20, 3
 READ = 32 << 10
 DATE = "2000-01-01T00:00:00Z"  # capture times are not in the table
+PAGE, REFERS = "WARC-X-Page-ID", "WARC-X-Refers-To-Page-ID"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -34,14 +35,19 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes | None, n: int, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record; payload is None for a revisit."""
+    """One WARC record of an id of its own; payload is None for a revisit.
+
+    The page's number, and that of the page a revisit refers to, stand in fields of their own, since pages may repeat.
+    """
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = head + (payload or b"")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if payload is not None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}"]
+    if page_id is not None:
+        lines.append(f"{PAGE}: {page_id}")
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
     if payload is None:
-        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {REVISIT}", f"{REFERS}: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -135,7 +141,7 @@ def parse(data: bytes) -> dict:
             raise ValueError(f"{name} is missing")
     if len(body) != int(fields["Content-Length"]) + 4 or body[-4:] != b"\r\n\r\n":
         raise ValueError(f"{fields['WARC-Record-ID']}: its length is not {fields['Content-Length']}")
-    kind, number = fields["WARC-Type"], fields["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
+    kind = fields["WARC-Type"]
     http, sep, payload = body[:-4].partition(b"\r\n\r\n")
     sizes = [int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -145,10 +151,12 @@ def parse(data: bytes) -> dict:
         raise ValueError(f"{fields['WARC-Record-ID']}: its payload does not match its length or digest")
     if kind == "revisit" and payload:
         raise ValueError(f"{fields['WARC-Record-ID']}: a revisit with a payload")
-    refers = fields.get("WARC-Refers-To", "").removeprefix("<urn:page:").removesuffix(">")
+    if kind == "revisit" and (REFERS not in fields or fields.get("WARC-Profile") != REVISIT):
+        raise ValueError(f"{fields['WARC-Record-ID']}: a revisit of nothing")
+    number = lambda name: int(fields[name]) if name in fields else None
     return {
-        "page_id": None if number == "None" else int(number), "payload_bytes": sizes[0], "payload_digest": digest,
-        "record_type": kind, "refers_to": int(refers) if refers else None, "payload": payload if kind == "response" else None,
+        "page_id": number(PAGE), "payload_bytes": sizes[0], "payload_digest": digest,
+        "record_type": kind, "refers_to": number(REFERS), "payload": payload if kind == "response" else None,
     }
 
 

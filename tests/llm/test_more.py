@@ -323,3 +323,10 @@ def test_archive_records_of_odd_pages(spark):
     got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert sorted((r.page_id, r.record_type) for r in got.filter("page_id IS NOT NULL").collect()) == [(1, "response"), (1, "response")]
     assert got.filter("page_id IS NULL").count() == 1
+    one, two = (warc.record(1, "u", b"x", 1, warc.base32_sha1(b"x"), None) for _ in range(2))
+    ids = [next(line for line in r.split(b"\r\n") if line.startswith(b"WARC-Record-ID")) for r in (one, two)]
+    assert ids[0] != ids[1] and warc.parse(one) == warc.parse(two)
+    again = warc.record(2, "u", None, 1, warc.base32_sha1(b"x"), 1)
+    assert warc.parse(again)["refers_to"] == 1
+    with pytest.raises(ValueError, match="revisit of nothing"):
+        warc.parse(again.replace(warc.REFERS.encode(), b"WARC-X-Other"))
