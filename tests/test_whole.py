@@ -1,5 +1,8 @@
 """Queries over the whole of their tables, against brute force."""
 
+import difflib
+import re
+
 import pytest
 
 from plumbline.plans.catalogue import QUERIES
@@ -82,3 +85,14 @@ def test_longest_prefix_has_no_upper_bounds(spark, tmp_path):
     got = {r.token: r.name for r in QUERIES["C14_longest_prefix_all"](spark, str(tmp_path)).collect()}
     own = {w: w for w in ("microcontroller", "micro", "internationalisation", "straße")}
     assert got == own | {"microcontrollers7": "microcontroller", "internationalisation42": "internationalisation", "straße1": "straße"}
+
+
+def test_gestalt_query_equals_all_pairs(spark):
+    rows = lambda t, c: {r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()}
+    names = rows("customer", "c_mktsegment") | rows("part", "p_name")
+    want = set()
+    for wrong in {re.sub("[aeI]", "y", n, count=1) for n in names}:
+        ratios = [(round(difflib.SequenceMatcher(None, wrong, n, autojunk=False).ratio(), 6), n) for n in names]
+        best = sorted((r for r in ratios if r[0] >= 0.6), key=lambda r: (-r[0], r[1]))[:3]
+        want |= {(wrong, n, ratio, k) for k, (ratio, n) in enumerate(best, 1)}
+    assert set(map(tuple, QUERIES["K1_gestalt_ratio"](spark, SF).select("wrong", "name", "ratio", "rank").collect())) == want
