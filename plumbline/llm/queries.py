@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, neardup, packing, pii, quality, toxicity, vafile, warc
+from . import bpe, exact, langid, licenses, neardup, packing, pii, quality, survival, toxicity, vafile, walsh, warc
 from .common import table
 
 
@@ -57,9 +57,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survival.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_walsh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walsh.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(table(spark, sf_dir, "documents"), digests=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_vafile_topk, op3_language, op4_warc, op5_neardup, op6_bpe, op7_licenses, op8_toxicity, op9_pii, op10_quality)
+    for f in (
+        op1_packing, op2_vafile_topk, op3_language, op4_warc, op5_neardup, op6_bpe, op7_licenses, op8_toxicity, op9_pii, op10_quality, op11_filter_audit, op12_walsh_clusters,
+        op13_exact_dedup,
+    )
 }
 #: The other operators can't be put in SQL; tests/llm hold them against brute force, exact round trips or held-out rows.
 ORACLE_SQL = {
@@ -67,4 +82,7 @@ ORACLE_SQL = {
     "op4_warc": warc.ORACLE_SQL,
     "op5_neardup": neardup.ORACLE_SQL,
     "op7_licenses": licenses.ORACLE_SQL,
+    "op11_filter_audit": survival.ORACLE_SQL,
+    "op12_walsh_clusters": walsh.ORACLE_SQL,
+    "op13_exact_dedup": exact.ORACLE_SQL,
 }
