@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import about, id_hash, keep_rows, map_slices
+from .common import about, id_hash, keep_rows, map_slices, written
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -105,22 +105,26 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def log_odds(n1: np.ndarray, n0: np.ndarray, all1: float, all0: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of toxic against clean with an informative Dirichlet prior, and their z-scores."""
-    prior = 0.5 + PRIOR * (n1 + n0) / max(all1 + all0, 1.0)
-    a0 = PRIOR + 0.5 * len(n1)
-    odds = lambda n, total: np.log((n + prior) / np.maximum(total + a0 - n - prior, 1.0))
-    delta = odds(n1, all1) - odds(n0, all0)
-    return delta, delta / np.sqrt(1 / (n1 + prior) + 1 / (n0 + prior))
+def log_odds(toxic: Column, clean: Column, size: Column) -> tuple[Column, Column]:
+    """Log-odds of toxic against clean with an informative Dirichlet prior, and their z-scores.
+
+    toxic and clean are structs of a feature's count (n) and the words of the class (words); size is the number of features.
+    """
+    prior = 0.5 + PRIOR * (toxic["n"] + clean["n"]) / F.greatest(toxic["words"] + clean["words"], F.lit(1))
+    weight = PRIOR + 0.5 * size
+    odds = lambda c: F.log((c["n"] + prior) / F.greatest(c["words"] + weight - c["n"] - prior, F.lit(1.0)))
+    delta = odds(toxic) - odds(clean)
+    return delta, delta / F.sqrt(1 / (toxic["n"] + prior) + 1 / (clean["n"] + prior))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most about `sample` labelled rows of labels (doc_id, toxic) with their texts in docs.
 
     A doc_id with several labels counts as toxic if any of them is 1; null labels and null texts don't count. Without
-    both classes the model scores every text the same, below one half. Words of any length are features; those that
-    toxic texts of the sample hold LEAST_COUNT times or more, and more than half as often as clean ones do, are told to
-    the driver, so their number is bounded by the sample's, and every one of them that passes LEAST_Z is in the lexicon.
+    both classes the model scores every text the same, below one half. Words of any length and their beginnings are
+    features. Spark counts them and computes their z-scores; every one that toxic texts of the sample hold LEAST_COUNT
+    times or more and whose z-score is LEAST_Z or more is in the lexicon, however rare the class is. Only those are told
+    to the driver, so their number is bounded by the sample's.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = about(known, sample, "doc_id")  # so few rows that they can be broadcast
@@ -139,22 +143,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = map_slices(train, count, "half boolean, toxic boolean, feature string, n long", 2048)
     cell = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("toxic") == y), F.col("n")).otherwise(0))
     table = counts.groupBy("feature").agg(*(cell(h, y).alias(f"n{int(h)}{int(y)}") for h in (False, True) for y in (False, True)))
-    toxic = F.col("n01") + F.col("n11")
-    rows = table.filter((F.col("feature") == "") | (toxic >= LEAST_COUNT) & (2 * toxic > F.col("n00") + F.col("n10")))
-    rows = rows.orderBy("feature").collect()
-    names = [r.feature for r in rows if r.feature]
-    n = {c: np.array([r[c] for r in rows if r.feature], float) for c in ("n00", "n01", "n10", "n11")}
-    total = next(({c: float(r[c]) for c in n} for r in rows if not r.feature), dict.fromkeys(n, 0.0))
+    table = written(table, "features")
     nothing = Model({}, -0.05, 1.0, 1e-3, (-2.0, 0.0))
-    if not names or not total["n01"] + total["n11"] or not total["n00"] + total["n10"]:
+    words = table.filter("feature = ''").first()
+    if not words or not words.n01 + words.n11 or not words.n00 + words.n10:
         return nothing
+    size = F.lit(table.filter(f"feature <> '' AND n01 + n11 >= {LEAST_COUNT}").count())
 
-    def lexicon(*halves: str) -> dict[str, float]:
-        n1, n0 = sum(n[f"n{h}1"] for h in halves), sum(n[f"n{h}0"] for h in halves)
-        delta, z = log_odds(n1, n0, sum(total[f"n{h}1"] for h in halves), sum(total[f"n{h}0"] for h in halves))
-        return {f: round(float(d), 4) for f, d, x, m in zip(names, delta, z, n1, strict=True) if x >= LEAST_Z and d > 0 and m >= LEAST_COUNT}
+    def telling(*halves: str) -> Column:
+        """The log-odds of a feature that passes in these halves; null for others."""
+        own = lambda y: F.struct(sum(F.col(f"n{h}{y}") for h in halves).alias("n"), F.lit(sum(words[f"n{h}{y}"] for h in halves)).alias("words"))
+        delta, z = log_odds(own(1), own(0), size)
+        return F.when((z >= LEAST_Z) & (delta > 0) & (own(1)["n"] >= LEAST_COUNT), F.round(delta, 4))
+
+    chosen = table.filter("feature <> ''").select("feature", telling("0", "1").alias("every"), telling("0").alias("first"), telling("1").alias("last"))
+    rows = chosen.filter("every IS NOT NULL OR first IS NOT NULL OR last IS NOT NULL").orderBy("feature").collect()
+    if not rows:
+        return nothing
+    lexicon = lambda c: {r.feature: r[c] for r in rows if r[c] is not None}
 
-    lexicons = {False: lexicon("1"), True: lexicon("0")}  # each half of the texts is scored by what the other half taught
+    lexicons = {False: lexicon("last"), True: lexicon("first")}  # each half of the texts is scored by what the other half taught
     scorers = {h: Model(x, -0.05, 1.0, 1.0, (0.0, 0.0)) for h, x in lexicons.items()}
 
     def score(half, toxic, text):
@@ -180,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     best = lambda r: max((s for _, _, s in segments(list(zip(r.at, r.score, strict=True)), other)), default=0.0)
     k = len(clean) / max(1.0, sum(r.size * math.exp(-lam * best(r)) for r in clean))
     x = np.array([evidence(list(zip(r.at, r.score, strict=True)), r.size, other, lam, k)[0] for r in got])
-    return Model(lexicon("0", "1"), other, lam, k, logistic(x, np.array([float(r.toxic) for r in got])))
+    return Model(lexicon("every"), other, lam, k, logistic(x, np.array([float(r.toxic) for r in got])))
 
 
 def assess(text: str | None, model: Model, heads: frozenset[str]) -> tuple[float, list[tuple[int, int, float]]]:

@@ -330,3 +330,34 @@ def test_archive_records_of_odd_pages(spark):
     assert warc.parse(again)["refers_to"] == 1
     with pytest.raises(ValueError, match="revisit of nothing"):
         warc.parse(again.replace(warc.REFERS.encode(), b"WARC-X-Other"))
+
+
+def test_fit_keeps_every_feature_that_passes_the_z_score(spark):
+    """One toxic row in fifty, and telling words that clean texts hold more often in plain counts."""
+    rng = random.Random(8)
+    noise = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    rows, labels = [], []
+    for k in range(1500):
+        bad = k % 50 == 0
+        words = [rng.choice(noise) for _ in range(60)]
+        for c, p in (("telling", 0.9), ("harmless", 0.3), ("slight", 0.5)):
+            words += [c] * (rng.random() < (p if bad else {"telling": 0.06, "harmless": 0.3, "slight": 0.2}[c]))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(bad)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    n, size = [Counter(), Counter()], [0, 0]
+    for (_, text), (_, y) in zip(rows, labels, strict=True):
+        words = toxicity.WORD.findall(text.lower())
+        n[y].update(toxicity.features(words))
+        size[y] += len(words)
+    often = [f for f in n[1] if n[1][f] >= toxicity.LEAST_COUNT]
+    want = {}
+    for f in often:
+        prior = 0.5 + toxicity.PRIOR * (n[1][f] + n[0][f]) / sum(size)
+        a0 = toxicity.PRIOR + 0.5 * len(often)
+        odds = [math.log((n[y][f] + prior) / max(size[y] + a0 - n[y][f] - prior, 1.0)) for y in (0, 1)]
+        z = (odds[1] - odds[0]) / math.sqrt(1 / (n[1][f] + prior) + 1 / (n[0][f] + prior))
+        if z >= toxicity.LEAST_Z:
+            want[f] = round(odds[1] - odds[0], 4)
+    assert n[0]["telling"] > 2 * n[1]["telling"] and "telling" in want and "harmless" not in want
+    assert model.lexicon == pytest.approx(want, abs=2e-4)
