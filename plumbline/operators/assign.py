@@ -4,73 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..streaming.incremental import shared_folder
+from .audit import covering
 from .ordered import first_by
+from .stored import shared_folder, stored
 
 Columns = Sequence[str]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage of a loop and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def first_assignment(options: list[list[int]]) -> list[int] | None:
-    """The lexicographically first choice of one option a group, all distinct; None where there is none.
-
-    Each group in turn takes its first option that still leaves a matching for the groups behind it.
-    """
-
-    def fits(picks: list[int]) -> bool:
-        owner, fixed = {}, set(picks)
-
-        def place(i: int, seen: set[int]) -> bool:
-            for o in options[i]:
-                if o not in seen and o not in fixed:
-                    seen.add(o)
-                    if o not in owner or place(owner[o], seen):
-                        owner[o] = i
-                        return True
-            return False
-
-        return all(place(i, set()) for i in range(len(picks), len(options)))
-
-    picks: list[int] = []
-    for own in options:
-        pick = next((o for o in own if o not in picks and fits([*picks, o])), None)
-        if pick is None:
-            return None
-        picks.append(pick)
-    return picks
-
-
 def conflict_free(groups: DataFrame, document: str, group: str, options: str) -> DataFrame:
     """One option for each group of a document, all distinct: document, group, pick and solved.
 
     Groups are served by (number of options, group as text); of all assignments the lexicographically first counts.
-    Where none exists every group takes its first option (null if it has none) and `solved` is false. A group with as
-    many options as its document has groups can't fail, nor need it look beyond so many options; so longer lists are
-    cut to that length, which changes nothing.
-    """
-
-    @F.pandas_udf("array<long>")
-    def solve(lists: pd.Series) -> pd.Series:
-        return pd.Series([first_assignment([[int(o) for o in own] for own in row]) for row in lists], dtype=object)
+    Where none exists every group takes its first option (null if it has none) and `solved` is false.
 
-    rows = F.sort_array(F.collect_list(F.struct(F.size(options).alias("n"), F.col(group).cast("string").alias("t"), F.col(group).alias("g"), F.sort_array(options).alias("o"))))
+    A fold over a document's groups, whose state holds partial assignments. Two of them that have used the same of the
+    options which later groups may want have the same futures, so only the first one stays: options that nobody else
+    wants make no states. Groups with no more than a number of options can fail, so longer lists are cut to the number
+    of groups (one with so many always finds one, and need not look beyond).
+    """
+    rows = F.sort_array(F.collect_list(F.struct(F.size(options).alias("n"), F.col(group).cast("string").alias("t"), F.col(group).alias("g"), F.sort_array(options).cast("array<bigint>").alias("o"))))
     own = groups.groupBy(document).agg(rows.alias("r"))
     own = own.select(document, F.transform("r", lambda x: F.struct(x["g"].alias("g"), F.slice(x["o"], 1, F.size("r")).alias("o"))).alias("r"))
-    solved = own.withColumn("p", solve(F.transform("r", lambda x: x["o"])))
+    later = lambda i: F.array_distinct(F.flatten(F.transform(F.slice("r", i + 2, F.size("r")), lambda y: y["o"])))
+    own = own.withColumn("s", F.transform("r", lambda x, i: F.struct(x["o"].alias("o"), later(i).alias("later"))))
+    states = "array<struct<used:array<bigint>,picks:array<bigint>>>"
+    start = F.array(F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<bigint>").alias("picks")))
+
+    def step(acc: Column, s: Column) -> Column:
+        grown = lambda a, x: F.struct(F.array_sort(F.array_intersect(F.array_append(a["used"], x), s["later"])).alias("used"), F.array_append(a["picks"], x).alias("picks"))
+        every = F.flatten(F.transform(acc, lambda a: F.transform(F.filter(s["o"], lambda x: ~F.array_contains(a["used"], x)), lambda x: grown(a, x))))
+        same = lambda kept, x: F.try_element_at(kept, F.lit(-1))["used"].eqNullSafe(x["used"])
+        return F.aggregate(F.sort_array(every), F.array().cast(states), lambda kept, x: F.when(same(kept, x), kept).otherwise(F.array_append(kept, x)))
+
+    solved = own.select(document, "r", F.get(F.aggregate("s", start.cast(states), step), F.lit(0))["picks"].alias("p"))
     each = solved.select(document, F.col("p").isNotNull().alias("solved"), F.explode(F.arrays_zip("r", F.coalesce("p", F.transform("r", lambda x: F.get(x["o"], F.lit(0)))).alias("p"))).alias("z"))
     return each.select(document, F.col("z.r.g").alias(group), F.col("z.p").alias("pick"), "solved")
 
 
+def owners_served(owners: DataFrame, able: DataFrame, document: str, owner: str, wire: str, unit: str) -> DataFrame:
+    """A unit for each owner of a document, from its wires (document, owner, wire) and what they can do (able: wire, unit):
+    document, owner, pick, solved and `shares`, the number of owners on the same wires.
+
+    Owners with the same set of wires are one group and get one unit; others get different ones. A group's options are
+    the units that all of its wires can serve.
+    """
+    sets = owners.groupBy(document, owner).agg(F.array_join(F.array_sort(F.collect_set(F.col(wire).cast("string"))), "+").alias("_wires"))
+    sets = sets.withColumn("shares", F.count(F.lit(1)).over(Window.partitionBy(document, "_wires")))
+    one = sets.groupBy(document, "_wires").agg(F.min(owner).alias(owner))  # an owner stands for its group
+    need = owners.join(one, [document, owner]).select(document, "_wires", wire)
+    fits = covering(able, need, [document, "_wires"], unit, wire).groupBy(document, "_wires").agg(F.collect_set(unit).alias("_options"))
+    groups = one.select(document, "_wires").join(fits, [document, "_wires"], "left").withColumn("_options", F.coalesce("_options", F.array().cast("array<bigint>")))
+    return sets.join(conflict_free(groups, document, "_wires", "_options"), [document, "_wires"]).select(document, owner, "pick", "solved", "shares")
+
+
 def greedy(df: DataFrame, group: Columns, order: Column, item: str, options: str, taken: str | None = None) -> DataFrame:
     """In order, each item of a group takes its first option that nobody has taken: group, seq, item, free, pick, owners.
 
@@ -96,49 +85,31 @@ def greedy(df: DataFrame, group: Columns, order: Column, item: str, options: str
     return each.select(*group, F.col("z._r.order").alias("order"), "z._p.item", "z._p.free", "z._p.pick", "z._p.owners")
 
 
-def repaired(rows: DataFrame, options: DataFrame, document: str, index: str, item: str, unit: str, kind: str, protected: str, rounds: int) -> DataFrame:
-    """Clash repair: rows (document, index, item, unit, kind) with `now`, the unit after at most `rounds` moves a document.
+def repaired(rows: DataFrame, options: DataFrame, document: str, index: str, item: str, unit: str, kind: str, protected: str) -> DataFrame:
+    """Clash repair to a fixed point: rows (document, index, item, unit, kind) with `now`, the unit after all moves.
 
     A unit that serves several kinds in a document clashes. In each round, the first row by index that stands in such a
     unit, isn't of the protected kind and has an alternative takes the first of its item's options (item, place, option)
-    whose unit then serves one kind only. Documents without a clash take no part in the rounds.
+    whose unit then serves one kind only. A document goes on until it has no move. It ends: a move takes a row out of a
+    clashing unit and makes no other clash, so a document has no more rounds than rows. Only documents that moved take
+    part in the next round; those without a clash take part in none, and those that are done are set aside.
     """
+    spark = rows.sparkSession
     state = rows.select(document, index, item, F.col(unit).alias("now"), kind)
-    clash = state.groupBy(document, "now").agg(F.countDistinct(kind).alias("k")).filter("k > 1")
-    state = stored(state.join(clash.select(document).distinct(), document, "left_semi"), "clashing")
-    every = state
-    for _ in range(rounds):
-        kinds = state.groupBy(document, "now").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi"))
-        stuck = state.filter(F.col(kind) != protected).join(kinds.filter("lo <> hi").select(document, "now"), [document, "now"])
+    clash = state.groupBy(document, "now").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).filter("lo <> hi")
+    active = stored(state.join(clash.select(document).distinct(), document, "left_semi"), "clashing")
+    done = shared_folder(spark, "repaired")
+    while True:
+        kinds = active.groupBy(document, "now").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi"))
+        stuck = active.filter(F.col(kind) != protected).join(kinds.filter("lo <> hi").select(document, "now"), [document, "now"])
         there = kinds.select(document, F.col("now").alias("option"), "lo", "hi")
         moves = stuck.join(options, item).filter(F.col("option") != F.col("now")).join(there, [document, "option"], "left")
         moves = moves.filter(F.col("lo").isNull() | (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col(kind)))
-        chosen = stored(first_by(moves, [document], [index, "place", "option"]).select(document, index, "option"), "moves")
+        chosen = stored(first_by(moves, [document], [index, "place", "option"]).select(document, F.col(index).alias("_i"), "option"), "moves")
+        active.join(chosen, document, "left_anti").select(document, index, "now").write.mode("append").parquet(done)
         if not chosen.limit(1).count():
             break
-        every = state = stored(state.join(chosen, [document, index], "left").withColumn("now", F.coalesce("option", "now")).drop("option"), "repaired")
-    moved = every.select(document, index, F.col("now").alias("_now"))
-    return rows.join(moved, [document, index], "left").withColumn("now", F.coalesce("_now", unit)).drop("_now")
-
-
-def merged(parts: DataFrame, document: str, order: Sequence[Column], key: str, items: str, pitch: str, at: str, most: int, spread: float, size: int, share: int, reach: float) -> DataFrame:
-    """Which of a document's `most` strongest parts make up one whole: document, key, accepted.
-
-    The strongest part is accepted. Each further one is if it holds none of the accepted items, its pitch differs from
-    the strongest one's by no more than `spread` of that, and it is large (`size` items or more, and 1 / share of the
-    accepted ones) or lies within `reach` of an accepted part.
-    """
-    top = parts.withColumn("_k", F.row_number().over(Window.partitionBy(document).orderBy(*order))).filter(F.col("_k") <= most)
-    rows = F.sort_array(F.collect_list(F.struct(F.col("_k").alias("k"), F.col(key).alias("key"), F.col(items).alias("items"), F.col(pitch).cast("double").alias("pitch"), F.col(at).cast("double").alias("at"))))
-    own = top.groupBy(document).agg(rows.alias("r"), F.min_by(items, "_k").alias("_none"))
-    start = F.struct(F.slice("_none", 1, 0).alias("items"), F.array().cast("array<double>").alias("at"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(acc: Column, r: Column) -> Column:
-        large = (F.size(r["items"]) >= size) & (F.size(r["items"]) * share >= F.size(acc["items"]))
-        near = F.exists(acc["at"], lambda a: F.abs(a - r["at"]) <= reach)
-        fits = ~F.arrays_overlap(acc["items"], r["items"]) & (F.abs(r["pitch"] - F.col("r")[0]["pitch"]) <= F.col("r")[0]["pitch"] * spread) & (large | near)
-        ok = (r["k"] == 1) | fits
-        return F.struct(F.when(ok, F.concat(acc["items"], r["items"])).otherwise(acc["items"]).alias("items"), F.when(ok, F.concat(acc["at"], F.array(r["at"]))).otherwise(acc["at"]).alias("at"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
-
-    folded = own.select(document, "r", F.aggregate("r", start, step)["ok"].alias("ok"))
-    return folded.select(document, F.explode(F.arrays_zip("r", "ok")).alias("z")).select(document, F.col("z.r.key").alias(key), F.col("z.ok").alias("accepted"))
+        moved = active.join(chosen, document).withColumn("now", F.when(F.col(index) == F.col("_i"), F.col("option")).otherwise(F.col("now")))
+        active = stored(moved.select(*active.columns), "active")
+    end = spark.read.schema(active.select(document, index, "now").schema).parquet(done).withColumnRenamed("now", "_now")
+    return rows.join(end, [document, index], "left").withColumn("now", F.coalesce("_now", unit)).drop("_now")

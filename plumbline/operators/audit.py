@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Columns = Sequence[str]
@@ -63,28 +63,41 @@ def split_digest(df: DataFrame, group: Columns, parts: Sequence[Column], buckets
     return digest(each, group, [F.col("_k"), F.col("_d")], to)
 
 
+def from_rarest(have: DataFrame, need: DataFrame, group: Columns, owner: str, item: str) -> DataFrame:
+    """The owners of each group's rarest needed item (fewest owners, then the least item): all that can cover the group.
+
+    have and need have one row for each owner and item, and each group and item. A group that needs what nobody has has
+    no owner here.
+    """
+    often = have.groupBy(item).agg(F.count(F.lit(1)).alias("_often"))
+    told = need.join(often, item, "left").groupBy(*group).agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), F.col(item).alias("i"))).alias("_least"), F.count(F.lit(1)).alias("_size"))
+    told = told.filter("_least.n > 0").select(*group, "_size", F.col("_least.i").alias(item))
+    return told.join(have.select(owner, item), item).select(*group, owner, "_size")
+
+
 def covering(have: DataFrame, need: DataFrame, group: Columns, owner: str, item: str) -> DataFrame:
-    """Relational division: the owners that have every item that a group needs."""
-    wanted = need.select(*group, item).distinct()
-    size = wanted.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    hits = wanted.join(have.select(owner, item).distinct(), item).groupBy(*group, owner).agg(F.count(F.lit(1)).alias("_hit"))
-    return hits.join(size, list(group)).filter("_hit = _size").select(*group, owner)
+    """Relational division: the owners that have every item that a group needs.
+
+    Only owners of a group's rarest item are held against its other items.
+    """
+    wanted, held = need.select(*group, item).distinct(), have.select(owner, item).distinct()
+    asked = from_rarest(held, wanted, group, owner, item).join(wanted, list(group))
+    hits = asked.join(held, [owner, item], "left_semi").groupBy(*group, owner).agg(F.count(F.lit(1)).alias("_hit"), F.first("_size").alias("_size"))
+    return hits.filter("_hit = _size").select(*group, owner)
 
 
 def covering_roles(have: DataFrame, need: DataFrame, group: Columns, owner: str, item: str, role: str, label: str) -> DataFrame:
     """The owners at which every item that a group needs takes a role of its own.
 
     An item that has one role at an owner takes it whatever its label says; of several it takes the one of its label.
+    need has one row for each item of a group. Only owners of a group's rarest item are held against its other items, and
+    each owner and item has one row, with its roles.
     """
-    cap = have.select(owner, item, role).distinct()
-    sole = cap.groupBy(owner, item).agg(F.count(F.lit(1)).alias("_n"), F.min(role).alias("_sole"))
-    rows = need.select(*group, item, label).join(sole, item)
-    told = cap.select(owner, item, F.col(role).alias(label), F.lit(True).alias("_has"))
-    rows = rows.join(told, [owner, item, label], "left")
-    taken = F.when(F.col("_n") == 1, F.col("_sole")).when(F.col("_has"), F.col(label))
-    size = need.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    roles = rows.groupBy(*group, owner).agg(F.countDistinct(taken).alias("_roles"))
-    return roles.join(size, list(group)).filter("_roles = _size").select(*group, owner)
+    cap = have.groupBy(owner, item).agg(F.collect_set(role).alias("_roles"))  # an item has few roles at an owner
+    asked = from_rarest(cap.select(owner, item), need, group, owner, item).join(need.select(*group, item, label), list(group))
+    taken = F.when(F.size("_roles") == 1, F.col("_roles")[0]).when(F.array_contains("_roles", F.col(label)), F.col(label))
+    roles = asked.join(cap, [owner, item]).groupBy(*group, owner).agg(F.count_distinct(taken).alias("_n"), F.first("_size").alias("_size"))
+    return roles.filter("_n = _size").select(*group, owner)
 
 
 def waived(found: DataFrame, waivers: DataFrame, key: Columns, source: str, scope: str) -> DataFrame:
@@ -158,7 +171,3 @@ def override(df: DataFrame, patch: DataFrame, key: Columns, value: str) -> DataF
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole is 0."""
     return F.when(whole > 0, part / whole).otherwise(0.0)
-
-
-def latest(df: DataFrame, group: Columns, order: Sequence[Column]) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter("_r = 1").drop("_r")

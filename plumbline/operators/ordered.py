@@ -5,8 +5,11 @@ Every function takes the group's columns and orders its rows by a total order th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,31 +124,36 @@ def run_to_break(df: DataFrame, group: Columns, order: Columns, at: str, best: C
 
 
 def thinned(df: DataFrame, group: Columns, at: str, least: float) -> DataFrame:
-    """Positions at least `least` from the one kept before them (what is dropped anchors nothing).
+    """Positions at least `least` from the one kept before them (what is dropped anchors nothing): group, at.
 
-    A gap of `least` or more parts what can influence each other, so the fold runs within such clusters of distinct
-    positions; it keeps the last kept position and a mark for each row.
+    A gap of `least` or more parts what can influence each other, so each such cluster begins anew. Within one the next
+    kept position depends on the last, which is all that a task remembers while it passes over the sorted positions; no
+    group is gathered. `least` is above zero, so repeated positions count once; null positions are left out.
     """
-    each = df.select(*group, F.col(at).cast("double").alias(at)).filter(F.col(at).isNotNull()).distinct()
-    w = within(group, [at])
-    parted = each.withColumn("_new", F.coalesce((F.col(at) - F.lag(at).over(w) >= least).cast("int"), F.lit(1))).withColumn("_c", F.sum("_new").over(w))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["last"].isNull() | (x - acc["last"] >= least)
-        return F.struct(F.when(keep, x).otherwise(acc["last"]).alias("last"), F.when(keep, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"))
-
-    kept = F.aggregate(F.sort_array(F.collect_list(at)), start, step)["kept"]
-    return parted.groupBy(*group, "_c").agg(kept.alias("_k")).select(*group, F.explode("_k").alias(at))
-
-
-def thinned(df: DataFrame, group: Columns, at: str, least: float) -> DataFrame:
-    """Positions at least `least` from the one kept before them (a fold: what is dropped anchors nothing)."""
-    keep = F.aggregate(
-        F.sort_array(F.collect_list(at)), F.array().cast("array<double>"),
-        lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(x - F.element_at(acc, -1) >= least, F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return df.groupBy(*group).agg(keep.alias("_k")).select(*group, F.explode("_k").alias(at))
+    each = df.select(*group, F.col(at).cast("double").alias(at)).filter(F.col(at).isNotNull())
+    gap = F.col(at) - F.lag(at).over(within(group, [at]))
+    sorted_ = each.withColumn("_new", F.coalesce(gap >= least, F.lit(True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -math.inf
+        for batch in batches:
+            x = batch.column(batch.schema.get_field_index(at)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)).tolist()
+            keep = []
+            for k, (begin, end) in enumerate(zip([0, *starts], [*starts, len(x)], strict=True)):
+                last, i = -math.inf if k else last, begin  # the first stretch goes on with the cluster of the batch before
+                while i < end:
+                    i += int(np.searchsorted(x[i:end], last + least))
+                    while i > begin and x[i - 1] - last >= least:  # the sum may round otherwise than the difference
+                        i -= 1
+                    while i < end and x[i] - last < least:
+                        i += 1
+                    if i < end:
+                        keep.append(i)
+                        last = float(x[i])
+            yield batch.select(range(batch.num_columns - 1)).take(pa.array(keep, pa.int64()))
+
+    return sorted_.mapInArrow(run, each.schema)
 
 
 def numbered(df: DataFrame, group: Columns, order: Columns, eligible: Column, ceiling: Column, to: str = "number") -> DataFrame:
@@ -189,21 +197,3 @@ def adopted(edge: DataFrame, spare: DataFrame, group: Columns, at: str, across:
     near = wanted.join(offered, [*group, "_b"]).filter((d <= F.col("_p") * share) & (F.abs(F.col("_off") - F.col("_a")) <= width)).withColumn("_d", d)
     best = first_by(near, [*group, "slot"], ["_d", key])
     return first_by(best, [*group, key], ["slot"]).select(*group, "slot", key)
-
-
-def peeled(df: DataFrame, group: Columns, at: str, tie: str, tolerances: Sequence[float], least: int) -> DataFrame:
-    """Rows of the largest gap cluster of each group, taken away round by round, with their round from 1.
-
-    There is a round for each tolerance; a cluster of fewer than `least` rows is not taken. The lowest wins on ties. All
-    groups take their round at once.
-    """
-    rest, taken = df, None
-    for k, tolerance in enumerate(tolerances, 1):
-        own = gap_clusters(rest, group, at, tie, tolerance, "_c")
-        sizes = own.groupBy(*group, "_c").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo")).filter(F.col("_n") >= least)
-        best = first_by(sizes, group, [F.desc("_n"), "_lo"]).select(*group, "_c", F.lit(True).alias("_best"))
-        marked = own.join(best, [*group, "_c"], "left")
-        hit = marked.filter("_best").drop("_c", "_best").withColumn("round", F.lit(k))
-        taken = hit if taken is None else taken.unionByName(hit)
-        rest = marked.filter("_best IS NULL").drop("_c", "_best")
-    return taken

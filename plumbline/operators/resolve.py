@@ -168,42 +168,131 @@ def laddered(codes: DataFrame, names: DataFrame, code: str, name: str, family: i
     return exact.unionByName(sibling).unionByName(third)
 
 
-def sharing_letters(left: DataFrame, right: DataFrame, a: str, b: str, least: float, mean: bool) -> DataFrame:
-    """Pairs of distinct names that may reach a similarity of `least`; none that reaches it is missing.
+def numbered_letters(name: str) -> Column:
+    """The letters of a name, each with how often it has occurred so far, so that a bag of letters is a set."""
+    chars = F.filter(F.split(name, ""), lambda x: x != "")
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
+def distinct_names(df: DataFrame, block: Sequence[str], name: str) -> DataFrame:
+    return df.select(*block, name).filter(F.length(name) > 0).distinct()
 
-    Similarity is 1 - edits / the longer length (mean false), or twice the matched letters / the sum of lengths (mean
-    true). Either way the names share so many letters, as bags, that both have one of them among their rarest ones but as
-    many as may be missing (prefix filter), and their lengths lie in a band. Letters are ranked by how many names hold
-    them.
-    """
-    two = right.select(F.col(b)).filter(F.length(b) > 0).distinct()
-    one = left.select(F.col(a)).filter(F.length(a) > 0).distinct()
-    shrink = least / (2 - least) if mean else least  # the shorter name's least share of the longer
 
-    def letters(df: DataFrame, c: str) -> DataFrame:
-        chars = F.filter(F.split(c, ""), lambda x: x != "")
-        numbered = F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
-        return df.withColumn("_l", F.explode(numbered))
+def sharing_letters(left: DataFrame, right: DataFrame, a: str, b: str, least: float, block: Sequence[str] = ()) -> DataFrame:
+    """Pairs of distinct names of a block whose bags of letters allow a gestalt ratio of `least` (twice the matched letters /
+    the sum of lengths); none that reaches it is missing.
 
-    l1, l2 = letters(one, a), letters(two, b)
-    often = l1.select("_l").unionByName(l2.select("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("_f"))
+    Such names have one of their rarest letters in common, as many as may be missing and one (prefix filter), and their
+    lengths lie in a band. Of the pairs that meet so, those stay whose whole bags share enough letters.
+    """
+    shrink = least / (2 - least)  # the shorter name's least share of the longer
+    one = distinct_names(left, block, a).withColumn("_la", numbered_letters(a))
+    two = distinct_names(right, block, b).withColumn("_lb", numbered_letters(b))
+    letters = lambda df, c: df.select(F.explode(c).alias("_l"))
+    often = letters(one, "_la").unionByName(letters(two, "_lb")).groupBy("_l").agg(F.count(F.lit(1)).alias("_f"))
 
-    def prefix(df: DataFrame, c: str) -> DataFrame:
+    def prefix(df: DataFrame, c: str, bag: str) -> DataFrame:
         n = F.length(c)
-        need = F.ceil(least * n * ((1 + shrink) / 2 if mean else 1.0) - 1e-9)
-        rows = df.join(often, "_l").groupBy(c).agg(F.sort_array(F.collect_list(F.struct("_f", "_l"))).alias("_s"))
-        return rows.select(c, F.explode(F.slice("_s", F.lit(1), F.greatest(n - need + 1, F.lit(1)).cast("int"))["_l"]).alias("_l"))
+        need = F.ceil(least * n * (1 + shrink) / 2 - 1e-9)
+        rows = df.withColumn("_l", F.explode(bag)).join(often, "_l").groupBy(*block, c, bag).agg(F.sort_array(F.collect_list(F.struct("_f", "_l"))).alias("_s"))
+        return rows.select(*block, c, bag, F.explode(F.slice("_s", F.lit(1), F.greatest(n - need + 1, F.lit(1)).cast("int"))["_l"]).alias("_l"))
 
-    band = F.least(F.length(a), F.length(b)) >= F.ceil(shrink * F.greatest(F.length(a), F.length(b)) - 1e-9)
-    return prefix(l1, a).join(prefix(l2, b), "_l").filter(band).select(a, b).distinct()
+    enough = 2 * F.size(F.array_intersect("_la", "_lb")) >= least * (F.length(a) + F.length(b)) - 1e-9
+    return prefix(one, a, "_la").join(prefix(two, b, "_lb"), [*block, "_l"]).filter(enough).select(*block, a, b).distinct()
 
 
-def close_names(left: DataFrame, right: DataFrame, a: str, b: str, least: float, n: int) -> DataFrame:
-    """The n names most similar by edit distance for each left name, of all those with a ratio of at least `least`."""
-    pairs = sharing_letters(left, right, a, b, least, mean=False)
-    ratio = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    w = Window.partitionBy(a).orderBy(F.desc("ratio"), b)
-    return pairs.withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, least: float, block: Sequence[str] = ()) -> DataFrame:
+    """Pairs of distinct names of a block that may have an edit ratio (1 - edits / the longer length) of `least`; none that
+    reaches it is missing.
+
+    A pair of lengths allows so many edits, e. The shorter name is cut into e + 1 segments; one of them stands whole in
+    the longer name (pigeonhole principle), at a shift that leaves room for the edits before and behind it. So the
+    names meet on lengths, number of the segment and its letters. Lengths that allow one edit only meet on the name
+    without one of its letters, or whole, instead: ids that differ in a digit have long stretches in common, but not
+    those. Of the pairs that meet, those stay whose bags of letters share enough. `least` lies above zero.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least lies above 0 and is at most 1")
+    one, two = distinct_names(left, block, a), distinct_names(right, block, b)
+    edits = lambda longer: F.floor((1 - least) * longer + 1e-9).cast("int")
+    number = lambda c: F.col(c).cast("int")
+
+    def segment(short: Column, k: Column, i: Column) -> tuple[Column, Column]:
+        """Start (from 0) and length of the i-th of k segments; the last ones are a letter longer."""
+        each, more = F.floor(short / k).cast("int"), (short % k).cast("int")
+        return i * each + F.greatest(F.lit(0), i - (k - more)), each + F.when(i >= k - more, 1).otherwise(0)
+
+    def cut(df: DataFrame, c: str) -> DataFrame:
+        sizes = F.sequence(F.length(c), F.floor(F.length(c) / least + 1e-9).cast("int"))
+        rows = df.withColumn("_short", F.length(c)).withColumn("_long", F.explode(sizes)).filter(number("_long") - edits(F.col("_long")) <= number("_short"))
+        rows = rows.filter(edits(F.col("_long")) > 1).withColumn("_k", F.least(edits(F.col("_long")) + 1, F.col("_short"))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        start, size = segment(F.col("_short"), F.col("_k"), F.col("_i"))
+        return rows.select(*block, c, "_short", "_long", "_i", F.substr(F.col(c), start + 1, size).alias("_piece"))
+
+    def pieces(df: DataFrame, c: str) -> DataFrame:
+        least_size = F.greatest(F.lit(1), F.length(c) - edits(F.length(c)))
+        rows = df.withColumn("_long", F.length(c)).withColumn("_short", F.explode(F.sequence(least_size, F.length(c)))).withColumn("_e", edits(F.col("_long")))
+        rows = rows.filter("_e > 1").withColumn("_k", F.least(F.col("_e") + 1, F.col("_short"))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        start, size = segment(F.col("_short"), F.col("_k"), F.col("_i"))
+        more, i, e = F.col("_long") - F.col("_short"), F.col("_i"), F.col("_e")
+        # what is inserted and deleted before and behind a segment makes up the shift and the rest of the lengths' difference
+        low, high = -F.floor((e - more) / 2), F.floor((e + more) / 2)
+        whole = F.col("_k") == e + 1  # with a segment for each edit, earlier and later segments bound the shift, too
+        low = F.when(whole, F.greatest(low, -i, more - (e - i))).otherwise(low)
+        high = F.when(whole, F.least(high, i, more + (e - i))).otherwise(high)
+        rows = rows.withColumn("_from", F.greatest(F.lit(0), start + low).cast("int")).withColumn("_to", F.least(F.col("_long") - size, start + high).cast("int")).withColumn("_size", size)
+        rows = rows.filter("_from <= _to").withColumn("_at", F.explode(F.sequence("_from", "_to")))
+        return rows.select(*block, c, "_short", "_long", "_i", F.substr(F.col(c), F.col("_at") + 1, F.col("_size")).alias("_piece")).distinct()
+
+    def without_one(df: DataFrame, c: str) -> DataFrame:
+        rows = df.filter(edits(F.length(c)) < 2)
+        shorter = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
+        return rows.select(*block, c, F.explode(F.array_distinct(F.when(edits(F.length(c)) > 0, F.concat(F.array(c), shorter)).otherwise(F.array(c)))).alias("_piece"))
+
+    one_edit = without_one(one, a).join(without_one(two, b), [*block, "_piece"]).select(*block, a, b)
+    on = [*block, "_short", "_long", "_i", "_piece"]
+    met = cut(one, a).join(pieces(two, b), on).select(*block, a, b)
+    longer = pieces(one, a).filter("_short < _long").join(cut(two, b), on).select(*block, a, b)
+    most = F.greatest(F.length(a), F.length(b))
+    enough = F.size(F.array_intersect(numbered_letters(a), numbered_letters(b))) >= most - edits(most)
+    return met.unionByName(longer).unionByName(one_edit).distinct().filter(enough)
+
+
+def edit_ratio(a: str, b: str) -> Column:
+    return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), 6)
+
+
+def close_names(left: DataFrame, right: DataFrame, a: str, b: str, least: float, n: int, block: Sequence[str] = ()) -> DataFrame:
+    """The n names most similar by edit distance for each left name (of its block), of all those with a ratio of at least `least`."""
+    w = Window.partitionBy(*block, a).orderBy(F.desc("ratio"), b)
+    pairs = within_edits(left, right, a, b, least, block).withColumn("ratio", edit_ratio(a, b))
+    return pairs.filter(F.col("ratio") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def suggested(missing: DataFrame, offered: DataFrame, capable: DataFrame, taken: DataFrame, name: str, need: str, item: str, label: str, least: float, n: int, block: Sequence[str] = ()) -> DataFrame:
+    """For each missing function (block, name, need) the n best of the offered items (block, item, label) of its block:
+    name, item, label, score, rank.
+
+    An item counts if `capable` (item, need) lists it for what the function needs (null: anything), if `taken` (block,
+    item) doesn't hold it, and if its label shares a word with the name or has an edit ratio of at least `least`. The
+    score is the number of shared words and the ratio. Words are runs of letters and digits that are not all digits;
+    case doesn't count. Ties go to the smaller item, then label.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.upper(F.col(c)), "[^A-Z0-9]+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$")))
+    want = missing.select(*block, F.col(name).alias("_name"), F.col(need).alias("_need"), F.upper(name).alias("_a")).distinct()
+    have = offered.select(*block, item, F.col(label).alias("_label"), F.upper(label).alias("_b")).distinct()
+    free = have.join(taken.select(*block, item).distinct(), [*block, item], "left_anti")
+    each = lambda df, c: df.select(*block, c, F.explode(words(c)).alias("_w")).distinct()
+    sharing = each(want, "_a").join(each(free, "_b"), [*block, "_w"]).select(*block, "_a", "_b").distinct()
+    close = within_edits(want, free, "_a", "_b", least, block)
+    able = capable.select(item, F.col(need).alias("_need"), F.lit(True).alias("_able")).distinct()
+    pairs = sharing.unionByName(close).distinct().join(want, [*block, "_a"]).join(free, [*block, "_b"])
+    pairs = pairs.join(able, [item, "_need"], "left").filter("_need IS NULL OR _able")
+    shared, ratio = F.size(F.array_intersect(words("_a"), words("_b"))), edit_ratio("_a", "_b")
+    fits = pairs.filter((shared > 0) | (ratio >= least)).withColumn("score", F.round(shared + ratio, 3))
+    w = Window.partitionBy(*block, "_name", "_need").orderBy(F.desc("score"), item, "_label")
+    best = fits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return best.select(*block, F.col("_name").alias(name), F.col("_need").alias(need), item, F.col("_label").alias(label), "score", "rank")
 
 
 @F.pandas_udf(DoubleType())
@@ -214,11 +303,26 @@ def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def alike(left: DataFrame, right: DataFrame, a: str, b: str, least: float, n: int) -> DataFrame:
     """The n names of highest gestalt ratio for each left name, of all those with at least `least`."""
-    pairs = sharing_letters(left, right, a, b, least, mean=True).withColumn("ratio", F.round(gestalt(a, b), 6)).filter(F.col("ratio") >= least)
+    pairs = sharing_letters(left, right, a, b, least).withColumn("ratio", F.round(gestalt(a, b), 6)).filter(F.col("ratio") >= least)
     w = Window.partitionBy(a).orderBy(F.desc("ratio"), b)
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def checked_ids(ids: DataFrame, registry: DataFrame, key: str, reserved: str, shape: str, least: float, n: int) -> DataFrame:
+    """ids with status (empty, malformed, unregistered, ok), `reserved` (of a registered id, else false) and `near`, the n
+    registered ids most like an unregistered one, joined by commas; null where none is as like as `least`.
+
+    registry has one row for each id. No id is fatal; a null one is empty.
+    """
+    rows = ids.withColumn(key, F.coalesce(key, F.lit(""))).join(registry.select(key, F.col(reserved).alias("_r"), F.lit(True).alias("_known")), key, "left")
+    status = F.when(F.col(key) == "", "empty").when(~F.col(key).rlike(shape), "malformed").when(F.col("_known").isNull(), "unregistered").otherwise("ok")
+    rows = rows.withColumn("status", status).withColumn(reserved, F.coalesce("_r", F.lit(False))).drop("_r", "_known")
+    lost = rows.filter("status = 'unregistered'").select(key).distinct()
+    like = close_names(lost, registry.select(F.col(key).alias("_id")), key, "_id", least, n).groupBy(key)
+    near = like.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_id"))), lambda x: x["_id"]), ",").alias("near"), F.lit("unregistered").alias("status"))
+    return rows.join(near, [key, "status"], "left")
+
+
 def ohms(value: Column) -> Column:
     """Engineering values such as 4K7, 13.7K, 10k, 100R, 100 ohm or 100k\u03a9 as a number; null where it is none."""
     shape = r"(?i)^([0-9]+)(?:\.([0-9]+))?\s*([RKM]?)([0-9]*)\s*(?:OHMS?|\u03a9|\u2126)?$"

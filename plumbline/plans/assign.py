@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assign, ordered
+from ..operators import assign, ordered, parts
 from .views import Views, query
 
 SUPPLIERS = ", opts AS (SELECT pin, list_sort(list(signal)) opts FROM claims GROUP BY pin)"
@@ -20,16 +20,18 @@ def with_options(v: Views, rows: DataFrame) -> DataFrame:
     return rows.join(suppliers(v), "pin", "left").withColumn("options", F.coalesce("options", F.array().cast("array<long>")))
 
 
-@query("I1_conflict_free", """, cand AS (SELECT pin, signal FROM claims WHERE af = 1 AND signal % 3 = 0), n AS (SELECT g.doc_id, g.pin, count(signal) c FROM (SELECT DISTINCT doc_id, pin FROM boards) g LEFT JOIN cand ON cand.pin = g.pin GROUP BY g.doc_id, g.pin),
+@query("I1_conflict_free", """, cand AS (SELECT pin, signal FROM claims WHERE af = 1 AND signal % 3 = 0), n AS (SELECT g.doc_id, g.pin, count(signal) c FROM (SELECT DISTINCT doc_id, pin FROM (SELECT doc_id, seq, min(pin) pin FROM boards GROUP BY doc_id, seq)) g LEFT JOIN cand ON cand.pin = g.pin GROUP BY g.doc_id, g.pin),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c, CAST(pin AS VARCHAR)) k FROM n), z AS (SELECT doc_id, count(*) z FROM n GROUP BY doc_id),
 s(doc_id, k, picks) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM z UNION ALL SELECT s.doc_id, o.k, list_append(s.picks, cand.signal) FROM s JOIN o ON o.doc_id = s.doc_id AND o.k = s.k + 1 JOIN cand ON cand.pin = o.pin WHERE NOT list_contains(s.picks, cand.signal)),
 b AS (SELECT s.doc_id, min(picks) picks FROM s JOIN z ON z.doc_id = s.doc_id AND z.z = s.k GROUP BY s.doc_id), f AS (SELECT pin, min(signal) f FROM cand GROUP BY pin)
-SELECT o.doc_id, o.pin, CASE WHEN b.doc_id IS NULL THEN f.f ELSE b.picks[o.k] END pick, b.doc_id IS NOT NULL solved FROM o LEFT JOIN b ON b.doc_id = o.doc_id LEFT JOIN f ON f.pin = o.pin""")
+SELECT l.doc_id, l.seq, CASE WHEN b.doc_id IS NULL THEN f.f ELSE b.picks[o.k] END pick, b.doc_id IS NOT NULL solved, l.shares FROM (SELECT doc_id, seq, min(pin) pin, count(*) OVER (PARTITION BY doc_id, min(pin)) shares FROM boards GROUP BY doc_id, seq) l
+JOIN o ON o.doc_id = l.doc_id AND o.pin = l.pin LEFT JOIN b ON b.doc_id = o.doc_id LEFT JOIN f ON f.pin = o.pin""")
 def i1(v: Views) -> DataFrame:
-    """A supplier of its own for every part of an order, among those that have it on a first line."""
-    some = v.claims(False).filter("af = 1 AND signal % 3 = 0").groupBy("pin").agg(F.collect_list("signal").alias("options"))
-    groups = v.B.select("doc_id", "pin").distinct().join(some, "pin", "left").withColumn("options", F.coalesce("options", F.array().cast("array<long>")))
-    return assign.conflict_free(groups, "doc_id", "pin", "options")
+    """A supplier for every line of an order, among those that have its part on a first line: lines of one part share theirs,
+    others have different ones."""
+    able = v.claims(False).filter("af = 1 AND signal % 3 = 0").select("pin", "signal")
+    lines = v.B.groupBy("doc_id", "seq").agg(F.min("pin").alias("pin"))
+    return assign.owners_served(lines, able, "doc_id", "seq", "pin", "signal").select("doc_id", "seq", "pick", "solved", "shares")
 
 
 @query("I2_greedy_allocation", SUPPLIERS + """, o AS (SELECT b.doc_id, b.seq, b.pin, b.dev, coalesce(opts, CAST([] AS BIGINT[])) opts, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(len(opts), 0), seq, b.pin, dev, qty) k FROM boards b LEFT JOIN opts ON opts.pin = b.pin),
@@ -62,29 +64,31 @@ def i11(v: Views) -> DataFrame:
     return out.select("doc_id", "order.seq", "order.pin", F.when(F.col("free"), F.col("pick")).alias("dev"), F.when(F.col("free"), "moved").otherwise("withheld").alias("state"))
 
 
-ROUND = """, k{j} AS (SELECT doc_id, now, min(net) lo, max(net) hi FROM r{i} GROUP BY doc_id, now),
-m{j} AS (SELECT r.doc_id, r.idx, c.signal, row_number() OVER (PARTITION BY r.doc_id ORDER BY r.idx, c.signal) n FROM r{i} r JOIN k{j} k ON k.doc_id = r.doc_id AND k.now = r.now AND k.lo <> k.hi JOIN claims c ON c.pin = r.pin AND c.signal <> r.now
-  LEFT JOIN k{j} t ON t.doc_id = r.doc_id AND t.now = c.signal WHERE r.net <> 'NO' AND (t.lo IS NULL OR t.lo = t.hi AND t.lo = r.net)),
-r{j} AS (SELECT r.doc_id, r.idx, r.seq, r.pin, r.dev, r.net, coalesce(m.signal, r.now) now FROM r{i} r LEFT JOIN m{j} m ON m.doc_id = r.doc_id AND m.idx = r.idx AND m.n = 1)"""
-
-
-@query("I6_clash_repair", ", r0 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, pin, dev, net, qty) idx, seq, pin, dev, net, dev now FROM boards)" + "".join(ROUND.format(i=i, j=i + 1) for i in range(3)) + "SELECT doc_id, seq, pin, dev, net, now FROM r3")
+@query("I6_clash_repair", """, b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, pin, dev, net, qty) idx, seq, pin, dev, net FROM boards), o AS (SELECT pin, list_sort(list(signal)) opts FROM claims GROUP BY pin),
+z AS (SELECT doc_id, list({'idx': idx, 'seq': seq, 'pin': b.pin, 'dev': dev, 'net': net, 'opts': coalesce(opts, CAST([] AS BIGINT[]))} ORDER BY idx) r, list(dev ORDER BY idx) devs FROM b LEFT JOIN o ON o.pin = b.pin GROUP BY doc_id),
+s(doc_id, n, r, now) AS (SELECT doc_id, 0, r, devs FROM z UNION ALL SELECT doc_id, n + 1, r, list_transform(now, lambda d, j: CASE WHEN j = m.i THEN m.o ELSE d END) FROM (SELECT doc_id, n, r, now, list_filter(list_transform(r, lambda x: {'i': x.idx, 'o': CASE WHEN x.net <> 'NO' AND len(list_filter(r, lambda y: now[y.idx] = now[x.idx] AND y.net <> x.net)) > 0
+  THEN list_filter(x.opts, lambda q: q <> now[x.idx] AND len(list_filter(r, lambda y: now[y.idx] = q AND y.net <> x.net)) = 0)[1] END}), lambda y: y.o IS NOT NULL)[1] m FROM s) WHERE m IS NOT NULL),
+e AS (SELECT doc_id, arg_max(r, n) r, arg_max(now, n) now FROM s GROUP BY doc_id), x AS (SELECT doc_id, unnest(r) x, unnest(now) now FROM e) SELECT doc_id, x.seq seq, x.pin pin, x.dev dev, x.net net, now FROM x""")
 def i6(v: Views) -> DataFrame:
-    """Move lines, one an order and round, until no device of an order serves several nets; lines of net NO stay."""
+    """Move lines, one an order at a time, until no device of an order serves several nets or nothing can move; lines of net NO stay."""
     rows = ordered.ranked(v.B, ["doc_id"], ["seq", "pin", "dev", "net", "qty"], "idx").select("doc_id", "idx", "seq", "pin", "dev", "net")
     options = v.claims(False).select("pin", F.col("signal").alias("place"), F.col("signal").alias("option"))
-    return assign.repaired(rows, options, "doc_id", "idx", "pin", "dev", "net", "NO", 3).select("doc_id", "seq", "pin", "dev", "net", "now")
+    return assign.repaired(rows, options, "doc_id", "idx", "pin", "dev", "net", "NO").select("doc_id", "seq", "pin", "dev", "net", "now")
 
 
-@query("I7_part_merging", """, p AS (SELECT doc_id, list(DISTINCT pin) pins, count(*) n, round(avg(qty), 6) pitch FROM boards GROUP BY doc_id),
-o AS (SELECT o_custkey, o_orderkey, pins, pitch, epoch_us(o_orderdate) / 86400000000.0 AS dy, row_number() OVER (PARTITION BY o_custkey ORDER BY len(pins) DESC, n DESC, o_orderkey) k FROM orders JOIN p ON doc_id = o_orderkey),
-c AS (SELECT * FROM o WHERE k <= 6), s(o_custkey, k, mine, pitch, days, ok) AS (SELECT o_custkey, k, pins, pitch, [dy], TRUE FROM c WHERE k = 1
-UNION ALL SELECT o_custkey, k, CASE WHEN ok THEN list_concat(mine, pins) ELSE mine END, pitch, CASE WHEN ok THEN list_append(days, dy) ELSE days END, ok FROM (SELECT c.o_custkey, c.k, s.mine, c.pins, s.pitch, s.days, c.dy,
-  len(list_intersect(s.mine, c.pins)) = 0 AND abs(c.pitch - s.pitch) <= s.pitch * 0.25 AND (len(c.pins) >= 5 AND len(c.pins) * 3 >= len(s.mine) OR len(list_filter(s.days, lambda d: abs(d - c.dy) <= 60)) > 0) ok FROM s JOIN c ON c.o_custkey = s.o_custkey AND c.k = s.k + 1))
-SELECT c.o_custkey, c.o_orderkey, s.ok accepted FROM c JOIN s ON s.o_custkey = c.o_custkey AND s.k = c.k""")
+@query("I7_part_merging", """, w AS (SELECT doc_id, floor(h / 84) part, word_id, h, y, floor(y) pin FROM pts WHERE text <> 'error'), g AS (SELECT *, round(h, 2) - lag(round(h, 2)) OVER (PARTITION BY doc_id, part ORDER BY round(h, 2), word_id) g FROM w),
+p AS (SELECT doc_id, CAST(part AS BIGINT) part, list(DISTINCT pin) pins, coalesce(min(round(g, 2)) FILTER (round(g, 2) > 0.5 AND round(g, 2) < 20), 3.66) pitch, count(*) n, min(h) x0, max(h) x1, min(y) y0, max(y) y1, CAST(floor(part / 2) AS BIGINT) page, bool_or(word_id % 4 = 0) upright FROM g GROUP BY doc_id, part),
+o AS (SELECT doc_id, part, pins, pitch, {'page': page, 'x0': x0, 'x1': x1, 'y0': y0, 'y1': y1, 'lo': CASE WHEN upright THEN y0 ELSE x0 END, 'hi': CASE WHEN upright THEN y1 ELSE x1 END} b, row_number() OVER (PARTITION BY doc_id ORDER BY len(pins) DESC, n DESC, part) k FROM p),
+s(doc_id, k, mine, pitch, boxes, ok) AS (SELECT doc_id, k, pins, pitch, [b], TRUE FROM o WHERE k = 1 UNION ALL SELECT doc_id, k, CASE WHEN ok THEN list_concat(mine, pins) ELSE mine END, pitch, CASE WHEN ok THEN list_append(boxes, b) ELSE boxes END, ok FROM (SELECT o.doc_id, o.k, s.mine, o.pins, s.pitch, s.boxes, o.b,
+  len(list_intersect(s.mine, o.pins)) = 0 AND abs(o.pitch - s.pitch) <= s.pitch * 0.5 AND (len(o.pins) >= 12 AND len(o.pins) * 3 >= len(s.mine) OR len(list_filter(s.boxes, lambda a: a.page = o.b.page AND (o.b.x0 <= a.x1 + 2 * s.pitch AND a.x0 <= o.b.x1 + 2 * s.pitch AND o.b.y0 <= a.y1 + 2 * s.pitch AND a.y0 <= o.b.y1 + 2 * s.pitch
+    OR least(o.b.hi, a.hi) - greatest(o.b.lo, a.lo) > 0 AND least(o.b.hi, a.hi) - greatest(o.b.lo, a.lo) >= 0.5 * least(o.b.hi - o.b.lo, a.hi - a.lo)))) > 0) ok FROM s JOIN o ON o.doc_id = s.doc_id AND o.k = s.k + 1))
+SELECT o.doc_id, o.part, s.ok accepted FROM o JOIN s ON s.doc_id = o.doc_id AND s.k = o.k""")
 def i7(v: Views) -> DataFrame:
-    """Orders of a customer that make up one: no part in common, a like mean quantity, and large or near in time; of the six strongest."""
-    lines = v.B.groupBy(F.col("doc_id").alias("o_orderkey")).agg(F.collect_set("pin").alias("pins"), F.count(F.lit(1)).alias("n"), F.round(F.avg("qty"), 6).alias("pitch"))
-    days = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', o_orderdate)") / F.lit(86_400_000_000.0)
-    parts = v.orders.select("o_custkey", "o_orderkey", days.alias("at")).join(lines, "o_orderkey")
-    return assign.merged(parts, "o_custkey", [F.desc(F.size("pins")), F.desc("n"), F.col("o_orderkey")], "o_orderkey", "pins", "pitch", "at", 6, 0.25, 5, 3, 60.0)
+    """The parts (half weeks) of a user's events that make up one whole: no whole value in common with what is accepted, a like
+    rhythm, and large, adjacent, or beside an accepted part of the same week."""
+    words = v.P.filter("text <> 'error'").withColumn("part", F.floor(F.col("h") / 84))
+    pitch = ordered.least_spacing(words, ["doc_id", "part"], "h", 0.5, 20.0, 3.66)
+    box = [F.min("h").alias("x0"), F.max("h").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    shape = words.groupBy("doc_id", "part").agg(F.collect_set(F.floor("y")).alias("pins"), F.count(F.lit(1)).alias("n"), *box, F.bool_or(F.col("word_id") % 4 == 0).alias("upright"))
+    whole = shape.join(pitch, ["doc_id", "part"]).withColumn("page", F.floor(F.col("part") / 2))
+    return parts.merged(whole, "doc_id", [F.desc(F.size("pins")), F.desc("n"), F.col("part")], "part", "pins", "pitch", "page", "upright", spread=0.5)

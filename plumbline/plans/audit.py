@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, ordered
+from ..operators import audit, ordered, resolve
 from .views import CUT, Views, query
 
 KEY = ["pin", "signal"]
@@ -366,14 +366,19 @@ def h5_all(v: Views) -> DataFrame:
     return v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.bround("l_extendedprice", 0).alias("r"))
 
 
-@query("H9_id_check", ", r AS (SELECT DISTINCT upper(c_name) id FROM customer WHERE c_custkey % 2 = 0), x AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '  ' WHEN c_custkey % 13 = 0 THEN c_name || '!' ELSE ' ' || lower(c_name) END raw FROM customer) SELECT c_custkey, CASE WHEN trim(raw) = '' THEN 'empty' WHEN NOT regexp_matches(upper(trim(raw)), '^[A-Z0-9 _#]+$') THEN 'malformed' WHEN r.id IS NULL THEN 'unregistered' ELSE 'ok' END status FROM x LEFT JOIN r ON r.id = upper(trim(raw))")
+@query("H9_id_check", """, r AS (SELECT upper(c_name) id, bool_or(c_custkey % 10 = 0) reserved FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1),
+x AS (SELECT c_custkey, upper(trim(CASE WHEN c_custkey % 11 = 0 THEN '  ' WHEN c_custkey % 13 = 0 THEN c_name || '!' ELSE ' ' || lower(c_name) END)) id FROM customer),
+c AS (SELECT c_custkey, x.id, CASE WHEN x.id = '' THEN 'empty' WHEN NOT regexp_matches(x.id, '^[A-Z0-9 _#]+$') THEN 'malformed' WHEN r.id IS NULL THEN 'unregistered' ELSE 'ok' END status, coalesce(reserved, FALSE) reserved FROM x LEFT JOIN r ON r.id = x.id),
+g AS (SELECT c.id, r.id name, row_number() OVER (PARTITION BY c.id ORDER BY round(1 - levenshtein(c.id, r.id) / greatest(length(c.id), length(r.id)), 6) DESC, r.id) k FROM (SELECT DISTINCT id FROM c WHERE status = 'unregistered') c JOIN r ON round(1 - levenshtein(c.id, r.id) / greatest(length(c.id), length(r.id)), 6) >= 0.9),
+s AS (SELECT id, string_agg(name, ',' ORDER BY k) near FROM g WHERE k <= 3 GROUP BY id) SELECT c_custkey, status, reserved, near FROM c LEFT JOIN s ON s.id = c.id AND status = 'unregistered'""")
 def h9(v: Views) -> DataFrame:
-    registry = v.customer.filter("c_custkey % 2 = 0").select(F.upper("c_name").alias("id"), F.lit(True).alias("known")).distinct()
+    """Ids that are empty, malformed, not registered or ok; whether a registered one is reserved; the three registered ids most
+    like an unregistered one."""
+    registry = v.customer.filter("c_custkey % 2 = 0").groupBy(F.upper("c_name").alias("id")).agg(F.bool_or(F.col("c_custkey") % 10 == 0).alias("reserved"))
     key = F.col("c_custkey")
     given = F.when(key % 11 == 0, "  ").when(key % 13 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.concat(F.lit(" "), F.lower("c_name")))
-    raw = F.upper(F.trim(given))
-    status = F.when(F.col("id") == "", "empty").when(~F.col("id").rlike("^[A-Z0-9 _#]+$"), "malformed").when(F.col("known").isNull(), "unregistered").otherwise("ok")
-    return v.customer.select("c_custkey", raw.alias("id")).join(registry, "id", "left").select("c_custkey", status.alias("status"))
+    ids = v.customer.select("c_custkey", F.upper(F.trim(given)).alias("id"))
+    return resolve.checked_ids(ids, registry, "id", "reserved", "^[A-Z0-9 _#]+$", 0.9, 3).select("c_custkey", "status", "reserved", "near")
 
 
 @query("I4_shared_resource", ALL_SUPPLY + """, z AS (SELECT doc_id, count(*) z FROM need GROUP BY doc_id), c AS (SELECT doc_id, dev FROM need JOIN have USING (pin) JOIN z USING (doc_id) GROUP BY doc_id, dev, z HAVING count(*) = z),

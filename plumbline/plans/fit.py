@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import near, ordered
+from ..operators import near, ordered, parts, readings
 from .layout import SWEEP, aligned, sides
 from .views import Views, query
 
@@ -59,39 +59,71 @@ def d4(v: Views) -> DataFrame:
     return aligned(v).withColumn("unsat", F.col("chk") - F.col("sat"))
 
 
-FITS = """, p AS (SELECT a.doc_id, b.text hyp, a.word_id a, min(abs(a.h - b.h)) d FROM pts a JOIN pts b ON a.doc_id = b.doc_id AND a.text = 'click' AND b.text <> 'click' AND abs(a.h - b.h) <= 12 GROUP BY ALL),
-s AS (SELECT doc_id, hyp, count(*) n, count(*) FILTER (d <= 3) sat FROM p GROUP BY ALL) """
+FITS = """, o AS (SELECT unnest(range(-18, 19)) o), w AS (SELECT doc_id, text hyp, word_id b, h, y, floor(h / 84) part, word_id % 4 < 3 side FROM pts WHERE text <> 'click'), g AS (SELECT *, min(side) OVER p = max(side) OVER p one, min(h) OVER p + max(h) OVER p - h turned FROM w WINDOW p AS (PARTITION BY doc_id, hyp, part)),
+f AS (SELECT *, max(one) OVER (PARTITION BY doc_id, hyp) flips FROM g), rd AS (SELECT doc_id, hyp, b, y, 0 reading, h bp FROM f UNION ALL SELECT doc_id, hyp, b, y, 1, CASE WHEN one THEN turned ELSE h END FROM f WHERE flips),
+c AS (SELECT rd.doc_id, hyp, reading, o, word_id a, b, pts.y, rd.y ry, abs(pts.h + o - bp) d FROM pts JOIN rd ON rd.doc_id = pts.doc_id AND pts.text = 'click' AND abs(pts.h - bp) <= 24 CROSS JOIN o WHERE abs(pts.h + o - bp) <= 6),
+n AS (SELECT *, row_number() OVER (PARTITION BY hyp, reading, o, a ORDER BY d, b) r FROM c),
+s AS (SELECT doc_id, hyp, reading, o, count(*) pairs, count(*) FILTER (a % 3 <> 0) chk, count(*) FILTER (a % 3 <> 0 AND abs(y - ry) <= 30) sat, count(*) FILTER (b % 5 = 0) reserved FROM n WHERE r = 1 GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hyp, reading ORDER BY sat DESC, chk - sat, reserved, pairs DESC, abs(o), o) q FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hyp ORDER BY sat DESC, sat - chk DESC, reading) best FROM t WHERE q = 1) """
 
 
 def fits(v: Views) -> DataFrame:
-    """For each user and hypothesis (which kind of event clicks go with): clicks with a candidate, and those with a close one."""
-    clicks = v.P.filter("text = 'click'").select("doc_id", F.col("word_id").alias("a"), "h")
-    others = v.P.filter("text <> 'click'").select("doc_id", F.col("text").alias("hyp"), F.col("h").alias("bh"))
-    best = near.band_join(clicks, others, ["doc_id"], "h", "bh", 12.0).groupBy("doc_id", "hyp", "a").agg(F.min(F.abs(F.col("h") - F.col("bh"))).alias("d"))
-    return best.groupBy("doc_id", "hyp").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("d") <= 3, 1)).alias("sat"))
+    """For each user and hypothesis (which kind of event clicks go with) the reading that fits better, at its best shift.
+
+    The rows of a hypothesis are the events of its kind; a part of them are those of half a week. A part is one-sided if
+    all of its ids, or none, leave 3 when divided by 4; its order may be turned. Each reading has a sweep of its own.
+    """
+    rows = v.P.filter("text <> 'click'").select("doc_id", F.col("text").alias("hyp"), F.col("word_id").alias("b"), F.col("h").alias("bp"), F.col("y").alias("ry"), F.floor(F.col("h") / 84).alias("part"), (F.col("word_id") % 4 < 3).cast("int").alias("side"))
+    turned = readings.both_readings(rows, ["doc_id", "hyp"], "part", "bp", "side").drop("part", "side")
+    clicks = v.P.filter("text = 'click'").select("doc_id", F.col("word_id").alias("a"), "h", "y")
+    # a click is held against every reading of its user's rows: the readings are in the group, and the join is by user
+    clicks = clicks.join(turned.select("doc_id", "hyp", "reading").distinct(), "doc_id")
+    scores = readings.swept(clicks, turned, ["doc_id", "hyp", "reading"], "h", "bp", 18, 6.0, "a", "b", F.col("a") % 3 != 0, F.abs(F.col("y") - F.col("ry")) <= 30, F.col("b") % 5 == 0)
+    return readings.arbitrated(readings.best_shift(scores, ["doc_id", "hyp", "reading"]), ["doc_id", "hyp"])
 
 
-@query("F5_candidate_fit", FITS + "SELECT doc_id, hyp, n, sat, row_number() OVER (PARTITION BY doc_id ORDER BY sat::DOUBLE / n DESC, n DESC, hyp) rank FROM s")
+@query("F5_candidate_fit", FITS + "SELECT doc_id, hyp, reading, CAST(o AS INTEGER) o, sat, chk, row_number() OVER (PARTITION BY doc_id ORDER BY sat::DOUBLE / chk DESC, chk DESC, hyp) rank FROM k WHERE best = 1 AND chk > 0")
 def f5(v: Views) -> DataFrame:
-    return ordered.ranked(fits(v), ["doc_id"], [F.desc(F.col("sat") / F.col("n")), F.desc("n"), "hyp"])
+    """Hypotheses ranked by what they explain, each by the better of its readings."""
+    return readings.ranked_fits(fits(v), ["doc_id"], "hyp").select("doc_id", "hyp", "reading", "o", "sat", "chk", "rank")
 
 
-@query("I8_two_readings", FITS + """, t AS (SELECT doc_id, coalesce(sum(sat) FILTER (hyp = 'view'), 0) s0, coalesce(sum(n) FILTER (hyp = 'view'), 0) n0, coalesce(sum(sat) FILTER (hyp = 'purchase'), 0) s1, coalesce(sum(n) FILTER (hyp = 'purchase'), 0) n1 FROM s GROUP BY 1)
-SELECT doc_id, CASE WHEN s1 > s0 OR (s1 = s0 AND s1 - n1 > s0 - n0) THEN 'purchase' ELSE 'view' END reading FROM t""")
+@query("I8_two_readings", FITS + "SELECT doc_id, hyp, reading, CAST(o AS INTEGER) o, sat, chk FROM k WHERE best = 1")
 def i8(v: Views) -> DataFrame:
-    """The first reading of each user's clicks, or the second where it fits strictly better."""
-    of = lambda c, hyp: F.coalesce(F.sum(F.when(F.col("hyp") == hyp, F.col(c))), F.lit(0))
-    rows = fits(v).groupBy("doc_id").agg(of("sat", "view").alias("s0"), of("n", "view").alias("n0"), of("sat", "purchase").alias("s1"), of("n", "purchase").alias("n1"))
-    return rows.select("doc_id", F.when(F.expr("s1 > s0 OR (s1 = s0 AND s1 - n1 > s0 - n0)"), "purchase").otherwise("view").alias("reading"))
-
-
-@query("F6_iterated_peel", ", r0 AS (SELECT doc_id, word_id, h, y, 0 taken FROM pts)" + "".join(f""", g{k} AS (SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY doc_id ORDER BY h, word_id) > {24 + 12 * k} THEN 1 ELSE 0 END n FROM r{k} WHERE taken = 0), c{k} AS (SELECT doc_id, word_id, sum(n) OVER (PARTITION BY doc_id ORDER BY h, word_id) c FROM g{k}),
-s{k} AS (SELECT c.doc_id, c.c, count(*) n, min(h) lo FROM c{k} c JOIN r{k} r ON r.word_id = c.word_id GROUP BY c.doc_id, c.c HAVING count(*) >= 3), b{k} AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lo) q FROM s{k}),
-r{k + 1} AS (SELECT r.doc_id, r.word_id, r.h, r.y, CASE WHEN b.c IS NOT NULL THEN {k + 1} ELSE taken END taken FROM r{k} r LEFT JOIN c{k} c ON c.word_id = r.word_id LEFT JOIN b{k} b ON b.doc_id = c.doc_id AND b.c = c.c AND q = 1)""" for k in range(3)) + 'SELECT doc_id, taken "round", count(*) n, round(min(h), 4) low FROM r3 WHERE taken > 0 GROUP BY doc_id, taken')
+    """Whether a user's one-sided parts are better read the other way round, for each kind of event."""
+    return fits(v).select("doc_id", "hyp", "reading", "o", "sat", "chk")
+
+
+TOLERANCE, LEAST = (4.0, 2.0), 3
+
+
+def _peel_sql() -> str:
+    """Six rounds as the operator has them: r items left, v flags, u their sums, t what is taken, f the frame."""
+    out = ", r1 AS (SELECT doc_id, word_id, h x0, h + length(text) x1, y y0, y + length(text) y1 FROM pts), f1 AS (SELECT doc_id, min(x0) fx0, max(x1) fx1, min(y0) fy0, max(y1) fy1 FROM r1 GROUP BY doc_id)"
+    for k in range(1, 7):
+        anchors = " UNION ALL ".join(f"SELECT doc_id, word_id, '{c}' anchor, {c} / {TOLERANCE[c[0] == 'y']} p FROM r{k}" for c in ("x0", "x1", "y0", "y1"))
+        flags = ", ".join(f"coalesce(bool_or(b.anchor = '{c}'), false) {n}" for c, n in (("x0", "l"), ("x1", "rr"), ("y0", "t"), ("y1", "b")))
+        grown = ", ".join(f"{'least' if c.endswith('0') else 'greatest'}(f{c}, e{c}) f{c}" if k > 1 else f"e{c} f{c}" for c in ("x0", "x1", "y0", "y1"))
+        out += f""",
+a{k} AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id, anchor ORDER BY p, word_id) > 1 THEN 1 ELSE 0 END n FROM ({anchors})), c{k} AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, anchor ORDER BY p, word_id) c FROM a{k}),
+b{k} AS (SELECT * FROM (SELECT doc_id, anchor, c, row_number() OVER (PARTITION BY doc_id, anchor ORDER BY count(*) DESC, c) q FROM c{k} GROUP BY doc_id, anchor, c) WHERE q = 1),
+v{k} AS (SELECT r.doc_id, r.word_id, any_value(r.x0) x0, any_value(r.x1) x1, any_value(r.y0) y0, any_value(r.y1) y1, {flags} FROM r{k} r LEFT JOIN (SELECT c.* FROM c{k} c JOIN b{k} b ON b.doc_id = c.doc_id AND b.anchor = c.anchor AND b.c = c.c) b ON b.doc_id = r.doc_id AND b.word_id = r.word_id GROUP BY r.doc_id, r.word_id),
+u{k} AS (SELECT *, nl = nlr AND nr = nlr same, NOT (nl = nlr AND nr = nlr) AND nr >= nl to_right, CASE WHEN nl = nlr AND nr = nlr THEN nl ELSE nl + nr - nlr END cols FROM (SELECT doc_id, count(*) FILTER (l) nl, count(*) FILTER (rr) nr, count(*) FILTER (l AND rr) nlr, count(*) FILTER (t) nt, count(*) FILTER (b) nb FROM v{k} GROUP BY doc_id)),
+s{k} AS (SELECT v.*, CASE WHEN greatest(nt, nb) > cols THEN CASE WHEN CASE WHEN nb > nt THEN b ELSE t END THEN 'H' END WHEN l AND NOT (rr AND to_right) THEN 'L' WHEN rr AND NOT same AND NOT (l AND NOT to_right) THEN 'R' END side FROM v{k} v JOIN u{k} u ON u.doc_id = v.doc_id WHERE greatest(nt, nb, cols) >= {LEAST}),
+e{k} AS (SELECT doc_id, coalesce(min(x0) FILTER (side <> 'R'), min(x0)) ex0, coalesce(max(x1) FILTER (side <> 'L'), max(x1)) ex1, min(y0) ey0, max(y1) ey1, avg(y0) mid FROM s{k} WHERE side IS NOT NULL GROUP BY doc_id),
+t{k} AS (SELECT s.doc_id, s.word_id, {k} "round", CASE WHEN side = 'H' THEN CASE WHEN mid < (fy0 + fy1) / 2 THEN 'T' ELSE 'B' END ELSE side END side, s.x0, s.y1 FROM s{k} s JOIN e{k} e ON e.doc_id = s.doc_id JOIN f{k} f ON f.doc_id = s.doc_id WHERE side IS NOT NULL),
+f{k + 1} AS (SELECT f.doc_id, {grown} FROM f{k} f JOIN e{k} e ON e.doc_id = f.doc_id), r{k + 1} AS (SELECT doc_id, word_id, x0, x1, y0, y1 FROM s{k} WHERE side IS NULL)"""
+    every = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(1, 7))
+    return f'{out} SELECT doc_id, CAST("round" AS INTEGER) "round", side, count(*) n, round(min(x0), 4) x0, round(max(y1), 4) y1 FROM ({every}) GROUP BY doc_id, "round", side'
+
+
+@query("F6_iterated_peel", _peel_sql())
 def f6(v: Views) -> DataFrame:
-    """Take away the largest cluster of a user's events (three or more), three times; the tolerance grows by 12 hours each
-    time, so what is left may merge across what was taken."""
-    return ordered.peeled(v.P, ["doc_id"], "h", "word_id", [24.0, 36.0, 48.0], 3).groupBy("doc_id", "round").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("h"), 4).alias("low"))
+    """The edges of a user's events, drawn as boxes as wide as their names: up to six rounds, strongest first, along all four sides."""
+    boxes = v.P.select("doc_id", "word_id", F.col("h").alias("x0"), (F.col("h") + F.length("text")).alias("x1"), F.col("y").alias("y0"), (F.col("y") + F.length("text")).alias("y1"))
+    out = parts.peeled(boxes, ["doc_id"], "word_id", TOLERANCE, LEAST)
+    return out.groupBy("doc_id", "round", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x0"), 4).alias("x0"), F.round(F.max("y1"), 4).alias("y1"))
 
 
 @query("D20_straddling_pair", """, i AS (SELECT c.doc_id, c.word_id, c.h, c.y, p.y val, row_number() OVER (PARTITION BY c.word_id ORDER BY abs(c.h - p.h) + abs(c.y - p.y), p.word_id) r FROM pts c JOIN pts p ON p.doc_id = c.doc_id AND c.text = 'click' AND p.text = 'purchase' AND abs(c.h - p.h) + abs(c.y - p.y) <= 60),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import near, ordered
+from ..operators import near, ordered, readings
 from .views import Views, query
 
 GAP = 21600.0
@@ -279,22 +279,13 @@ def aligned(v: Views) -> DataFrame:
     points = v.P.select("doc_id", "word_id", "text", axes.alias("c")).select("doc_id", "word_id", "text", "c.*")
     a = points.filter("text = 'click'").select("doc_id", "axis", F.col("word_id").alias("a"), "p", "q")
     b = points.filter("text = 'view'").select("doc_id", "axis", F.col("word_id").alias("b"), F.col("p").alias("bp"), F.col("q").alias("bq"))
-    pairs = near.band_join(a, b, ["doc_id", "axis"], "p", "bp", 24.0)
-    # only the shifts that bring a pair together are made
-    o = F.sequence(F.greatest(F.lit(-18), F.ceil(F.col("bp") - F.col("p") - 6).cast("int") - 1), F.least(F.lit(18), F.floor(F.col("bp") - F.col("p") + 6).cast("int") + 1))
-    shifted = pairs.withColumn("o", F.explode(F.filter(o, lambda x: x.between(-18, 18)))).withColumn("d", F.abs(F.col("p") + F.col("o") - F.col("bp"))).filter("d <= 6")
-    best = shifted.groupBy("doc_id", "axis", "o", "a").agg(F.min(F.struct("d", "b", "q", "bq")).alias("m"))
-    claims = F.col("a") % 3 != 0
-    agree = F.abs(F.col("m.q") - F.col("m.bq")) <= 30
-    count = lambda c: F.count(F.when(c, 1))
-    return best.groupBy("doc_id", "axis", "o").agg(F.count(F.lit(1)).alias("pairs"), count(claims).alias("chk"), count(claims & agree).alias("sat"), count(F.col("m.b") % 5 == 0).alias("reserved"))
+    agrees = F.abs(F.col("q") - F.col("bq")) <= 30
+    return readings.swept(a, b, ["doc_id", "axis"], "p", "bp", 18, 6.0, "a", "b", F.col("a") % 3 != 0, agrees, F.col("b") % 5 == 0)
 
 
 @query("F2_alignment_sweep", SWEEP + "SELECT doc_id, axis, CAST(o AS INTEGER) o, pairs, chk, sat, reserved FROM r WHERE r = 1")
 def f2(v: Views) -> DataFrame:
-    """The best shift on each axis: most agreeing claims, fewest that disagree, fewest on reserved rows, most pairs, then the smallest."""
-    order = [F.desc("sat"), F.col("chk") - F.col("sat"), "reserved", F.desc("pairs"), F.abs("o"), "o"]
-    return ordered.first_by(aligned(v), ["doc_id", "axis"], order)
+    return readings.best_shift(aligned(v), ["doc_id", "axis"])
 
 
 @query("C20_grid_cells", SPANS + """, n AS (SELECT c.doc_id, c.word_id, c.h, v.word_id row_id, row_number() OVER (PARTITION BY c.word_id ORDER BY abs(c.y - v.y), v.word_id) r FROM pts c JOIN pts v ON v.doc_id = c.doc_id AND v.text = 'view' AND c.text = 'click' AND abs(c.y - v.y) <= 6)

@@ -202,6 +202,23 @@ def c18(v: Views) -> DataFrame:
     return resolve.close_names(*misspelt(v), "wrong", "name", 0.5, 3)
 
 
+@query("C18_suggestions", r""", w AS (SELECT DISTINCT regexp_replace(p_name, '[aeI]', 'y') missing, CASE WHEN p_size % 3 > 0 THEN p_size % 5 END need FROM part),
+o AS (SELECT p_partkey pin, p_name label FROM part WHERE p_partkey % 7 > 0), k AS (SELECT DISTINCT pin, signal % 5 need FROM claims),
+p AS (SELECT missing, w.need, pin, label, len(list_intersect(string_split(upper(missing), ' '), string_split(upper(label), ' '))) shared, round(1 - levenshtein(upper(missing), upper(label)) / greatest(length(missing), length(label)), 6) ratio FROM w, o
+  WHERE w.need IS NULL OR EXISTS (SELECT 1 FROM k WHERE k.pin = o.pin AND k.need = w.need)),
+r AS (SELECT *, round(shared + ratio, 3) score, CAST(row_number() OVER (PARTITION BY missing, need ORDER BY round(shared + ratio, 3) DESC, pin, label) AS INTEGER) rank FROM p WHERE shared > 0 OR ratio >= 0.5)
+SELECT missing, need, pin, label, score, rank FROM r WHERE rank <= 3""")
+def c18_suggestions(v: Views) -> DataFrame:
+    """For names of parts with a letter changed and what they need (a class of suppliers, or nothing): the three best parts that
+    have such a supplier and are not taken (every seventh is), by shared words and spelling."""
+    wrong = F.regexp_replace("p_name", "^([^aeI]*)[aeI]", "$1y")
+    missing = v.part.select(wrong.alias("missing"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 5).cast("long").alias("need")).distinct()
+    offered = v.part.select(F.col("p_partkey").alias("pin"), F.col("p_name").alias("label"))
+    capable = v.claims(False).select("pin", (F.col("signal") % 5).alias("need"))
+    taken = v.part.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("pin"))
+    return resolve.suggested(missing, offered, capable, taken, "missing", "need", "pin", "label", 0.5, 3)
+
+
 @query("C12_nearest_left", r"SELECT doc_id, line_no, list_extract(regexp_extract_all(string_split(line, ' and ')[1], '\b[A-Z][a-z]+'), -1) designator FROM lns WHERE contains(line, ' and ') AND regexp_matches(string_split(line, ' and ')[1], '\b[A-Z][a-z]+')")
 def c12(v: Views) -> DataFrame:
     """The last capitalised word before the first keyword of a line."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stored import shared_folder
 from ..sources.markup import report_sink
 from ..streaming import incremental
 from .views import Views, query
@@ -47,6 +48,6 @@ def a11(v: Views) -> DataFrame:
     """Every order through a report with one folder for each status and priority, read back."""
     columns = ["o_orderstatus", "o_orderpriority", "o_orderkey", "o_custkey"]
     orders = v.orders.select(*columns)
-    path = incremental.shared_folder(v.spark, "report")
+    path = shared_folder(v.spark, "report")
     report_sink(orders, path, columns[:2], order=["o_orderkey"])
     return v.spark.read.schema(orders.schema).json(path).select(*columns)

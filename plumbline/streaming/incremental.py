@@ -5,22 +5,12 @@ Each function takes a streaming DataFrame; `drained` runs one to the end of what
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local master without that setting gets a temporary one, a cluster an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
+from ..operators.stored import shared_folder
 
 
 def arriving(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:

@@ -73,15 +73,6 @@ def brute_assignment(options):
     return next((list(p) for p in itertools.product(*options) if len(set(p)) == len(p)), None)
 
 
-def test_the_first_assignment_without_conflict():
-    assert assign.first_assignment([[1], [1, 3]]) == [1, 3]  # the one that has a single option is served first
-    assert assign.first_assignment([[1], [1]]) is None and assign.first_assignment([[], [1]]) is None and assign.first_assignment([]) == []
-    rng = random.Random(1)
-    for _ in range(300):
-        options = [sorted(rng.sample(range(6), rng.randint(0, 4))) for _ in range(rng.randint(1, 5))]
-        assert assign.first_assignment(options) == brute_assignment(options)
-
-
 def test_conflict_free_on_known_instances(spark):
     # contention: one group only fits 1, the other 1 or 3; shared: one group; impossible: both need 2
     rows = [("contention", "a", [1]), ("contention", "b", [1, 3]), ("shared", "a", [2, 4]), ("impossible", "a", [2]), ("impossible", "b", [2]), ("none", "a", [])]
@@ -92,19 +83,56 @@ def test_conflict_free_on_known_instances(spark):
     by = {(r.d, r.g): (r.pick, r.solved) for r in got}
     assert by["contention", "a"] == (1, True) and by["contention", "b"] == (3, True) and by["shared", "a"] == (2, True)
     assert by["impossible", "a"] == by["impossible", "b"] == (2, False) and by["none", "a"] == (None, False)
-    for d, own in wide.items():
+    # six groups that want the same six options, and seven for which six are too few
+    many = {"full": {f"g{k}": list(range(6)) for k in range(6)}, "short": {f"g{k}": list(range(6)) for k in range(7)}}
+    rows = [(d, g, o) for d, own in many.items() for g, o in own.items()]
+    by |= {(r.d, r.g): (r.pick, r.solved) for r in assign.conflict_free(spark.createDataFrame(rows, "d string, g string, o array<long>"), "d", "g", "o").collect()}
+    assert not by["short", "g0"][1]
+    for d, own in (wide | many).items():
         order = sorted(own, key=lambda g: (len(own[g]), g))
         want = brute_assignment([own[g] for g in order])
         assert [by[d, g][0] for g in order] == (want or [own[g][0] for g in order])
 
 
+def test_owners_on_the_same_wires_share_a_unit(spark):
+    owners = [("contention", "a", w) for w in ("A5", "A6")] + [("contention", "b", w) for w in ("B3", "B4")]
+    owners += [("shared", o, w) for o in ("osd", "baro") for w in ("B13", "B14")] + [("impossible", "a", "B13"), ("impossible", "b", "B14"), ("lost", "a", "Z9")]
+    able = [("A5", 1), ("A6", 1), ("B3", 1), ("B3", 3), ("B4", 1), ("B4", 3), ("B4", 5), ("B13", 2), ("B14", 2)]
+    got = assign.owners_served(spark.createDataFrame(owners, "d string, o string, w string"), spark.createDataFrame(able, "w string, u long"), "d", "o", "w", "u")
+    assert {(r.d, r.o): (r.pick, r.solved, r.shares) for r in got.collect()} == {
+        ("contention", "a"): (1, True, 1), ("contention", "b"): (3, True, 1), ("shared", "osd"): (2, True, 2), ("shared", "baro"): (2, True, 2),
+        ("impossible", "a"): (2, False, 1), ("impossible", "b"): (2, False, 1), ("lost", "a"): (None, False, 1),
+    }
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_clash_repair_moves_one_row_a_round_and_never_the_protected(spark):
     rows = spark.createDataFrame([(1, 1, 7, "T1", "motor"), (1, 2, 8, "T1", "led"), (1, 3, 9, "T2", "led"), (2, 1, 7, "T1", "motor"), (2, 2, 9, "T1", "camera")], "d int, i int, pin int, unit string, kind string")
     options = spark.createDataFrame([(7, 1, "T3"), (8, 1, "T1"), (8, 2, "T2"), (8, 3, "T4"), (9, 1, "T1")], "pin int, place int, option string")
-    got = {(r.d, r.i): r.now for r in assign.repaired(rows, options, "d", "i", "pin", "unit", "kind", "motor", 5).collect()}
+    got = {(r.d, r.i): r.now for r in assign.repaired(rows, options, "d", "i", "pin", "unit", "kind", "motor").collect()}
     assert got == {(1, 1): "T1", (1, 2): "T2", (1, 3): "T2", (2, 1): "T1", (2, 2): "T1"}  # the camera has nowhere to go
 
 
+def test_clash_repair_goes_on_until_nothing_moves(spark):
+    """An order that needs five moves: five lines of kinds of their own stand in the motor's unit."""
+    rows = [(1, 0, 0, "T0", "motor")] + [(1, k, k, "T0", f"k{k}") for k in range(1, 6)] + [(2, 1, 9, "T0", "a"), (3, 1, 9, "T0", "a"), (3, 2, 8, "T0", "b")]
+    options = [(k, j, f"T{j}") for k in range(1, 6) for j in range(1, k + 1)] + [(8, 1, "T1")]
+    frame = spark.createDataFrame(rows, "d int, i int, pin int, unit string, kind string")
+    got = {(r.d, r.i): r.now for r in assign.repaired(frame, spark.createDataFrame(options, "pin int, place int, option string"), "d", "i", "pin", "unit", "kind", "motor").collect()}
+    assert got == {(1, 0): "T0", **{(1, k): f"T{k}" for k in range(1, 6)}, (2, 1): "T0", (3, 1): "T0", (3, 2): "T1"}
+    none = assign.repaired(frame.filter("d = 2"), spark.createDataFrame(options, "pin int, place int, option string"), "d", "i", "pin", "unit", "kind", "motor")
+    assert [r.now for r in none.collect()] == ["T0"]
+
+
+def test_division_by_the_rarest_item(spark):
+    rng = random.Random(6)
+    have = {(o, i) for o in range(30) for i in range(12) if rng.random() < 0.5}
+    need = {(g, i) for g in range(40) for i in rng.sample(range(13), rng.randint(1, 4))}
+    h, n = spark.createDataFrame(sorted(have) * 2, "owner int, item int"), spark.createDataFrame(sorted(need) * 2, "g int, item int")
+    want = {(g, o) for g in range(40) for o in range(30) if all((o, i) in have for j, i in need if j == g)}
+    assert {tuple(r) for r in audit.covering(h, n, ["g"], "owner", "item").collect()} == want and want
+
+
 def test_wildcards_anywhere_lose_no_pair(spark):
     rng = random.Random(3)
     code = lambda: "".join(rng.choice("ab12x") for _ in range(rng.randint(1, 5)))
@@ -179,7 +207,23 @@ def test_thinning_equals_a_fold(spark):
             if last is None or x - last >= 1.5:
                 want.add((g, x))
                 last = x
-    assert {tuple(r) for r in ordered.thinned(spark.createDataFrame(rows, "g int, x double"), ["g"], "x", 1.5).collect()} == want
+    df = spark.createDataFrame([*rows, *rows[:9], (1, None)], "g int, x double")
+    assert {tuple(r) for r in ordered.thinned(df, ["g"], "x", 1.5).collect()} == want
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # clusters that go on in the next batch
+    try:
+        assert {tuple(r) for r in ordered.thinned(df, ["g"], "x", 1.5).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_thinning_gathers_no_group(spark):
+    """One group of 300,000 positions without a gap: a fold over its array would copy it at each step."""
+    df = spark.range(300_000).selectExpr("1 AS g", "id * 0.5D AS x")
+    thin = ordered.thinned(df, ["g"], "x", 1.0)
+    plan = thin._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    assert thin.count() == 150_000
 
 
 def test_holes_take_the_nearest_spare_once(spark):
@@ -188,13 +232,6 @@ def test_holes_take_the_nearest_spare_once(spark):
     assert [tuple(r) for r in ordered.adopted(edge, spare, ["g"], "x", "y", "id", 0.5, 1.0, 1 / 3).collect()] == [(1, 12.0, 11)]
 
 
-def test_parts_merge_by_rank(spark):
-    rows = [("s", 1, [1, 2, 3], 4.0, 0.0), ("s", 2, [4, 5], 4.1, 1.0), ("s", 3, [1, 9], 4.0, 1.0), ("s", 4, [6, 7], 9.0, 1.0), ("s", 5, [8], 4.0, 50.0)]
-    df = spark.createDataFrame(rows, "d string, k int, items array<int>, pitch double, at double")
-    got = {r.k: r.accepted for r in assign.merged(df, "d", [F.desc(F.size("items")), F.col("k")], "k", "items", "pitch", "at", 6, 0.1, 3, 3, 2.0).collect()}
-    assert got == {1: True, 2: True, 3: False, 4: False, 5: False}
-
-
 def test_markup_and_report_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, '<a href="x?a&amp;b">T</a><a href="y">U</a>')], "id int, html string")
     got = markup.elements(df, "id", "html", '<a href="([^"]*)">([^<]*)</a>', ["href", "text"])
