@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.stored import shared_folder
 
@@ -21,14 +24,15 @@ def arriving(spark: SparkSession, path: str, files_a_batch: int | None = None) -
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern: a plain path has to be a folder
 
 
-def drained(stream: DataFrame, name: str, each: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+def drained(stream: DataFrame, name: str, each: Callable[[DataFrame, str], None] | None = None, schema: StructType | None = None) -> DataFrame:
     """Run a stream over everything that has arrived and read back what it appended.
 
-    `each`, when given, writes every batch itself, to the folder it is told; it must bear being called again for a batch.
+    `each`, when given, writes every batch itself, to the folder it is told, in the columns of `schema`; it must bear being
+    called again for a batch.
     """
     spark = stream.sparkSession
     base = shared_folder(spark, name)
-    out, schema = f"{base}/out", stream.schema
+    out, schema = f"{base}/out", schema or stream.schema
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if each is None:
         query = writer.format("parquet").option("path", out).outputMode("append").start()
@@ -45,36 +49,66 @@ def sessions(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataF
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def first_seen(events: DataFrame, keys: list[str], at: str, horizon: str) -> DataFrame:
-    """The keys of a stream, each once in every horizon (windows of that width); start is the window's.
+def first_seen(events: DataFrame, keys: list[str], at: str, days: float, late: str) -> DataFrame:
+    """The rows (keys, at) of a stream that no row of their key precedes within the horizon of so many days.
 
-    State of a window goes once the watermark, a horizon behind the latest row, has passed it.
+    A key that is told is silent for a horizon, then the next row is told again. Its state is the time of the last one
+    told; a timer drops it once the watermark (`late` behind the latest row) has passed the end of the horizon, when no
+    row can fall into it. Within a batch rows count in the order of their times; a row that comes after a later one of
+    its key was told counts as within its horizon if it lies less than one away, and is told otherwise.
     """
-    w = F.window(at, horizon).alias("w")
-    return events.withWatermark(at, horizon).select(*keys, w).dropDuplicates([*keys, "w"]).select(*keys, F.col("w.start").alias("start"))
+    horizon = int(days * 86_400_000_000)
+    times = events.withWatermark(at, late).select(*keys, at, F.unix_micros(at).alias("_us"))
+    schema = StructType([*(times.schema[k] for k in keys), times.schema["_us"]])
+
+    def tell(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        told = []
+        for t in np.sort(np.concatenate([f["_us"].to_numpy() for f in frames])).tolist():
+            if last is None or abs(t - last) >= horizon:
+                told.append(t)
+                last = t if last is None else max(last, t)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + horizon, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
+        if told:
+            yield pd.DataFrame({**{k: [v] * len(told) for k, v in zip(keys, key, strict=True)}, "_us": told})
+
+    out = times.groupBy(*keys).applyInPandasWithState(tell, schema, "last long", "append", "EventTimeTimeout")
+    return out.select(*keys, F.timestamp_micros("_us").alias(at))
 
 
 def ratio_by_window(events: DataFrame, at: str, width: str, late: str, hit: Column) -> DataFrame:
-    """Rows and hits in every tumbling window that the watermark has closed."""
+    """start, n and hits of every tumbling window; rows of windows that the watermark has closed are dropped."""
     out = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(hit, 1)).alias("hits"))
     return out.select(F.col("w.start").alias("start"), "n", "hits")
 
 
-def each_text_once(documents: DataFrame) -> DataFrame:
-    """doc_id, digest and words of arriving documents; `keep_new` writes each digest once, whenever it arrives."""
-    words = F.size(F.filter(F.split("text", r"[ \t\n\f\r]+"), lambda w: w != ""))
-    return documents.filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"), words.alias("words"))
+def monitored(stream: DataFrame, name: str, key: list[str]) -> DataFrame:
+    """Run a stream of aggregates in update mode to the end of what is there, and read back the latest row of each key.
 
+    Every batch writes the rows that it changed to a folder of its own number, so that a batch that is run again replaces
+    what it wrote; a row of a later batch stands for earlier ones of its key.
+    """
+    spark, base = stream.sparkSession, shared_folder(stream.sparkSession, name)
+    run_updates(stream, base)
+    return latest_rows(spark, base, stream.schema, key)
 
-def keep_new(batch: DataFrame, folder: str) -> None:
-    """Write the digests of a batch that no earlier batch has, each with its least doc_id.
 
-    A batch that is run again replaces its own folder. Digests are never forgotten: what earlier batches hold is read by
-    that one column, and only its match with the batch is shuffled.
-    """
-    spark, mine = batch.sparkSession, int(folder.rpartition("=")[2])
-    new = batch.groupBy("digest").agg(F.min_by("words", "doc_id").alias("words"), F.min("doc_id").alias("doc_id")).select("doc_id", "digest", "words")
-    if mine:
-        before = spark.read.parquet(folder.rpartition("/")[0]).filter(F.col("batch") < mine).select("digest")
-        new = new.join(before, "digest", "left_anti")
-    new.write.mode("overwrite").parquet(folder)
+def run_updates(stream: DataFrame, base: str) -> None:
+    """Write what changes in each batch that has arrived to base/out/batch=k; a later run goes on where this one ends."""
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").outputMode("update").trigger(availableNow=True)
+    writer.foreachBatch(upsert).start().awaitTermination()
+
+
+def latest_rows(spark: SparkSession, base: str, schema: StructType, key: list[str]) -> DataFrame:
+    """The row of the latest batch for each key, in the columns of schema."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    rest = F.struct(*(c for c in schema.names if c not in key))
+    return rows.groupBy(*key).agg(F.max_by(rest, "batch").alias("_l")).select(*key, "_l.*").select(*schema.names)
