@@ -19,6 +19,59 @@ def two_way(claims: DataFrame, truth: DataFrame, on: Columns, value: str) -> Dat
     return a.join(b, list(on), "full").withColumn("kind", kind).drop("_a", "_b")
 
 
+def scoped(claims: DataFrame, truth: DataFrame, scope: DataFrame, pin: str, signal: str, value: str, unit: Column, interest: Column) -> DataFrame:
+    """Every claim (pin, signal, value) within the scope (pin) with its verdict, and what the claims lack: pin, signal, claimed,
+    true_value, kind.
+
+    A claim is not judged where the truth has no row for its pin (off package), or none for its signal's unit (absent
+    unit); both are told. Others are not in truth, unknown (a side states no value), exact or of a wrong value. Missing
+    are the truth's rows within the scope of signals that are claimed (by a judged claim) and of interest, unless the
+    pair is claimed: what nobody asked for is no gap. claims and truth have one row for each pin and signal.
+    """
+    inside = scope.select(pin).distinct()
+    own, true = (df.select(pin, signal, value).join(inside, pin, "left_semi") for df in (claims, truth))
+    true = true.withColumn("_unit", unit)
+    pins = true.select(pin).distinct().withColumn("_pin", F.lit(True))
+    units = true.select("_unit").distinct().withColumn("_known", F.lit(True))
+    both = own.withColumnRenamed(value, "claimed").join(true.select(pin, signal, F.col(value).alias("true_value"), F.lit(True).alias("_hit")), [pin, signal], "left")
+    rows = both.withColumn("_unit", unit).join(pins, pin, "left").join(units, "_unit", "left")
+    kind = F.when(F.col("_pin").isNull(), "off package").when(F.col("_known").isNull(), "absent unit").when(F.col("_hit").isNull(), "not in truth")
+    kind = kind.when(F.col("claimed").isNull() | F.col("true_value").isNull(), "unknown").when(F.col("claimed") == F.col("true_value"), "exact").otherwise("wrong value")
+    told = rows.withColumn("kind", kind).select(pin, signal, "claimed", "true_value", "kind")
+    judged = told.filter("kind NOT IN ('off package', 'absent unit')").select(pin, signal)
+    lacks = true.filter(interest).join(judged, [pin, signal], "left_anti").join(judged.select(signal).distinct(), signal, "left_semi")
+    none = F.lit(None).cast(told.schema["claimed"].dataType)
+    return told.unionByName(lacks.select(pin, signal, none.alias("claimed"), F.col(value).alias("true_value"), F.lit("missing").alias("kind")))
+
+
+def summary(rows: DataFrame, family: str, pin: str, unit: Column, least: float) -> DataFrame:
+    """The verdicts of scoped() by family, and of all (family "all"): numbers of claims checked, corroborated (the truth has the
+    pair), exact, unknown, wrong, unsupported and missing, of pins off package and absent units; the percentage of
+    checked ones that are corroborated, and a warning below `least`."""
+    n = lambda *kinds: F.count(F.when(F.col("kind").isin(*kinds), 1))
+    of = lambda kind, c: F.count_distinct(F.when(F.col("kind") == kind, c))
+    found = ["exact", "wrong value", "unknown"]
+    out = rows.rollup(family).agg(
+        F.grouping(family).alias("_all"), n(*found, "not in truth").alias("checked"), n(*found).alias("corroborated"), n("exact").alias("exact"), n("unknown").alias("unknown"), n("wrong value").alias("wrong"),
+        n("not in truth").alias("unsupported"), n("missing").alias("missing"), of("off package", F.col(pin)).alias("off_package"), of("absent unit", unit).alias("absent_units"),
+    )
+    share = F.when(F.col("checked") > 0, 100 * F.col("corroborated") / F.col("checked"))
+    out = out.withColumn(family, F.when(F.col("_all") == 1, "all").otherwise(F.col(family))).drop("_all")
+    return out.withColumn("percent", F.round(share, 4)).withColumn("warning", F.coalesce(share < least, F.lit(False)))
+
+
+def drift(old: DataFrame, new: DataFrame, group: Columns, parts: Sequence[Column], buckets: int) -> DataFrame:
+    """The groups whose rows differ between two snapshots: group, state (added, removed, changed), old_n, new_n."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        n = df.groupBy(*group).agg(F.count(F.lit(1)).alias(f"{name}_n"))
+        return n.join(split_digest(df, group, parts, buckets, f"_{name}"), list(group))
+
+    both = side(old, "old").join(side(new, "new"), list(group), "full").filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    state = F.when(F.col("old_n").isNull(), "added").when(F.col("new_n").isNull(), "removed").otherwise("changed")
+    return both.select(*group, state.alias("state"), "old_n", "new_n")
+
+
 def supported(claims: DataFrame, truth: DataFrame, on: Columns) -> DataFrame:
     """claims with `ok`: whether truth has the key; null where truth knows nothing of the first key column."""
     known = truth.select(on[0]).distinct().withColumn("_known", F.lit(True))
@@ -154,6 +207,16 @@ def required(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return df
 
 
+def stream_conflicts(first: DataFrame, later: DataFrame, document: str, stream: str, label: str) -> DataFrame:
+    """The later uses of a document whose stream is null (not an option) or taken by a first use, with the last holder.
+
+    First uses may share a stream; what must not happen is that a later one lands on it.
+    """
+    held = first.filter(F.col(stream).isNotNull()).groupBy(document, stream).agg(F.max(label).alias("holder"))
+    problem = F.when(F.col(stream).isNull(), "not an option").when(F.col("holder").isNotNull(), "stream is taken")
+    return later.join(held, [document, stream], "left").withColumn("problem", problem).filter("problem IS NOT NULL")
+
+
 def missing_members(df: DataFrame, group: Columns, member: str, required: Sequence[str]) -> DataFrame:
     """Groups that hold some but not all of the required members, with those that they lack."""
     own = df.filter(F.col(member).isin(list(required))).groupBy(*group).agg(F.collect_set(member).alias("_own"))
@@ -161,6 +224,23 @@ def missing_members(df: DataFrame, group: Columns, member: str, required: Sequen
     return own.select(*group, F.array_join(lack, ",").alias("lacks")).filter("lacks <> ''")
 
 
+def lacking_members(owners: DataFrame, have: DataFrame, members: DataFrame, owner: str, member: str, most: int = 10_000) -> DataFrame:
+    """The pairs of an owner and one of the distinct members that `have` (owner, member) doesn't hold.
+
+    Every owner carries the list of members, which is counted first; more than `most` of them are refused (a ValueError),
+    as the pairs would be too many to list.
+    """
+    each = [r[0] for r in members.select(member).filter(F.col(member).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(each) > most:
+        raise ValueError(f"there are more than {most} members")
+    kind = members.schema[member].dataType
+    listed = F.array(*(F.lit(x).cast(kind) for x in sorted(each))) if each else F.array().cast(f"array<{kind.simpleString()}>")
+    held = have.groupBy(owner).agg(F.collect_set(member).alias("_held"))  # no more than `most`
+    rows = owners.select(owner).join(held, owner, "left")
+    lacks = F.array_except(listed, F.coalesce("_held", F.slice(listed, 1, 0)))
+    return rows.select(owner, F.explode(lacks).alias(member))
+
+
 def override(df: DataFrame, patch: DataFrame, key: Columns, value: str) -> DataFrame:
     """df with the values that patch gives for its keys; patch keys that df lacks are added; `replaced` tells which."""
     p = patch.select(*key, F.col(value).alias("_v"), F.lit(True).alias("_p"))

@@ -5,26 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, ordered, resolve
+from ..operators import audit, components, ordered, resolve
 from .views import CUT, Views, query
 
 KEY = ["pin", "signal"]
-TWO_WAY = """, f AS (SELECT coalesce(c.pin, t.pin) pin, coalesce(c.signal, t.signal) signal, CASE WHEN t.pin IS NULL THEN 'not in truth' WHEN c.pin IS NULL THEN 'missing' WHEN c.af = t.af THEN 'exact' ELSE 'wrong value' END kind
-FROM claims c FULL JOIN truth t ON c.pin = t.pin AND c.signal = t.signal) """
+#: Claims of signals divisible by 9 state no number. Parts above size 45 are out of scope; units are suppliers by tens, families
+#: suppliers by four; even suppliers are of interest. The truth knows no part divisible by 17 and no unit 3.
+AUDIT = """, ports AS (SELECT p_partkey pin FROM part WHERE p_size <= 45), tr AS (SELECT pin, signal, af FROM truth WHERE pin % 17 <> 0 AND signal // 10 <> 3 AND pin IN (SELECT pin FROM ports)), cl AS (SELECT pin, signal, CASE WHEN signal % 9 <> 0 THEN af END af FROM claims WHERE pin IN (SELECT pin FROM ports)),
+j AS (SELECT c.pin, c.signal, CASE WHEN c.pin NOT IN (SELECT pin FROM tr) THEN 'off package' WHEN c.signal // 10 NOT IN (SELECT signal // 10 FROM tr) THEN 'absent unit' WHEN t.pin IS NULL THEN 'not in truth' WHEN c.af IS NULL THEN 'unknown' WHEN c.af = t.af THEN 'exact' ELSE 'wrong value' END kind FROM cl c LEFT JOIN tr t ON t.pin = c.pin AND t.signal = c.signal),
+kept AS (SELECT * FROM j WHERE kind NOT IN ('off package', 'absent unit')), f AS (SELECT pin, signal, kind FROM j UNION ALL SELECT pin, signal, 'missing' FROM tr WHERE signal % 2 = 0 AND signal IN (SELECT signal FROM kept) AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.pin = tr.pin AND k.signal = tr.signal)) """
 
 
-@query("G5_audit", TWO_WAY + "SELECT kind, count(*) n, count(DISTINCT pin) pins FROM f GROUP BY kind")
+def audited(v: Views) -> DataFrame:
+    number = F.when(F.col("signal") % 9 != 0, F.col("af"))
+    claims, ports = v.claims(False).withColumn("af", number), v.part.filter("p_size <= 45").select(F.col("p_partkey").alias("pin"))
+    truth = v.claims(True).filter("pin % 17 <> 0 AND floor(signal / 10) <> 3")
+    return audit.scoped(claims, truth, ports, "pin", "signal", "af", F.floor(F.col("signal") / 10), F.col("signal") % 2 == 0)
+
+
+@query("G5_audit", AUDIT + "SELECT kind, count(*) n, count(DISTINCT pin) pins FROM f GROUP BY kind")
 def g5(v: Views) -> DataFrame:
-    rows = audit.two_way(v.claims(False), v.claims(True), KEY, "af")
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pin").alias("pins"))
+    """Claims against the truth both ways, each by its verdict; only what both could know of is judged."""
+    return audited(v).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pin").alias("pins"))
 
 
-@query("D23_audit_summary", TWO_WAY + "SELECT count(*) checked, count(*) FILTER (kind = 'exact') \"exact\", round(100.0 * count(*) FILTER (kind = 'exact') / count(*), 4) percent, 100.0 * count(*) FILTER (kind = 'exact') / count(*) < 90 warning FROM f WHERE kind <> 'missing'")
+@query("D23_audit_summary", AUDIT + """, s AS (SELECT CASE WHEN grouping(signal % 4) = 1 THEN 'all' ELSE CAST(signal % 4 AS VARCHAR) END family, count(*) FILTER (kind IN ('exact', 'wrong value', 'unknown', 'not in truth')) checked, count(*) FILTER (kind IN ('exact', 'wrong value', 'unknown')) corroborated, count(*) FILTER (kind = 'exact') "exact",
+count(*) FILTER (kind = 'unknown') "unknown", count(*) FILTER (kind = 'wrong value') wrong, count(*) FILTER (kind = 'not in truth') unsupported, count(*) FILTER (kind = 'missing') missing, count(DISTINCT CASE WHEN kind = 'off package' THEN pin END) off_package, count(DISTINCT CASE WHEN kind = 'absent unit' THEN signal // 10 END) absent_units FROM f GROUP BY ROLLUP (signal % 4))
+SELECT *, round(CASE WHEN checked > 0 THEN 100.0 * corroborated / checked END, 4) percent, coalesce(100.0 * corroborated / nullif(checked, 0) < 90, FALSE) warning FROM s""")
 def d23(v: Views) -> DataFrame:
-    rows = audit.two_way(v.claims(False), v.claims(True), KEY, "af").filter("kind <> 'missing'")
-    out = rows.agg(F.count(F.lit(1)).alias("checked"), F.count(F.when(F.col("kind") == "exact", 1)).alias("exact"))
-    share = 100 * F.col("exact") / F.col("checked")
-    return out.select("checked", "exact", F.round(share, 4).alias("percent"), (share < 90).alias("warning"))
+    """The audit by family and in all: what was checked and found, what was not judged, and a warning where so little of it is
+    known to the truth that its reading rather than the claims must be at fault."""
+    rows = audited(v).withColumn("family", (F.col("signal") % 4).cast("string"))
+    return audit.summary(rows, "family", "pin", F.floor(F.col("signal") / 10), 90.0)
 
 
 @query("C1_capability_validation", ", k AS (SELECT DISTINCT pin FROM truth) SELECT ok, count(*) n FROM (SELECT CASE WHEN k.pin IS NOT NULL THEN t.pin IS NOT NULL END ok FROM claims c LEFT JOIN k ON k.pin = c.pin LEFT JOIN truth t ON t.pin = c.pin AND t.signal = c.signal) GROUP BY ok")
@@ -78,11 +90,10 @@ def c24(v: Views) -> DataFrame:
 
 @query("C21_completeness", "SELECT c_custkey, p FROM customer, (SELECT DISTINCT o_orderpriority p FROM orders) ANTI JOIN orders ON o_custkey = c_custkey AND o_orderpriority = p")
 def c21(v: Views) -> DataFrame:
-    """Priorities of which a customer has no order: every customer carries the short list of priorities."""
-    every = v.orders.agg(F.sort_array(F.collect_set("o_orderpriority")).alias("ps"))  # a handful of values
-    want = v.customer.select("c_custkey").join(F.broadcast(every)).select("c_custkey", F.explode("ps").alias("p"))
+    """Priorities of which a customer has no order. A customer lacks as many as it has fewer than there are, so only the list of
+    priorities is told to all tasks, once its length is known."""
     have = v.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("p")).distinct()
-    return want.join(have, ["c_custkey", "p"], "left_anti")
+    return audit.lacking_members(v.customer.select("c_custkey"), have, v.orders.select(F.col("o_orderpriority").alias("p")), "c_custkey", "p")
 
 
 @query("C28_backing_implications", "SELECT o_orderkey, o_orderstatus FROM orders o WHERE o_orderstatus = 'F' AND NOT (EXISTS (SELECT 1 FROM boards b WHERE b.doc_id = o_orderkey AND net IN ('AF', 'RF')) AND EXISTS (SELECT 1 FROM boards b WHERE b.doc_id = o_orderkey AND net IN ('NO', 'NF')))")
@@ -188,15 +199,39 @@ def d13(v: Views) -> DataFrame:
     return v.part.groupBy("p_brand", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.max(confidence).alias("confidence"), F.min_by("p_name", "p_partkey").alias("example"))
 
 
+#: Category, pattern, designator.
+RULES = [("MAIL", "[a-z0-9._%+-]+@[a-z0-9-]+", r"\b[A-Z][a-z]{2}\b"), ("LINE", "[+][0-9][0-9 ().-]{7,20}[0-9]", r"\b[A-Z][a-z]{2}\b"), ("STATE", "[a-z]+(?:thless|ingly|eable)[a-z]*", r"\b[A-Z][a-z]{4}\b"), ("KEY", "AKIA[A-Z0-9]{8,16}", r"\b[A-Z][a-z]{2}\b")]
+
+
+def _components_sql() -> str:
+    hits = " UNION ALL ".join(
+        f"SELECT doc_id, line_no, line, {k} rule, '{c}' category, {0.8 if len(p) > 12 else 0.6} conf, '{d}' pattern, unnest(m) m, unnest(range(len(m))) pos FROM (SELECT doc_id, line_no, line, regexp_extract_all(line, '(?i){p}') m FROM lns)"
+        for k, (c, p, d) in enumerate(RULES)
+    )
+    return f""", h AS ({hits}), n AS (SELECT doc_id, category, upper(regexp_replace(m, '\\s+', '', 'g')) part, list_extract(regexp_extract_all(substr(line, 1, instr(line, m) - 1), pattern), -1) designator, conf, {{'r': rule, 'l': line_no, 'p': pos}} o FROM h)
+SELECT doc_id, category, arg_min(part, o) part, max(designator) designator, count(*) instances, max(CASE WHEN designator IS NOT NULL THEN 0.9 ELSE conf END)::DOUBLE confidence FROM n GROUP BY doc_id, category, coalesce(designator, part)"""
+
+
+@query("D13_pattern_components", _components_sql())
+def d13_text(v: Views) -> DataFrame:
+    """What a table of patterns finds in whole texts, one row for each designator, or part without one."""
+    return components.components(v.documents, "doc_id", "text", RULES)
+
+
 @query("D14_resource_rollup", "SELECT source, count(*) n, array_to_string(list_sort(list(DISTINCT lang)), ',') langs, bool_or(contains(text, '@')) has_mail FROM documents GROUP BY source")
 def d14(v: Views) -> DataFrame:
     return v.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"), F.bool_or(F.col("text").contains("@")).alias("has_mail"))
 
 
-@query("D15_category_pivot", "SELECT doc_id, " + ", ".join(f"count(*) FILTER (net[1] = '{c}') {c.lower()}" for c in "ANR") + " FROM boards GROUP BY doc_id")
+@query("D15_category_pivot", "SELECT doc_id, " + ", ".join(f"count(*) FILTER (net[1] = '{c}') {c.lower()}, coalesce(array_to_string(list_sort(list(DISTINCT pin) FILTER (net[1] = '{c}')), ','), '') {c.lower()}_pins, arg_min(pin, seq * 1000000 + pin) FILTER (net[1] = '{c}') {c.lower()}_first" for c in "ANR") + " FROM boards GROUP BY doc_id")
 def d15(v: Views) -> DataFrame:
-    wide = v.B.withColumn("flag", F.substring("net", 1, 1)).groupBy("doc_id").pivot("flag", ["A", "N", "R"])
-    return wide.agg(F.count(F.lit(1))).select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c.lower()) for c in "ANR"))
+    """For each order and kind of net how many lines, which parts, and the part of its first line."""
+    flag, out = F.substring("net", 1, 1), []
+    for c in "ANR":
+        own = lambda x, c=c: F.when(flag == c, x)
+        pins = F.array_join(F.sort_array(F.collect_set(own(F.col("pin")))).cast("array<string>"), ",")
+        out += [F.count(own(F.lit(1))).alias(c.lower()), pins.alias(f"{c.lower()}_pins"), F.min(own(F.struct("seq", "pin")))["pin"].alias(f"{c.lower()}_first")]
+    return v.B.groupBy("doc_id").agg(*out)
 
 
 @query("D16_ceiling_check", ", n AS (SELECT signal, count(*) n FROM claims GROUP BY signal) SELECT signal, n, CASE WHEN signal % 10 = 0 THEN NULL WHEN n > 280 THEN 'over' WHEN n = 280 THEN 'full' ELSE 'open' END state FROM n")
@@ -317,13 +352,11 @@ def g2(v: Views) -> DataFrame:
     return audit.difference(*halves(v), ["p"], "v")
 
 
-@query("G3_table_drift", """, a AS (SELECT p_brand, count(*) n, list_sort(list(p_partkey)) d FROM part GROUP BY 1), b AS (SELECT p_brand, count(*) n, list_sort(list(p_partkey)) d FROM part WHERE p_size <> 7 GROUP BY 1)
-SELECT a.p_brand, a.n old_n, b.n new_n FROM a LEFT JOIN b ON a.p_brand = b.p_brand WHERE a.d IS DISTINCT FROM b.d""")
+@query("G3_table_drift", """, a AS (SELECT p_brand, count(*) n, list_sort(list(p_partkey)) d FROM part WHERE p_brand <> 'Brand#2' GROUP BY 1), b AS (SELECT p_brand, count(*) n, list_sort(list(p_partkey)) d FROM part WHERE p_size <> 7 AND p_brand <> 'Brand#1' GROUP BY 1)
+SELECT coalesce(a.p_brand, b.p_brand) p_brand, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END state, a.n old_n, b.n new_n FROM a FULL JOIN b ON a.p_brand = b.p_brand WHERE a.d IS DISTINCT FROM b.d""")
 def g3(v: Views) -> DataFrame:
-    side = lambda df: audit.split_digest(df, ["p_brand"], [F.col("p_partkey")], 64, "d").join(df.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")), "p_brand")
-    old, new = side(v.part), side(v.part.filter("p_size <> 7"))
-    both = old.select("p_brand", F.col("n").alias("old_n"), F.col("d").alias("od")).join(new.select("p_brand", F.col("n").alias("new_n"), F.col("d").alias("nd")), "p_brand", "left")
-    return both.filter(~F.col("od").eqNullSafe(F.col("nd"))).select("p_brand", "old_n", "new_n")
+    """Brands whose parts differ between two snapshots: added, removed or changed, with both numbers of parts."""
+    return audit.drift(v.part.filter("p_brand <> 'Brand#2'"), v.part.filter("p_size <> 7 AND p_brand <> 'Brand#1'"), ["p_brand"], [F.col("p_partkey")], 64)
 
 
 @query("G6_scope_filter", "SELECT pin, signal, af FROM claims WHERE signal IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND pin IN (SELECT p_partkey FROM part WHERE p_size < 25)")

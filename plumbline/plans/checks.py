@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ordered, resolve
+from ..operators import audit, ordered, resolve
 from .views import Views, query
 
 
@@ -46,6 +46,19 @@ def l9(v: Views) -> DataFrame:
     return used.withColumn("problem", F.explode(problems))
 
 
+@query("L9_stream_conflicts", """, r AS (SELECT pin, signal, row_number() OVER (PARTITION BY pin ORDER BY signal) k FROM claims), u AS (SELECT doc_id, seq, b.pin, net, CAST(qty % 6 AS BIGINT) - 1 opt, r.signal chan FROM boards b LEFT JOIN r ON r.pin = b.pin AND r.k = b.seq),
+s AS (SELECT *, CASE WHEN opt >= 0 AND opt < chan % 4 + 1 THEN (chan * 7 + opt * 3) % 16 END stream FROM u), c AS (SELECT doc_id, stream, arg_max(seq, seq) holder FROM s WHERE net <> 'NO' AND stream IS NOT NULL GROUP BY doc_id, stream)
+SELECT s.doc_id, s.seq, s.pin, s.opt, s.stream, c.holder, CASE WHEN s.stream IS NULL THEN 'not an option' ELSE 'stream is taken' END problem FROM s LEFT JOIN c ON c.doc_id = s.doc_id AND c.stream = s.stream WHERE net = 'NO' AND opt >= 0 AND (s.stream IS NULL OR c.holder IS NOT NULL)""")
+def l9_streams(v: Views) -> DataFrame:
+    """Options of the fixed style, which index each channel's own list of streams: those that are no option, and those whose
+    stream another use of the order has. A line's channel is the supplier that its number selects."""
+    listed = ordered.ranked(v.claims(False), ["pin"], ["signal"], "seq").select("pin", "seq", F.col("signal").alias("chan"))
+    opt = (F.col("qty") % 6).cast("long") - 1
+    stream = F.when((F.col("opt") >= 0) & (F.col("opt") < F.col("chan") % 4 + 1), (F.col("chan") * 7 + F.col("opt") * 3) % 16)
+    uses = v.B.select("doc_id", "seq", "pin", "net", opt.alias("opt")).join(listed, ["pin", "seq"], "left").withColumn("stream", stream)
+    return audit.stream_conflicts(uses.filter("net <> 'NO'"), uses.filter("net = 'NO' AND opt >= 0"), "doc_id", "stream", "seq").select("doc_id", "seq", "pin", "opt", "stream", "holder", "problem")
+
+
 @query("L11_recorded_defects", """, a AS (SELECT doc_id, pin FROM boards WHERE qty <= 40 GROUP BY ALL HAVING count(*) > 1), b AS (SELECT doc_id, pin FROM boards WHERE qty >= 10 GROUP BY ALL HAVING count(*) > 1)
 SELECT coalesce(a.doc_id, b.doc_id) doc_id, coalesce(a.pin, b.pin) pin, CASE WHEN a.doc_id IS NULL THEN 'new' ELSE 'vanished' END state FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.pin = b.pin WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
 def l11(v: Views) -> DataFrame:

@@ -287,6 +287,24 @@ def a1(v: Views) -> DataFrame:
     return elements(v.pages, "page_id", "html", '<a href="([^"]*)">([^<]*)</a>', ["href", "text"])
 
 
+@query("A1_positioned_words", """, w AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY floor(h / 168)) k, x, word_id, CASE WHEN word_id % 7 = 0 THEN 'R&D ' || text ELSE text END text, word_id % 100 / 4 x0, word_id % 90 / 8 y0, word_id % 13 = 0 bad, word_id % 11 = 0 empty FROM pts)
+SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE k END AS INTEGER) page, CAST(row_number() OVER (PARTITION BY doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE k END ORDER BY x, word_id) - 1 AS INTEGER) pos, text, CASE WHEN NOT bad THEN x0 END x0, y0, x0 + 2.5 x1, y0 + 1 y1, empty, CASE WHEN bad THEN 'box is no number' END problem FROM w QUALIFY NOT empty""")
+def a1_words(v: Views) -> DataFrame:
+    """Events written as pages (weeks) of words with boxes, or without pages for every fifth user, and scanned again."""
+    from ..sources.markup import positioned_words
+
+    number, text = F.col("word_id"), F.when(F.col("word_id") % 7 == 0, F.concat(F.lit("R&amp;D "), "text")).otherwise(F.col("text"))
+    x0, y0 = (number % 100) / 4, (number % 90) / 8
+    shown = [F.when(number % 13 == 0, "1.2.3").otherwise(x0.cast("string")), y0.cast("string"), (x0 + 2.5).cast("string"), (y0 + 1).cast("string")]
+    word = F.concat(F.lit('<word xMin="'), shown[0], F.lit('" yMin="'), shown[1], F.lit('" xMax="'), shown[2], F.lit('" yMax="'), shown[3], F.lit('">'), F.when(number % 11 == 0, " ").otherwise(text), F.lit("</word>"))
+    words = v.P.select("doc_id", F.floor(F.col("h") / 168).alias("week"), F.struct("x", "word_id", word.alias("w")).alias("s"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["w"]), "\n")
+    sheets = words.groupBy("doc_id", "week").agg(body.alias("b"))
+    paged = F.when(F.col("doc_id") % 5 == 0, F.col("b")).otherwise(F.concat(F.lit('<page width="9">'), "b", F.lit("</page>")))
+    docs = sheets.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("week", paged.alias("b")))), lambda s: s["b"]), "\n").alias("xml"))
+    return positioned_words(docs, "doc_id", "xml").select("doc_id", "page", "pos", "text", "x0", "y0", "x1", "y1", F.lit(False).alias("empty"), "problem")
+
+
 @query("A2_nested_flatten", ", k AS (SELECT event_id, unnest(json_keys(props)) \"key\", props FROM events) SELECT event_id, \"key\", json_extract_string(props, '$.' || \"key\") \"value\" FROM k")
 def a2(v: Views) -> DataFrame:
     return v.events.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
@@ -300,6 +318,30 @@ def a3(v: Views) -> DataFrame:
     return pipe_rows(v.L.filter(F.col("line").contains(" | ")), "doc_id", "line_no", "line")
 
 
+@query("A3_registry_tables", """, l AS (SELECT c_custkey // 24 doc, c_custkey line_no, CASE c_custkey % 24 WHEN 0 THEN CASE WHEN c_custkey % 48 = 0 THEN '| Manufacturer Id |Name|Contact|' ELSE 'no table yet' END WHEN 1 THEN '|-|:-:|--|' WHEN 7 THEN '```' WHEN 9 THEN '``` ' WHEN 11 THEN '|AB|two|' WHEN 13 THEN '| |empty||' WHEN 15 THEN '|id|again|x|' WHEN 16 THEN c_name
+  ELSE '|' || CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) ELSE upper(substr(c_mktsegment, 1, 3)) || c_custkey % 4 END || '| ' || c_name || '|' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'u' END || '|' END line FROM customer),
+f AS (SELECT *, starts_with(trim(line), '```') fence, sum(starts_with(trim(line), '```')::INT) OVER (PARTITION BY doc ORDER BY line_no) % 2 = 1 inside FROM l),
+c AS (SELECT doc, line_no, list_transform(string_split(trim(line), '|')[2:-2], lambda x: trim(x)) cells FROM f WHERE NOT fence AND NOT inside AND starts_with(trim(line), '|')), d AS (SELECT * FROM c WHERE len(list_filter(cells, lambda x: x <> '' AND NOT regexp_full_match(x, ':?-+:?'))) > 0),
+k AS (SELECT *, lower(cells[1]) IN ('manufacturer id', 'id') lk, sum((lower(cells[1]) IN ('manufacturer id', 'id'))::INT) OVER (PARTITION BY doc ORDER BY line_no) n FROM d), r AS (SELECT doc, line_no, cells, CASE WHEN len(cells) = 3 AND cells[1] <> '' THEN cells[1] END id FROM k WHERE NOT (lk AND n = 1)),
+x AS (SELECT *, id IS NOT NULL AND row_number() OVER (PARTITION BY doc, id ORDER BY line_no) > 1 again FROM r)
+SELECT doc, line_no, id, array_to_string(cells, ';') cells, id IS NOT NULL AND NOT again entry, CASE WHEN len(cells) <> 3 THEN 'expected 3 columns, got ' || len(cells) WHEN cells[1] = '' THEN 'empty id' WHEN again THEN 'duplicate id' WHEN NOT regexp_full_match(cells[1], '[A-Z0-9]{3,4}') THEN 'odd id' END problem FROM x
+UNION ALL SELECT doc, NULL, NULL, NULL, FALSE, 'no header' FROM l WHERE doc NOT IN (SELECT doc FROM k WHERE lk) GROUP BY doc""")
+def a3_tables(v: Views) -> DataFrame:
+    """Customers written as the lines of small registries with fences, headers and rows that are wrong, and read again."""
+    from ..sources.markup import pipe_tables
+
+    k, name = F.col("c_custkey"), F.col("c_name")
+    own = F.when(k % 5 == 0, F.lower("c_mktsegment")).otherwise(F.concat(F.upper(F.substring("c_mktsegment", 1, 3)), (k % 4).cast("string")))
+    line = F.concat(F.lit("|"), own, F.lit("| "), name, F.lit("|"), F.when(k % 3 == 0, "").otherwise("u"), F.lit("|"))
+    odd = {0: F.when(k % 48 == 0, "| Manufacturer Id |Name|Contact|").otherwise("no table yet"), 1: "|-|:-:|--|", 7: "```", 9: "``` ", 11: "|AB|two|", 13: "| |empty||", 15: "|id|again|x|", 16: name}
+    shown = None
+    for n, text in odd.items():
+        shown = F.when(k % 24 == n, text) if shown is None else shown.when(k % 24 == n, text)
+    lines = v.customer.select(F.floor(k / 24).alias("doc"), k.alias("line_no"), shown.otherwise(line).alias("line"))
+    out = pipe_tables(lines, "doc", "line_no", "line", ["Manufacturer Id", "id"], "^[A-Z0-9]{3,4}$")
+    return out.withColumn("cells", F.array_join("cells", ";"))
+
+
 @query("A6_first_literal", r"SELECT doc_id, arg_min(t, line_no) value FROM (SELECT doc_id, line_no, TRY_CAST(regexp_extract(line, '\b[0-9]{1,9}\b') AS INTEGER) t FROM lns) WHERE t IS NOT NULL GROUP BY doc_id")
 def a6(v: Views) -> DataFrame:
     n = F.regexp_extract("line", r"\b[0-9]{1,9}\b", 0).try_cast("int")
