@@ -92,6 +92,21 @@ def runner_up(df: DataFrame, group: Columns, distance: str, tie: str, ratio: flo
     return out.withColumn("decided", F.col("second").isNull() | (F.col("second") >= ratio * F.col(distance)))
 
 
+def voted(df: DataFrame, group: Columns, kind: str, token: str, index: str, order: Columns, least: int) -> DataFrame:
+    """The kind of each group with the most distinct tokens (winner, votes), and the index that most of its rows state.
+
+    A tie at the top, or fewer than `least` votes, is no winner (null). Of indexes stated equally often the one seen first
+    in order counts; rows without one state nothing.
+    """
+    votes = df.groupBy(*group, kind).agg(F.count_distinct(token).alias("_n"))
+    w = Window.partitionBy(*group).orderBy(F.desc("_n"), kind)
+    top = votes.withColumn("_next", F.coalesce(F.lead("_n").over(w), F.lit(0))).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    won = (F.col("_n") >= least) & (F.col("_n") > F.col("_next"))
+    stated = df.filter(F.col(index).isNotNull()).groupBy(*group, index).agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct(*order)).alias("_first"))
+    most = first_by(stated, group, [F.desc("_c"), "_first"]).select(*group, index)
+    return top.select(*group, F.when(won, F.col(kind)).alias("winner"), F.when(won, F.col("_n")).alias("votes")).join(most, list(group), "left")
+
+
 def midpoint_spans(df: DataFrame, group: Columns, at: str, single: float) -> DataFrame:
     """Half-open spans that meet midway between neighbouring anchors; the outer ends lie half the median distance away, and
     half of `single` around an anchor that is alone."""

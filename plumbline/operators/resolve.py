@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .stored import stored
+
 
 def first_match(value: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The label of the first pattern that value contains; null where none does. Rules are data, compiled to one CASE."""
@@ -122,25 +124,68 @@ def longest_prefix(tokens: DataFrame, names: DataFrame, token: str, name: str, l
     return hits.groupBy(*tokens.columns).agg(F.max_by(name, F.length(name)).alias(name))
 
 
-def host_pieces(names: DataFrame, block: str, name: str, more: Sequence[Column] = ()) -> DataFrame:
-    """Every piece of every name (block, name, *more) as long as a shorter name of the block: block, _host, name, *more.
+def prefixes(tokens: DataFrame, names: DataFrame, token: str, name: str, driver: str, prio: str, least: int) -> DataFrame:
+    """The drivers of each token's leading parts of at least `least` characters that are names: token, driver, rank.
+
+    The longest part comes first (rank 1); of a part's names the one of the least prio, then driver, counts.
+    """
+    lengths = names.filter(F.length(name) >= least).agg(F.collect_set(F.length(name)).alias("_ends"))  # only prefixes as long as some name can hit
+    ends = F.filter("_ends", lambda n: n <= F.length(token))
+    pieces = tokens.select(token).filter(F.length(token) >= least).distinct().join(F.broadcast(lengths))
+    pieces = pieces.withColumn(name, F.explode(F.transform(ends, lambda n: F.substr(F.col(token), F.lit(1), n)))).drop("_ends")
+    one = names.groupBy(name).agg(F.min(F.struct(prio, driver))[driver].alias(driver))
+    w = Window.partitionBy(token).orderBy(F.desc(F.length(name)))
+    return pieces.join(one, name).select(token, driver, F.row_number().over(w).alias("rank"))
+
+
+def served_in_order(options: DataFrame, group: Sequence[str], token: str, driver: str) -> DataFrame:
+    """Tokens in their order, each with its first option (by rank, from 1) that no earlier token of its group took: group, token,
+    driver. A token of which all are taken has no row.
 
-    Containment becomes an equi-join of names with these pieces.
+    In rounds for all groups at once: every token asks for its next option, and a driver stays with the least token that
+    asks. That ends in the same as serving the tokens one after the other, as all drivers prefer the same ones. Each round
+    is stored; only tokens that were turned down go on, so the rounds are as many as the longest chain of refusals.
+    """
+    options = stored(options.select(*group, token, driver, "rank"), "options")
+    asking, held = options.filter("rank = 1"), None
+    while True:
+        every = asking if held is None else held.unionByName(asking)
+        least = every.groupBy(*group, driver).agg(F.min(token).alias("_least"))
+        told = stored(every.join(least, [*group, driver]), "asked")
+        held = told.filter(F.col(token) == F.col("_least")).drop("_least")
+        refused = told.filter(F.col(token) != F.col("_least")).select(*group, token, (F.col("rank") + 1).alias("rank"))
+        asking = refused.join(options, [*group, token, "rank"]).select(*options.columns)
+        if not asking.limit(1).count():
+            return held.select(*group, token, driver)
+
+
+def containing(names: DataFrame, block: str, name: str, more: Sequence[Column] = (), q: int = 3) -> DataFrame:
+    """Each name of a block with every longer one that contains it: block, name, _host, *more (columns of the host's row).
+
+    A name meets its hosts on the rarest of its pieces of q letters (or on itself where it is shorter), so it has one key,
+    and a host as many as it has pieces.
     """
-    lengths = names.groupBy(block).agg(F.collect_set(F.length(name)).alias("_ls"))  # as many as names have lengths
-    sizes = F.filter("_ls", lambda n: (n > 0) & (n < F.length("_host")))
-    pieces = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("_host") - n + 1), lambda i: F.substr(F.col("_host"), i, n))))
-    hosts = names.select(block, F.col(name).alias("_host"), *more).join(lengths, block)
-    return hosts.withColumn(name, F.explode(F.array_distinct(pieces))).drop("_ls")
+
+    def grams(c: str, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(F.col(c), i, n))
+
+    every = F.flatten(F.array(*(F.when(F.length("_host") >= n, grams("_host", F.lit(n))).otherwise(F.array().cast("array<string>")) for n in range(1, q + 1))))
+    hosts = names.select(block, F.col(name).alias("_host"), *more).withColumn("_g", F.explode(F.array_distinct(every)))
+    often = hosts.groupBy(block, "_g").agg(F.count(F.lit(1)).alias("_f"))
+    own = names.select(block, name).filter(F.length(name) > 0).distinct()
+    each = own.withColumn("_g", F.explode(F.array_distinct(grams(name, F.least(F.length(name), F.lit(q))))))
+    rarest = each.join(often, [block, "_g"]).groupBy(block, name).agg(F.min(F.struct("_f", "_g"))["_g"].alias("_g"))
+    met = rarest.join(hosts, [block, "_g"]).filter((F.length("_host") > F.length(name)) & F.col("_host").contains(F.col(name)))
+    return met.drop("_g")
 
 
 def merged_into_hosts(names: DataFrame, block: str, name: str, mark: str, number: str, confidence: str) -> DataFrame:
     """names (block, name, mark, number, confidence), folded into hosts: a longer name of the block that contains theirs, with an
     equal mark unless they have none, itself in no other; the longest, then the first. Numbers add up, confidence is the
     highest."""
-    pieces = host_pieces(names.select(block, name, mark).distinct(), block, name, [F.col(mark).alias("_mark")])
+    pairs = containing(names.select(block, name, mark).distinct(), block, name, [F.col(mark).alias("_mark")])
     a = names.select(block, name, mark)
-    inside = a.join(pieces, [block, name]).filter(F.col(mark).isNull() | (F.col(mark) == F.col("_mark")))
+    inside = a.join(pairs, [block, name]).filter(F.col(mark).isNull() | (F.col(mark) == F.col("_mark")))
     own = inside.select(block, F.col(name).alias("_in"), F.col(mark).alias("_in_mark")).distinct()
     top = inside.join(own, (inside[block] == own[block]) & (inside["_host"] == own["_in"]) & inside["_mark"].eqNullSafe(own["_in_mark"]), "left_anti")
     order = Window.partitionBy(block, name, mark).orderBy(F.desc(F.length("_host")), "_host", F.asc_nulls_first("_mark"))

@@ -99,10 +99,11 @@ def e9(v: Views) -> DataFrame:
 @query("E12_first_definition", """, r AS (SELECT doc_id, sha256(text) digest, row_number() OVER (PARTITION BY text ORDER BY doc_id) r FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, digest, r > 1 duplicate FROM r""")
 def e12(v: Views) -> DataFrame:
-    """The least document of each text defines it; others are duplicates. Digests are counted before anything is joined."""
+    """The least document of each text defines it; others are duplicates. Documents meet the first one of their text by id and
+    digest together, so that a text of very many copies is no load on one task."""
     docs = v.documents.filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"))
-    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    return docs.join(first, "digest").select("doc_id", "digest", (F.col("doc_id") > F.col("first")).alias("duplicate"))
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    return docs.join(first, ["doc_id", "digest"], "left").select("doc_id", "digest", F.col("first").isNull().alias("duplicate"))
 
 
 @query("E11_rival_resolution", """, r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) r,
@@ -242,13 +243,14 @@ def c26(v: Views) -> DataFrame:
     return pairs.join(blocked, ["a", "b"], "left_anti").select("doc_id", "a", "b")
 
 
-@query("D9_vote_with_tie_refusal", """, c AS (SELECT doc_id, text, count(*) n FROM pts GROUP BY ALL), r AS (SELECT *, row_number() OVER w r, lead(n) OVER w nxt FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, text))
-SELECT doc_id, CASE WHEN n >= 2 AND n > coalesce(nxt, 0) THEN text END winner FROM r WHERE r = 1""")
+@query("D9_vote_with_tie_refusal", """, e AS (SELECT doc_id, text, x, word_id, floor(y / 10) token, CASE WHEN floor(y) % 2 = 0 THEN word_id % 4 END idx FROM pts), c AS (SELECT doc_id, text, count(DISTINCT token) n FROM e GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w r, lead(n) OVER w nxt FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, text)), i AS (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(x), min(word_id)) q FROM e WHERE idx IS NOT NULL GROUP BY doc_id, idx),
+v AS (SELECT doc_id, CASE WHEN n >= 2 AND n > coalesce(nxt, 0) THEN text END winner, CASE WHEN n >= 2 AND n > coalesce(nxt, 0) THEN n END votes FROM r WHERE r = 1) SELECT v.doc_id, winner, votes, CASE WHEN winner = 'click' THEN idx END idx FROM v LEFT JOIN i ON i.doc_id = v.doc_id AND q = 1""")
 def d9(v: Views) -> DataFrame:
-    votes = v.P.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "text")
-    top = votes.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("n").over(w)).filter("r = 1")
-    return top.select("doc_id", F.when((F.col("n") >= 2) & (F.col("n") > F.coalesce("second", F.lit(0))), F.col("text")).alias("winner"))
+    """The kind of event that has the most different tokens (values by tens), two at least and no tie; clicks have a sub-index, the
+    one that most events state, the first seen on ties."""
+    rows = v.P.select("doc_id", "text", "x", "word_id", F.floor(F.col("y") / 10).alias("token"), F.when(F.floor("y") % 2 == 0, F.col("word_id") % 4).alias("idx"))
+    return ordered.voted(rows, ["doc_id"], "text", "token", "idx", ["x", "word_id"], 2).select("doc_id", "winner", "votes", F.when(F.col("winner") == "click", F.col("idx")).alias("idx"))
 
 
 @query("D12_median_spacing", """, g AS (SELECT doc_id, x - lag(x) OVER (PARTITION BY doc_id ORDER BY x, word_id) g FROM pts)

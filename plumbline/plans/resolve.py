@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,15 +69,30 @@ def b5(v: Views) -> DataFrame:
     return t.select(tag.alias("tag"), "n", (pieces * F.col("n")).alias("k")).groupBy("tag").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("pieces"))
 
 
-@query("B6_echo_filter", "SELECT doc_id, pos, token FROM toks t WHERE regexp_matches(token, '^(re|un)..') AND NOT EXISTS (SELECT 1 FROM toks o WHERE o.doc_id = t.doc_id AND o.token = substr(t.token, 3))")
+PREFIXES = ("re", "un", "in", "th")
+
+
+@query("B6_echo_filter", """, n AS (SELECT doc_id, pos, token, replace(regexp_replace(translate(token, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z0-9]', '', 'g'), '0', '') k FROM toks), d AS (SELECT doc_id, list(DISTINCT k) ks FROM n GROUP BY doc_id),
+a AS (SELECT doc_id, pos, token, substr(token, 3) rest FROM toks WHERE substr(token, 1, 2) IN ('re', 'un', 'in', 'th') AND length(token) > 2), c AS (SELECT doc_id, pos, token, list_filter(list_transform([rest, CASE WHEN length(rest) > 1 THEN rest[:-2] END, CASE WHEN length(rest) > 2 THEN rest[:-3] END, CASE WHEN length(rest) > 3 THEN rest[:-4] END],
+  lambda r: replace(regexp_replace(translate(r, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z0-9]', '', 'g'), '0', '')), lambda r: r <> '') keys FROM a) SELECT c.doc_id, pos, token FROM c JOIN d ON d.doc_id = c.doc_id WHERE NOT list_has_any(ks, keys)""")
 def b6(v: Views) -> DataFrame:
-    """Prefixed tokens whose remainder is no token of their document; all within the row."""
-    # only what some prefixed token leaves needs to be looked for
-    found = F.filter(F.transform("a", lambda t, i: F.struct(i.alias("pos"), t.alias("token"))), lambda s: s["token"].rlike("^(re|un).."))
-    rest = F.transform("found", lambda s: F.substr(s["token"], F.lit(3)))
+    """Prefixed tokens that are no annotation of another token of their document: what follows the prefix, whole or without its
+    last one to three characters, is none of them, in capitals without separators and zeros; all within the row."""
+    norm = lambda c: F.replace(F.regexp_replace(F.translate(c, ascii_lowercase, ascii_uppercase), "[^A-Z0-9]", ""), F.lit("0"), F.lit(""))
+    prefixed = lambda t: F.substr(t, F.lit(1), F.lit(2)).isin(*PREFIXES) & (F.length(t) > 2)
+    found = F.filter(F.transform("a", lambda t, i: F.struct(i.alias("pos"), t.alias("token"))), lambda s: prefixed(s["token"]))
     rows = v.documents.select("doc_id", v.all_tokens.alias("a")).select("doc_id", "a", found.alias("found")).filter(F.size("found") > 0)
-    rows = rows.select("doc_id", "found", F.array_intersect("a", rest).alias("echo"))
-    return rows.select("doc_id", F.explode(F.filter("found", lambda s: ~F.array_contains("echo", F.substr(s["token"], F.lit(3))))).alias("s")).select("doc_id", "s.pos", "s.token")
+
+    def keys(t: Column) -> Column:
+        size = F.length(t) - 2
+        cut = [norm(F.when(size > n, F.substr(t, F.lit(3), size - n))) for n in range(4)]
+        return F.filter(F.array(*cut), lambda k: k.isNotNull() & (k != ""))
+
+    rows = rows.select("doc_id", F.transform("found", lambda s: F.struct(s["pos"].alias("pos"), s["token"].alias("token"), keys(s["token"]).alias("keys"))).alias("found"), F.array_distinct(F.transform("a", norm)).alias("names"))
+    # only what some prefixed token leaves needs to be looked for
+    rows = rows.select("doc_id", "found", F.array_intersect(F.flatten(F.transform("found", lambda s: s["keys"])), "names").alias("echo"))
+    kept = F.filter("found", lambda s: ~F.arrays_overlap(s["keys"], F.col("echo")))
+    return rows.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.pos", "s.token")
 
 
 @query("B9_document_triage", """, c AS (SELECT d.doc_id, count(token) n, count(CASE WHEN length(token) >= 6 THEN 1 END) long, count(CASE WHEN regexp_matches(token, '^[A-Z]') THEN 1 END) caps FROM documents d LEFT JOIN toks USING (doc_id) GROUP BY d.doc_id)
@@ -149,17 +166,18 @@ def c13(v: Views) -> DataFrame:
 
 
 @query("C14_longest_prefix", r""", d AS (SELECT DISTINCT lower(token) driver FROM toks WHERE doc_id % 10 = 0 AND regexp_full_match(token, '[A-Za-z]{4,}')), al AS (SELECT substr(driver, 1, 5) a, min(driver) driver FROM d WHERE length(driver) >= 8 GROUP BY 1),
-k AS (SELECT driver k, driver, 1 prio FROM d UNION ALL SELECT a, driver, 0 FROM al), t AS (SELECT DISTINCT regexp_replace(lower(token), '[^\p{L}\p{N}]', '', 'g') token FROM toks), s AS (SELECT token, unnest(range(4, length(token) + 1)) n FROM t WHERE length(token) >= 4),
-h AS (SELECT s.token, k.driver, row_number() OVER (PARTITION BY s.token ORDER BY s.n DESC, prio, k.driver) r FROM s JOIN k ON k.k = substr(s.token, 1, s.n)), f AS (SELECT token, driver, row_number() OVER (PARTITION BY driver ORDER BY token) r FROM h WHERE r = 1) SELECT token, driver FROM f WHERE r = 1""")
+k AS (SELECT k, arg_min(driver, prio) driver FROM (SELECT driver k, driver, 1 prio FROM d UNION ALL SELECT a, driver, 0 FROM al) GROUP BY k), t AS (SELECT DISTINCT regexp_replace(lower(token), '[^\p{L}\p{N}]', '', 'g') token FROM toks), s AS (SELECT token, unnest(range(4, length(token) + 1)) n FROM t WHERE length(token) >= 4),
+o AS (SELECT s.token, k.driver, row_number() OVER (PARTITION BY s.token ORDER BY s.n DESC) k FROM s JOIN k ON k.k = substr(s.token, 1, s.n)),
+r(n, token, k, lost) AS (SELECT 0, token, CAST(1 AS BIGINT), TRUE FROM o WHERE k = 1 UNION ALL SELECT n, token, k, lost FROM (SELECT n, token, k, lost, bool_or(lost) OVER () again FROM (SELECT n + 1 n, r.token, CASE WHEN r.token > min(r.token) OVER (PARTITION BY o.driver) THEN r.k + 1 ELSE r.k END k, r.token > min(r.token) OVER (PARTITION BY o.driver) lost FROM r JOIN o ON o.token = r.token AND o.k = r.k)) WHERE again)
+SELECT o.token, o.driver FROM r JOIN o ON o.token = r.token AND o.k = r.k WHERE r.n = (SELECT max(n) FROM r)""")
 def c14(v: Views) -> DataFrame:
-    """The driver of each token's longest leading part, aliases before names; of the tokens that hit a driver the first one."""
+    """Drivers of tokens by their longest leading part, aliases before names. Tokens are served in order: one whose driver an
+    earlier one has taken goes on to its next shorter part. The dictionary is that of every tenth document."""
     words = v.T.select(F.regexp_replace(F.lower("token"), r"[^\p{L}\p{N}]", "").alias("token")).distinct()
     drivers = v.T.filter((F.col("doc_id") % 10 == 0) & F.col("token").rlike("^[A-Za-z]{4,}$")).select(F.lower("token").alias("driver")).distinct()
     aliases = drivers.filter(F.length("driver") >= 8).groupBy(F.substring("driver", 1, 5).alias("name")).agg(F.min("driver").alias("driver")).withColumn("prio", F.lit(0))
     names = drivers.select(F.col("driver").alias("name"), "driver", F.lit(1).alias("prio")).unionByName(aliases)
-    found = resolve.longest_prefix(words, names, "token", "name", 4)
-    best = found.join(names, "name").groupBy("token").agg(F.min(F.struct("prio", "driver")).alias("b")).select("token", "b.driver")
-    return best.groupBy("driver").agg(F.min("token").alias("token"))
+    return resolve.served_in_order(resolve.prefixes(words, names, "token", "name", "driver", "prio", 4), [], "token", "driver")
 
 
 @query("C14_longest_prefix_all", r""", n AS (SELECT DISTINCT lower(token) name FROM toks WHERE regexp_full_match(token, '\p{L}{4,}')),

@@ -92,3 +92,44 @@ def test_ids_are_checked_and_never_lost(spark):
     registry = spark.createDataFrame([("ABCD", False), ("ABCF", False), ("RSVD", True)], "id string, reserved boolean")
     got = {r.k: (r.status, r.reserved, r.near) for r in resolve.checked_ids(ids, registry, "id", "reserved", "^[A-Z]+$", 0.7, 3).collect()}
     assert got == {1: ("ok", False, None), 2: ("empty", False, None), 3: ("empty", False, None), 4: ("malformed", False, None), 5: ("unregistered", False, "ABCD,ABCF"), 6: ("unregistered", False, None), 7: ("ok", True, None)}
+
+
+def test_tokens_are_served_in_order(spark):
+    """Rounds over all groups end in what serving the tokens one after the other gives."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for g in range(12):
+        taken = set()
+        for t in range(25):
+            own = rng.sample([f"d{k}" for k in range(18)], rng.randint(0, 6))
+            rows += [(g, f"t{t:02d}", d, k) for k, d in enumerate(own, 1)]
+            pick = next((d for d in own if d not in taken), None)
+            if pick:
+                taken.add(pick)
+                want.add((g, f"t{t:02d}", pick))
+    rng.shuffle(rows)
+    options = spark.createDataFrame(rows, "g int, token string, driver string, rank int")
+    assert {tuple(r) for r in resolve.served_in_order(options, ["g"], "token", "driver").collect()} == want
+    # a chain: each refusal pushes the next token on
+    chain = [(f"t{k}", f"d{j}", j + 1) for k in range(6) for j in range(6)]
+    got = resolve.served_in_order(spark.createDataFrame(chain, "token string, driver string, rank int"), [], "token", "driver")
+    assert {tuple(r) for r in got.collect()} == {(f"t{k}", f"d{k}") for k in range(6)}
+    assert resolve.served_in_order(options.limit(0), ["g"], "token", "driver").count() == 0
+
+
+def test_containing_names_lose_no_pair(spark):
+    rng = random.Random(12)
+    names = {(b, "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))) for b in (1, 2) for _ in range(60)}
+    got = resolve.containing(spark.createDataFrame(sorted(names), "b int, n string"), "b", "n").collect()
+    assert sorted((r.b, r.n, r["_host"]) for r in got) == sorted((b, x, y) for b, x in names for c, y in names if b == c and len(y) > len(x) and x in y)
+    long = spark.createDataFrame([(1, "x" * 5000 + "tail"), (1, "tail"), (1, "xx")], "b int, n string")
+    assert resolve.containing(long, "b", "n").count() == 2
+
+
+def test_votes_and_sub_index(spark):
+    rows = [(1, "gyro", "a", 1, 2), (1, "gyro", "b", 2, 1), (1, "gyro", "b", 3, 1), (1, "osd", "a", 4, 2), (2, "gyro", "a", 1, None), (2, "osd", "b", 2, None), (3, "osd", "a", 1, 7), (3, "osd", "a", 2, None)]
+    df = spark.createDataFrame(rows, "g int, kind string, token string, t int, idx int")
+    from plumbline.operators import ordered
+
+    got = {r.g: (r.winner, r.votes, r.idx) for r in ordered.voted(df, ["g"], "kind", "token", "idx", ["t"], 2).collect()}
+    assert got == {1: ("gyro", 2, 2), 2: (None, None, None), 3: (None, None, 7)}  # 2 is stated as often as 1, and first
