@@ -1,10 +1,10 @@
 """Exact top-k search by inner product with a vector-approximation file.
 
-The file is a table of blocks. A block holds some thousands of distinct vectors: their smallest ids, one byte for each
-component (the cell it lies in, of equal width over all components) and, in a column of its own, the exact integers.
-Queries come in groups of bounded size, each told to all tasks. A task scans the cells of its blocks for bounds of every
-score, and reads exact vectors in the order of their upper bounds until no other can change the k best; what a task has
-found tightens the bound in its next blocks. Every task reports k candidates a query at most.
+The file is two tables over chunks of some distinct vectors each: one has a byte for every component (the cell it lies in,
+of equal width over all components), the other the exact integers and the smallest ids. Queries come in groups of
+bounded size, each told to all tasks. A first pass reads the cells alone: a score lies within a slack of that of the
+cells' middles, and whatever has an upper bound below the k best lower bounds is out. The second pass reads exact chunks
+of what is left, of each query in the order of upper bounds and so many at a time, until no other can change its k best.
 """
 
 from __future__ import annotations
@@ -14,16 +14,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, written
+from .common import join_small, shared_dir, small_batches, written
 
 SCALE, K, CELLS = 256, 5, 256
-#: Queries in a group (told to the driver and all tasks), queries bounded at once, vectors in a block, exact reads at once.
-GROUP, AT_ONCE, BLOCK, READ = 16_384, 256, 4096, 16
-EXACT = 2.0**53
-BLOCKS = "dim int, ids binary, copies binary, cells binary, vectors binary"
+#: Bytes of a group of queries (told to the driver and all tasks), queries bounded at once, vectors looked at together for
+#: copies and bounds, vectors in a chunk, candidates of a query read at first.
+GROUP_BYTES, AT_ONCE, BLOCK, CHUNK, READ = 8 << 20, 256, 4096, 32, 16
+#: Chunks that are looked for by a list in the scan of the exact table; more of them meet it in a join alone.
+LISTED = 5000
+EXACT, FAR = 2.0**53, 2.0**63
+CHUNKS = "key long, dim int, ids binary, copies binary, vectors binary"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -57,22 +61,41 @@ def distinct(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return x[first], np.array([i for c in copies for i in c], np.int64), np.array([len(c) for c in copies], np.int64)
 
 
-def blocks_of(vectors: DataFrame, low: float, width: float, k: int) -> DataFrame:
-    """The vector-approximation file of usable vectors (BLOCKS)."""
+def chunks_of(vectors: DataFrame, k: int) -> DataFrame:
+    """The exact table (CHUNKS) of usable vectors. Keys rise within a file, and pages are small, so that a scan for a few keys
+    skips what lies between them."""
 
     def run(batches):
+        first, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 rows = []
                 for ids, x in by_dimension(batch.slice(at, BLOCK)):
                     x, own, copies = distinct(ids, x, k)
-                    cells = np.clip(np.floor((x - low) / width), 0, CELLS - 1).astype(np.uint8)
-                    rows.append((x.shape[1], own.tobytes(), copies.tobytes(), cells.tobytes(), x.tobytes()))
+                    ends = np.concatenate([[0], np.cumsum(copies)])
+                    for i in range(0, len(x), CHUNK):
+                        j = min(i + CHUNK, len(x))
+                        rows.append((first + n, x.shape[1], own[ends[i] : ends[j]].tobytes(), copies[i:j].tobytes(), x[i:j].tobytes()))
+                        n += 1
                 if rows:
-                    types = (pa.int32(), *[pa.binary()] * 4)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["dim", "ids", "copies", "cells", "vectors"])
+                    types = (pa.int64(), pa.int32(), *[pa.binary()] * 3)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "dim", "ids", "copies", "vectors"])
 
-    return written(vectors.mapInArrow(run, BLOCKS), "blocks")
+    path = shared_dir(vectors.sparkSession, "exact")
+    out = vectors.mapInArrow(run, CHUNKS)
+    out.write.option("parquet.page.size", 64 << 10).option("parquet.block.size", 4 << 20).parquet(path)
+    return vectors.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def cells_of(chunks: DataFrame, low: float, width: float) -> DataFrame:
+    """key, dim and cells (a byte for each component) of every chunk."""
+
+    def run(batches):
+        for batch in batches:
+            cells = [np.clip(np.floor((np.frombuffer(v.as_py()) - low) / width), 0, CELLS - 1).astype(np.uint8).tobytes() for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], names=["key", "dim", "cells"])
+
+    return written(chunks.select("key", "dim", "vectors").mapInArrow(run, "key long, dim int, cells binary"), "cells")
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> list[int]:
@@ -84,46 +107,125 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> list[int]:
     return [sum(int(x) * y for x, y in zip(v, q, strict=True)) for v in vectors]
 
 
-def merge(best: list[tuple[int, int]], new: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
-    return sorted(set(best + new))[:k]
-
-
-def search_block(cells: np.ndarray, vectors: np.ndarray, ids: list[list[int]], queries: dict, low: float, width: float, k: int) -> int:
-    """Improve queries["best"] (lists of (-score, id)) by a block; returns how many exact vectors it read.
+def bounds(cells: np.ndarray, queries: np.ndarray, low: float, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores of all queries (rows) with all vectors, given by their cells.
 
     A component in cell c lies in [low + c * width, low + (c + 1) * width), so a score lies within half a width times
-    the query's absolute sum of the score of the cells' middles. The slack takes the rounding of single precision, too.
+    the query's absolute sum of the score of the cells' middles: as cells are equally wide, the sums of the middles'
+    products are one matrix product over bytes. The slack takes the rounding of single precision, too. Bounds end at
+    64 bits, where scores saturate; what overflows bounds nothing.
     """
-    kind = np.float32 if float(np.abs(queries["vectors"]).max(initial=0.0)) < 1e30 else np.float64
+    kind = np.float32 if float(np.abs(queries).max(initial=0.0)) < 1e30 else np.float64
     middle = (cells.astype(kind) + kind(0.5)).T  # in units of cells
-    read = 0
-    for at in range(0, len(queries["ids"]), AT_ONCE):
-        q = queries["vectors"][at : at + AT_ONCE]
-        with np.errstate(all="ignore"):  # what overflows bounds nothing, and all of it is read
-            near = (q.astype(kind) @ middle).astype(np.float64) * width + q.sum(1)[:, None] * low
-            total = np.abs(q).sum(1)
-            slack = total * (width / 2) + total * (CELLS * width + abs(low)) * (cells.shape[1] + 4) * 2.0**-23 + 1e-6
-        take = min(k + 1, near.shape[1])
-        kth = np.partition(near, near.shape[1] - take, axis=1)[:, near.shape[1] - take]
-        for r in range(len(q)):
-            own, best = int(queries["ids"][at + r]), queries["best"][at + r]
-            # the (k+1)-th lower bound leaves room for the query's own row
-            floor = kth[r] - slack[r] if take == k + 1 else -np.inf
-            if len(best) == k:
-                floor = max(floor, float(-best[-1][0]) * (1 - 1e-12) - 1)
-            todo = np.flatnonzero(near[r] + slack[r] >= floor) if np.isfinite(floor) and np.isfinite(near[r]).all() else np.arange(near.shape[1])
-            if not len(todo):
-                continue
-            todo = todo[np.argsort(-near[r, todo], kind="stable")]
-            for i in range(0, len(todo), READ):
-                if len(best) == k and near[r, todo[i]] + slack[r] < -best[-1][0] - 1:  # never where it is no number
-                    break
-                some = todo[i : i + READ]
-                read += len(some)
-                new = [(-s, v) for s, g in zip(exact(vectors[some], q[r]), some.tolist(), strict=True) for v in ids[g] if v != own]
-                best = merge(best, new, k)
-            queries["best"][at + r] = best
-    return read
+    with np.errstate(all="ignore"):
+        near = (queries.astype(kind) @ middle).astype(np.float64) * width + queries.sum(1)[:, None] * low
+        total = np.abs(queries).sum(1)
+        slack = total * (width / 2) + total * (CELLS * width + abs(low)) * (cells.shape[1] + 4) * 2.0**-23 + 1e-6
+        lower, upper = near - slack[:, None], near + slack[:, None]
+    bad = ~(np.isfinite(lower) & np.isfinite(upper))
+    lower[bad], upper[bad] = -np.inf, np.inf
+    return np.minimum(lower, FAR), np.minimum(upper, FAR)
+
+
+def candidates(cells: DataFrame, sent, low: float, width: float, k: int) -> DataFrame:
+    """query_id, key, row, lower and upper of the vectors that may be among a query's k best, by their cells alone.
+
+    A task keeps the k + 1 best lower bounds of every query (one may be of the query's own row) and reports what reaches
+    them at that moment.
+    """
+
+    def run(batches):
+        by_dim = {d: (ids, v, np.full((len(ids), k + 1), -np.inf)) for d, ids, v in grouped(sent.value)}
+        for batch in batches:
+            keys, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for d in np.unique(dims).tolist():
+                if d not in by_dim:
+                    continue
+                ids, v, tops = by_dim[d]
+                own = np.flatnonzero(dims == d)
+                for at in range(0, len(own), BLOCK // CHUNK):
+                    some = own[at : at + BLOCK // CHUNK]
+                    each = [np.frombuffer(batch.column(2)[int(i)].as_py(), np.uint8).reshape(-1, d) for i in some]
+                    place = np.repeat(keys[some], [len(e) for e in each]), np.concatenate([np.arange(len(e)) for e in each])
+                    yield from reports(np.concatenate(each), place, ids, v, tops)
+
+    def reports(cells, place, ids, v, tops):
+        for at in range(0, len(ids), AT_ONCE):
+            q = slice(at, at + AT_ONCE)
+            lower, upper = bounds(cells, v[q], low, width)
+            best = np.concatenate([tops[q], np.partition(lower, -min(k + 1, lower.shape[1]), axis=1)[:, -(k + 1) :]], axis=1)
+            tops[q] = np.sort(best, axis=1)[:, -(k + 1) :]
+            r, c = np.nonzero(upper >= tops[q][:, :1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (ids[q][r], place[0][c], place[1][c].astype(np.int32), lower[r, c], upper[r, c])], names=["query_id", "key", "row", "lower", "upper"]
+            )
+
+    return cells.mapInArrow(run, "query_id long, key long, row int, lower double, upper double")
+
+
+def grouped(batches: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimensions, ids, vectors) of a group of queries."""
+    dims = sorted({v.shape[1] for _, v in batches})
+    of = lambda d, i: np.concatenate([b[i] for b in batches if b[1].shape[1] == d])
+    return [(d, of(d, 0), of(d, 1)) for d in dims]
+
+
+def exact_scores(wanted: DataFrame, chunks: DataFrame, sent) -> DataFrame:
+    """query_id, vec_id and score of wanted (query_id, key, row), from the exact chunks of their keys."""
+    asked = written(wanted.groupBy("key").agg(F.collect_list("query_id").alias("queries"), F.collect_list("row").alias("rows")), "asked")
+    keys = [r.key for r in asked.select("key").limit(LISTED + 1).collect()]  # at most LISTED numbers and one
+    read = chunks.filter(F.col("key").isin(keys)) if len(keys) <= LISTED else chunks
+
+    def run(batches):
+        told = {int(i): x for _, ids, v in grouped(sent.value) for i, x in zip(ids, v, strict=True)}
+        for batch in batches:
+            out = []
+            for queries, rows, dim, ids, copies, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(vectors).reshape(-1, dim)
+                ends = np.concatenate([[0], np.cumsum(np.frombuffer(copies, np.int64))])
+                ids = np.frombuffer(ids, np.int64)
+                by: dict[int, list[int]] = {}
+                for q, r in zip(queries, rows, strict=True):
+                    by.setdefault(q, []).append(r)
+                for q, own in by.items():
+                    for r, s in zip(own, exact(x[own], told[q]), strict=True):
+                        out += [(q, int(v), max(-(2**63), min(2**63 - 1, s))) for v in ids[ends[r] : ends[r + 1]] if v != q]
+            for at in range(0, len(out), 65_536):
+                cols = zip(*out[at : at + 65_536], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+    found = join_small(read, asked, "key", "inner").select("queries", "rows", "dim", "ids", "copies", "vectors")
+    scores = found.mapInArrow(run, "query_id long, vec_id long, score long")
+    return scores.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
+def k_best(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def best_of(cells: DataFrame, chunks: DataFrame, asked: DataFrame, low: float, width: float, k: int) -> DataFrame:
+    """query_id, vec_id, score and rank of the k best candidates of one group of queries."""
+    spark = cells.sparkSession
+    sent = spark.sparkContext.broadcast([b for batch in asked.select("vec_id", "e").toArrow().to_batches() for b in by_dimension(batch)])  # about GROUP_BYTES
+    may = written(candidates(cells, sent, low, width, k), "bounded")
+    lowest = Window.partitionBy("query_id").orderBy(F.desc("lower"))
+    floors = may.select("query_id", "lower").withColumn("r", F.row_number().over(lowest)).filter(F.col("r") == k + 1).select("query_id", F.col("lower").alias("floor"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "key", "row")
+    left = may.join(floors, "query_id", "left").filter(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
+    left = written(left.select("query_id", "key", "row", "upper", F.row_number().over(order).alias("place")), "candidates")
+    best, done, size = None, 0, READ
+    while True:
+        found = exact_scores(left.filter((F.col("place") > done) & (F.col("place") <= done + size)), chunks, sent)
+        found = found if best is None else found.unionByName(best.select(*found.columns)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = written(k_best(found, k), "best")
+        done, size = done + size, size * 8
+        # a query is certain if its k-th best reaches all upper bounds that are left (a bit more, for doubles are rounded)
+        kth = best.filter(F.col("rank") == k).select("query_id", (F.col("score").cast("double") * (1 - F.signum(F.col("score").cast("double")) * 1e-12) - 1).alias("kth"))
+        rest = left.filter(F.col("place") > done).join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth")))
+        left = written(rest.select(*left.columns), "candidates")
+        if not left.limit(1).count():
+            return best
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -138,62 +240,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     small_batches(spark)
     span = all_rows.select(F.min(F.array_min("e")).alias("low"), F.max(F.array_max("e")).alias("high")).first()
     asked = usable(queries).groupBy("vec_id").agg(F.min("e").alias("e"))
-    groups = -(-asked.count() // GROUP)
-    if not groups or span.low is None:
+    size = asked.agg(F.sum(8 * F.size("e") + 8).alias("bytes")).first().bytes
+    if not size or span.low is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    groups = -(-size // GROUP_BYTES)
     low = float(np.floor(span.low))
     width = max(1.0, float(np.ceil((np.floor(span.high) - low + 1) / CELLS)))
-    blocks = blocks_of(all_rows, low, width, k)
+    chunks = chunks_of(all_rows, k)
+    cells = cells_of(chunks, low, width)
     stored = shared_dir(spark, f"queries-{uuid.uuid4().hex}")
     asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).write.partitionBy("part").parquet(stored)
-    parts = [best_of(blocks, spark.read.parquet(f"{stored}/part={g}"), low, width, k, groups > 1) for g in sorted(present(spark, stored))]
-    found = reduce(DataFrame.unionByName, parts)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # one group after the other: each is held in memory by all tasks
+    parts = [best_of(cells, chunks, spark.read.parquet(f"{stored}/part={g}"), low, width, k) for g in sorted(present(spark, stored))]
+    return reduce(DataFrame.unionByName, parts).select("query_id", "rank", "vec_id", "score")
 
 
-def present(spark, stored: str) -> set[int]:
+def present(spark: SparkSession, stored: str) -> set[int]:
     """The numbers of the groups that hold a query."""
     return {r.part for r in spark.read.parquet(stored).select("part").distinct().collect()}
 
 
-def best_of(blocks: DataFrame, asked: DataFrame, low: float, width: float, k: int, store: bool) -> DataFrame:
-    """query_id, vec_id and score of the candidates that tasks over blocks find for one group of queries."""
-    spark = blocks.sparkSession
-    sent = spark.sparkContext.broadcast([b for batch in asked.select("vec_id", "e").toArrow().to_batches() for b in by_dimension(batch)])  # about GROUP rows
-
-    def run(batches):
-        by_dim: dict[int, dict] = {}
-        for ids, v in sent.value:
-            d = by_dim.setdefault(v.shape[1], {"ids": [], "vectors": []})
-            d["ids"].append(ids)
-            d["vectors"].append(v)
-        for d in by_dim.values():
-            d["ids"], d["vectors"] = np.concatenate(d["ids"]), np.concatenate(d["vectors"])
-            d["best"] = [[] for _ in d["ids"]]
-        for batch in batches:
-            for dim, ids, copies, cells, exacts in zip(*(c for c in batch.columns), strict=True):
-                d = dim.as_py()
-                if d in by_dim:
-                    flat, at = np.frombuffer(ids.as_py(), np.int64).tolist(), 0
-                    own = []
-                    for n in np.frombuffer(copies.as_py(), np.int64).tolist():
-                        own.append(flat[at : at + n])
-                        at += n
-                    search_block(np.frombuffer(cells.as_py(), np.uint8).reshape(-1, d), np.frombuffer(exacts.as_py()).reshape(-1, d), own, by_dim[d], low, width, k)
-        rows = [(int(q), v, max(-(2**63), min(2**63 - 1, -s))) for d in by_dim.values() for q, best in zip(d["ids"], d["best"], strict=True) for s, v in best]
-        for at in range(0, len(rows), 65_536):
-            cols = list(zip(*rows[at : at + 65_536], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    found = blocks.mapInArrow(run, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    if not store:
-        return found
-    found = written(found, "found")  # with several groups, one at a time is held in memory
-    sent.destroy()
-    return found
-
-
 ORACLE_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

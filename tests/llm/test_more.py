@@ -250,17 +250,52 @@ def test_telling_words_lose_no_window():
         assert rest < licenses.least_shared(len(w) - 1, 0.8)
 
 
-def test_cells_spare_exact_reads():
+def test_bounds_hold_and_most_vectors_are_out():
     rng = np.random.default_rng(0)
     x = np.floor(rng.normal(size=(4096, 64)) * 32)
     low = x.min()
     width = max(1.0, np.ceil((x.max() - low + 1) / vafile.CELLS))
     cells = np.floor((x - low) / width).astype(np.uint8)
-    queries = {"ids": np.arange(50) + 10**6, "vectors": x[:50], "best": [[] for _ in range(50)]}
-    read = vafile.search_block(cells, x, [[i] for i in range(len(x))], queries, low, width, 5)
-    assert read < 50 * 64  # of 4096 vectors each
-    for q, best in zip(x[:50], queries["best"], strict=True):
-        assert best == sorted((-int(q @ v), i) for i, v in enumerate(x))[:5]
+    lower, upper = vafile.bounds(cells, x[:50], low, width)
+    scores = x[:50] @ x.T
+    assert (lower <= scores).all() and (scores <= upper).all()
+    floor = np.sort(lower, axis=1)[:, -6]
+    assert (upper >= floor[:, None]).sum() < 50 * 64  # of 4096 vectors each
+    lower, upper = vafile.bounds(cells, x[:1] * 1e300, low, width)
+    assert (lower <= upper).all() and (upper == vafile.FAR).any()
+
+
+def test_few_exact_chunks_are_read(spark, monkeypatch):
+    """Chunks of exact vectors that two queries read, against those of the table."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    read, kept = [], vafile.exact_scores
+
+    def counted(wanted, chunks, sent):
+        read.append((wanted.select("key").distinct().count(), chunks.count()))
+        return kept(wanted, chunks, sent)
+
+    monkeypatch.setattr(vafile, "exact_scores", counted)
+    got = vafile.search(df, df.filter("vec_id % 6000 = 1")).collect()
+    ints = np.floor(x * 256)
+    for q in (1, 6001):
+        want = sorted(((-int(ints[q] @ v), i) for i, v in enumerate(ints) if i != q))[:5]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(i, -s) for s, i in want]
+    assert sum(n for n, _ in read) < 0.1 * read[0][1] and read[0][1] >= 375
+
+
+def test_rounds_go_on_until_the_best_are_certain(spark, monkeypatch):
+    """Many vectors with the same bounds: the first reads can't be certain."""
+    monkeypatch.setattr(vafile, "READ", 2)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, size=(300, 4)) / 256 + np.array([1.0, 1.0, 1.0, 1.0])
+    x[0] = 100.0  # widens the cells, so that the others lie in one
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    ints = np.floor(x * 256)
+    got = vafile.search(df, df.filter("vec_id = 7")).orderBy("rank").collect()
+    want = sorted((-int(ints[7] @ v), i) for i, v in enumerate(ints) if i != 7)[:5]
+    assert [(r.vec_id, r.score) for r in got] == [(i, -s) for s, i in want]
 
 
 def test_groups_of_queries_don_t_change_results(spark, monkeypatch):
@@ -268,7 +303,7 @@ def test_groups_of_queries_don_t_change_results(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(400, 6)))], "vec_id long, embedding array<double>")
     run = lambda: sorted(map(tuple, vafile.search(df, df.filter("vec_id % 20 = 0")).collect()))
     one = run()
-    monkeypatch.setattr(vafile, "GROUP", 4)
+    monkeypatch.setattr(vafile, "GROUP_BYTES", 300)
     assert run() == one and len(one) == 100
 
 
