@@ -26,6 +26,9 @@ PREFIXES = (4, 5, 6)
 #: Bound of the fit: labelled rows in the sample.
 SAMPLE = 20_000
 PRIOR, LEAST_Z, LEAST_COUNT = 1000.0, 3.0, 3
+#: Least log-odds of a telling feature: eight times as frequent among the words of toxic texts, whatever the sizes of the
+#: classes. Words that are a little more frequent there, though surely so, make long segments of any clean text.
+LEAST_ODDS = math.log(8)
 
 
 @dataclass(frozen=True)
@@ -122,9 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     A doc_id with several labels counts as toxic if any of them is 1; null labels and null texts don't count. Without
     both classes the model scores every text the same, below one half. Words of any length and their beginnings are
-    features. Spark counts them and computes their z-scores; every one that toxic texts of the sample hold LEAST_COUNT
-    times or more and whose z-score is LEAST_Z or more is in the lexicon, however rare the class is. Only those are told
-    to the driver, so their number is bounded by the sample's.
+    features. Spark counts them and computes their log-odds and z-scores, which follow from rates, so that the lexicon
+    doesn't depend on how rare the class is; every feature that toxic texts of the sample hold LEAST_COUNT times or more,
+    with log-odds of LEAST_ODDS and a z-score of LEAST_Z or more, is in it. Only those are told to the driver, so their
+    number is bounded by the sample's.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = about(known, sample, "doc_id")  # so few rows that they can be broadcast
@@ -154,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         """The log-odds of a feature that passes in these halves; null for others."""
         own = lambda y: F.struct(sum(F.col(f"n{h}{y}") for h in halves).alias("n"), F.lit(sum(words[f"n{h}{y}"] for h in halves)).alias("words"))
         delta, z = log_odds(own(1), own(0), size)
-        return F.when((z >= LEAST_Z) & (delta > 0) & (own(1)["n"] >= LEAST_COUNT), F.round(delta, 4))
+        return F.when((z >= LEAST_Z) & (delta >= LEAST_ODDS) & (own(1)["n"] >= LEAST_COUNT), F.round(delta, 4))
 
     chosen = table.filter("feature <> ''").select("feature", telling("0", "1").alias("every"), telling("0").alias("first"), telling("1").alias("last"))
     rows = chosen.filter("every IS NOT NULL OR first IS NOT NULL OR last IS NOT NULL").orderBy("feature").collect()

@@ -367,8 +367,8 @@ def test_archive_records_of_odd_pages(spark):
         warc.parse(again.replace(warc.REFERS.encode(), b"WARC-X-Other"))
 
 
-def test_fit_keeps_every_feature_that_passes_the_z_score(spark):
-    """One toxic row in fifty, and telling words that clean texts hold more often in plain counts."""
+def test_fit_keeps_every_telling_feature_of_a_rare_class(spark):
+    """One toxic row in fifty, and a telling word that clean texts hold more often in plain counts."""
     rng = random.Random(8)
     noise = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
     rows, labels = [], []
@@ -392,7 +392,7 @@ def test_fit_keeps_every_feature_that_passes_the_z_score(spark):
         a0 = toxicity.PRIOR + 0.5 * len(often)
         odds = [math.log((n[y][f] + prior) / max(size[y] + a0 - n[y][f] - prior, 1.0)) for y in (0, 1)]
         z = (odds[1] - odds[0]) / math.sqrt(1 / (n[1][f] + prior) + 1 / (n[0][f] + prior))
-        if z >= toxicity.LEAST_Z:
+        if z >= toxicity.LEAST_Z and odds[1] - odds[0] >= toxicity.LEAST_ODDS:
             want[f] = round(odds[1] - odds[0], 4)
     assert n[0]["telling"] > 2 * n[1]["telling"] and "telling" in want and "harmless" not in want
     assert model.lexicon == pytest.approx(want, abs=2e-4)
