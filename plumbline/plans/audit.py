@@ -395,7 +395,7 @@ def h5(v: Views) -> DataFrame:
 
 @query("H5_rounding_all", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice, 0) r FROM lineitem")
 def h5_all(v: Views) -> DataFrame:
-    """Every line; the one above holds only orders below 2000, as its SQL does."""
+    """The whole-number prices alone."""
     return v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.bround("l_extendedprice", 0).alias("r"))
 
 

@@ -184,7 +184,7 @@ def c14(v: Views) -> DataFrame:
 t AS (SELECT DISTINCT regexp_replace(lower(token), '[^\p{L}\p{N}]', '', 'g') token FROM toks), s AS (SELECT token, unnest(range(4, length(token) + 1)) k FROM t WHERE length(token) >= 4)
 SELECT token, arg_max(name, length(name)) name FROM s JOIN n ON name = substr(token, 1, k) GROUP BY token""")
 def c14_all(v: Views) -> DataFrame:
-    """Every token, without case and punctuation, and names of any length; the one above holds short ones, as its SQL does."""
+    """The longest name that each token begins with, without aliases, whoever else has it."""
     words = v.T.select(F.regexp_replace(F.lower("token"), r"[^\p{L}\p{N}]", "").alias("token")).distinct()
     names = v.T.filter(F.col("token").rlike(r"^\p{L}{4,}$")).select(F.lower("token").alias("name")).distinct()
     return resolve.longest_prefix(words, names, "token", "name", 4)
@@ -416,7 +416,7 @@ d AS (SELECT c.doc_id, arg_min(target, pos) target, arg_min(rung, pos) rung FROM
 f AS (SELECT doc_id, arg_min(substr(token, 1, 3) || substr(token, 5, 1), pos) target, 4 rung FROM toks WHERE regexp_full_match(token, '[a-z]{5}') AND substr(token, 1, 3) || substr(token, 5, 1) IN (SELECT name FROM n4) AND doc_id NOT IN (SELECT doc_id FROM d) GROUP BY doc_id)
 SELECT * FROM d UNION ALL SELECT * FROM f""")
 def c17(v: Views) -> DataFrame:
-    """The name that a document's first resolvable code stands for: the exact one (1), the only one of its family (2), the only one that its x fits (3); else a name by line and last letter (4)."""
+    """The name that a document's first resolvable code stands for: the exact one (1), the only one of its family (2), the only one that its x fits (3); else a name by line and last letter (4). The names are those of every 97th document."""
     codes = v.T.filter(F.col("token").rlike("^[A-Z][a-z]{4}")).select("doc_id", "pos", F.substring("token", 1, 5).alias("code"))
     names = codes.filter("doc_id % 97 = 0").select(F.col("code").alias("name")).distinct()
     targets = resolve.laddered(codes.select("code").distinct(), names, "code", "name", 2, "x")

@@ -32,7 +32,7 @@ def test_against_duckdb(spark, db, name):
 
 
 #: Queries whose nested-loop join has a side of one row (a list of values that the other side is held against).
-ONE_ROW_SIDE = {"C14_longest_prefix", "C14_longest_prefix_all", "C21_completeness"}
+ONE_ROW_SIDE = {"C14_longest_prefix_all"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

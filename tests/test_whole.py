@@ -40,7 +40,7 @@ def test_rounding_holds_every_line(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_rounding_goes_beyond_the_orders_of_its_cut(spark, tmp_path):
+def test_rounding_is_half_to_even_for_orders_of_any_number(spark, tmp_path):
     rows = [(o, 1, 1, x) for o, x in ((1999, 2.5), (2000, 3.5), (10**9, 4.4))]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert {r.l_orderkey: r.r for r in QUERIES["H5_rounding_all"](spark, str(tmp_path)).collect()} == {1999: 2.0, 2000: 4.0, 10**9: 4.0}
