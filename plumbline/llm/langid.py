@@ -84,7 +84,8 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score and rejected for every row of docs, learnt from the lang and text of train.
 
     A text that is null or has no letters is `und`, as is every text if train is empty. Ties go to the language that a
-    slower level compresses better, then to the first by name. Repeated rows and null doc_ids are rows of their own.
+    slower level compresses better, then to the first by name. Repeated rows and null doc_ids are rows of their own. Very long texts are compressed
+    whole, one at a time; an empty table gives no rows; other columns are ignored.
     """
     model = tuple(sorted(fit(train).items()))
 

@@ -317,7 +317,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Jaccard similarity is at least percent / 100. component_id is the least doc_id that links reach. Null or empty
     texts, and texts without words, have no shingles and are linked with nothing. Equal texts are always linked; rows
     that repeat a doc_id get equal results for equal texts. Rows without a doc_id are their own component (null) and
-    kept. Sets count as equal if their 64-bit hashes are. Other columns are ignored; an empty table gives no rows.
+    kept. Sets count as equal if their 64-bit hashes are. Very long texts are compared whole. Other columns are ignored; an
+    empty table gives no rows.
 
     A pair at exactly the threshold misses every band with a probability of at most MISS, and the sketch filter with one
     of about 1e-10. At 80 percent a signature has 40 bands of 5 values; below about 25 percent no bands reach that (an

@@ -144,6 +144,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     path is a vocabulary file of the tokenizers library; id 1 ends each document. A null or empty text is that id alone.
     Repeated and null doc_ids are packed as rows of their own; columns other than doc_id and text are ignored; an empty
-    table gives no rows.
+    table gives no rows. Very long texts are encoded whole, one at a time. Pieces of equal length are alike to the plan, so
+    which of them lies where is open, but every token has one place.
     """
     return place(written(cut(docs, path, capacity), "pieces"), capacity)

@@ -172,7 +172,11 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.n
 
 
 def train(docs: DataFrame) -> np.ndarray:
-    """Weights of the span classifier from all candidates of all documents; constant weights where there are none."""
+    """Weights of the span classifier from all candidates of all documents; constant weights where there are none.
+
+    Null and empty texts have no candidates; very long texts are searched whole; repeated rows count as often as they
+    stand; an empty table gives the constant weights; other columns are ignored.
+    """
 
     def count(text):
         c: Counter = Counter()

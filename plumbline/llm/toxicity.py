@@ -212,8 +212,8 @@ def assess(text: str | None, model: Model, heads: frozenset[str]) -> tuple[float
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted and the toxic passages of every row of docs.
 
-    A null or empty text has no words and gets the score of no evidence. Passages are code points of the lower-cased
-    text. Repeated rows and null doc_ids are rows of their own; other columns are ignored; no rows give no rows.
+    A null or empty text has no words and gets the score of no evidence; a very long one is scored whole, in linear
+    time. Passages are code points of the lower-cased text. Repeated rows and null doc_ids are rows of their own; other columns are ignored; no rows give no rows.
     """
     heads = model.heads()
 

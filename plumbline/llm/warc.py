@@ -227,7 +227,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write every page to archives in the shared folder and read them back: what the archives say of each page.
 
     A null html is an empty payload; a null url has no target; a null page_id is a response of its own; repeated rows
-    are records of their own; other columns are ignored; an empty table writes no archive and gives no rows.
+    are records of their own; other columns are ignored; an empty table writes no archive and gives no rows. Very long
+    pages are one record and one frame each, held whole by a task, one at a time.
     """
     folder = shared_dir(pages.sparkSession, "warc")
     return read(write(classify(pages), folder)).drop("payload")

@@ -375,8 +375,8 @@ def test_fit_keeps_every_telling_feature_of_a_rare_class(spark):
     for k in range(1500):
         bad = k % 50 == 0
         words = [rng.choice(noise) for _ in range(60)]
-        for c, p in (("telling", 0.9), ("harmless", 0.3), ("slight", 0.5)):
-            words += [c] * (rng.random() < (p if bad else {"telling": 0.06, "harmless": 0.3, "slight": 0.2}[c]))
+        for c, p, times in (("telling", 0.9, 3), ("harmless", 0.3, 1), ("slight", 0.5, 1)):
+            words += [c] * (times if bad else 1) * (rng.random() < (p if bad else {"telling": 0.15, "harmless": 0.3, "slight": 0.2}[c]))
         rows.append((k, " ".join(words)))
         labels.append((k, int(bad)))
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
