@@ -63,11 +63,12 @@ def slices(batch: pa.RecordBatch, rows: int, most: int = SLICE_BYTES) -> Iterato
 
 
 def map_slices(
-    df: DataFrame, fn: Callable[..., dict], schema: str, rows: int = 256, once: Callable[[], object] | None = None
+    df: DataFrame, fn: Callable[..., dict], schema: str, rows: int = 256, once: Callable[[], object] | None = None, most: int = SLICE_BYTES
 ) -> DataFrame:
-    """Call fn on bounded slices of df's columns as Python lists; fn returns a list or array for each output column.
+    """Call fn on slices of df's columns as Python lists; fn returns a list or array for each output column.
 
-    once, when given, builds per-task state that fn gets as its first argument.
+    once, when given, builds per-task state that fn gets as its first argument. A slice has at most `rows` rows and about
+    `most` bytes.
     """
     out = StructType.fromDDL(schema)
 
@@ -77,7 +78,7 @@ def map_slices(
         arrow = to_arrow_schema(out)
         state = (once(),) if once else ()
         for batch in batches:
-            for own in slices(batch, rows):
+            for own in slices(batch, rows, most):
                 got = fn(*state, *(c.to_pylist() for c in own.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -23,6 +23,8 @@ from .bpe import load
 from .common import map_slices, written
 
 CAPACITY, END = 4096, 1
+#: Bytes of text cut into words at once: the words of a slice are objects, some fifteen times as large.
+CUT_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -113,7 +115,7 @@ def cut(docs: DataFrame, path: str, capacity: int) -> DataFrame:
                 seen[n] = seen.get(n, 0) + 1
         return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"), zip(*rows, strict=True), strict=True))
 
-    return map_slices(docs.select("doc_id", "text"), run, PIECES, 1024, dict)
+    return map_slices(docs.select("doc_id", "text"), run, PIECES, 1024, dict, CUT_BYTES)
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
