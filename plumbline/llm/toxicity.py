@@ -25,9 +25,11 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 #: Bound of the fit: labelled rows in the sample.
 SAMPLE = 20_000
+#: Bytes of text whose features a task counts at once, before Spark adds the counts up.
+COUNT_BYTES = 1 << 20
 PRIOR, LEAST_Z, LEAST_COUNT = 1000.0, 3.0, 3
-#: Least log-odds of a telling feature: eight times as frequent among the words of toxic texts, whatever the sizes of the
-#: classes. Words that are a little more frequent there, though surely so, make long segments of any clean text.
+#: Least log of the ratio of rates of a telling feature: eight times as frequent among the words of toxic texts, whatever
+#: the sizes of the classes and of the sample. Words that are a little more frequent there, though surely so, make long segments of any clean text.
 LEAST_ODDS = math.log(8)
 
 
@@ -120,6 +122,12 @@ def log_odds(toxic: Column, clean: Column, size: Column) -> tuple[Column, Column
     return delta, delta / F.sqrt(1 / (toxic["n"] + prior) + 1 / (clean["n"] + prior))
 
 
+def rate_ratio(toxic: Column, clean: Column) -> Column:
+    """Log of how many times as frequent a feature is among the words of toxic texts; no prior, so that it holds in small samples."""
+    rate = lambda c: (c["n"] + 0.5) / (c["words"] + 1)
+    return F.log(rate(toxic) / rate(clean))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most about `sample` labelled rows of labels (doc_id, toxic) with their texts in docs.
 
@@ -127,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     both classes the model scores every text the same, below one half. Words of any length and their beginnings are
     features. Spark counts them and computes their log-odds and z-scores, which follow from rates, so that the lexicon
     doesn't depend on how rare the class is; every feature that toxic texts of the sample hold LEAST_COUNT times or more,
-    with log-odds of LEAST_ODDS and a z-score of LEAST_Z or more, is in it. Only those are told to the driver, so their
+    whose rates have a ratio of LEAST_ODDS (a logarithm) and whose z-score is LEAST_Z or more, is in it. Only those are told to the driver, so their
     number is bounded by the sample's.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -144,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         rows = [(h, y, f, n) for (h, y), c in by.items() for f, n in c.items()]
         return dict(zip(("half", "toxic", "feature", "n"), zip(*rows, strict=True), strict=True))
 
-    counts = map_slices(train, count, "half boolean, toxic boolean, feature string, n long", 2048)
+    counts = map_slices(train, count, "half boolean, toxic boolean, feature string, n long", 2048, most=COUNT_BYTES)
     cell = lambda h, y: F.sum(F.when((F.col("half") == h) & (F.col("toxic") == y), F.col("n")).otherwise(0))
     table = counts.groupBy("feature").agg(*(cell(h, y).alias(f"n{int(h)}{int(y)}") for h in (False, True) for y in (False, True)))
     table = written(table, "features")
@@ -158,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         """The log-odds of a feature that passes in these halves; null for others."""
         own = lambda y: F.struct(sum(F.col(f"n{h}{y}") for h in halves).alias("n"), F.lit(sum(words[f"n{h}{y}"] for h in halves)).alias("words"))
         delta, z = log_odds(own(1), own(0), size)
-        return F.when((z >= LEAST_Z) & (delta >= LEAST_ODDS) & (own(1)["n"] >= LEAST_COUNT), F.round(delta, 4))
+        return F.when((z >= LEAST_Z) & (rate_ratio(own(1), own(0)) >= LEAST_ODDS) & (own(1)["n"] >= LEAST_COUNT), F.round(delta, 4))
 
     chosen = table.filter("feature <> ''").select("feature", telling("0", "1").alias("every"), telling("0").alias("first"), telling("1").alias("last"))
     rows = chosen.filter("every IS NOT NULL OR first IS NOT NULL OR last IS NOT NULL").orderBy("feature").collect()
