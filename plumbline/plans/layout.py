@@ -197,11 +197,11 @@ r AS (SELECT doc_id, word_id, box_id, s.side side, row_number() OVER (PARTITION
 def c4(v: Views) -> DataFrame:
     """The box whose edge is nearest of all whose gutter holds a point: to the left, right, above or below."""
     h, y, x0, x1, y0, y1 = map(F.col, ("h", "y", "gx0", "gx1", "gy0", "gy1"))
-    wide = v.R.select("doc_id", "box_id", *(F.col(c).alias(f"g{c}") for c in ("x0", "x1", "y0", "y1")), (F.col("x0") - 24).alias("x0"), (F.col("x1") + 24).alias("x1"), (F.col("y0") - 24).alias("y0"), (F.col("y1") + 24).alias("y1"))
+    wide = v.R.select("doc_id", "box_id", *(F.col(c).alias(f"g{c}") for c in ("x0", "x1", "y0", "y1")), (F.col("x0") - 25).alias("x0"), (F.col("x1") + 25).alias("x1"), (F.col("y0") - 25).alias("y0"), (F.col("y1") + 25).alias("y1"))  # a little wider, as 24 less than an edge is rounded: the gutters decide
     level, within = y.between(y0, y1), h.between(x0, x1)
     gutters = [(level, x0 - h, "L"), (level, h - x1, "R"), (within, y0 - y, "T"), (within, y - y1, "B")]
     found = F.array_compact(F.array(*(F.when(c & (d > 0) & (d <= 24), F.struct(d.alias("d"), F.lit(k).alias("o"), F.lit(s).alias("side"))) for k, (c, d, s) in enumerate(gutters))))
-    p = near.in_box(v.P, wide, ["doc_id"], "h", "y", 72.0).select("doc_id", "word_id", "box_id", F.explode(found).alias("g"))
+    p = near.in_box(v.P, wide, ["doc_id"], "h", "y", 74.0).select("doc_id", "word_id", "box_id", F.explode(found).alias("g"))
     return near.nearest(p, ["word_id"], F.col("g.d"), ["box_id", F.col("g.o")]).select("doc_id", "word_id", "box_id", "g.side")
 
 
