@@ -89,16 +89,25 @@ def literals(pattern: str) -> list[str]:
     return sorted({y for x in own for y in x}) if all(own) else []
 
 
+#: Where an ASCII letter, digit or underscore meets anything else.
+BOUND = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def plain_bounds(pattern: str) -> str:
+    """The pattern with \\b as SQL has it, by ASCII words; Java's takes the letters of every script for parts of words."""
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + BOUND, pattern)
+
+
 def found_in(line: str, at: str, rules: Sequence[Rule]) -> Column:
     """The hits of all rules in a line, as an array of category, part, designator, confidence and order."""
     lower = F.lower(line)
 
     def hits(number: int, category: str, pattern: str, designator: str) -> Column:
-        every = F.regexp_extract_all(line, F.lit(f"(?i){pattern}"), F.lit(0))
+        every = F.regexp_extract_all(line, F.lit(f"(?i){plain_bounds(pattern)}"), F.lit(0))
 
         def one(m: Column, i: Column) -> Column:
             before = F.substr(F.col(line), F.lit(1), F.position(m, F.col(line)) - 1)
-            name = F.try_element_at(F.regexp_extract_all(before, F.lit(designator), F.lit(0)), F.lit(-1))
+            name = F.try_element_at(F.regexp_extract_all(before, F.lit(plain_bounds(designator)), F.lit(0)), F.lit(-1))
             sure = F.when(name.isNotNull(), 0.9).otherwise(0.8 if len(pattern) > 12 else 0.6)
             return F.struct(F.lit(category).alias("category"), F.upper(F.regexp_replace(m, r"\s+", "")).alias("part"), name.alias("designator"), sure.alias("confidence"), F.struct(F.lit(number).alias("rule"), F.col(at).alias("line"), i.alias("pos")).alias("order"))
 

@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, resolve
+from ..operators import audit, components, resolve
 from .views import Views, query
 
 
@@ -240,7 +240,7 @@ def c18_suggestions(v: Views) -> DataFrame:
 @query("C12_nearest_left", r"SELECT doc_id, line_no, list_extract(regexp_extract_all(string_split(line, ' and ')[1], '\b[A-Z][a-z]+'), -1) designator FROM lns WHERE contains(line, ' and ') AND regexp_matches(string_split(line, ' and ')[1], '\b[A-Z][a-z]+')")
 def c12(v: Views) -> DataFrame:
     """The last capitalised word before the first keyword of a line."""
-    words = F.regexp_extract_all(F.substring_index("line", " and ", 1), F.lit(r"\b[A-Z][a-z]+"), F.lit(0))
+    words = F.regexp_extract_all(F.substring_index("line", " and ", 1), F.lit(components.plain_bounds(r"\b[A-Z][a-z]+")), F.lit(0))
     out = v.L.filter(F.col("line").contains(" and ")).select("doc_id", "line_no", F.try_element_at(words, F.lit(-1)).alias("designator"))
     return out.filter("designator IS NOT NULL")
 

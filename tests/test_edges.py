@@ -34,3 +34,16 @@ def test_gutters_hold_points_whose_distance_rounds_to_their_width(spark, tmp_pat
     rows = [r for k, (x, y) in enumerate(rounded) for r in ((2 * k, datetime(2024, 1, 1), k, "signup", x, None), (2 * k + 1, datetime(2024, 1, 1), k, "click", y, None))]
     got, want = both(spark, tmp_path, "C4_owner_assignment", events=(rows, EVENTS))
     assert got == want and len(got) == len(rounded)
+
+
+def test_word_bounds_are_those_of_sql(spark, tmp_path):
+    texts = ["Der Berühmte schrieb an er.49@mail9.example", "Schöne Grüße +1(325)555-8094", "éTom ab.c@mail and thless", "Tom_ x@y1", "üBer alles and mehr", "Ann x@y Bob z@y"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got, want = both(spark, tmp_path, "D13_pattern_components", documents=(rows, "doc_id long, text string"))
+    assert got == want and len(got) > 5
+
+
+def test_last_words_before_a_keyword_have_the_bounds_of_sql(spark, tmp_path):
+    rows = [(1, "üBer alles and mehr"), (2, "Ann and Bob"), (3, "éTom and more"), (4, "xTom and more")]
+    got, want = both(spark, tmp_path, "C12_nearest_left", documents=(rows, "doc_id long, text string"))
+    assert got == want and len(got) == 3
