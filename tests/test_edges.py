@@ -47,3 +47,9 @@ def test_last_words_before_a_keyword_have_the_bounds_of_sql(spark, tmp_path):
     rows = [(1, "üBer alles and mehr"), (2, "Ann and Bob"), (3, "éTom and more"), (4, "xTom and more")]
     got, want = both(spark, tmp_path, "C12_nearest_left", documents=(rows, "doc_id long, text string"))
     assert got == want and len(got) == 3
+
+
+def test_first_parts_by_line_and_part_numbers_beyond_a_million(spark, tmp_path):
+    rows = [line(1, 1, 3_000_000, 1), line(1, 2, 7, 1), line(1, 3, 8, 1, "R"), line(2, 1, 5, 1), line(2, 2, 4, 1), line(3, 1, 999_999, 1), line(3, 2, 1, 1)]
+    got, want = both(spark, tmp_path, "D15_category_pivot", lineitem=(rows, LINES))
+    assert got == want and len(got) == 3
