@@ -247,14 +247,15 @@ def sharing_letters(left: DataFrame, right: DataFrame, a: str, b: str, least: fl
 
 
 def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, least: float, block: Sequence[str] = ()) -> DataFrame:
-    """Pairs of distinct names of a block that may have an edit ratio (1 - edits / the longer length) of `least`; none that
-    reaches it is missing.
+    """Pairs of distinct names of a block with an edit ratio (1 - edits / the longer length) of `least`.
 
     A pair of lengths allows so many edits, e. The shorter name is cut into e + 1 segments; one of them stands whole in
     the longer name (pigeonhole principle), at a shift that leaves room for the edits before and behind it. So the
     names meet on lengths, number of the segment and its letters. Lengths that allow one edit only meet on the name
     without one of its letters, or whole, instead: ids that differ in a digit have long stretches in common, but not
-    those. Of the pairs that meet, those stay whose bags of letters share enough. `least` lies above zero.
+    those. `least` lies above zero.
+
+    The pieces are many times the names, which Spark doesn't see when it estimates a side: they are never broadcast.
     """
     if not 0 < least <= 1:
         raise ValueError("least lies above 0 and is at most 1")
@@ -294,12 +295,12 @@ def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, least: float
         shorter = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
         return rows.select(*block, c, F.explode(F.array_distinct(F.when(edits(F.length(c)) > 0, F.concat(F.array(c), shorter)).otherwise(F.array(c)))).alias("_piece"))
 
-    one_edit = without_one(one, a).join(without_one(two, b), [*block, "_piece"]).select(*block, a, b)
+    one_edit = without_one(one, a).join(without_one(two, b).hint("merge"), [*block, "_piece"]).select(*block, a, b)
     on = [*block, "_short", "_long", "_i", "_piece"]
-    met = cut(one, a).join(pieces(two, b), on).select(*block, a, b)
-    longer = pieces(one, a).filter("_short < _long").join(cut(two, b), on).select(*block, a, b)
+    met = cut(one, a).join(pieces(two, b).hint("merge"), on).select(*block, a, b)
+    longer = pieces(one, a).filter("_short < _long").join(cut(two, b).hint("merge"), on).select(*block, a, b)
     most = F.greatest(F.length(a), F.length(b))
-    enough = F.size(F.array_intersect(numbered_letters(a), numbered_letters(b))) >= most - edits(most)
+    enough = F.levenshtein(a, b) <= edits(most)
     return met.unionByName(longer).unionByName(one_edit).distinct().filter(enough)
 
 

@@ -4,6 +4,7 @@ from datetime import datetime
 
 import duckdb
 
+from plumbline.operators import resolve
 from plumbline.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -53,3 +54,11 @@ def test_first_parts_by_line_and_part_numbers_beyond_a_million(spark, tmp_path):
     rows = [line(1, 1, 3_000_000, 1), line(1, 2, 7, 1), line(1, 3, 8, 1, "R"), line(2, 1, 5, 1), line(2, 2, 4, 1), line(3, 1, 999_999, 1), line(3, 2, 1, 1)]
     got, want = both(spark, tmp_path, "D15_category_pivot", lineitem=(rows, LINES))
     assert got == want and len(got) == 3
+
+
+def test_pieces_of_names_are_never_broadcast(spark):
+    names = spark.createDataFrame([(f"Name#{k:09d}",) for k in range(50)], "a string")
+    close = resolve.within_edits(names, names.withColumnRenamed("a", "b"), "a", "b", 0.7)
+    assert "Broadcast" not in close._jdf.queryExecution().executedPlan().toString()
+    distance = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
+    assert close.count() >= sum(distance(f"{i:02d}", f"{j:02d}") <= 2 for i in range(50) for j in range(50)) == 2500
