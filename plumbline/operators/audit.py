@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Columns = Sequence[str]
@@ -116,38 +116,51 @@ def split_digest(df: DataFrame, group: Columns, parts: Sequence[Column], buckets
     return digest(each, group, [F.col("_k"), F.col("_d")], to)
 
 
-def from_rarest(have: DataFrame, need: DataFrame, group: Columns, owner: str, item: str) -> DataFrame:
-    """The owners of each group's rarest needed item (fewest owners, then the least item): all that can cover the group.
+def by_rarity(have: DataFrame, need: DataFrame, group: Columns, item: str) -> DataFrame:
+    """need with _often (how many owners an item has), _rank (the rarest of the group first, then the least), the item of the
+    next rank (the last has its own), and _size (the group's items)."""
+    often = have.groupBy(item).agg(F.count(F.lit(1)).alias("_often"))
+    w = Window.partitionBy(*group)
+    order = w.orderBy("_often", item)
+    told = need.join(often, item, "left").withColumn("_often", F.coalesce("_often", F.lit(0)))
+    next_one = F.coalesce(F.lead(item).over(order), F.col(item))
+    return told.withColumn("_rank", F.row_number().over(order)).withColumn("_next", next_one).withColumn("_size", F.count(F.lit(1)).over(w))
+
 
-    have and need have one row for each owner and item, and each group and item. A group that needs what nobody has has
-    no owner here.
+def of_two_rarest(have: DataFrame, told: DataFrame, group: Columns, owner: str, item: str) -> DataFrame:
+    """The owners that have both of each group's two rarest items (fewest owners, then the least item): all that can cover it.
+
+    have has one row for each owner and item, told is from by_rarity. A group that needs what nobody has has no owner here.
+    Owners of the rarest item go on with the key of the second alone, so that only those with both meet all items.
     """
-    often = have.groupBy(item).agg(F.count(F.lit(1)).alias("_often"))
-    told = need.join(often, item, "left").groupBy(*group).agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), F.col(item).alias("i"))).alias("_least"), F.count(F.lit(1)).alias("_size"))
-    told = told.filter("_least.n > 0").select(*group, "_size", F.col("_least.i").alias(item))
-    return told.join(have.select(owner, item), item).select(*group, owner, "_size")
+    first = told.filter("_rank = 1 AND _often > 0").select(*group, item, "_next", "_size")
+    either = first.join(have.select(owner, item), item).select(*group, owner, "_size", F.col("_next").alias(item))
+    return either.join(have.select(owner, item), [owner, item], "left_semi").select(*group, owner, "_size")
 
 
 def covering(have: DataFrame, need: DataFrame, group: Columns, owner: str, item: str) -> DataFrame:
     """Relational division: the owners that have every item that a group needs.
 
-    Only owners of a group's rarest item are held against its other items.
+    Only owners of a group's two rarest items are held against its other items; a group without others meets its last.
     """
     wanted, held = need.select(*group, item).distinct(), have.select(owner, item).distinct()
-    asked = from_rarest(held, wanted, group, owner, item).join(wanted, list(group))
+    told = by_rarity(held, wanted, group, item)
+    rest = told.filter("_rank > 2 OR _rank = _size").select(*group, item)
+    asked = of_two_rarest(held, told, group, owner, item).join(rest, list(group))
     hits = asked.join(held, [owner, item], "left_semi").groupBy(*group, owner).agg(F.count(F.lit(1)).alias("_hit"), F.first("_size").alias("_size"))
-    return hits.filter("_hit = _size").select(*group, owner)
+    return hits.filter("_hit = greatest(_size - 2, 1)").select(*group, owner)
 
 
 def covering_roles(have: DataFrame, need: DataFrame, group: Columns, owner: str, item: str, role: str, label: str) -> DataFrame:
     """The owners at which every item that a group needs takes a role of its own.
 
     An item that has one role at an owner takes it whatever its label says; of several it takes the one of its label.
-    need has one row for each item of a group. Only owners of a group's rarest item are held against its other items, and
+    need has one row for each item of a group. Only owners of a group's two rarest items are held against all of them, and
     each owner and item has one row, with its roles.
     """
     cap = have.groupBy(owner, item).agg(F.collect_set(role).alias("_roles"))  # an item has few roles at an owner
-    asked = from_rarest(cap.select(owner, item), need, group, owner, item).join(need.select(*group, item, label), list(group))
+    told = by_rarity(cap.select(owner, item), need.select(*group, item, label), group, item)
+    asked = of_two_rarest(cap, told, group, owner, item).join(told.select(*group, item, label), list(group))
     taken = F.when(F.size("_roles") == 1, F.col("_roles")[0]).when(F.array_contains("_roles", F.col(label)), F.col(label))
     roles = asked.join(cap, [owner, item]).groupBy(*group, owner).agg(F.count_distinct(taken).alias("_n"), F.first("_size").alias("_size"))
     return roles.filter("_n = _size").select(*group, owner)

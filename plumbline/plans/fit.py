@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import near, ordered, parts, readings
+from ..operators import audit, near, ordered, parts, readings
 from .layout import SWEEP, aligned, sides
 from .views import Views, query
 
@@ -169,9 +169,7 @@ def i4(v: Views) -> DataFrame:
     """A supplier for every part of an order: one that has them all (even numbers preferred, then the least), else each part's own best."""
     parts, claims = v.B.select("doc_id", "pin").distinct(), v.claims(False).select(*KEY)
     best = F.min(F.struct((F.col("signal") % 2).alias("odd"), "signal"))
-    have = parts.join(claims, "pin").groupBy("doc_id", "signal").agg(F.count(F.lit(1)).alias("have"))
-    want = parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("want"))
-    all_of = have.join(want, "doc_id").filter("have = want").groupBy("doc_id").agg(best.alias("t"))
+    all_of = audit.covering(claims, parts, ["doc_id"], "signal", "pin").groupBy("doc_id").agg(best.alias("t"))
     own = claims.groupBy("pin").agg(best.alias("o"))
     rows = parts.join(all_of, "doc_id", "left").join(own, "pin", "left")
     return rows.select("doc_id", "pin", F.coalesce("t.signal", "o.signal").alias("pick"), F.col("t").isNotNull().alias("shared"))

@@ -1,10 +1,11 @@
 """Queries on rows at the edges of their rules, against their SQL in DuckDB."""
 
+import random
 from datetime import datetime
 
 import duckdb
 
-from plumbline.operators import resolve
+from plumbline.operators import audit, resolve
 from plumbline.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -62,3 +63,17 @@ def test_pieces_of_names_are_never_broadcast(spark):
     assert "Broadcast" not in close._jdf.queryExecution().executedPlan().toString()
     distance = lambda x, y: sum(p != q for p, q in zip(x, y, strict=True))
     assert close.count() >= sum(distance(f"{i:02d}", f"{j:02d}") <= 2 for i in range(50) for j in range(50)) == 2500
+
+
+def test_division_holds_owners_of_both_rarest_items_against_the_rest(spark):
+    rng = random.Random(3)
+    have = sorted({(s, p) for p in range(12) for s in range(40) if rng.random() < 0.15 + p / 15} - {(s, 3) for s in range(40)})
+    need = [(g, p) for g in range(80) for p in rng.sample(range(12), 1 + g % 5)]
+    h, n = spark.createDataFrame(have, "owner int, item int"), spark.createDataFrame(need, "g int, item int")
+    owners, items = ({k: {x[1] for x in rows if x[0] == k} for k in {x[0] for x in rows}} for rows in ([(p, s) for s, p in have], need))
+    want = {(g, s) for g, ps in items.items() for s in set.intersection(*(owners.get(p, set()) for p in ps))}
+    got = list(map(tuple, audit.covering(h, n, ["g"], "owner", "item").collect()))
+    assert set(got) == want and len(got) == len(want) > 50
+    two = {(g, s) for g, ps in items.items() for s in set.intersection(*(owners.get(p, set()) for p in sorted(ps, key=lambda p: (len(owners.get(p, ())), p))[:2]))}
+    asked = audit.of_two_rarest(h, audit.by_rarity(h, n, ["g"], "item"), ["g"], "owner", "item").collect()
+    assert {(r.g, r.owner) for r in asked} == two and len(asked) == len(two)
