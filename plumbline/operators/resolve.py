@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .ordered import first_by
 from .stored import stored
 
 
@@ -322,7 +323,8 @@ def suggested(missing: DataFrame, offered: DataFrame, capable: DataFrame, taken:
     An item counts if `capable` (item, need) lists it for what the function needs (null: anything), if `taken` (block,
     item) doesn't hold it, and if its label shares a word with the name or has an edit ratio of at least `least`. The
     score is the number of shared words and the ratio. Words are runs of letters and digits that are not all digits;
-    case doesn't count. Ties go to the smaller item, then label.
+    case doesn't count. Ties go to the smaller item, then label: items of one label score alike, so that for each label and
+    need only the n smallest items are held against names.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.upper(F.col(c)), "[^A-Z0-9]+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$")))
     want = missing.select(*block, F.col(name).alias("_name"), F.col(need).alias("_need"), F.upper(name).alias("_a")).distinct()
@@ -331,9 +333,11 @@ def suggested(missing: DataFrame, offered: DataFrame, capable: DataFrame, taken:
     each = lambda df, c: df.select(*block, c, F.explode(words(c)).alias("_w")).distinct()
     sharing = each(want, "_a").join(each(free, "_b"), [*block, "_w"]).select(*block, "_a", "_b").distinct()
     close = within_edits(want, free, "_a", "_b", least, block)
-    able = capable.select(item, F.col(need).alias("_need"), F.lit(True).alias("_able")).distinct()
-    pairs = sharing.unionByName(close).distinct().join(want, [*block, "_a"]).join(free, [*block, "_b"])
-    pairs = pairs.join(able, [item, "_need"], "left").filter("_need IS NULL OR _able")
+    able = capable.select(item, F.col(need).alias("_need")).filter("_need IS NOT NULL").distinct()
+    kind = lambda df: df.withColumn("_any", F.col("_need").isNull()).withColumn("_kind", F.coalesce(F.col("_need").cast("string"), F.lit("")))
+    every = free.withColumn("_need", F.lit(None).cast(able.schema["_need"].dataType)).unionByName(free.join(able, item))
+    first = first_by(kind(every), [*block, "_label", "_any", "_kind"], [item], n).drop("_need")
+    pairs = sharing.unionByName(close).distinct().join(kind(want), [*block, "_a"]).join(first, [*block, "_b", "_any", "_kind"]).drop("_any", "_kind")
     shared, ratio = F.size(F.array_intersect(words("_a"), words("_b"))), edit_ratio("_a", "_b")
     fits = pairs.filter((shared > 0) | (ratio >= least)).withColumn("score", F.round(shared + ratio, 3))
     w = Window.partitionBy(*block, "_name", "_need").orderBy(F.desc("score"), item, "_label")

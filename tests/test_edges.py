@@ -77,3 +77,35 @@ def test_division_holds_owners_of_both_rarest_items_against_the_rest(spark):
     two = {(g, s) for g, ps in items.items() for s in set.intersection(*(owners.get(p, set()) for p in sorted(ps, key=lambda p: (len(owners.get(p, ())), p))[:2]))}
     asked = audit.of_two_rarest(h, audit.by_rarity(h, n, ["g"], "item"), ["g"], "owner", "item").collect()
     assert {(r.g, r.owner) for r in asked} == two and len(asked) == len(two)
+
+
+def test_suggestions_hold_the_least_items_of_a_label_against_names(spark):
+    rng = random.Random(5)
+    labels = ["red ring", "red rod", "blue ring", "big blue rod", "7 bolt"]
+    offered = [(k, rng.choice(labels)) for k in range(60)]
+    capable = sorted({(k, rng.randrange(3)) for k in range(60) for _ in range(2)})
+    missing, taken = [("red rinG", None), ("red rinG", 1), ("blue rad", 2), ("bolt", 0)], [(k,) for k in range(0, 60, 7)]
+    frames = [spark.createDataFrame(r, s) for r, s in ((missing, "name string, need long"), (offered, "pin long, label string"), (capable, "pin long, need long"), (taken, "pin long"))]
+    out = resolve.suggested(*frames, "name", "need", "pin", "label", 0.5, 3)
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.name, r.need), {})[r.rank] = r.pin
+    for name, need in missing:
+        score = {}
+        for pin, label in offered:
+            a, b = name.upper(), label.upper()
+            shared = len({w for w in a.split() if not w.isdigit()} & {w for w in b.split() if not w.isdigit()})
+            ratio = round(1 - edits(a, b) / max(len(a), len(b)), 6)
+            if pin % 7 and (need is None or (pin, need) in capable) and (shared or ratio >= 0.5):
+                score[pin] = round(shared + ratio, 3)
+        assert got.get((name, need), {}) == dict(enumerate(sorted(score, key=lambda p: (-score[p], p))[:3], 1))
+    assert "WindowGroupLimit [_label" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
