@@ -13,11 +13,17 @@ def bucket(value: str | Column, width: float) -> Column:
     return F.floor((F.col(value) if isinstance(value, str) else value) / width)
 
 
-def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], a: str, b: str, tolerance: float) -> DataFrame:
-    """Pairs with equal `on` whose a and b differ by no more than tolerance."""
+def banded(left: DataFrame, right: DataFrame, on: Sequence[str], a: str, b: str, tolerance: float) -> DataFrame:
+    """band_join with the left row's bucket, `_b`: all pairs of a left row lie in one, so they are grouped by `on` and `_b`, too,
+    where they met."""
     one = left.withColumn("_b", bucket(a, tolerance))
     spread = F.explode(F.array(*(bucket(b, tolerance) + i for i in (-1, 0, 1))))
-    return one.join(right.withColumn("_b", spread), [*on, "_b"]).drop("_b").filter(F.abs(F.col(a) - F.col(b)) <= tolerance)
+    return one.join(right.withColumn("_b", spread), [*on, "_b"]).filter(F.abs(F.col(a) - F.col(b)) <= tolerance)
+
+
+def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], a: str, b: str, tolerance: float) -> DataFrame:
+    """Pairs with equal `on` whose a and b differ by no more than tolerance."""
+    return banded(left, right, on, a, b, tolerance).drop("_b")
 
 
 def radius_join(left: DataFrame, right: DataFrame, on: Sequence[str], a: tuple[str, str], b: tuple[str, str], radius: float) -> DataFrame:

@@ -21,12 +21,12 @@ def swept(left: DataFrame, right: DataFrame, on: Columns, a: str, b: str, most:
     A group may be a document, a hypothesis about it, or one of its readings. Only shifts that bring a pair together are
     made; a shift without a pair has no row.
     """
-    pairs = near.band_join(left, right, on, a, b, float(most + reach))
+    pairs = near.banded(left, right, on, a, b, float(most + reach))
     apart = F.col(b) - F.col(a)
     o = F.sequence(F.greatest(F.lit(-most), F.ceil(apart - reach).cast("int") - 1), F.least(F.lit(most), F.floor(apart + reach).cast("int") + 1))
     shifted = pairs.withColumn("o", F.explode(F.filter(o, lambda x: x.between(-most, most)))).withColumn("_d", F.abs(F.col(a) + F.col("o") - F.col(b))).filter(F.col("_d") <= reach)
     found = F.min(F.struct("_d", row, claims.alias("claims"), agrees.alias("agrees"), reserved.alias("reserved")))
-    best = shifted.groupBy(*on, "o", item).agg(found.alias("m"))
+    best = shifted.groupBy(*on, "_b", "o", item).agg(found.alias("m"))  # not shuffled again: `_b` is of the join
     count = lambda c: F.count(F.when(c, 1))
     claim = F.col("m.claims")
     return best.groupBy(*on, "o").agg(F.count(F.lit(1)).alias("pairs"), count(claim).alias("chk"), count(claim & F.col("m.agrees")).alias("sat"), count(F.col("m.reserved")).alias("reserved"))

@@ -4,8 +4,9 @@ import random
 from datetime import datetime
 
 import duckdb
+from pyspark.sql import functions as F
 
-from plumbline.operators import audit, resolve
+from plumbline.operators import audit, readings, resolve
 from plumbline.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -109,3 +110,11 @@ def edits(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
     return row[-1]
+
+
+def test_pairs_of_a_sweep_are_reduced_where_they_meet(spark):
+    left = spark.createDataFrame([(1, k, float(k), k) for k in range(40)], "g int, a int, x double, v int")
+    right = spark.createDataFrame([(1, k, k * 1.5, k) for k in range(40)], "g int, b int, z double, u int").hint("merge")
+    out = readings.swept(left, right, ["g"], "x", "z", 5, 2.0, "a", "b", F.col("v") > 0, F.col("v") == F.col("u"), F.col("u") < 3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3  # two of the join, one of the scores
+    assert out.filter("o = 0").first().pairs == sum(any(abs(i - 1.5 * j) <= 2 for j in range(40)) for i in range(40))
