@@ -167,16 +167,20 @@ def covering_roles(have: DataFrame, need: DataFrame, group: Columns, owner: str,
 
 
 def waived(found: DataFrame, waivers: DataFrame, key: Columns, source: str, scope: str) -> DataFrame:
-    """found with state: waived where a waiver of its key has a scope that begins its source, else open."""
-    hit = found.join(waivers.select(*key, scope).distinct(), list(key)).filter(F.col(source).startswith(F.col(scope)))
-    hit = hit.select(*key, source).distinct().withColumn("_w", F.lit(True))
-    return found.join(hit, [*key, source], "left").withColumn("state", F.when(F.col("_w"), "waived").otherwise("open")).drop("_w")
+    """found with state: waived where a waiver of its key has a scope that begins its source, else open.
+
+    The scopes of a key, which are few, travel as one row, so that found meets them once and keeps its rows."""
+    scopes = waivers.groupBy(*key).agg(F.collect_set(scope).alias("_scopes"))
+    covered = F.exists("_scopes", lambda s: F.col(source).startswith(s))
+    return found.join(scopes, list(key), "left").withColumn("state", F.when(covered, "waived").otherwise("open")).drop("_scopes")
 
 
 def stale(waivers: DataFrame, found: DataFrame, key: Columns, scope: str, source: str) -> DataFrame:
     """Waivers for which nothing of their key is found in a source that contains their scope."""
-    used = waivers.join(found.select(*key, source).distinct(), list(key)).filter(F.col(source).contains(F.col(scope)))
-    return waivers.join(used.select(*key, scope).distinct(), [*key, scope], "left_anti")
+    scopes = waivers.groupBy(*key).agg(F.collect_set(scope).alias("_scopes"))
+    met = found.select(*key, source).join(scopes, list(key)).select(*key, F.filter("_scopes", lambda s: F.col(source).contains(s)).alias("_u"))
+    used = met.select(*key, F.explode("_u").alias("_u")).groupBy(*key).agg(F.collect_set("_u").alias("_used"))
+    return waivers.join(used, list(key), "left").filter(~F.coalesce(F.array_contains("_used", F.col(scope)), F.lit(False))).drop("_used")
 
 
 def refreshed(old: DataFrame, new: DataFrame, key: Columns) -> DataFrame:
