@@ -65,24 +65,31 @@ def greedy(df: DataFrame, group: Columns, order: Column, item: str, options: str
 
     `taken`, a column that is the same for all rows of a group, lists options that are gone before. An item all of whose
     options are taken has free = false, its first option as pick, and the items that took them as owners (sorted). A
-    fold over the group's sorted items; groups are small (pins of a part, lines of an order).
+    fold over the group's sorted items; groups are small (pins of a part, lines of an order). Its state is what is gone and
+    what each item took; of an item's options only one more than are gone can matter. Owners are found after it, for the
+    items that took nothing alone.
     """
-    rows = F.sort_array(F.collect_list(F.struct(order.alias("order"), F.col(item).cast("long").alias("item"), F.col(options).alias("options"))))
-    empty = F.array().cast("array<struct<item:bigint,free:boolean,pick:bigint,owners:array<bigint>>>")
-    gone = F.first(taken) if taken else F.array().cast("array<bigint>")
+    rows = F.sort_array(F.collect_list(F.struct(order.alias("order"), F.col(item).cast("long").alias("item"), F.col(options).cast("array<bigint>").alias("options"))))
+    gone = F.coalesce(F.first(taken).cast("array<bigint>"), F.array().cast("array<bigint>")) if taken else F.array().cast("array<bigint>")
     own = df.groupBy(*group).agg(rows.alias("_r"), gone.alias("_t"))
+    start = F.struct(F.col("_t").alias("gone"), F.array().cast("array<bigint>").alias("picks"))
 
     def step(acc: Column, r: Column) -> Column:
-        used = F.filter(acc, lambda t: t["free"])
-        free = F.filter(r["options"], lambda o: ~F.exists(used, lambda t: t["pick"] == o) & ~F.array_contains("_t", o))
-        owners = F.array_sort(F.array_distinct(F.transform(F.filter(used, lambda t: F.array_contains(r["options"], t["pick"])), lambda t: t["item"])))
-        found = F.size(free) > 0
-        row = F.struct(r["item"].alias("item"), found.alias("free"), F.when(found, F.get(free, F.lit(0))).otherwise(F.get(r["options"], F.lit(0))).alias("pick"), F.when(~found, owners).otherwise(F.array().cast("array<bigint>")).alias("owners"))
-        return F.concat(acc, F.array(row))
-
-    folded = own.select(*group, F.aggregate("_r", empty, step).alias("_p"), "_r")
-    each = folded.select(*group, F.explode(F.arrays_zip("_p", "_r")).alias("z"))
-    return each.select(*group, F.col("z._r.order").alias("order"), "z._p.item", "z._p.free", "z._p.pick", "z._p.owners")
+        near = F.slice(F.array_compact(r["options"]), 1, F.size(acc["gone"]) + 1)
+        picked = F.array(F.get(F.array_except(near, acc["gone"]), F.lit(0)))  # an array, so that transform names it once
+        grown = lambda p: F.struct(F.when(p.isNull(), acc["gone"]).otherwise(F.array_append(acc["gone"], p)).alias("gone"), F.array_append(acc["picks"], p).alias("picks"))
+        return F.get(F.transform(picked, grown), F.lit(0))
+
+    def told(z: Column, i: Column) -> Column:
+        r, pick = z["_r"], z["_k"]
+        owners = F.transform(F.filter(F.slice("_z", 1, i), lambda y: F.array_contains(r["options"], y["_k"])), lambda y: y["_r"]["item"])
+        return F.struct(
+            r["order"].alias("order"), r["item"].alias("item"), pick.isNotNull().alias("free"), F.coalesce(pick, F.get(r["options"], F.lit(0))).alias("pick"),
+            F.when(pick.isNull(), F.array_sort(F.array_distinct(owners))).otherwise(F.array().cast("array<bigint>")).alias("owners"),
+        )
+
+    folded = own.select(*group, F.arrays_zip("_r", F.aggregate("_r", start, step)["picks"].alias("_k")).alias("_z"))
+    return folded.select(*group, F.explode(F.transform("_z", told)).alias("z")).select(*group, "z.*")
 
 
 def repaired(rows: DataFrame, options: DataFrame, document: str, index: str, item: str, unit: str, kind: str, protected: str) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,14 @@ def test_markup_and_report_round_trip(spark, tmp_path):
     lines = [json.loads(x) for f in sorted((tmp_path / "sorted").rglob("part-*")) for x in f.read_text().splitlines()]
     assert [x["text"] for x in lines] == ["T", "U"] and all(re.fullmatch(r"\d{4}-\d\d-\d\d", x["stamp"]) for x in lines)
     assert markup.whole_files(spark, str(tmp_path / "out"), "*.json").count() >= 1
+
+
+def test_greedy_stays_quick_where_items_share_many_options(spark):
+    n = 600
+    rows = spark.range(n).selectExpr("1 AS g", "id AS o", "id AS item", f"sequence(0L, {n - 2}L) AS options")
+    assign.greedy(rows.limit(3), ["g"], F.col("o"), "item", "options").collect()
+    begin = time.monotonic()
+    got = sorted(map(tuple, assign.greedy(rows, ["g"], F.col("o"), "item", "options").select("item", "free", "pick", "owners").collect()))
+    took = time.monotonic() - begin
+    assert got == [(i, True, i, []) for i in range(n - 1)] + [(n - 1, False, 0, list(range(n - 1)))]
+    assert took < 10  # every option was held against all earlier picks several times
