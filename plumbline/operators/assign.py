@@ -14,8 +14,8 @@ from .stored import shared_folder, stored
 Columns = Sequence[str]
 
 
-def conflict_free(groups: DataFrame, document: str, group: str, options: str) -> DataFrame:
-    """One option for each group of a document, all distinct: document, group, pick and solved.
+def conflict_free(groups: DataFrame, document: str, group: str, options: str, more: Columns = ()) -> DataFrame:
+    """One option for each group of a document, all distinct: document, group, pick and solved, and `more` columns of groups.
 
     Groups are served by (number of options, group as text); of all assignments the lexicographically first counts.
     Where none exists every group takes its first option (null if it has none) and `solved` is false.
@@ -25,9 +25,9 @@ def conflict_free(groups: DataFrame, document: str, group: str, options: str) ->
     wants make no states. Groups with no more than a number of options can fail, so longer lists are cut to the number
     of groups (one with so many always finds one, and need not look beyond).
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.size(options).alias("n"), F.col(group).cast("string").alias("t"), F.col(group).alias("g"), F.sort_array(options).cast("array<bigint>").alias("o"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.size(options).alias("n"), F.col(group).cast("string").alias("t"), F.col(group).alias("g"), F.sort_array(options).cast("array<bigint>").alias("o"), *more)))
     own = groups.groupBy(document).agg(rows.alias("r"))
-    own = own.select(document, F.transform("r", lambda x: F.struct(x["g"].alias("g"), F.slice(x["o"], 1, F.size("r")).alias("o"))).alias("r"))
+    own = own.select(document, F.transform("r", lambda x: F.struct(x["g"].alias("g"), F.slice(x["o"], 1, F.size("r")).alias("o"), *(x[c].alias(c) for c in more))).alias("r"))
     later = lambda i: F.array_distinct(F.flatten(F.transform(F.slice("r", i + 2, F.size("r")), lambda y: y["o"])))
     own = own.withColumn("s", F.transform("r", lambda x, i: F.struct(x["o"].alias("o"), later(i).alias("later"))))
     states = "array<struct<used:array<bigint>,picks:array<bigint>>>"
@@ -41,7 +41,7 @@ def conflict_free(groups: DataFrame, document: str, group: str, options: str) ->
 
     solved = own.select(document, "r", F.get(F.aggregate("s", start.cast(states), step), F.lit(0))["picks"].alias("p"))
     each = solved.select(document, F.col("p").isNotNull().alias("solved"), F.explode(F.arrays_zip("r", F.coalesce("p", F.transform("r", lambda x: F.get(x["o"], F.lit(0)))).alias("p"))).alias("z"))
-    return each.select(document, F.col("z.r.g").alias(group), F.col("z.p").alias("pick"), "solved")
+    return each.select(document, F.col("z.r.g").alias(group), F.col("z.p").alias("pick"), "solved", *(F.col("z.r")[c].alias(c) for c in more))
 
 
 def owners_served(owners: DataFrame, able: DataFrame, document: str, owner: str, wire: str, unit: str) -> DataFrame:
@@ -49,15 +49,20 @@ def owners_served(owners: DataFrame, able: DataFrame, document: str, owner: str,
     document, owner, pick, solved and `shares`, the number of owners on the same wires.
 
     Owners with the same set of wires are one group and get one unit; others get different ones. A group's options are
-    the units that all of its wires can serve.
+    the units that all of its wires can serve. They depend on the wires alone, so a set of wires is looked up once, however
+    many documents have it; the rows of a document are brought together once, and owners travel with their group.
     """
-    sets = owners.groupBy(document, owner).agg(F.array_join(F.array_sort(F.collect_set(F.col(wire).cast("string"))), "+").alias("_wires"))
-    sets = sets.withColumn("shares", F.count(F.lit(1)).over(Window.partitionBy(document, "_wires")))
-    one = sets.groupBy(document, "_wires").agg(F.min(owner).alias(owner))  # an owner stands for its group
-    need = owners.join(one, [document, owner]).select(document, "_wires", wire)
-    fits = covering(able, need, [document, "_wires"], unit, wire).groupBy(document, "_wires").agg(F.collect_set(unit).alias("_options"))
-    groups = one.select(document, "_wires").join(fits, [document, "_wires"], "left").withColumn("_options", F.coalesce("_options", F.array().cast("array<bigint>")))
-    return sets.join(conflict_free(groups, document, "_wires", "_options"), [document, "_wires"]).select(document, owner, "pick", "solved", "shares")
+    known = owners.filter(F.col(document).isNotNull()).repartition(document)
+    sets = known.groupBy(document, owner).agg(F.array_sort(F.transform(F.collect_set(F.struct(wire)), lambda w: w[wire])).alias("_set"))
+    shared = stored(sets.groupBy(document, "_set").agg(F.collect_list(F.struct(owner)).alias("_owners")), "wires")
+    held = stored(able.select(wire, unit).distinct(), "able")
+    need = shared.select("_set").distinct().select("_set", F.explode("_set").alias(wire))
+    fits = covering(held, need, ["_set"], unit, wire).groupBy("_set").agg(F.collect_set(unit).alias("_options"))
+    groups = shared.join(fits, "_set", "left").withColumn("_options", F.coalesce("_options", F.array().cast("array<bigint>")))
+    by_text = F.array_join(F.array_sort(F.col("_set").cast("array<string>")), "+")
+    served = conflict_free(groups.select(document, by_text.alias("_wires"), "_options", "_owners"), document, "_wires", "_options", ["_owners"])
+    each = served.select(document, F.explode("_owners").alias("_o"), "pick", "solved", F.size("_owners").cast("long").alias("shares"))
+    return each.select(document, F.col("_o")[owner].alias(owner), "pick", "solved", "shares")
 
 
 def greedy(df: DataFrame, group: Columns, order: Column, item: str, options: str, taken: str | None = None) -> DataFrame:

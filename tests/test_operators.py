@@ -254,3 +254,18 @@ def test_greedy_stays_quick_where_items_share_many_options(spark):
     took = time.monotonic() - begin
     assert got == [(i, True, i, []) for i in range(n - 1)] + [(n - 1, False, 0, list(range(n - 1)))]
     assert took < 10  # every option was held against all earlier picks several times
+
+
+def test_a_set_of_wires_is_looked_up_once_for_all_documents(spark, monkeypatch):
+    owners = [(d, o, w) for d in range(40) for o, w in ((1, "a"), (2, "a+b"), (3, "a"), (3, "b"), (4, "a"))]
+    able = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("a+b", 3)], "w string, u long")
+    asked, covering = [], assign.covering
+
+    def counted(have, need, *rest):
+        asked.append(need.count())
+        return covering(have, need, *rest)
+
+    monkeypatch.setattr(assign, "covering", counted)
+    got = assign.owners_served(spark.createDataFrame(owners, "d int, o int, w string"), able, "d", "o", "w", "u").collect()
+    assert sorted(map(tuple, got)) == sorted(r for d in range(40) for r in ((d, 1, 1, True, 2), (d, 2, 3, True, 1), (d, 3, 2, True, 1), (d, 4, 1, True, 2)))
+    assert asked == [4]  # a, a+b, and the two wires of {a, b}: not 4 for each document
