@@ -17,9 +17,10 @@ BOX = ("x0", "x1", "y0", "y1")
 
 def largest_clusters(items: DataFrame, group: Columns, tolerance: tuple[float, float]) -> DataFrame:
     """items (group, ..., x0, x1, y0, y1) with a flag for each anchor (_x0 ... _y1): whether the item is in the largest gap
-    cluster of its group along that coordinate, the lowest on ties. Everything stays where the group is: one shuffle."""
+    cluster of its group along that coordinate, the lowest on ties. Everything stays where the group is: no shuffle if
+    items are dealt by group."""
     anchors = F.explode(F.array(*(F.struct(F.lit(c).alias("_anchor"), (F.col(c) / tolerance[c[0] == "y"]).alias("_p")) for c in BOX)))
-    each = items.repartition(*group).withColumn("_a", anchors).select(*items.columns, "_a.*")
+    each = items.withColumn("_a", anchors).select(*items.columns, "_a.*")
     line = [*group, "_anchor"]
     each = gap_clusters(each, line, "_p", "_p", 1.0, "_c").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*line, "_c")))
     best = F.max(F.struct("_n", -F.col("_c"))).over(Window.partitionBy(*line))
@@ -27,7 +28,13 @@ def largest_clusters(items: DataFrame, group: Columns, tolerance: tuple[float, f
     return each.withColumn("_hit", hit).groupBy(*items.columns).agg(*(F.bool_or(F.col("_hit") & (F.col("_anchor") == c)).alias(f"_{c}") for c in BOX))
 
 
-def peeled(items: DataFrame, group: Columns, item: str, tolerance: tuple[float, float], least: int, most: int = 6) -> DataFrame:
+def dealt_by(df: DataFrame, group: Columns, rows: int) -> DataFrame:
+    """df dealt into tasks by group, so many that each has about `rows` rows however many there are (a group stays whole)."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *group)
+
+
+def peeled(items: DataFrame, group: Columns, item: str, tolerance: tuple[float, float], least: int, most: int = 6, rows: int = 200_000) -> DataFrame:
     """The edges of each group's drawing, strongest first, in at most `most` rounds: group, item, box, round, side.
 
     An edge is the largest gap cluster along an anchor: the left or the right ends of boxes, their tops or their bottoms
@@ -36,12 +43,13 @@ def peeled(items: DataFrame, group: Columns, item: str, tolerance: tuple[float,
     only if it is larger than both together; it is a top or a bottom by the middle of the frame, which is the box around
     all items at first and around the edges taken so far then. Fewer than `least` boxes make no edge, and the group is
     done. All groups take a round at once; what a round leaves is stored with the groups' frames, without the groups
-    that are done. Rows that repeat an item of a group with its box count once.
+    that are done. Rows that repeat an item of a group with its box count once. A task takes about `rows` rows, so that its
+    memory doesn't grow with the table (partitions of a set number, or of a set size in the shuffle, hold ever more).
     """
     w = Window.partitionBy(*group)
     names = [*group, item, *BOX]
     frame = {f"f{c}": (F.min if c.endswith("0") else F.max)(c).over(w) for c in BOX}
-    rest = items.select(*group, item, *(F.col(c).cast("double").alias(c) for c in BOX)).withColumns(frame)
+    rest = dealt_by(items.select(*group, item, *(F.col(c).cast("double").alias(c) for c in BOX)), group, rows).withColumns(frame)
     n = lambda c: F.count(F.when(c, 1)).over(w)
     rounds = []
     for turn in range(1, most + 1):
@@ -66,6 +74,7 @@ def peeled(items: DataFrame, group: Columns, item: str, tolerance: tuple[float,
         rest = dealt.filter("side IS NULL").drop("side")
         if turn == most or not rest.limit(1).count():
             break
+        rest = dealt_by(rest, group, rows)
     return reduce(DataFrame.unionByName, rounds)
 
 

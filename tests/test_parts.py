@@ -143,3 +143,12 @@ def test_hypotheses_that_check_nothing_are_dropped(spark):
     rows = [(1, "b", 3, 4), (1, "a", 6, 8), (1, "c", 6, 8), (1, "none", 0, 0), (1, "all", 1, 1), (1, "nil", 0, 9)]
     got = readings.ranked_fits(spark.createDataFrame(rows, "d int, hyp string, sat int, chk int"), ["d"], "hyp").orderBy("rank").collect()
     assert [r.hyp for r in got] == ["all", "a", "c", "b", "nil"]
+
+
+def test_a_task_of_peeling_takes_a_set_number_of_rows(spark):
+    rows = spark.range(3000).selectExpr("id % 300 d", "id k", "0.5 * (id % 7) x0", "1D + id % 5 x1", "3D * id y0", "3D * id + 1 y1")
+    few = parts.dealt_by(rows, ["d"], 100)
+    assert few.rdd.getNumPartitions() == 30 and parts.dealt_by(rows, ["d"], 10_000).rdd.getNumPartitions() == 4
+    assert {r.n for r in few.withColumn("p", F.spark_partition_id()).groupBy("d").agg(F.count_distinct("p").alias("n")).collect()} == {1}
+    peel = lambda n: sorted(map(tuple, parts.peeled(rows, ["d"], "k", (1.0, 1.0), 2, rows=n).select("d", "k", "round", "side").collect()))
+    assert peel(100) == peel(10_000) != []
