@@ -128,36 +128,38 @@ def longest_prefix(tokens: DataFrame, names: DataFrame, token: str, name: str, l
 def prefixes(tokens: DataFrame, names: DataFrame, token: str, name: str, driver: str, prio: str, least: int) -> DataFrame:
     """The drivers of each token's leading parts of at least `least` characters that are names: token, driver, rank.
 
-    The longest part comes first (rank 1); of a part's names the one of the least prio, then driver, counts.
+    The longest part has the least rank; of a part's names the one of the least prio, then driver, counts. Tokens stand once
+    each. Parts are many times the names: these, one row each, are hashed, and parts travel as token and length, unsorted.
     """
     lengths = names.filter(F.length(name) >= least).agg(F.collect_set(F.length(name)).alias("_ends"))  # only prefixes as long as some name can hit
     ends = F.filter("_ends", lambda n: n <= F.length(token))
-    pieces = tokens.select(token).filter(F.length(token) >= least).distinct().join(F.broadcast(lengths))
-    pieces = pieces.withColumn(name, F.explode(F.transform(ends, lambda n: F.substr(F.col(token), F.lit(1), n)))).drop("_ends")
+    pieces = tokens.select(token).filter(F.length(token) >= least).join(F.broadcast(lengths)).select(token, F.explode(ends).alias("_n"))
     one = names.groupBy(name).agg(F.min(F.struct(prio, driver))[driver].alias(driver))
-    w = Window.partitionBy(token).orderBy(F.desc(F.length(name)))
-    return pieces.join(one, name).select(token, driver, F.row_number().over(w).alias("rank"))
+    hits = pieces.join(one.hint("shuffle_hash"), F.substr(F.col(token), F.lit(1), F.col("_n")) == F.col(name))
+    return hits.select(token, driver, (-F.col("_n")).alias("rank"))
 
 
 def served_in_order(options: DataFrame, group: Sequence[str], token: str, driver: str) -> DataFrame:
-    """Tokens in their order, each with its first option (by rank, from 1) that no earlier token of its group took: group, token,
+    """Tokens in their order, each with its first option (by rank) that no earlier token of its group took: group, token,
     driver. A token of which all are taken has no row.
 
     In rounds for all groups at once: every token asks for its next option, and a driver stays with the least token that
-    asks. That ends in the same as serving the tokens one after the other, as all drivers prefer the same ones. Each round
-    is stored; only tokens that were turned down go on, so the rounds are as many as the longest chain of refusals.
+    asks. That ends in the same as serving the tokens one after the other, as all drivers prefer the same ones. A token's
+    options travel with it in an array, so that a round needs no join with them. Each round is stored; only tokens that were
+    turned down go on, so the rounds are as many as the longest chain of refusals.
     """
-    options = stored(options.select(*group, token, driver, "rank"), "options")
-    asking, held = options.filter("rank = 1"), None
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("rank", driver))), lambda x: x[driver])
+    every = options.groupBy(*group, token).agg(turns.alias("_turns")).select(*group, token, "_turns", F.lit(1).alias("_at"))
+    every = stored(every.withColumn(driver, F.element_at("_turns", F.col("_at"))), "options")
     while True:
-        every = asking if held is None else held.unionByName(asking)
         least = every.groupBy(*group, driver).agg(F.min(token).alias("_least"))
         told = stored(every.join(least, [*group, driver]), "asked")
         held = told.filter(F.col(token) == F.col("_least")).drop("_least")
-        refused = told.filter(F.col(token) != F.col("_least")).select(*group, token, (F.col("rank") + 1).alias("rank"))
-        asking = refused.join(options, [*group, token, "rank"]).select(*options.columns)
-        if not asking.limit(1).count():
+        refused = told.filter((F.col(token) != F.col("_least")) & (F.col("_at") < F.size("_turns"))).drop("_least", driver)
+        if not refused.limit(1).count():
             return held.select(*group, token, driver)
+        asking = refused.withColumn("_at", F.col("_at") + 1).withColumn(driver, F.element_at("_turns", F.col("_at")))
+        every = held.unionByName(asking)
 
 
 def containing(names: DataFrame, block: str, name: str, more: Sequence[Column] = (), q: int = 3) -> DataFrame:

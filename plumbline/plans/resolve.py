@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, components, resolve
+from ..operators.stored import stored
 from .views import Views, query
 
 
@@ -165,6 +166,18 @@ def c13(v: Views) -> DataFrame:
     return resolve.merged_into_hosts(names, "p_brand", "p_name", "mark", "n", "confidence")
 
 
+def plain_words(v: Views, listed: Column, shape: str) -> DataFrame:
+    """Tokens in lower case without signs, each word once (token), and whether it is a name (named): one of its tokens is of that
+    shape, of letters alone, and in a document that is listed. A name whose lower case has signs begins no word and is left out.
+
+    Texts are read once, only distinct tokens are folded, and the words are stored, as they are asked for several times.
+    """
+    seen = v.T.groupBy("token").agg(F.max(listed).alias("listed"))
+    word = F.regexp_replace(F.lower("token"), r"[^\p{L}\p{N}]", "")
+    named = F.col("listed") & F.col("token").rlike(shape) & (F.lower("token") == word)
+    return stored(seen.select(word.alias("token"), named.alias("named")).groupBy("token").agg(F.max("named").alias("named")), "words")
+
+
 @query("C14_longest_prefix", r""", d AS (SELECT DISTINCT lower(token) driver FROM toks WHERE doc_id % 10 = 0 AND regexp_full_match(token, '[A-Za-z]{4,}')), al AS (SELECT substr(driver, 1, 5) a, min(driver) driver FROM d WHERE length(driver) >= 8 GROUP BY 1),
 k AS (SELECT k, arg_min(driver, prio) driver FROM (SELECT driver k, driver, 1 prio FROM d UNION ALL SELECT a, driver, 0 FROM al) GROUP BY k), t AS (SELECT DISTINCT regexp_replace(lower(token), '[^\p{L}\p{N}]', '', 'g') token FROM toks), s AS (SELECT token, unnest(range(4, length(token) + 1)) n FROM t WHERE length(token) >= 4),
 o AS (SELECT s.token, k.driver, row_number() OVER (PARTITION BY s.token ORDER BY s.n DESC) k FROM s JOIN k ON k.k = substr(s.token, 1, s.n)),
@@ -173,8 +186,8 @@ SELECT o.token, o.driver FROM r JOIN o ON o.token = r.token AND o.k = r.k WHERE
 def c14(v: Views) -> DataFrame:
     """Drivers of tokens by their longest leading part, aliases before names. Tokens are served in order: one whose driver an
     earlier one has taken goes on to its next shorter part. The dictionary is that of every tenth document."""
-    words = v.T.select(F.regexp_replace(F.lower("token"), r"[^\p{L}\p{N}]", "").alias("token")).distinct()
-    drivers = v.T.filter((F.col("doc_id") % 10 == 0) & F.col("token").rlike("^[A-Za-z]{4,}$")).select(F.lower("token").alias("driver")).distinct()
+    words = plain_words(v, F.col("doc_id") % 10 == 0, r"^[A-Za-z]{4,}\z")
+    drivers = words.filter("named").select(F.col("token").alias("driver"))
     aliases = drivers.filter(F.length("driver") >= 8).groupBy(F.substring("driver", 1, 5).alias("name")).agg(F.min("driver").alias("driver")).withColumn("prio", F.lit(0))
     names = drivers.select(F.col("driver").alias("name"), "driver", F.lit(1).alias("prio")).unionByName(aliases)
     return resolve.served_in_order(resolve.prefixes(words, names, "token", "name", "driver", "prio", 4), [], "token", "driver")
@@ -185,9 +198,8 @@ t AS (SELECT DISTINCT regexp_replace(lower(token), '[^\p{L}\p{N}]', '', 'g') tok
 SELECT token, arg_max(name, length(name)) name FROM s JOIN n ON name = substr(token, 1, k) GROUP BY token""")
 def c14_all(v: Views) -> DataFrame:
     """The longest name that each token begins with, without aliases, whoever else has it."""
-    words = v.T.select(F.regexp_replace(F.lower("token"), r"[^\p{L}\p{N}]", "").alias("token")).distinct()
-    names = v.T.filter(F.col("token").rlike(r"^\p{L}{4,}$")).select(F.lower("token").alias("name")).distinct()
-    return resolve.longest_prefix(words, names, "token", "name", 4)
+    words = plain_words(v, F.lit(True), r"^\p{L}{4,}\z")
+    return resolve.longest_prefix(words.select("token"), words.filter("named").select(F.col("token").alias("name")), "token", "name", 4)
 
 
 @query("C15_hamming_one", """, a AS (SELECT DISTINCT p_brand a FROM part), b AS (SELECT DISTINCT p_brand b FROM part) SELECT a, b FROM a JOIN b ON length(a) = length(b) WHERE hamming(a, b) = 1""")

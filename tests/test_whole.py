@@ -1,11 +1,15 @@
 """Queries over the whole of their tables, against brute force."""
 
 import difflib
+import random
 import re
 
+import duckdb
 import pytest
 
-from plumbline.plans.catalogue import QUERIES
+from plumbline.operators import resolve
+from plumbline.plans import resolve as resolve_plans
+from plumbline.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,6 +91,36 @@ def test_longest_prefix_has_no_upper_bounds(spark, tmp_path):
     assert got == own | {"microcontrollers7": "microcontroller", "internationalisation42": "internationalisation", "straße1": "straße"}
 
 
+@pytest.mark.parametrize("name", ["C14_longest_prefix", "C14_longest_prefix_all"])
+def test_longest_prefix_equals_sql_and_reads_texts_once(spark, tmp_path, monkeypatch, name):
+    """Texts with many common beginnings, signs, digits, and a token that ends in a line separator, which is no letter and
+    splits nothing."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aAbB") for _ in range(rng.randint(3, 11))) + rng.choice(["", "", "", ",", "7", "-ab", "é"])
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    texts += [(70, "cabcabcab\u2028"), (71, "cabcabcabde cabca"), (None, "dabcdabcd"), (80, None), (90, "dabcdab")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plans = []
+
+    def noted(df, what, keep=resolve.stored):
+        plans.append((what, df._jdf.queryExecution().optimizedPlan().toString()))
+        return keep(df, what) if what else df
+
+    for module in (resolve, resolve_plans):
+        monkeypatch.setattr(module, "stored", noted, raising=False)
+    got = noted(QUERIES[name](spark, str(tmp_path)), "").select("token", "name" if "all" in name else "driver").collect()
+    con = duckdb.connect()
+    for t in ("lineitem", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL[name]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 40
+    assert sum(p.count("Relation [doc_id") for _, p in plans) == 1
+    # a round reads what the last one left (held and asking), once for the least tokens and once to tell them, and nothing else
+    rounds = [p.count("Relation [") for what, p in plans if what == "asked"]
+    assert max(rounds, default=0) <= 4 and (len(rounds) > 2) == (name == "C14_longest_prefix")
+
+
 def test_gestalt_query_equals_all_pairs(spark):
     rows = lambda t, c: {r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()}
     names = rows("customer", "c_mktsegment") | rows("part", "p_name")
