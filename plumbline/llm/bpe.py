@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding with vocabulary files of the tokenizers library.
 
 A short word is a row of a matrix: its parts lie contiguously, with the rank of every adjacent pair beside them. Each
-round scans every row for its lowest rank, deletes that boundary and refreshes the ranks on both sides of it. Words of
+round scans every row for its lowest rank, deletes that boundary and refreshes the ranks on both sides of it. Ranks are
+read from a hash table in which each pair has one of two places; those of two bytes from a table of all of them. Words of
 one length take their rounds together in numpy. Words beyond SHORT parts keep their boundaries in a linked list with a
 heap of ranks, so very long ones stay at n log n.
 """
@@ -13,6 +14,7 @@ import heapq
 import json
 import re
 import unicodedata
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -22,11 +24,12 @@ from pyspark.sql import DataFrame
 from .common import map_slices
 
 SHORT = 48
-#: Pieces up to this length are remembered, at most CACHED of them in a worker.
+#: Pieces up to this length are remembered, at most CACHED of them in a worker; when there are more, those of the texts at hand stay.
 CHUNK, CACHED = 40, 100_000
 NONE = np.int32(2**31 - 1)
 #: White space of the pre-tokenizers (Unicode's White_Space).
 WS = "\t-\r \x85\xa0  -     　"
+SPACES = "".join(re.findall(f"[{WS}]", "".join(map(chr, range(0x3001)))))
 LETTER, DIGIT = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9"
 #: Texts of these characters only are split by re with explicit classes; others by regex with Unicode's classes.
 PLAIN = re.compile("[\x00-\x7fÀ-ÿ]*").fullmatch
@@ -36,8 +39,12 @@ SHORT_FORMS = "'(?:[stmd]|re|ve|ll)"
 def splitters(words: bool):
     """Functions that split a plain text and any other text into the pieces that merges stay within."""
     shape = "[{l}]+|[{n}]|{forms}|[^{ws}{l}{n}]+" if words else " ?[{l}]+| ?[{n}]+|{forms}| ?[^{ws}{l}{n}]+|[{ws}]+(?![^{ws}])|[{ws}]+"
+    if words:  # with the white space before it, which saves a failed match at each space; none may be left at the end
+        shape = "[{ws}]*+(" + shape.replace("]+", "]++") + ")"
     plain = re.compile(shape.format(forms=SHORT_FORMS, l=LETTER, n=DIGIT, ws=WS)).findall
     full = regex.compile(shape.format(forms=SHORT_FORMS, l=r"\p{L}", n=r"\p{N}", ws=WS)).findall
+    if words:
+        return lambda t: plain(t.rstrip(SPACES)) if PLAIN(t) else full(t.rstrip(SPACES))
     return lambda t: plain(t) if PLAIN(t) else full(t)
 
 
@@ -48,6 +55,33 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in keep else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def places(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places that a pair (40 bits) may have in a table of `size` (a power of two) entries."""
+    mixed = key * np.int64(-7046029254386353131)
+    return mixed >> 40 & size - 1, mixed >> 20 & size - 1
+
+
+def two_places(ranks: dict[int, int]) -> np.ndarray:
+    """A table of pair << 20 | rank, each entry at one of its two places, so that a look-up reads two entries; -1 is empty."""
+    keys = list(ranks)
+    size = 1 << max(10, (4 * len(keys)).bit_length())
+    while True:
+        one, other = (x.tolist() for x in places(np.array(keys, np.int64), size))
+        held = [-1] * size
+        for k in range(len(keys)):
+            at = one[k]
+            for _ in range(100):
+                held[at], k = k, held[at]  # who was there moves to its other place
+                if k < 0:
+                    break
+                at = one[k] + other[k] - at
+            else:
+                break
+        else:
+            return np.array([-1 if k < 0 else keys[k] << 20 | ranks[keys[k]] for k in held], np.int64)
+        size *= 2
+
+
 class Bpe:
     """Tables of one vocabulary file, and the words this worker has met."""
 
@@ -61,11 +95,11 @@ class Bpe:
         self.last = np.array([vocab[c + suffix] for c in chars], np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         joined = [a + (b if not suffix or not a.endswith(suffix) else b) for a, b in merges]
-        pair = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
-        new = np.array([vocab[x] for x in joined], np.int32)
-        order = np.argsort(pair, kind="stable")
-        self.pairs, self.ranks, self.new = pair[order], order.astype(np.int32), new
-        self.by_pair = dict(zip(pair.tolist(), range(len(pair)), strict=True))
+        self.new = np.array([vocab[x] for x in joined], np.int32)
+        self.by_pair = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.table = two_places(self.by_pair)
+        a, b = np.divmod(np.arange(1 << 16), 256)
+        self.byte_ranks = self.rank(self.first[a], self.first[b]), self.rank(self.first[a], self.last[b])
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         back = {c: b for b, c in enumerate(chars)}
@@ -81,9 +115,10 @@ class Bpe:
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each adjacent pair, NONE where the vocabulary does not merge it."""
         key = a.astype(np.int64) << 20 | b
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        return np.where(self.pairs[at] == key, self.ranks[at], NONE)
+        one, other = places(key, len(self.table))
+        found = self.table[one]
+        found = np.where(found >> 20 == key, found, self.table[other])
+        return np.where(found >> 20 == key, (found & 0xFFFFF).astype(np.int32), NONE)
 
     def merge_short(self, raw: np.ndarray) -> list[bytes]:
         """Ids of words of equal length (a row of bytes each), as little-endian unsigned 32-bit integers."""
@@ -91,33 +126,46 @@ class Bpe:
         parts = self.first[raw]
         parts[:, -1] = self.last[raw[:, -1]]
         out, rows = [b""] * n, np.arange(n)
-        ranks = self.rank(parts[:, :-1], parts[:, 1:])
-        while len(rows):
-            at = ranks.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
-            low = ranks[np.arange(len(rows)), at] if width > 1 else np.full(len(rows), NONE)
-            done = low == NONE
-            if done.any():
-                flat = parts[done].astype("<u4").tobytes()
+        if width == 1:
+            return [x.tobytes() for x in parts.astype("<u4")]
+        pairs = raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]
+        ranks = self.byte_ranks[0][pairs]
+        ranks[:, -1] = self.byte_ranks[1][pairs[:, -1]]
+        while True:
+            at = ranks.argmin(1)
+            low = ranks.ravel()[np.arange(len(rows)) * (width - 1) + at]
+            live = low != NONE
+            if not live.all():
+                done = ~live
+                flat, size = parts[done].astype("<u4").tobytes(), 4 * width
                 for k, r in enumerate(rows[done].tolist()):
-                    out[r] = flat[4 * width * k : 4 * width * (k + 1)]
-                live = ~done
+                    out[r] = flat[size * k : size * (k + 1)]
                 rows, parts, ranks, at, low = rows[live], parts[live], ranks[live], at[live], low[live]
                 if not len(rows):
-                    break
-            i = np.arange(len(rows))
-            parts[i, at] = self.new[low]
-            col = np.arange(width - 1)
-            parts = np.where(col <= at[:, None], parts[:, :-1], parts[:, 1:])
-            if width > 2:
-                ranks = np.where(col[:-1] < at[:, None], ranks[:, :-1], ranks[:, 1:])
-            else:
-                ranks = ranks[:, :0]
+                    return out
+            m, new = len(rows), self.new[low]
+            first = np.arange(m) * width + at
+            parts = parts.ravel()
+            parts[first] = new
+            keep = np.ones(m * width, bool)
+            keep[first + 1] = False
+            parts = parts[keep]
             width -= 1
-            for side in (at - 1, at):  # the pair that ends in the new part, and the one that begins with it
-                ok = (side >= 0) & (side < width - 1)
-                j, s = i[ok], side[ok]
-                ranks[j, s] = self.rank(parts[j, s], parts[j, s + 1])
-        return out
+            if width == 1:
+                flat = parts.astype("<u4").tobytes()
+                for k, r in enumerate(rows.tolist()):
+                    out[r] = flat[4 * k : 4 * k + 4]
+                return out
+            keep = np.ones(m * width, bool)
+            keep[np.arange(m) * width + at] = False
+            ranks = ranks.ravel()[keep]
+            # the pair that ends in the new part, and the one that begins with it
+            left, right = (at > 0).nonzero()[0], (at < width - 1).nonzero()[0]
+            i = np.concatenate([left, right])
+            side = np.concatenate([at[left] - 1, at[right]])
+            first = i * width + side
+            ranks[i * (width - 1) + side] = self.rank(parts[first], parts[first + 1])
+            parts, ranks = parts.reshape(m, width), ranks.reshape(m, width - 1)
 
     def merge_long(self, raw: bytes) -> bytes:
         ids = self.first[np.frombuffer(raw, np.uint8)].tolist()
@@ -140,18 +188,20 @@ class Bpe:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode pieces that are not yet known."""
-        by_len: dict[int, list[str]] = {}
-        raw = {p: p.encode() for p in pieces}
-        for p, r in raw.items():
-            by_len.setdefault(len(r), []).append(p)
+        by_len: defaultdict[int, tuple[list[str], list[bytes]]] = defaultdict(lambda: ([], []))
+        for p in pieces:
+            raw = p.encode()
+            ps, raws = by_len[len(raw)]
+            ps.append(p)
+            raws.append(raw)
         ids: dict[str, bytes] = {}
-        for n, ps in by_len.items():
+        for n, (ps, raws) in by_len.items():
             if n > SHORT:
-                ids.update((p, self.merge_long(raw[p])) for p in ps)
+                ids.update(zip(ps, map(self.merge_long, raws), strict=True))
             else:
-                rows = np.frombuffer(b"".join([raw[p] for p in ps]), np.uint8).reshape(-1, n)
+                rows = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, n)
                 ids.update(zip(ps, self.merge_short(rows), strict=True))
         return ids
 
@@ -171,11 +221,14 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [self.ready(t) if t else [] for t in texts]
-        missing = set().union(*split).difference(self.known)
+        pieces: dict[str, str] = {}  # one string for all pieces that are equal
+        split = []
+        for t in texts:
+            own = self.ready(t) if t else []
+            split.append(list(map(pieces.setdefault, own, own)))
+        missing = [p for p in pieces if p not in self.known]
         if len(self.known) + len(missing) > CACHED:
-            self.known = dict(self.spelt)
-            missing = set().union(*split).difference(self.known)
+            self.known = self.spelt | {p: self.known[p] for p in pieces if p in self.known}
         self.known.update(self.learn(missing))
         get = self.known.__getitem__
         out = [b"".join(map(get, ps)) for ps in split]

@@ -23,8 +23,8 @@ from .bpe import load
 from .common import map_slices, written
 
 CAPACITY, END = 4096, 1
-#: Bytes of text cut into words at once: the words of a slice are objects, some fifteen times as large.
-CUT_BYTES = 1 << 20
+#: Bytes of text cut into words at once: a slice holds a pointer for each word and one object for each different word.
+CUT_BYTES = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
