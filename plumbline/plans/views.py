@@ -56,9 +56,13 @@ class Views:
 
     @cached_property
     def B(self) -> DataFrame:  # noqa: N802
+        return self.boards()
+
+    def boards(self, *more: Column) -> DataFrame:
+        """B with more columns of its table."""
         return self.lineitem.select(
             F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("pin"), F.col("l_suppkey").alias("dev"),
-            F.concat("l_returnflag", "l_linestatus").alias("net"), F.col("l_quantity").alias("qty"),
+            F.concat("l_returnflag", "l_linestatus").alias("net"), F.col("l_quantity").alias("qty"), *more,
         )
 
     @cached_property

@@ -58,6 +58,21 @@ def test_first_parts_by_line_and_part_numbers_beyond_a_million(spark, tmp_path):
     assert got == want and len(got) == 3
 
 
+def test_of_first_parts_with_equal_sums_the_row_that_stands_first_counts(spark, tmp_path):
+    tied = [line(o, *x) for o in range(1, 41) for x in (((1, 1_000_007, 1), (2, 7, 1)) if o % 3 else ((2, 7, 1), (1, 1_000_007, 1)))]
+    rows = [*tied, line(41, 1, None, 1), line(41, 2, 5, 1), line(42, None, 3, 1), line(43, 1, 2_000_000, 1, "R"), line(43, 2, 1_000_000, 1, "R"), line(43, 3, 0, 1, "R")]
+    got, want = both(spark, tmp_path, "D15_category_pivot", lineitem=(rows, LINES))
+    assert got == want and len(got) == 43
+    # of several files the first by name counts, though Spark reads larger ones before it
+    folder = tmp_path / "two" / "lineitem.parquet"
+    for name, part in (("a", tied[1::2]), ("b", [*tied[::2], *(line(o, 7, 9, 1, "N") for o in range(1000, 9000))])):
+        spark.createDataFrame(part, LINES).coalesce(1).write.parquet(str(tmp_path / name))
+        folder.mkdir(parents=True, exist_ok=True)
+        next((tmp_path / name).glob("*.parquet")).rename(folder / f"{name}.parquet")
+    firsts = {r.doc_id: r.a_first for r in QUERIES["D15_category_pivot"](spark, str(tmp_path / "two")).filter("doc_id < 100").collect()}
+    assert firsts == {r[0]: r[2] for r in tied[1::2]}
+
+
 def test_pieces_of_names_are_never_broadcast(spark):
     names = spark.createDataFrame([(f"Name#{k:09d}",) for k in range(50)], "a string")
     close = resolve.within_edits(names, names.withColumnRenamed("a", "b"), "a", "b", 0.7)
