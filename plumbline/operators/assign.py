@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .audit import covering
@@ -20,26 +20,39 @@ def conflict_free(groups: DataFrame, document: str, group: str, options: str, mo
     Groups are served by (number of options, group as text); of all assignments the lexicographically first counts.
     Where none exists every group takes its first option (null if it has none) and `solved` is false.
 
-    A fold over a document's groups, whose state holds partial assignments. Two of them that have used the same of the
-    options which later groups may want have the same futures, so only the first one stays: options that nobody else
-    wants make no states. Groups with no more than a number of options can fail, so longer lists are cut to the number
-    of groups (one with so many always finds one, and need not look beyond).
+    Two folds over a document's groups. One gives each group its first option that is not gone; where it comes to the end
+    it is the answer. Elsewhere a group may have to leave its first free option to a later one, but only among the
+    groups up to the last one that has no more options than groups stand before it: whoever comes after always finds
+    one. For those the states of a fold hold partial assignments. Two of them that have used the same of the options
+    which later ones of these groups may want have the same futures, so only the first one stays: options that nobody
+    else wants make no states, and neither do groups that have fewer options among them than they are. The rest take
+    their first free option again. Every fold looks at all options.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.size(options).alias("n"), F.col(group).cast("string").alias("t"), F.col(group).alias("g"), F.sort_array(options).cast("array<bigint>").alias("o"), *more)))
-    own = groups.groupBy(document).agg(rows.alias("r"))
-    own = own.select(document, F.transform("r", lambda x: F.struct(x["g"].alias("g"), F.slice(x["o"], 1, F.size("r")).alias("o"), *(x[c].alias(c) for c in more))).alias("r"))
-    later = lambda i: F.array_distinct(F.flatten(F.transform(F.slice("r", i + 2, F.size("r")), lambda y: y["o"])))
-    own = own.withColumn("s", F.transform("r", lambda x, i: F.struct(x["o"].alias("o"), later(i).alias("later"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.size(options).alias("n"), F.col(group).cast("string").alias("t"), F.col(group).alias("g"), F.sort_array(F.array_distinct(F.array_compact(options))).cast("array<bigint>").alias("o"), *more)))
+    own = groups.repartition(document).groupBy(document).agg(rows.alias("r"))  # the rows of a document are apart until then
+    none = F.array().cast("array<bigint>")
+
+    def first_free(picks: Column, r: Column) -> Column:
+        return F.array_append(picks, F.get(F.array_except(r["o"], picks), F.lit(0)))
+
+    own = own.withColumn("p", F.aggregate("r", none, first_free))
+    last = F.array_max(F.transform("r", lambda x, i: F.when(F.size(x["o"]) <= i, i + 1)))
+    short = F.slice("r", 1, F.coalesce(last, F.lit(0)))
+    later = lambda i: F.array_distinct(F.flatten(F.transform(F.slice(short, i + 2, F.size(short)), lambda y: y["o"])))
     states = "array<struct<used:array<bigint>,picks:array<bigint>>>"
-    start = F.array(F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<bigint>").alias("picks")))
+    union = lambda i: F.array_distinct(F.flatten(F.transform(F.slice(short, 1, i + 1), lambda y: y["o"])))
+    few = F.exists(F.transform(short, lambda _, i: F.size(union(i)) <= i), lambda x: x)
+    start = F.when(~few, F.array(F.struct(none.alias("used"), none.alias("picks"))))
 
     def step(acc: Column, s: Column) -> Column:
         grown = lambda a, x: F.struct(F.array_sort(F.array_intersect(F.array_append(a["used"], x), s["later"])).alias("used"), F.array_append(a["picks"], x).alias("picks"))
-        every = F.flatten(F.transform(acc, lambda a: F.transform(F.filter(s["o"], lambda x: ~F.array_contains(a["used"], x)), lambda x: grown(a, x))))
+        every = F.flatten(F.transform(acc, lambda a: F.transform(F.array_except(s["o"], a["picks"]), lambda x: grown(a, x))))
         same = lambda kept, x: F.try_element_at(kept, F.lit(-1))["used"].eqNullSafe(x["used"])
         return F.aggregate(F.sort_array(every), F.array().cast(states), lambda kept, x: F.when(same(kept, x), kept).otherwise(F.array_append(kept, x)))
 
-    solved = own.select(document, "r", F.get(F.aggregate("s", start.cast(states), step), F.lit(0))["picks"].alias("p"))
+    held = F.get(F.aggregate(F.transform(short, lambda x, i: F.struct(x["o"].alias("o"), later(i).alias("later"))), start.cast(states), step), F.lit(0))["picks"]
+    looked = F.aggregate(F.slice("r", F.size(short) + 1, F.size("r")), held, first_free)
+    solved = own.select(document, "r", F.when(~F.exists("p", F.isnull), F.col("p")).otherwise(looked).alias("p"))
     each = solved.select(document, F.col("p").isNotNull().alias("solved"), F.explode(F.arrays_zip("r", F.coalesce("p", F.transform("r", lambda x: F.get(x["o"], F.lit(0)))).alias("p"))).alias("z"))
     return each.select(document, F.col("z.r.g").alias(group), F.col("z.p").alias("pick"), "solved", *(F.col("z.r")[c].alias(c) for c in more))
 

@@ -20,18 +20,20 @@ def with_options(v: Views, rows: DataFrame) -> DataFrame:
     return rows.join(suppliers(v), "pin", "left").withColumn("options", F.coalesce("options", F.array().cast("array<long>")))
 
 
-@query("I1_conflict_free", """, cand AS (SELECT pin, signal FROM claims WHERE af = 1 AND signal % 3 = 0), n AS (SELECT g.doc_id, g.pin, count(signal) c FROM (SELECT DISTINCT doc_id, pin FROM (SELECT doc_id, seq, min(pin) pin FROM boards GROUP BY doc_id, seq)) g LEFT JOIN cand ON cand.pin = g.pin GROUP BY g.doc_id, g.pin),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c, CAST(pin AS VARCHAR)) k FROM n), z AS (SELECT doc_id, count(*) z FROM n GROUP BY doc_id),
-s(doc_id, k, picks) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM z UNION ALL SELECT s.doc_id, o.k, list_append(s.picks, cand.signal) FROM s JOIN o ON o.doc_id = s.doc_id AND o.k = s.k + 1 JOIN cand ON cand.pin = o.pin WHERE NOT list_contains(s.picks, cand.signal)),
-b AS (SELECT s.doc_id, min(picks) picks FROM s JOIN z ON z.doc_id = s.doc_id AND z.z = s.k GROUP BY s.doc_id), f AS (SELECT pin, min(signal) f FROM cand GROUP BY pin)
-SELECT l.doc_id, l.seq, CASE WHEN b.doc_id IS NULL THEN f.f ELSE b.picks[o.k] END pick, b.doc_id IS NOT NULL solved, l.shares FROM (SELECT doc_id, seq, min(pin) pin, count(*) OVER (PARTITION BY doc_id, min(pin)) shares FROM boards GROUP BY doc_id, seq) l
-JOIN o ON o.doc_id = l.doc_id AND o.pin = l.pin LEFT JOIN b ON b.doc_id = o.doc_id LEFT JOIN f ON f.pin = o.pin""")
+@query("I1_conflict_free", """, opts AS (SELECT pin, list(signal ORDER BY signal) opts FROM claims WHERE signal IS NOT NULL GROUP BY pin), n AS (SELECT g.doc_id, g.pin, coalesce(opts, CAST([] AS BIGINT[])) opts FROM (SELECT DISTINCT doc_id, pin FROM (SELECT doc_id, seq, min(pin) pin FROM boards GROUP BY doc_id, seq)) g LEFT JOIN opts ON opts.pin = g.pin),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(opts), CAST(pin AS VARCHAR)) k FROM n), z AS (SELECT doc_id, count(*) z FROM n GROUP BY doc_id),
+q(doc_id, k, picks) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM z UNION ALL SELECT doc_id, k, list_append(picks, p) FROM (SELECT o.doc_id, o.k, q.picks, list_filter(o.opts, lambda x: NOT list_contains(q.picks, x))[1] p FROM q JOIN o ON o.doc_id = q.doc_id AND o.k = q.k + 1) WHERE p IS NOT NULL),
+d AS (SELECT q.doc_id, picks FROM q JOIN z ON z.doc_id = q.doc_id AND z.z = q.k), r AS (SELECT *, coalesce(flatten(list(opts) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), CAST([] AS BIGINT[])) later FROM o WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = o.doc_id)),
+s(doc_id, k, used, picks) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM r UNION ALL SELECT doc_id, k, used, min(picks) FROM (SELECT doc_id, k, list_sort(list_intersect(list_append(used, x), later)) used, list_append(picks, x) picks FROM (SELECT r.doc_id, r.k, r.later, s.used, s.picks, unnest(r.opts) x FROM s JOIN r ON r.doc_id = s.doc_id AND r.k = s.k + 1) WHERE NOT list_contains(picks, x)) GROUP BY doc_id, k, used),
+b AS (SELECT doc_id, picks FROM d UNION ALL SELECT s.doc_id, min(picks) FROM s JOIN z ON z.doc_id = s.doc_id AND z.z = s.k GROUP BY s.doc_id)
+SELECT l.doc_id, l.seq, CASE WHEN b.doc_id IS NULL THEN o.opts[1] ELSE b.picks[o.k] END pick, b.doc_id IS NOT NULL solved, l.shares FROM (SELECT doc_id, seq, min(pin) pin, count(*) OVER (PARTITION BY doc_id, min(pin)) shares FROM boards GROUP BY doc_id, seq) l
+JOIN o ON o.doc_id = l.doc_id AND o.pin = l.pin LEFT JOIN b ON b.doc_id = o.doc_id""")
 def i1(v: Views) -> DataFrame:
-    """A supplier for every line of an order, among those that have its part on a first line: lines of one part share theirs,
-    others have different ones."""
-    able = v.claims(False).filter("af = 1 AND signal % 3 = 0").select("pin", "signal")
+    """A supplier for every line of an order, among all that have its part: lines of one part share theirs, others have
+    different ones. The SQL takes the first free one line after line, which is the answer where it comes to the end; elsewhere
+    it holds all assignments against each other."""
     lines = v.B.groupBy("doc_id", "seq").agg(F.min("pin").alias("pin"))
-    return assign.owners_served(lines, able, "doc_id", "seq", "pin", "signal").select("doc_id", "seq", "pick", "solved", "shares")
+    return assign.owners_served(lines, v.claims(False).select("pin", "signal"), "doc_id", "seq", "pin", "signal").select("doc_id", "seq", "pick", "solved", "shares")
 
 
 @query("I2_greedy_allocation", SUPPLIERS + """, o AS (SELECT b.doc_id, b.seq, b.pin, b.dev, coalesce(opts, CAST([] AS BIGINT[])) opts, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(len(opts), 0), seq, b.pin, dev, qty) k FROM boards b LEFT JOIN opts ON opts.pin = b.pin),

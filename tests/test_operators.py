@@ -95,6 +95,26 @@ def test_conflict_free_on_known_instances(spark):
         assert [by[d, g][0] for g in order] == (want or [own[g][0] for g in order])
 
 
+def test_conflict_free_looks_ahead_where_the_first_free_option_leads_nowhere(spark):
+    rng = random.Random(11)
+    own = {f"d{i}": {f"g{k}": rng.sample(range(6), rng.choice([2, 2, 2, 3, 6])) for k in range(rng.randint(2, 6))} for i in range(150)}
+    own["hall"] = {f"g{k}": list(range(40)) for k in range(60)}  # fewer options than groups: no state is made
+    own["many"] = {f"g{k:02d}": list(range(k, 60)) for k in range(40)}
+    own["beyond"] = {"a": [7], "b": [7, 8], "c": [9, 8, 7], "d": [9, 8, 7, 2**40]}
+    rows = [(d, g, o) for d, groups in own.items() for g, o in groups.items()]
+    got = {(r.d, r.g): (r.pick, r.solved) for r in assign.conflict_free(spark.createDataFrame(rows, "d string, g string, o array<long>"), "d", "g", "o").collect()}
+    ahead = 0
+    for d, groups in own.items():
+        order = sorted(groups, key=lambda g: (len(groups[g]), g))
+        first: list = []
+        for g in order:
+            first.append(min(set(groups[g]) - set(first), default=None))
+        want = None if d == "hall" else first if None not in first else brute_assignment([sorted(groups[g]) for g in order])
+        ahead += want is not None and want != first
+        assert [got[d, g] for g in order] == [(x, True) for x in want] if want else [(min(groups[g]), False) for g in order]
+    assert ahead > 5 and len(got) == len(rows) and got["beyond", "d"] == (2**40, True)
+
+
 def test_owners_on_the_same_wires_share_a_unit(spark):
     owners = [("contention", "a", w) for w in ("A5", "A6")] + [("contention", "b", w) for w in ("B3", "B4")]
     owners += [("shared", o, w) for o in ("osd", "baro") for w in ("B13", "B14")] + [("impossible", "a", "B13"), ("impossible", "b", "B14"), ("lost", "a", "Z9")]

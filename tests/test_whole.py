@@ -1,6 +1,8 @@
 """Queries over the whole of their tables, against brute force."""
 
+import datetime
 import difflib
+import itertools
 import random
 import re
 
@@ -83,6 +85,37 @@ def test_allocation_equals_a_fold_over_all_suppliers(spark, tmp_path):
     assert [t for o, _, t, _ in got if o == 1] == [1, 2, 3, 4] and (3, 3, 8, False) in got and (3, 5_000_000, 9, False) in got and (4, 9, None, True) in got
 
 
+def test_assignment_looks_at_all_suppliers_of_a_part(spark, tmp_path):
+    """Suppliers of any number, on lines of any number; few for many parts, so that some orders need to look ahead and some fail."""
+    rng = random.Random(8)
+    old = [(1000 + p, rng.randint(2, 7), p, s) for p in range(14) for s in rng.sample([1, 2, 4, 5, 7], rng.choice([2, 2, 2, 3, 5]))]
+    new = [(o, k, rng.randrange(15), 3) for o in range(300) for k in range(1, rng.randint(2, 7))]
+    rows = [(*r, datetime.datetime(1998, 1, 1)) for r in old] + [(*r, datetime.datetime(1999, 1, 1)) for r in new]
+    frame = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp_ntz")
+    frame.selectExpr("*", "'A' l_returnflag", "'F' l_linestatus", "1D l_quantity").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    have: dict = {}
+    lines: dict = {}
+    for o, k, p, s, d in rows:
+        lines.setdefault(o, {})[k] = p
+        if d.year == 1998:
+            have.setdefault(p, set()).add(s)
+    want, ahead = set(), 0
+    for o, own in lines.items():
+        order = sorted(set(own.values()), key=lambda p: (len(have.get(p, ())), str(p)))
+        best = next((a for a in itertools.product(*(sorted(have.get(p, ())) for p in order)) if len(set(a)) == len(a)), None)
+        pick = dict(zip(order, best or [min(have.get(p, ()), default=None) for p in order], strict=True))
+        want |= {(o, k, pick[p], best is not None, sum(q == p for q in own.values())) for k, p in own.items()}
+        ahead += best is not None and any(min(have[p] - set(best[:i])) != best[i] for i, p in enumerate(order))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert set(con.execute(ORACLE_SQL["I1_conflict_free"]).fetchall()) == want
+    got = list(map(tuple, QUERIES["I1_conflict_free"](spark, str(tmp_path)).select("doc_id", "seq", "pick", "solved", "shares").collect()))
+    assert set(got) == want and len(got) == len(want)
+    assert ahead > 2 and len({o for o, _, _, solved, _ in got if not solved}) > 5 and len({x for _, _, x, solved, _ in got if solved}) > 4
+
+
 def test_longest_prefix_has_no_upper_bounds(spark, tmp_path):
     text = "microcontroller micro (Microcontrollers7), internationalisation42 internationalisation straße-1 straße abc 12345 " + "q" * 5000 + "1"
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
